@@ -13,6 +13,11 @@ from . import values as V
 WORD = r"[\p{L}\p{N}_]+"
 
 
+def let(value: Column, then) -> Column:
+    """then(x) for x = ``value``, which is computed once however often x is used, also inside lambdas."""
+    return F.transform(F.array(value), then)[0]
+
+
 def strip(c: Column) -> Column:
     """Without white space at either end."""
     return F.regexp_replace(c, r"^\s+|\s+$", "")
@@ -24,8 +29,8 @@ def tokens(c: Column) -> Column:
 
 def lines(c: Column) -> Column:
     """Lines as at \\n, \\r or \\r\\n, without an empty one after a final line end."""
-    whole = F.split(F.regexp_replace(c, r"\r\n?|\n$", "\n"), "\n", -1)
-    return F.when((F.size(whole) > 1) & (F.element_at(whole, -1) == ""), F.slice(whole, 1, F.size(whole) - 1)).otherwise(F.when(c == "", F.array().cast("array<string>")).otherwise(whole))
+    whole = F.split(F.regexp_replace(F.regexp_replace(c, r"\r\n?", "\n"), r"\n\z", ""), "\n", -1)
+    return F.when(c != "", whole).when(c == "", F.array().cast("array<string>"))
 
 
 def fold_accents(c: Column) -> Column:
@@ -84,7 +89,7 @@ def normalize_whitespace(c: Column, max_blank: int = 2) -> Column:
     """At most ``max_blank`` blank lines in a row, no white space at line ends; a final line end if anything is left."""
     trimmed = F.regexp_replace(F.array_join(lines(c), "\n"), r"[^\S\n]+(?=\n|$)", "")
     body = strip(F.regexp_replace(trimmed, r"\n{%d,}" % (max_blank + 2), "\n" * (max_blank + 1)))
-    return F.when(body != "", F.concat(body, F.lit("\n"))).otherwise("")
+    return let(body, lambda b: F.when(b != "", F.concat(b, F.lit("\n"))).otherwise(""))
 
 
 def yaml_quote(c: Column) -> Column:

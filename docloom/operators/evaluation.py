@@ -86,7 +86,8 @@ def ndcg_gold(retrieved: Column, gold: Column, k: int = 5) -> Column:
 def evidence_covered(contents: Column, groups: Column, k: int = 5) -> Column:
     """1 if each group (array<struct<id, phrases>>) has a phrase in the first k contents, whatever the case; null without groups."""
     whole = T.folded(F.array_join(first(contents, k), "\n"))
-    return F.when(F.size(groups) > 0, F.forall(groups, lambda g: F.exists(g["phrases"], lambda p: F.contains(whole, T.folded(p)))).cast("double"))
+    covered = T.let(whole, lambda t: F.forall(groups, lambda g: F.exists(g["phrases"], lambda p: F.contains(t, T.folded(p)))))
+    return F.when(F.size(groups) > 0, covered.cast("double"))
 
 
 def section_words(section: Column) -> Column:
