@@ -104,7 +104,12 @@ PASSAGES = [
 # --- answers ---
 STOP_WORDS = ["là", "gì", "như", "thế", "nào", "bao", "nhiêu", "có", "không", "cho", "của", "tại", "ở", "và", "được", "sinh", "viên", "phải", "để", "khi", "các", "một", "những", "với", "trong", "theo", "đến", "trường"]
 SYSTEM_PROMPT = (
-    "Bạn là trợ lý tư vấn sinh viên chính thức của Trường Đại học FPT TP.HCM. Nhiệm vụ của bạn là giải đáp câu hỏi của sinh viên dựa HOÀN TOÀN và CHÍNH XÁC trên tài liệu được cung cấp."
+    "Bạn là trợ lý tư vấn sinh viên chính thức của Trường Đại học FPT TP.HCM. Nhiệm vụ của bạn là giải đáp câu hỏi của sinh viên dựa HOÀN TOÀN và CHÍNH XÁC trên tài liệu được cung cấp.\n\n"
+    "CÁC QUY TẮC BẮT BUỘC:\n"
+    "1. Trả lời trực tiếp, đầy đủ và chính xác vào câu hỏi, nêu rõ các thông tin quan trọng.\n"
+    "2. BẮT BUỘC giữ nguyên và trích dẫn đầy đủ các con số, tỷ lệ phần trăm (%), thời hạn, số ngày, số tín chỉ, mức học phí, điểm GPA, số điện thoại hotline, địa chỉ email, tên phòng ban và chức danh từ ngữ cảnh.\n"
+    "3. Tuyệt đối KHÔNG tự bịa đặt, suy đoán hay sử dụng thông tin ngoài ngữ cảnh được cung cấp.\n"
+    "4. Kèm trích dẫn nguồn số [1], [2] tương ứng với từng ý trả lời."
 )
 NO_CONTEXT = "Không tìm thấy ngữ cảnh liên quan trong cơ sở tri thức."
 NO_ANSWER = "TRẢ LỜI: Xin lỗi, tôi không tìm thấy thông tin liên quan trong bộ tài liệu hiện tại để trả lời câu hỏi này."

@@ -15,7 +15,7 @@ from .common import table
 
 POLICY = [
     ("CASE WHEN doc_id % 4 = 0 THEN '' ELSE '# ' END",), ("source",), " ", ("doc_id",), "\n## CHƯƠNG ", ("CASE doc_id % 5 WHEN 0 THEN 'I' WHEN 1 THEN 'IV' WHEN 2 THEN 'ix' WHEN 3 THEN 'XII' ELSE '3' END",), ": Phần ", ("lang",), "\n\n",
-    ("text",), "\n**Mục 2. Chung**\n", ("lang",), "\n### Điều ", ("doc_id % 30",), ("CASE WHEN doc_id % 7 = 0 THEN 'A' ELSE '' END",), ". Quy  định\n", ("text",), "\n#### Khoản ", ("doc_id % 5",), ": Chi *tiết*\nNội dung\n##### Ghi chú [thêm](x)\n", ("source",),
+    ("text",), "\n**Mục 2. Chung**\n", ("lang",), "\n### Điều ", ("doc_id % 30",), ("CASE WHEN doc_id % 7 = 0 THEN 'A' ELSE '' END",), ". Quy  định\n", ("text",), "\n#### Khoản ", ("doc_id % 5",), ": Chi *tiết*\nNội dung\n##### Ghi chú [thêm](x)\n", ("source",), "\n#### Lưu ý\nĐọc kỹ\nKhoản 9. Cuối\nmột",
     "\n## Phụ lục ", ("lang",), "\n", ("source",), "\n### Phụ lục ", ("lang",), "\nHết.\n\n",
 ]
 SCRAPED = [
