@@ -126,7 +126,7 @@ def audience_match(audiences: Column, expected: Column, k: int = 5) -> Column:
 
 def rubric(rank: Column, answers: Column) -> Column:
     """2: right document first and the context answers; 1: among the first three, or an incomplete answer; 0: else."""
-    return F.when((rank == 1) & answers, 2).when(rank <= 3, 1).otherwise(0)
+    return F.when((rank == 1) & answers, 2).when(rank.between(1, 3), 1).otherwise(0)
 
 
 def report(metrics: DataFrame, names: list[str], by: str | None = None, digits: int = 6) -> DataFrame:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import documents, questions, retrieval
+from . import corpus, documents, questions, retrieval
 
-MODULES = (retrieval, documents, questions)
+MODULES = (retrieval, documents, questions, corpus)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 SQL = {name: sql for m in MODULES for name, sql in m.SQL.items()}
