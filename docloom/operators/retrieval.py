@@ -7,7 +7,10 @@ otherwise joined (keyword search) or taken in blocks (vector search).
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -88,14 +91,12 @@ def embed(df: DataFrame, text: Column, out: str = "embedding", model=None, batch
         raw = df.withColumn(f"{out}__raw", hashed_embedding(text))
         return raw.withColumn(out, X.normalize(F.col(f"{out}__raw"))).drop(f"{out}__raw")
 
-    @F.pandas_udf("array<double>")
-    def run(batches):
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            rows = [v for at in range(0, len(texts), batch) for v in model(texts.iloc[at : at + batch].tolist())]
-            yield texts.__class__(rows, index=texts.index)
+            yield pd.Series([list(map(float, v)) for at in range(0, len(texts), batch) for v in model(texts.iloc[at : at + batch].tolist())], dtype=object)
 
-    run.__annotations__ = {}
-    return df.withColumn(out, run(text))
+    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return df.withColumn(out, F.pandas_udf(run, "array<double>")(text))
 
 
 def vectors_of(column: pa.Array) -> np.ndarray:

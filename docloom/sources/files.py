@@ -26,7 +26,7 @@ def whole_files(spark: SparkSession, paths: str | list[str], glob: str | None =
     """(path, file_name, text); bytes that aren't UTF-8 become replacement characters. Missing and unreadable files are skipped, and so is everything else the glob leaves out."""
     reader = spark.read.format("binaryFile").option("ignoreMissingFiles", "true").option("ignoreCorruptFiles", "true")
     rows = (reader.option("pathGlobFilter", glob) if glob else reader).load(paths)
-    return rows.select("path", file_name(F.col("path")).alias("file_name"), F.decode(F.col("content"), "UTF-8").alias("text"))
+    return rows.select("path", file_name(F.col("path")).alias("file_name"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
 
 
 def existing(spark: SparkSession, paths: list[str]) -> list[str]:
