@@ -19,9 +19,12 @@ from __future__ import annotations
 import os
 import struct
 import zlib
+from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 import zstandard
 from pyspark import TaskContext
@@ -33,7 +36,8 @@ from .common import cut, fresh_dir
 FRAME_IDS = 1 << 18
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 NULL_ID = -(1 << 63)
-CACHE = 400_000
+#: A space between white space, or at the end; all that any engine counts as white space.
+JOINED = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\p{Z}] [\s\x{0B}\x{1C}-\x{1F}\x{85}\p{Z}]| \z"
 
 
 def opened(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
@@ -41,45 +45,112 @@ def opened(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
 
 
 class Encoder:
-    """Token ids of whole texts as bytes; remembers the ids of stretches between single spaces.
+    """Token ids of whole texts; remembers the ids of stretches between single spaces.
 
-    A byte-level BPE with the usual pattern never joins characters across a space that follows a non-space, so a text is
-    the sequence of its first stretch and of each later stretch with its space. Texts where that isn't so (two spaces in
-    a row, a space at the end) are encoded in one piece.
+    The usual pattern of a byte-level BPE never joins characters across a space, unless white space stands on both sides
+    of it or it ends the text; such texts are encoded in one piece. Any other text is the sequence of its first stretch
+    and of each later stretch with its space. Texts are split and their distinct stretches found in Arrow; only stretches
+    that are new reach the tokenizer, many at once, and the tokens that begin with a space tell them apart again. Ids are
+    then gathered from one pool of all known stretches.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remember: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-
-    def direct(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes | None] = [None] * len(texts)
-        split = [None if "  " in t or t.endswith(" ") or not t else t.split(" ") for t in texts]
-        new: set[str] = set()
-        for p in split:
-            if p:
-                new.update(p[1:])
-        new.difference_update(self.known)
-        if len(self.known) + len(new) > CACHE:
-            self.known = {}
-            new = set().union(*(p[1:] for p in split if p))
-        asked = list(new)
-        self.known.update(zip(asked, self.direct([" " + x for x in asked]), strict=True))
-        whole = [k for k, p in enumerate(split) if p is None]
-        for k, x in zip(whole, self.direct([texts[k] for k in whole]), strict=True):
-            out[k] = x
-        heads = [k for k, p in enumerate(split) if p]
-        get = self.known.__getitem__
-        for k, head in zip(heads, self.direct([split[k][0] for k in heads]), strict=True):
-            out[k] = head + b"".join(map(get, split[k][1:]))
+        self.remember = remember
+        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.opens = np.array([(self.tokenizer.id_to_token(k) or "").startswith("\u0120") for k in range(size)])
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.parts: list[np.ndarray] = []
+        self.sizes: list[np.ndarray] = []
+
+    def direct(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, "<u4") for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, words: list[str]) -> np.ndarray:
+        """Adds the ids of each word after a space and returns the words' numbers. Words that begin or end with white space are encoded one by one."""
+        numbers = np.zeros(len(words), np.int64)
+        plain = np.array([bool(w) and len(w.strip()) == len(w) for w in words], bool)
+        odd = np.flatnonzero(~plain).tolist()
+        plain = np.flatnonzero(plain)
+        for at in range(0, len(plain), 2000):
+            places = plain[at : at + 2000]
+            part = [words[k] for k in places] if odd else words[at : at + 2000]
+            ids = self.direct([" " + " ".join(part)])[0]
+            edges = np.flatnonzero(self.opens[ids])
+            if len(edges) == len(part) and edges[0] == 0:
+                numbers[places] = self.keep(part, ids, np.diff(edges, append=len(ids)))
+            else:
+                odd += places.tolist()
+        if odd:
+            found = self.direct([" " + words[k] for k in odd])
+            numbers[odd] = self.keep([words[k] for k in odd], np.concatenate(found), np.array([len(x) for x in found]))
+        return numbers
+
+    def keep(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        numbers = range(len(self.known), len(self.known) + len(words))
+        self.known.update(zip(words, numbers, strict=True))
+        self.parts.append(ids)
+        self.sizes.append(sizes)
+        return np.array(numbers)
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text; none of the texts is null."""
+        joined = np.array(pc.match_substring_regex(texts, JOINED))
+        out: list[np.ndarray] = [np.zeros(0, "<u4")] * len(texts)
+        for k in np.flatnonzero(joined):
+            out[k] = self.direct([texts[int(k)].as_py()])[0]
+        rest = np.flatnonzero(~joined)
+        if len(rest):
+            for k, ids in zip(rest, self.split_and_encode(texts.take(pa.array(rest))), strict=True):
+                out[k] = ids
         return out
 
+    def split_and_encode(self, texts: pa.Array) -> list[np.ndarray]:
+        split = pc.split_pattern(texts, " ")
+        starts = split.offsets.to_numpy() - split.offsets[0].as_py()
+        flat = split.flatten()
+        coded = flat.dictionary_encode()
+        words = coded.dictionary.to_numpy(zero_copy_only=False)
+        if len(self.known) > self.remember:
+            self.forget()
+        numbers = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(numbers < 0)
+        if len(new):
+            numbers[new] = self.learn(words[new].tolist())
+        heads = self.direct(flat.take(pa.array(starts[:-1])).to_pylist())  # without a space before them
+        if len(self.parts) > 1:
+            self.parts, self.sizes = [np.concatenate(self.parts)], [np.concatenate(self.sizes)]
+        sizes = np.concatenate([*self.sizes, [len(x) for x in heads]]).astype(np.int64)
+        pool = np.concatenate([*self.parts, *heads])
+        begins = np.cumsum(sizes) - sizes
+        piece = numbers[coded.indices.to_numpy()]
+        piece[starts[:-1]] = len(self.known) + np.arange(len(heads))
+        n = sizes[piece]
+        ends = np.cumsum(n)
+        ids = pool[np.repeat(begins[piece] - (ends - n), n) + np.arange(ends[-1])]
+        return np.split(ids, ends[starts[1:] - 1][:-1])
+
+
+@lru_cache(1)
+def encoder(path: str) -> Encoder:
+    """One for each worker process, which serves many tasks."""
+    return Encoder(path)
+
+
+def slices(batch: pa.RecordBatch, most: int = 1 << 23):
+    """Parts of a batch of (doc_id, text) of about ``most`` bytes of text at most."""
+    sizes = np.array([0 if x is None else x for x in pc.binary_length(batch.column(1)).to_pylist()], np.int64)
+    group = np.cumsum(sizes) // most
+    edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows] if batch.num_rows else [0]
+    for a, b in zip(edges, edges[1:], strict=False):
+        yield batch.slice(a, b - a)
+
 
 class Writer:
     def __init__(self, sink):
@@ -153,19 +224,18 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 2, to: str | None = Non
 
     def run(batches):
         part = TaskContext.get().partitionId()
-        name, writer, encoder, n_docs, n_tokens = f"{to}/part-{part:06d}.tok", None, None, 0, 0
+        name, writer, n_docs, n_tokens = f"{to}/part-{part:06d}.tok", None, 0, 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                rows = batch.slice(at, 256)
+            for rows in slices(batch):
                 if writer is None:
                     fs, path = opened(name)
                     fs.create_dir(os.path.dirname(path), recursive=True)
                     draft = f"{path}.{TaskContext.get().taskAttemptId()}.draft"
                     sink = fs.open_output_stream(draft)
-                    writer, encoder = Writer(sink), Encoder(tokenizer)
-                for doc_id, ids in zip(rows.column(0).to_pylist(), encoder.encode([t or "" for t in rows.column(1).to_pylist()]), strict=True):
-                    writer.add(NULL_ID if doc_id is None else doc_id, ids + end)
-                    n_docs, n_tokens = n_docs + 1, n_tokens + len(ids) // 4 + 1
+                    writer = Writer(sink)
+                for doc_id, ids in zip(rows.column(0).to_pylist(), encoder(tokenizer).encode(pc.fill_null(rows.column(1), "")), strict=True):
+                    writer.add(NULL_ID if doc_id is None else doc_id, ids.tobytes() + end)
+                    n_docs, n_tokens = n_docs + 1, n_tokens + len(ids) + 1
         if writer is not None:
             writer.close()
             sink.close()
