@@ -58,6 +58,14 @@ def test_held_out_sentences(field):
     assert right >= 0.93 * len(table)
 
 
+def test_training_from_a_table(spark):
+    rows = [(t, [{"start": a, "end": b, "kind": k} for a, b, k in s]) for t, s in P.labelled_table(1)]
+    table = spark.createDataFrame(rows, "text string, spans array<struct<start: int, end: int, kind: string>>")
+    made = P.train_table(table.repartition(3), rounds=30)
+    assert np.allclose(made.emit, P.train_table(table, rounds=30).emit)
+    assert ("phone", "555-123-4567", True) in kinds("call me at 555-123-4567 tomorrow", made)
+
+
 def test_viterbi_is_the_best_path(field):
     rng = np.random.default_rng(2)
     for n in (1, 2, 4):
