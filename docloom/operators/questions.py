@@ -101,8 +101,11 @@ def enrich(query: Column) -> Column:
     return T.let(F.array_join(compact(*missing), ", "), lambda more: F.when(more != "", F.concat(query, F.lit(" ("), more, F.lit(")"))).otherwise(query))
 
 
-def rewritten_variants(query: Column, most: int = 3) -> Column:
-    return F.slice(F.array_distinct(F.array(query, rewrite(query), enrich(query), F.concat(F.lit(V.PREFIX_START), query))), 1, most + 1)
+def rewritten_variants(query: Column, most: int = 3, more: Column | None = None) -> Column:
+    """The question and its distinct rewritten forms, then what a model gave (``more``), ``most`` besides the question."""
+    own = F.array_distinct(F.array(query, rewrite(query), enrich(query), F.concat(F.lit(V.PREFIX_START), query)))
+    whole = F.array_distinct(F.concat(own, F.coalesce(more, none()))) if more is not None else own
+    return F.slice(whole, 1, most + 1)
 
 
 def search_variants(query: Column, more: Column | None = None) -> Column:
@@ -118,12 +121,13 @@ def search_variants(query: Column, more: Column | None = None) -> Column:
     return F.when(F.coalesce(asked, F.lit("")) != "", once).otherwise(none())
 
 
-def passage(query: Column) -> Column:
-    """A passage such as an answer might stand in, by the first topic of the question that is known."""
+def passage(query: Column, llm=None) -> Column:
+    """A passage such as an answer might stand in: what ``llm``, a Column function, gives, or else by the first topic of the question that is known."""
     clean = F.regexp_replace(T.strip(query), "[?.!]+$", "")
     filled = lambda text: F.concat(F.lit(text.split("{}")[0]), clean, F.lit(text.split("{}")[1]))
     known = [F.when(T.any_in(F.lower(clean), words), filled(text)) for words, text in V.PASSAGES if words]
-    return F.coalesce(*known, filled(V.PASSAGES[-1][1]))
+    given = [F.nullif(T.strip(llm(query)), F.lit(""))] if llm else []
+    return F.coalesce(*given, *known, filled(V.PASSAGES[-1][1]))
 
 
 # --- decomposition ---
@@ -135,14 +139,18 @@ def should_decompose(query: Column) -> Column:
     return reduce(lambda a, b: a | b, [q.rlike(p) for p in patterns]) & (F.size(topics(q, V.JOINT_TOPICS)) >= 2)
 
 
-def decompose(query: Column) -> Column:
-    """Sub-questions of more than 10 characters, as sentences; the question itself if there are fewer than two."""
+def decompose(query: Column, more: Column | None = None) -> Column:
+    """Sub-questions of more than 10 characters, as sentences; the question itself if there are fewer than two. ``more``: a model's lines, which count instead where two or more are long enough."""
     q = F.lower(T.strip(query))
     parts = F.split(q, "|".join(word(w) for w in V.SPLIT_WORDS), -1)
     given = F.when(q.rlike(V.IF_THEN), F.array(F.regexp_extract(q, V.IF_THEN, 1), F.regexp_extract(q, V.IF_THEN, 2))).otherwise(parts)
     long = F.filter(F.transform(given, T.strip), lambda p: F.length(p) > 10)
     asked = F.transform(long, lambda p: F.concat(T.capitalized(p), F.when(p.rlike("[.?!]$"), "").otherwise("?")))
-    return T.let(asked, lambda a: F.when(F.size(a) > 1, a).otherwise(F.array(query)))
+    own = T.let(asked, lambda a: F.when(F.size(a) > 1, a).otherwise(F.array(query)))
+    if more is None:
+        return own
+    lines = F.filter(F.transform(more, T.strip), lambda p: F.length(p) > 10)
+    return T.let(lines, lambda p: F.when(F.size(p) >= 2, p).otherwise(own))
 
 
 def sub_queries(queries: DataFrame, query: str = "query") -> DataFrame:

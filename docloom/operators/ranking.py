@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,10 +42,22 @@ def rerank(ranking: DataFrame, k: int, score_fn=None, text_col: str = "content",
     if score_fn is None:
         return ranking.where(F.col("rank") <= k).withColumn("rerank_score", F.coalesce("score", F.lit(0.0)))
     scored = ranking.withColumn("rerank_score", score_fn(F.col(query_text_col), F.col(text_col)))
-    order = Window.partitionBy("query_id").orderBy(F.desc("rerank_score"), "rank")
+    order = Window.partitionBy("query_id").orderBy(F.desc_nulls_last("rerank_score"), "rank")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def model_score(model):
+    """A scorer for ``rerank``: model is a function of a list of (query, text) to scores, run in Arrow batches; a batch it fails for keeps its order."""
+
+    def run(queries: pd.Series, texts: pd.Series) -> pd.Series:
+        try:
+            return pd.Series(list(map(float, model(list(zip(queries, texts, strict=True))))))
+        except Exception:
+            return pd.Series([None] * len(queries), dtype="float64")
+
+    return lambda query, text: F.pandas_udf(run, "double")(query, text)
+
+
 def score_gap(ranking: DataFrame) -> DataFrame:
     """(query_id, gap): the best score less the second best; null for fewer than two."""
     best = F.reverse(F.sort_array(F.collect_list("score")))

@@ -7,6 +7,7 @@ otherwise joined (keyword search) or taken in blocks (vector search).
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -86,17 +87,35 @@ def hashed_embedding(text: Column) -> Column:
 
 
 def embed(df: DataFrame, text: Column, out: str = "embedding", model=None, batch: int = 256) -> DataFrame:
-    """Adds a vector column. model: a function of list[str] to a list of vectors, run in Arrow batches; without one, hashed vectors."""
+    """Adds a vector column. model: a function of list[str] to a list of vectors, run in Arrow batches; texts it fails for, one by one, get hashed vectors, and so do all without a model."""
+    hashed = X.normalize(F.col(f"{out}__raw"))
+    df = df.withColumn(f"{out}__raw", hashed_embedding(text))
     if model is None:
-        raw = df.withColumn(f"{out}__raw", hashed_embedding(text))
-        return raw.withColumn(out, X.normalize(F.col(f"{out}__raw"))).drop(f"{out}__raw")
+        return df.withColumn(out, hashed).drop(f"{out}__raw")
+
+    def tried(texts: list[str]) -> list:
+        try:
+            return [list(map(float, v)) for v in model(texts)]
+        except Exception:
+            return [None] if len(texts) == 1 else [v for t in texts for v in tried([t])]
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series([list(map(float, v)) for at in range(0, len(texts), batch) for v in model(texts.iloc[at : at + batch].tolist())], dtype=object)
+            yield pd.Series([v for at in range(0, len(texts), batch) for v in tried(texts.iloc[at : at + batch].tolist())], dtype=object)
 
     run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return df.withColumn(out, F.pandas_udf(run, "array<double>")(text))
+    return df.withColumn(f"{out}__model", F.pandas_udf(run, "array<double>")(text)).withColumn(out, F.coalesce(f"{out}__model", hashed)).drop(f"{out}__raw", f"{out}__model")
+
+
+def available(name: str | None, factories: dict):
+    """What ``factories[name]()`` makes, an embedding model or a reranker; None, with a warning, if that fails: callers then use hashed vectors or keep the order."""
+    if not name:
+        return None
+    try:
+        return factories[name]()
+    except Exception as error:
+        warnings.warn(f"{name} is not available: {error!r}", stacklevel=2)
+        return None
 
 
 def vectors_of(column: pa.Array) -> np.ndarray:
@@ -234,6 +253,16 @@ def delete_document(store: DataFrame, doc_id) -> DataFrame:
     return store.where(~F.col("doc_id").eqNullSafe(F.lit(doc_id)))
 
 
+def without_vectors(rows: DataFrame, vector_col: str = "embedding") -> DataFrame:
+    """What a search returns of the store's rows."""
+    return rows.drop(vector_col)
+
+
+def filter_by_audience(chunks: DataFrame, audience: str) -> DataFrame:
+    """Rows for this audience alone; rows for all are left out."""
+    return filter_chunks(chunks, {"audience": audience})
+
+
 def size_of(store: DataFrame) -> int:
     return store.count()
 

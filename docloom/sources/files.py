@@ -69,6 +69,13 @@ def read_rows(spark: SparkSession, path: str) -> DataFrame:
     return rows.where("url <> ''")
 
 
+def rows_without_url(spark: SparkSession, path: str) -> DataFrame:
+    """(row_number) of one CSV's rows that read_rows leaves out; the first row after the header is 2. A CSV with multi-line values is one task, which numbers its rows."""
+    rows = spark.read.csv(path, header=True, multiLine=True, escape='"')
+    url = next(c for c in rows.columns if c.strip() == "url")
+    return rows.select((F.monotonically_increasing_id() + 2).alias("row_number"), F.trim(F.col(f"`{url}`")).alias("u")).where("coalesce(u, '') = ''").select("row_number")
+
+
 def read_benchmark(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Questions from JSON arrays, in one schema; several files are put one after another."""
     rows = spark.read.schema(BENCHMARK).option("multiLine", "true").json(paths)

@@ -31,6 +31,16 @@ def test_decomposition(spark):
     assert [r.part for r in Q.sub_queries(df).collect()] == [1, 2]
 
 
+def test_models_go_first(spark):
+    lines = F.array(F.lit("the first sub question"), F.lit("the second sub question"), F.lit("short"))
+    assert one(spark, lambda q: Q.decompose(q, lines), "abc") == ["the first sub question", "the second sub question"]
+    assert one(spark, lambda q: Q.decompose(q, F.array(F.lit("short"))), "abc") == ["abc"]
+    assert one(spark, lambda q: Q.passage(q, lambda c: F.concat(F.lit("P "), c)), "abc") == "P abc" and one(spark, lambda q: Q.passage(q, lambda c: F.lit(" ")), "ojt?").startswith("Căn cứ")
+    assert one(spark, lambda q: Q.rewritten_variants(q, 3, F.array(F.lit("m"), F.lit("abc"))), "abc") == ["abc", "Abc", "Quy định Đại học FPT: abc", "m"]
+    assert one(spark, lambda q: Q.search_variants(q, F.array(F.lit("x"), F.lit("ABC "))), "abc") == ["abc", "x"]
+    assert one(spark, lambda q: Q.rewrite(q, lambda c: F.lit("given")), "abc") == "given"
+
+
 def test_answers_without_contexts(spark):
     df = spark.sql("SELECT 1 query_id, 'q' query, cast(array() as array<struct<doc_id: string, content: string>>) contexts")
     made = A.generate(df, ["doc_id", "content"]).first()

@@ -106,6 +106,40 @@ def test_a_model_is_called_in_batches(spark):
     assert sorted(r.embedding[0] for r in rows) == [1.0, 2.0]
 
 
+def test_a_failing_model_falls_back(spark):
+    def model(texts):
+        if "bad" in texts:
+            raise RuntimeError
+        return [[1.0] * 64 for _ in texts]
+
+    rows = {r.t: r.embedding for r in R.embed(spark.createDataFrame([("ok",), ("bad",)], "t string").coalesce(1), F.col("t"), model=model).collect()}
+    assert rows["ok"] == [1.0] * 64 and rows["bad"] != rows["ok"] and abs(sum(x * x for x in rows["bad"]) - 1) < 1e-9
+
+
+def test_unavailable_models():
+    assert R.available(None, {}) is None and R.available("a", {"a": lambda: 5}) == 5
+    with pytest.warns(UserWarning):
+        assert R.available("b", {}) is None
+
+
+def test_reranking(spark):
+    ranking = spark.createDataFrame([(1, 5, 0.9, 1, "q", "short"), (1, 6, None, 2, "q", "much longer"), (1, 7, 0.1, 3, "q", "mid text")], "query_id int, chunk_idx long, score double, rank int, query string, content string")
+    order = lambda df: [r.chunk_idx for r in df.orderBy("rank").collect()]
+    assert order(K.rerank(ranking, 2)) == [5, 6] and K.rerank(ranking, 2).where("rank = 2").first().rerank_score == 0.0
+    assert order(K.rerank(ranking, 2, K.model_score(lambda pairs: [len(t) for _, t in pairs]))) == [6, 7]
+    assert order(K.rerank(ranking, 3, K.model_score(lambda pairs: 1 / 0))) == [5, 6, 7]
+    assert K.score_gap(ranking.fillna(0.5)).first().gap == pytest.approx(0.4)
+
+
+def test_store(spark):
+    store = spark.createDataFrame([("a", [1.0]), (None, [2.0])], "doc_id string, embedding array<double>")
+    more = R.add_documents(store, store)
+    assert R.size_of(more) == 4 and R.size_of(R.delete_document(more, "a")) == 2 and R.size_of(R.delete_document(more, None)) == 2
+    assert R.without_vectors(store).columns == ["doc_id"]
+    chunks = spark.createDataFrame([(0, "student"), (1, "all")], "chunk_idx long, audience string")
+    assert R.get_chunk(chunks, 9).count() == 0 and [r.chunk_idx for r in R.filter_by_audience(chunks, "student").collect()] == [0]
+
+
 def test_parents_keep_the_first_child(spark):
     ranking = spark.createDataFrame([(1, 10, "p", 1), (1, 11, "p", 2), (1, 12, "q", 3)], "query_id int, chunk_idx long, parent_id string, rank int")
     assert [(r.chunk_idx, r["rank"]) for r in K.first_per_parent(ranking, 5).orderBy("rank").collect()] == [(10, 1), (12, 2)]

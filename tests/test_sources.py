@@ -24,6 +24,7 @@ def test_rows_need_urls(spark, tmp_path):
     (tmp_path / "u.csv").write_text("url, title \nhttp://a , x\n,y\n")
     rows = files.read_rows(spark, str(tmp_path / "u.csv")).collect()
     assert [(r.url, r.title) for r in rows] == [("http://a", "x")]
+    assert [r.row_number for r in files.rows_without_url(spark, str(tmp_path / "u.csv")).collect()] == [3]
     (tmp_path / "v.csv").write_text("a,b\n1,2\n")
     with pytest.raises(ValueError):
         files.read_rows(spark, str(tmp_path / "v.csv"))
