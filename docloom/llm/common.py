@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,10 +38,28 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def parts_for(df: DataFrame, size: int | None = None, each: int = 128 << 20) -> int:
+    """Partitions for ``size`` bytes at ``each`` bytes, but no fewer than spark.sql.shuffle.partitions. Without ``size``, that of the files below ``df``; tables whose size Spark doesn't know don't count."""
+    if size is None:
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        known = [int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size())]
+        size = sum(n for n in known if n < 1 << 60)
+    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / each))
+
+
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the two columns an operator reads, under names of its own: other columns can't clash."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
 
+def slices(batch: pa.RecordBatch, text: int = 1, most: int = 1 << 22):
+    """Parts of a batch of at most about ``most`` bytes of column ``text``, so that what is made of them stays small."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy().astype(np.int64)
+    edges = [0, *(np.flatnonzero(np.diff(np.cumsum(sizes) // most)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(edges, edges[1:], strict=False):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

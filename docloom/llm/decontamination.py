@@ -2,8 +2,9 @@
 
 The automaton is built over the words of all items and reads each document's words once, holding the longest match that
 ends at every word. A window is ``window`` consecutive words of an item (an item of fewer is one window); words inside
-an occurrence are hit. Items are taken in blocks of at most ``block_words`` words, so the broadcast automaton has a
-fixed bound; more blocks mean more passes over the documents, whose hits are united.
+an occurrence are hit. Items are taken in blocks of about ``block_words`` words, so a broadcast automaton has a
+bound (some 60 MB in a Python worker at 100,000 words); more blocks mean more passes over the documents, whose hits are
+united.
 
 Words: runs of ASCII digits and letters (lower-cased) and all non-ASCII characters.
 
@@ -15,12 +16,13 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, id_and_text
+from .common import cut, id_and_text, slices
 
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -159,14 +161,14 @@ def blocks(items: DataFrame, id_col: str, text_col: str, window: int, block_word
     yield build(held, window)
 
 
-def hits(docs: DataFrame, items: DataFrame, window: int = 10, block_words: int = 500_000, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def hits(docs: DataFrame, items: DataFrame, window: int = 10, block_words: int = 100_000, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, n_hit, item_ids, spans, longest): a row a document; spans are (start, end) in words."""
     sc = docs.sparkSession.sparkContext
     kind = dict(items.dtypes)[item_id_col]
     schema = f"doc_id long, n_words long, n_hit long, item_ids array<{kind}>, spans array<struct<start: int, end: int>>, longest int"
     types = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("item_ids", pa.list_(pa.string() if kind == "string" else pa.int32() if kind == "int" else pa.int64())), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), ("longest", pa.int32())])
 
-    def passed(shared) -> DataFrame:
+    def passed(shared, keyed: bool) -> DataFrame:
         def run(batches):
             automaton = shared.value
             for batch in batches:
@@ -175,30 +177,25 @@ def hits(docs: DataFrame, items: DataFrame, window: int = 10, block_words: int =
                     words = words_of(text.as_py())
                     spans, found, longest = automaton.scan(words)
                     rows.append((doc_id, len(words), sum(b - a for a, b in spans), sorted(found, key=str), [{"start": a, "end": b} for a, b in spans], longest))
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], types.field(k).type) for k in range(6)], schema=types)
+                columns = [pa.array([r[k] for r in rows], types.field(k).type) for k in range(6)]
+                yield pa.RecordBatch.from_arrays([*columns, batch.column(2)], schema=types.append(pa.field("text_hash", pa.int64())))
 
-        return id_and_text(docs, id_col, text_col).mapInArrow(run, schema)
+        slim = id_and_text(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text") if keyed else F.lit(0).cast("long"))
+        return slim.mapInArrow(run, schema + ", text_hash long")
 
     shared = [sc.broadcast(x) for x in blocks(items, item_id_col, item_text_col, window, block_words)]
     if len(shared) == 1:
-        return passed(shared[0])
-    row = F.struct(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("h"))
-    raise_if_repeated = docs.select(row.alias("r")).groupBy("r").count().where("count > 1").limit(1).count()
-    if raise_if_repeated:
-        raise ValueError("with more than one block of items, rows must differ in id or text")
-    parts = [passed(x) for x in shared]
-    whole = parts[0]
-    for x in parts[1:]:
-        whole = whole.unionByName(x)
-    return united(cut(whole))
-
-
-def united(parts: DataFrame) -> DataFrame:
-    """One row a document of the rows of several blocks: a document has as many as there are blocks, so groups are small."""
+        return passed(shared[0], False).drop("text_hash")
+    return united(cut(reduce(DataFrame.unionByName, [passed(x, True) for x in shared])), len(shared))
+
+
+def united(parts: DataFrame, n_blocks: int) -> DataFrame:
+    """One row a document of the rows of several blocks. Equal documents have equal rows: they are united once and given back as often as they came."""
+    parts = parts.groupBy("doc_id", "text_hash", "n_words", "item_ids", "spans", "longest").agg(F.count("*").alias("times"))
     ordered = F.array_sort(F.flatten(F.collect_list("spans")))
     ids = F.array_distinct(F.flatten(F.collect_list("item_ids")))
     by_name = F.array_sort(ids, lambda a, b: F.when(a.cast("string") < b.cast("string"), -1).otherwise(1))
-    whole = parts.groupBy("doc_id", "n_words").agg(ordered.alias("all"), by_name.alias("item_ids"), F.max("longest").alias("longest"))
+    whole = parts.groupBy("doc_id", "text_hash", "n_words").agg(ordered.alias("all"), by_name.alias("item_ids"), F.max("longest").alias("longest"), (F.sum("times") / n_blocks).cast("int").alias("times"))
     empty = F.array().cast("array<struct<start:int,end:int>>")
 
     def merge(acc, x):
@@ -209,7 +206,8 @@ def united(parts: DataFrame) -> DataFrame:
 
     whole = whole.withColumn("spans", F.aggregate("all", empty, merge))
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"])
-    return whole.select("doc_id", "n_words", n_hit.alias("n_hit"), "item_ids", "spans", "longest")
+    rows = whole.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    return rows.select("doc_id", "n_words", n_hit.alias("n_hit"), "item_ids", "spans", "longest")
 
 
 def without_spans(text: str, automata: list[Automaton], max_coverage: float) -> str | None:
@@ -231,7 +229,7 @@ def without_spans(text: str, automata: list[Automaton], max_coverage: float) ->
         text = "".join([*kept, text[done:]])
 
 
-def decontaminated(docs: DataFrame, items: DataFrame, window: int = 10, max_coverage: float = 0.8, block_words: int = 500_000, text_col: str = "text", length_col: str | None = "n_chars", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def decontaminated(docs: DataFrame, items: DataFrame, window: int = 10, max_coverage: float = 0.8, block_words: int = 100_000, text_col: str = "text", length_col: str | None = "n_chars", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """``docs`` with hit spans removed from the texts; documents of which more than ``max_coverage`` is hit go.
 
     Texts without a hit stay as they are. One block of items is in memory at a time if there is one; with more, all are,
@@ -244,7 +242,7 @@ def decontaminated(docs: DataFrame, items: DataFrame, window: int = 10, max_cove
 
     def run(batches):
         automata = [x.value for x in shared]
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, at)):
             old = batch.column(at).to_pylist()
             new = [t and without_spans(t, automata, max_coverage) for t in old]
             columns = list(batch.columns)

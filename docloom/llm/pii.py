@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text
+from .common import id_and_text, slices
 
 KINDS = ("email", "ip", "card", "phone", "id")
 #: The base patterns, and the words that cue a kind.
@@ -264,6 +264,12 @@ def train(rows: list[tuple[str, list[tuple[int, int, str]]]], rounds: int = 100,
     return Field(emit, move + free)
 
 
+def train_table(table: DataFrame, max_rows: int = 5000, **options) -> Field:
+    """table: (text, spans array<struct<start, end, kind>>). Trains on at most ``max_rows`` of its rows, chosen by a hash of the text."""
+    rows = table.select("text", "spans").orderBy(F.xxhash64("text"), "text").limit(max_rows).collect()
+    return train([(r.text or "", [(x["start"], x["end"], x["kind"]) for x in r.spans or []]) for r in rows], **options)
+
+
 # --- the small labelled table ---
 
 #: Sentences with slots; {kind:form} is a labelled value, {kind} alone an unlabelled one.
@@ -383,15 +389,14 @@ def texts_spans(texts: list[str], field: Field) -> list[list[tuple[int, int, int
     return [sorted(set(x)) for x in out]
 
 
-def scan(docs: DataFrame, field: Field | None = None, rows: int = 500, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, field: Field | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, spans array<struct<start, kind, end, added>>), a row a document, whole texts."""
     shared = docs.sparkSession.sparkContext.broadcast(field or default_field())  # of fixed size
     kind = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.string()), ("end", pa.int32()), ("added", pa.bool_())]))
 
     def run(batches):
         for whole in batches:
-            for at in range(0, whole.num_rows, rows):
-                batch = whole.slice(at, rows)
+            for batch in slices(whole):
                 found = texts_spans([t or "" for t in batch.column(1).to_pylist()], shared.value)
                 yield pa.record_batch([batch.column(0), pa.array([[{"start": a, "kind": KINDS[k], "end": b, "added": new} for a, k, b, new in x] for x in found], kind)], names=["doc_id", "spans"])
 

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, id_and_text
+from .common import cut, id_and_text, parts_for
 
 SEED = 42
 BITS_OF_BYTE = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -145,7 +145,7 @@ def links(prints: DataFrame, max_bits: int = 3) -> DataFrame:
 
     keys = F.array(*[F.struct(F.lit(k).alias("which"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("key")) for k, m in enumerate(masks)])
     buckets = prints.select("fp", F.explode(keys).alias("b")).select("b.which", "b.key", "fp")
-    parts = max(1, int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = parts_for(prints, 17 * len(masks) * prints.count(), 64 << 20)
     dealt = buckets.repartition(parts, "which", "key").sortWithinPartitions("which", "key")
     return dealt.mapInArrow(run, "u long, v long").distinct()
 

@@ -2,7 +2,7 @@
 
 Documents are dealt to files by ranges of their id and written in ascending order. A file holds
 
-    frames       independent zstandard frames of little-endian unsigned 32-bit ids, whole documents of about FRAME_IDS ids
+    frames       independent zstandard frames of little-endian unsigned 32-bit ids, whole documents of about ``frame_ids`` ids
     index frame  a skippable frame: zstandard-compressed (id, frame, offset, count) of each document, as signed 64-bit columns
     seek table   a skippable frame: per frame its compressed and raw size and the CRC-32 of its raw bytes, then their
                  number, a flag byte and the magic number 0x8F92EAB1
@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, fresh_dir
+from .common import cut, fresh_dir, parts_for, slices
 
 FRAME_IDS = 1 << 18
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
@@ -54,7 +54,7 @@ class Encoder:
     then gathered from one pool of all known stretches.
     """
 
-    def __init__(self, path: str, remember: int = 600_000):
+    def __init__(self, path: str, remember: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -143,17 +143,9 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def slices(batch: pa.RecordBatch, most: int = 1 << 23):
-    """Parts of a batch of (doc_id, text) of about ``most`` bytes of text at most."""
-    sizes = np.array([0 if x is None else x for x in pc.binary_length(batch.column(1)).to_pylist()], np.int64)
-    group = np.cumsum(sizes) // most
-    edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows] if batch.num_rows else [0]
-    for a, b in zip(edges, edges[1:], strict=False):
-        yield batch.slice(a, b - a)
-
-
 class Writer:
-    def __init__(self, sink):
+    def __init__(self, sink, frame_ids: int = FRAME_IDS):
+        self.frame_ids = frame_ids
         self.sink, self.table, self.index, self.held, self.n_held = sink, [], [], [], 0
         self.pack = zstandard.ZstdCompressor(level=3, write_content_size=True)
 
@@ -161,7 +153,7 @@ class Writer:
         self.index.append((doc_id, len(self.table), self.n_held, len(ids) // 4))
         self.held.append(ids)
         self.n_held += len(ids) // 4
-        if self.n_held >= FRAME_IDS:
+        if self.n_held >= self.frame_ids:
             self.flush()
 
     def flush(self) -> None:
@@ -216,7 +208,7 @@ class Reader:
         return [np.frombuffer(self.ids(int(k)), "<u4") for k in np.flatnonzero(self.index[0] == doc_id)]
 
 
-def write(docs: DataFrame, tokenizer: str, end_id: int = 2, to: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write(docs: DataFrame, tokenizer: str, end_id: int = 2, to: str | None = None, frame_ids: int = FRAME_IDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes the files and returns (part, path, n_docs, n_tokens), in order of the ids by part; ``to`` is a shared folder."""
     spark = docs.sparkSession
     to = to or fresh_dir(spark, "tokens")
@@ -232,7 +224,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 2, to: str | None = Non
                     fs.create_dir(os.path.dirname(path), recursive=True)
                     draft = f"{path}.{TaskContext.get().taskAttemptId()}.draft"
                     sink = fs.open_output_stream(draft)
-                    writer = Writer(sink)
+                    writer = Writer(sink, frame_ids)
                 for doc_id, ids in zip(rows.column(0).to_pylist(), encoder(tokenizer).encode(pc.fill_null(rows.column(1), "")), strict=True):
                     writer.add(NULL_ID if doc_id is None else doc_id, ids.tobytes() + end)
                     n_docs, n_tokens = n_docs + 1, n_tokens + len(ids) + 1
@@ -242,9 +234,8 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 2, to: str | None = Non
             fs.move(draft, path)
             yield pa.record_batch([pa.array([part], pa.int32()), pa.array([name]), pa.array([n_docs], pa.int64()), pa.array([n_tokens], pa.int64())], names=["part", "path", "n_docs", "n_tokens"])
 
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    dealt = slim.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    dealt = slim.repartitionByRange(parts_for(slim), F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     return cut(dealt.mapInArrow(run, "part int, path string, n_docs long, n_tokens long"))
 
 
