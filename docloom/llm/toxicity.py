@@ -12,6 +12,7 @@ the smoothed share of toxic labels; of several labels of a document the highest
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,9 +20,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, id_and_text
+from .common import cut, id_and_text, slices
 
-SIZES, BITS, GAP, WINDOW = (4, 6, 8), 20, 8, 1 << 20
+SIZES, BITS, EDGE, WINDOW = (4, 6, 8), 20, 8, 1 << 20
 TASKS = 8
 SPACES = bytes(32 if c in (9, 10, 11, 12, 13) else c for c in range(256))
 
@@ -40,12 +41,16 @@ def ngrams(data: np.ndarray) -> np.ndarray:
 
 
 def pieces(texts: list[str | None]):
-    """(document numbers, features) over all n-grams of the texts, a bounded window at a time."""
-    gap = b"\0" * GAP
+    """(first document, ends of documents, features) over all n-grams of the texts, a bounded window at a time.
+
+    A document's n-grams are those that begin up to EDGE bytes before or after it; zeros stand on either side, so none holds
+    a byte of another document.
+    """
+    edge = b"\0" * EDGE
     for first, group in batched(texts):
         coded = [(t or "").lower().encode().translate(SPACES) for t in group]
-        ends = np.cumsum([len(x) + GAP for x in coded]) + GAP
-        data = np.frombuffer(gap + gap.join(coded) + gap * 2, np.uint8)
+        ends = np.cumsum([len(x) + 2 * EDGE for x in coded])
+        data = np.frombuffer(edge + (2 * edge).join(coded) + 2 * edge, np.uint8)[:-1]
         for at in range(0, len(data) - 7, WINDOW):
             yield first, ends - at, ngrams(data[at : at + WINDOW + 7])
 
@@ -84,7 +89,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def document_counts(rows: list[tuple[str | None, int]]) -> np.ndarray:
+def document_counts(rows: Iterable[tuple[str | None, int]]) -> np.ndarray:
     """2 x features: in how many clean and toxic documents each occurs."""
     counts = np.zeros((2, len(SIZES) << BITS), np.int32)
     for text, toxic in rows:
@@ -114,48 +119,54 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, n_features
     """labels: (id, toxic), already restricted to the rows to learn from."""
     chosen = labels.where("toxic is not null").groupBy(F.col(id_col).alias("label_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = chosen.orderBy(F.xxhash64("label_id"), "label_id").limit(max_rows)  # bounded, so it may be broadcast
-    sample = id_and_text(docs, id_col, text_col).join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).select("text", "toxic")
-    sample = cut(sample.repartition(TASKS, F.xxhash64("text")))
+    sample = id_and_text(docs, id_col, text_col).join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).select("label_id", "text", "toxic")
+    sample = cut(sample.repartition(TASKS, "label_id").select("text", "toxic"))
 
     def rows(batches):
         for batch in batches:
-            yield from zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+            for part in slices(batch, 0):
+                yield from zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)
 
     def count(batches):
-        counts = document_counts([(t, int(y > 0)) for t, y in rows(batches)])
+        counts = document_counts((t, int(y > 0)) for t, y in rows(batches))
         yield pa.record_batch([pa.array([zlib.compress(counts.tobytes(), 1)], pa.binary())], names=["counts"])
 
-    total = np.zeros((2, len(SIZES) << BITS), np.int64)
-    for x in sample.mapInArrow(count, "counts binary").toLocalIterator():  # one compressed vector a task, TASKS at most
+    total = np.zeros((2, len(SIZES) << BITS), np.int32)
+    for x in cut(sample.mapInArrow(count, "counts binary")).toLocalIterator():  # one compressed vector a task, one at a time
         total += np.frombuffer(zlib.decompress(x[0]), np.int32).reshape(2, -1)
     share = {int(r[0] > 0): r[1] for r in sample.groupBy("toxic").count().collect()}
     clean, toxic = share.get(0, 0), share.get(1, 0)
-    none = np.zeros(len(SIZES) << BITS, np.uint16)
+    table = np.zeros(len(SIZES) << BITS, np.uint16)
     if not clean or not toxic:
-        return Model(none, np.zeros(0), float(np.log((toxic + 1) / (clean + 1))))
+        return Model(table, np.zeros(0), float(np.log((toxic + 1) / (clean + 1))))
+    often = np.flatnonzero(total.sum(axis=0) >= min_count)
+    total = total[:, often]
     ratio = np.log((total[1] + alpha) / (toxic + 2 * alpha)) - np.log((total[0] + alpha) / (clean + 2 * alpha))
-    evidence = np.where(total.sum(axis=0) >= min_count, np.abs(ratio) * np.sqrt(total.sum(axis=0)), 0)
+    evidence = np.abs(ratio) * np.sqrt(total.sum(axis=0))
     best = np.argsort(-evidence, kind="stable")[:n_features]
     best = best[evidence[best] > 0]
-    none[best] = np.arange(1, len(best) + 1)
-    model = Model(none, ratio[best], 0.0)
+    table[often[best]] = np.arange(1, len(best) + 1)
+    ratio = ratio[best]
+    model = Model(table, ratio, 0.0)
 
     def present(batches):
         for batch in batches:
-            row, feature, n = model.counts(batch.column(0).to_pylist())
-            toxic = np.array(batch.column(1).to_pylist(), dtype=np.int64)
-            parts = np.split(np.arange(len(row)), np.searchsorted(row, np.arange(1, len(toxic))))
-            yield pa.record_batch([pa.array(toxic > 0), pa.array([feature[p].astype(np.int32) for p in parts]), pa.array([n[p].astype(np.int32) for p in parts])], names=["toxic", "feature", "n"])
-
-    y, feature, n, row = [], [], [], []
-    for k, r in enumerate(sample.mapInArrow(present, "toxic boolean, feature array<int>, n array<int>").toLocalIterator()):
+            for part in slices(batch, 0):
+                row, feature, n = model.counts(part.column(0).to_pylist())
+                toxic = np.array(part.column(1).to_pylist(), dtype=np.int64)
+                edges = np.searchsorted(row, np.arange(len(toxic) + 1)).tolist()
+                packed = [[x[a:b].astype(np.int32).tobytes() for a, b in zip(edges, edges[1:], strict=False)] for x in (feature, n)]
+                yield pa.record_batch([pa.array(toxic > 0), *[pa.array(x, pa.binary()) for x in packed]], names=["toxic", "feature", "n"])
+
+    y, feature, n = [], [], []
+    for r in cut(sample.mapInArrow(present, "toxic boolean, feature binary, n binary")).toLocalIterator():  # max_rows at most
         y.append(r.toxic)
-        feature.append(np.array(r.feature, np.int64))
-        n.append(np.array(r.n))
-        row.append(np.full(len(r.n), k))
-    feature, value, row = np.concatenate(feature), np.log1p(np.concatenate(n)), np.concatenate(row)
-    w, b = fit_logistic(row, feature, value * ratio[best][feature], np.array(y, float), len(best), l2, rounds)
-    return Model(none, w * ratio[best], b)
+        feature.append(np.frombuffer(r.feature, np.int32))
+        n.append(np.frombuffer(r.n, np.int32))
+    row = np.repeat(np.arange(len(y)), [len(x) for x in n])
+    feature, value = np.concatenate(feature), np.log1p(np.concatenate(n))
+    w, b = fit_logistic(row, feature, value * ratio[feature], np.array(y, float), len(ratio), l2, rounds)
+    return Model(table, w * ratio, b)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -169,7 +180,8 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, id_col: str = "
 
     def run(batches):
         for batch in batches:
-            yield pa.record_batch([batch.column(0), pa.array(shared.value.score(batch.column(1).to_pylist()))], names=["doc_id", "score"])
+            for part in slices(batch):
+                yield pa.record_batch([part.column(0), pa.array(shared.value.score(part.column(1).to_pylist()))], names=["doc_id", "score"])
 
     found = id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double")
     return found.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
@@ -182,6 +194,7 @@ def clean_documents(docs: DataFrame, model: Model, threshold: float = 0.3, text_
 
     def run(batches):
         for batch in batches:
-            yield batch.filter(pa.array(shared.value.score(batch.column(at).to_pylist()) < threshold))
+            for part in slices(batch, at):
+                yield part.filter(pa.array(shared.value.score(part.column(at).to_pylist()) < threshold))
 
     return docs.mapInArrow(run, docs.schema)
