@@ -81,7 +81,7 @@ class Encoder:
         for at in range(0, len(plain), 2000):
             places = plain[at : at + 2000]
             part = [words[k] for k in places] if odd else words[at : at + 2000]
-            ids = self.direct([" " + " ".join(part)])[0]
+            ids = np.concatenate(self.direct([" " + " ".join(part[k : k + 100]) for k in range(0, len(part), 100)]))
             edges = np.flatnonzero(self.opens[ids])
             if len(edges) == len(part) and edges[0] == 0:
                 numbers[places] = self.keep(part, ids, np.diff(edges, append=len(ids)))

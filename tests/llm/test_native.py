@@ -2,8 +2,6 @@ import hashlib
 import random
 import re
 
-from pyspark.sql import functions as F
-
 from docloom.llm import chat as C
 from docloom.llm import secrets as S
 from docloom.llm.spans import matches, sums_before
@@ -98,4 +96,3 @@ def test_no_literal_marker_survives(spark):
     rows = spark.createDataFrame([(1, 0, "user", t or "") for t in TEXTS], "conv_id long, turn long, role string, text string")
     r = C.format_chats(rows).first()
     assert r.formatted.count("<|") == 1 + (len(TEXTS) - 1) + 1
-    assert F is not None

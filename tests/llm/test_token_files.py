@@ -71,8 +71,7 @@ def test_only_asked_frames_are_read(written, monkeypatch):
 def test_damage_is_found(written, tmp_path):
     _, files = written
     data = bytearray(open(files.first().path, "rb").read())
-    at = K.Reader(files.first().path).sums.nbytes * 0 + len(data) - 9 - 4
-    data[at] ^= 1  # the last frame's checksum in the seek table
+    data[len(data) - 9 - 4] ^= 1  # the last frame's checksum in the seek table
     (tmp_path / "x.tok").write_bytes(bytes(data))
     bad = K.Reader(str(tmp_path / "x.tok"))
     with pytest.raises(ValueError, match="damaged"):
