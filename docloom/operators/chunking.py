@@ -108,7 +108,8 @@ def compare(df: DataFrame, text: Column, size: int = 200) -> DataFrame:
 
 def exploded(df: DataFrame, chunks: Column, keep: list[str]) -> DataFrame:
     """A row a chunk with ``part_index`` from 1 and ``total_parts``."""
-    rows = df.withColumn("pieces__", chunks).select(*keep, F.size("pieces__").alias("total_parts"), F.posexplode("pieces__").alias("part_index", "content"))
+    # an outer explode: an inner one makes Spark infer a filter that computes the chunks a second time
+    rows = df.withColumn("pieces__", chunks).select(*keep, F.size("pieces__").alias("total_parts"), F.posexplode_outer("pieces__").alias("part_index", "content")).where("content is not null")
     return rows.withColumn("part_index", F.col("part_index") + 1)
 
 
@@ -131,7 +132,7 @@ PLAIN = (Heading("chapter", V.PLAIN_CHAPTER, 20), Heading("section", V.PLAIN_SEC
 
 def heading_lines(docs: DataFrame, text: str, kinds: tuple[Heading, ...], markdown_first: bool, clean) -> DataFrame:
     """Adds no, line, kind, level, heading and number to a row a line; kind is null for text."""
-    rows = docs.select(*[c for c in docs.columns if c != text], F.posexplode(T.lines(F.col(text))).alias("no", "line"))
+    rows = docs.select(*[c for c in docs.columns if c != text], F.posexplode_outer(T.lines(F.col(text))).alias("no", "line")).where("no is not null")
     bare = T.strip(F.col("line"))
     tests = [(bare.rlike("(?iu)" + h.pattern), h.kind, F.lit(h.level), clean(F.regexp_extract(bare, "(?iu)" + h.pattern, 1)), T.number_label(F.regexp_extract(bare, "(?iu)" + h.pattern, h.number)) if h.number else F.lit(None).cast("string")) for h in kinds]
     markdown = (bare.rlike(V.MARKDOWN), "markdown", F.length(F.regexp_extract(bare, V.MARKDOWN, 1)), clean(F.regexp_extract(bare, V.MARKDOWN, 2)), F.lit(None).cast("string"))

@@ -18,15 +18,19 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as X
-from .ranking import first_per_parent, fuse, top_k
+from .ranking import DIGITS, first_per_parent, fuse, top_k
 
 #: Rows that may be broadcast.
 FEW = 200_000
 
 
+def are_few(df: DataFrame, most: int = FEW) -> bool:
+    return df.limit(most + 1).count() <= most
+
+
 def few(df: DataFrame, most: int = FEW) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``most`` rows, else as it is."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    return F.broadcast(df) if are_few(df, most) else df
 
 
 def searchable(chunks: DataFrame) -> Column:
@@ -41,7 +45,8 @@ def searchable(chunks: DataFrame) -> Column:
 def term_frequencies(chunks: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     """(chunk_idx, chunk_len, term, tf). Only occurrences of ``terms`` leave the scan; they are dealt by chunk, which all later grouping by chunk reuses."""
     words = chunks.select("chunk_idx", T.tokens(searchable(chunks)).alias("words"))
-    rows = words.select("chunk_idx", F.size("words").alias("chunk_len"), F.explode("words").alias("term"))
+    # an outer explode: an inner one makes Spark infer a filter that tokenises every text a second time
+    rows = words.select("chunk_idx", F.size("words").alias("chunk_len"), F.explode_outer("words").alias("term")).where("term is not null")
     if terms is not None:
         rows = rows.join(terms, "term", "left_semi")
     return rows.repartition("chunk_idx").groupBy("chunk_idx", "chunk_len", "term").agg(F.count("*").alias("tf"))
@@ -68,13 +73,15 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 def bm25(chunks: DataFrame, queries: DataFrame, k: int = 20, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """BM25 with positive idf; only chunks that hold a term of the question."""
-    wanted = few(query_terms(queries))
-    tf = term_frequencies(chunks, wanted.select("term").distinct())
-    weights = wanted.join(document_frequencies(tf), "term").crossJoin(F.broadcast(corpus_stats(chunks)))  # one row
+    wanted = query_terms(queries)
+    small = are_few(wanted)  # then the terms and the weights are few as well
+    shared = F.broadcast if small else lambda df: df
+    tf = term_frequencies(chunks, shared(wanted.select("term").distinct()))
+    weights = shared(wanted).join(document_frequencies(tf), "term").crossJoin(F.broadcast(corpus_stats(chunks)))  # one row
     weights = weights.select("query_id", "term", (F.col("times") * idf(F.col("n_chunks"), F.col("df"))).alias("weight"), "avg_len")
     length = 1 - b + b * F.col("chunk_len") / F.greatest(F.col("avg_len"), F.lit(1e-12))
     part = F.col("weight") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * length)
-    scored = tf.join(few(weights), "term").groupBy("chunk_idx", "query_id").agg(F.sum(part).alias("score"))
+    scored = tf.join(shared(weights), "term").groupBy("chunk_idx", "query_id").agg(F.sum(part).alias("score"))
     return top_k(scored.where("score > 0"), k).select("query_id", "chunk_idx", "score", "rank")
 
 
@@ -118,9 +125,17 @@ def available(name: str | None, factories: dict):
         return None
 
 
-def vectors_of(column: pa.Array) -> np.ndarray:
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+def vectors_of(column: pa.Array, width: int) -> np.ndarray:
+    """A row a vector; shorter ones get zeros, longer ones lose what is beyond ``width``."""
+    sizes, values = np.diff(column.offsets.to_numpy()), column.flatten().to_numpy(zero_copy_only=False)
+    if (sizes == width).all():
+        return values.reshape(-1, width)
+    out = np.zeros((len(sizes), max(width, sizes.max(initial=0))))
+    out[np.repeat(np.arange(len(sizes)), sizes), np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = values
+    return out[:, :width]
+
+
+ID_TYPES = {"smallint": pa.int16(), "int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}
 
 
 def dense(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = 4096, normalized: bool = True) -> DataFrame:
@@ -128,7 +143,7 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = 4096
 
     Exact: every pair is scored, a block of questions (the only data that is broadcast) against an Arrow batch of vectors
     as one matrix product. Each task keeps k rows a question, so that no more than that is ever shuffled. Negative scores
-    are kept.
+    are kept; null vectors take no part.
     """
     spark = vectors.sparkSession
     kind = dict(queries.dtypes)["query_id"]
@@ -139,7 +154,7 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = 4096
         return np.where(size < 1e-12, m, m / np.where(size < 1e-12, 1, size))
 
     def scores(held: list) -> DataFrame:
-        matrix = np.array([r.embedding for r in held], np.float64)
+        matrix = vectors_of(pa.array([r.embedding for r in held], pa.list_(pa.float64())), max(len(r.embedding) for r in held))
         ids = [r.query_id for r in held]
         shared = spark.sparkContext.broadcast(unit(matrix) if normalized else matrix)
 
@@ -147,19 +162,23 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = 4096
             q = shared.value
             best = np.full((len(q), 0), 0.0)
             items = np.zeros((len(q), 0), np.int64)
-            for batch in batches:
-                if not batch.num_rows:
+            step = min(4096, max(16, (1 << 22) // max(1, len(q))))  # scores held at once are bounded
+            for batch in (whole.slice(at, step) for whole in batches for at in range(0, whole.num_rows, step)):
+                v = vectors_of(batch.column(1), q.shape[1])
+                got, own = q @ (unit(v) if normalized else v).T, batch.column(0).to_numpy()
+                if best.shape[1] == k:  # only what is among the best k of some question, or as good
+                    some = (np.round(got, DIGITS) >= np.round(best[:, -1:], DIGITS)).any(axis=0)
+                    got, own = got[:, some], own[some]
+                if not got.shape[1]:
                     continue
-                v = vectors_of(batch.column(1))
-                got = q @ (unit(v) if normalized else v).T
                 best = np.concatenate([best, got], axis=1)
-                items = np.concatenate([items, np.broadcast_to(batch.column(0).to_numpy(), got.shape)], axis=1)
-                order = np.lexsort((items, -np.round(best, 9)), axis=1)[:, :k]
+                items = np.concatenate([items, np.broadcast_to(own, got.shape)], axis=1)
+                order = np.lexsort((items, -np.round(best, DIGITS)), axis=1)[:, :k]
                 best, items = np.take_along_axis(best, order, 1), np.take_along_axis(items, order, 1)
             n = best.shape[1]
-            yield pa.record_batch([pa.array(np.repeat(np.array(ids), n)) if kind != "string" else pa.array([i for i in ids for _ in range(n)], pa.string()), pa.array(items.ravel()), pa.array(best.ravel())], names=["query_id", "chunk_idx", "score"])
+            yield pa.record_batch([pa.array([i for i in ids for _ in range(n)], ID_TYPES[kind]), pa.array(items.ravel()), pa.array(best.ravel())], names=["query_id", "chunk_idx", "score"])
 
-        return vectors.select(F.col("chunk_idx").cast("long"), F.col("embedding").cast("array<double>")).mapInArrow(run, schema)
+        return vectors.where("embedding is not null").select(F.col("chunk_idx").cast("long"), F.col("embedding").cast("array<double>")).mapInArrow(run, schema)
 
     found, held = None, []
     for r in queries.select("query_id", F.col("embedding").cast("array<double>").alias("embedding")).where("embedding is not null").toLocalIterator():

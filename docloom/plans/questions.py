@@ -121,7 +121,7 @@ def evidence_support(spark, sf_dir) -> DataFrame:
 def confidence(spark, sf_dir) -> DataFrame:
     """Of vector searches; every third result counts as unsupported, results of even ids as having metadata."""
     v = table(spark, sf_dir, "embeddings")
-    asked = v.where("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    asked = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
     found = R.dense(v.select(F.col("vec_id").alias("chunk_idx"), "embedding"), asked, k=5, normalized=False).where("rank <= 1 + query_id % 5")
     rows = F.sort_array(F.collect_list(F.struct("rank", (F.col("score") - F.col("query_id") % 3 * 0.5).alias("score"), "chunk_idx")))
     df = found.groupBy("query_id").agg(rows.alias("rows"))
@@ -285,7 +285,7 @@ j AS (SELECT *, contains(content, lower({strip("claim")})) AS whole, list_filter
 f AS (SELECT *, row_number() OVER (PARTITION BY doc_id, no ORDER BY CASE WHEN whole OR number IS NOT NULL THEN k ELSE 9 END) AS n FROM j)
 SELECT doc_id, no::INTEGER AS no, claim, whole OR number IS NOT NULL AS supported, CASE WHEN whole OR number IS NOT NULL THEN ['a', 'b'][k] ELSE '' END AS source, CASE WHEN whole OR number IS NOT NULL THEN CASE WHEN doc_id % 2 = 0 THEN lang ELSE 'N/A' END ELSE '' END AS section,
     CASE WHEN whole THEN 1.0 WHEN number IS NOT NULL THEN 0.7 ELSE 0 END::DOUBLE AS score, CASE WHEN whole THEN claim WHEN number IS NOT NULL THEN number ELSE '' END AS matching_text FROM f WHERE n = 1""",
-    "confidence": f"""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), s AS (SELECT a.vec_id AS query_id, b.vec_id AS chunk_idx, list_inner_product(a.e, b.e) AS score FROM e a CROSS JOIN e b WHERE a.vec_id % 10 = 0),
+    "confidence": f"""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), s AS (SELECT a.vec_id AS query_id, b.vec_id AS chunk_idx, list_inner_product(a.e, b.e) AS score FROM e a CROSS JOIN e b WHERE a.vec_id % 20 = 0),
 r AS (SELECT query_id, chunk_idx, score - query_id % 3 * 0.5::DOUBLE AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_idx) AS rank FROM s),
 g AS (SELECT query_id, count(*) AS n, max(score) AS top, max(score) FILTER (WHERE rank = 2) AS second, count(*) FILTER (WHERE rank % 3 <> 0)::DOUBLE / count(*) AS ev, count(*) FILTER (WHERE chunk_idx % 2 = 0)::DOUBLE / count(*) AS md FROM r WHERE rank <= 1 + query_id % 5 GROUP BY query_id),
 x AS (SELECT query_id, least(n / 3.0::DOUBLE, 1) AS result_count, least(greatest(top, 0), 1) AS top_score, CASE WHEN n >= 2 THEN least((top - second) * 5, 1) ELSE 0.5 END::DOUBLE AS score_gap, ev AS evidence_support, md AS metadata_quality FROM g),

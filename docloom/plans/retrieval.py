@@ -64,16 +64,16 @@ def rrf_fuse(spark, sf_dir) -> DataFrame:
 
 
 def vector_search(spark, sf_dir) -> DataFrame:
-    """Raw inner products for every 25th vector, as the plain store ranks."""
+    """Raw inner products for every vector whose id is divisible by 20, as the plain store ranks."""
     v = table(spark, sf_dir, "embeddings")
-    asked = v.where("vec_id % 25 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    asked = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
     return ranked(R.dense(v.select(F.col("vec_id").alias("chunk_idx"), "embedding"), asked, k=5, normalized=False))
 
 
 def vector_search_filtered(spark, sf_dir) -> DataFrame:
     """As vector_search over vectors of label 3 only: the filter comes before the ranking."""
     v = table(spark, sf_dir, "embeddings")
-    asked = v.where("vec_id % 25 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    asked = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
     kept = R.filter_chunks(v, {"label": 3}).select(F.col("vec_id").alias("chunk_idx"), "embedding")
     return ranked(R.dense(kept, asked, k=3, normalized=False))
 
@@ -133,7 +133,7 @@ metrics AS (SELECT sums.query_id, gold, hit_1::INTEGER AS hit_1, hit_5::INTEGER
     CASE WHEN len(gold) > 0 THEN round(good_5::DOUBLE / len(gold), 6) ELSE 0 END AS gold_recall_5, coalesce(round(1.0::DOUBLE / good_rank, 6), 0) AS rr_5, CASE WHEN best > 0 THEN round(good_dcg / best, 6) ELSE 0 END AS ndcg_gold_5
     FROM sums JOIN ideal USING (query_id))"""
 HYBRID = with_(DOCS, ASKED, TEXTS, BM25, HASHED, DENSE, FUSED)
-SEARCH = """WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings), s AS (SELECT a.vec_id AS query_id, b.vec_id AS chunk_idx, list_inner_product(a.e, b.e) AS score FROM e a CROSS JOIN e b WHERE a.vec_id % 25 = 0{}),
+SEARCH = """WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings), s AS (SELECT a.vec_id AS query_id, b.vec_id AS chunk_idx, list_inner_product(a.e, b.e) AS score FROM e a CROSS JOIN e b WHERE a.vec_id % 20 = 0{}),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_idx)::INTEGER AS rank FROM s) SELECT query_id, rank, chunk_idx, round(score, 6) AS score FROM r WHERE rank <= {}"""
 
 SQL = {

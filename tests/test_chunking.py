@@ -31,7 +31,7 @@ def test_fixed_is_windows(spark):
 
 def test_sentences(spark):
     got = column(spark, ["A b. C d! E? F", "  ", None, "one", "x.y z. \n w"], C.by_sentences(F.col("text"), 2))
-    assert got == [["A b. C d!", "E? F"], [], [], ["one"], ["x.y z. w"]] or got[0] == ["A b. C d!", "E? F"]
+    assert got == [["A b. C d!", "E? F"], [], [], ["one"], ["x.y z. w"]]
     assert column(spark, ["A. B. C."], C.by_sentences(F.col("text"), 0)) == [["A.", "B.", "C."]]
 
 
@@ -110,7 +110,7 @@ def test_long_sections_are_split(spark):
 def test_plain_sections_keep_a_loose_chapter(spark):
     docs = spark.createDataFrame([("d", "Chương mới về\ntext\nMục 3 x\nmore")], "doc string, text string")
     assert [r.path for r in C.sections(docs, "doc", "text", advanced=False).orderBy("section_ord").collect()] == [["Chương mới về"], ["Chương mới về", "Mục 3 x"]]
-    assert C.sections(docs, "doc", "text").first().path == ["Mục 3 x"] or True
+    assert [r.path for r in C.sections(docs, "doc", "text").orderBy("section_ord").collect()] == [[], ["Mục 3 x"]]
 
 
 def test_contextual(spark):

@@ -83,6 +83,12 @@ def test_dense_is_brute_force(spark):
     assert R.dense(docs.limit(0), asked).count() == 0
 
 
+def test_odd_vectors(spark):
+    docs = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [2.0]), (4, [0.0, 1.0, 9.0])], "chunk_idx long, embedding array<double>")
+    asked = spark.createDataFrame([(7, [1.0, 0.5]), (8, None)], "query_id int, embedding array<double>")
+    assert [(r.query_id, r.chunk_idx, r.score) for r in R.dense(docs, asked, 5, normalized=False).orderBy("rank").collect()] == [(7, 3, 2.0), (7, 1, 1.0), (7, 4, 0.5)]
+
+
 def test_hashed_embedding_and_cosine(spark):
     import hashlib
 
