@@ -133,12 +133,13 @@ PLAIN = (Heading("chapter", V.PLAIN_CHAPTER, 20), Heading("section", V.PLAIN_SEC
 def heading_lines(docs: DataFrame, text: str, kinds: tuple[Heading, ...], markdown_first: bool, clean) -> DataFrame:
     """Adds no, line, kind, level, heading and number to a row a line; kind is null for text."""
     rows = docs.select(*[c for c in docs.columns if c != text], F.posexplode_outer(T.lines(F.col(text))).alias("no", "line")).where("no is not null")
-    bare = T.strip(F.col("line"))
+    rows = rows.withColumn("bare__", T.strip(F.col("line")))  # a column, so that it is computed once
+    bare = F.col("bare__")
     tests = [(bare.rlike("(?iu)" + h.pattern), h.kind, F.lit(h.level), clean(F.regexp_extract(bare, "(?iu)" + h.pattern, 1)), T.number_label(F.regexp_extract(bare, "(?iu)" + h.pattern, h.number)) if h.number else F.lit(None).cast("string")) for h in kinds]
     markdown = (bare.rlike(V.MARKDOWN), "markdown", F.length(F.regexp_extract(bare, V.MARKDOWN, 1)), clean(F.regexp_extract(bare, V.MARKDOWN, 2)), F.lit(None).cast("string"))
     tests = [markdown, *tests] if markdown_first else [*tests, markdown]
     first = F.coalesce(*[F.when(t, F.struct(F.lit(kind).alias("kind"), level.alias("level"), heading.alias("heading"), number.alias("number"))) for t, kind, level, heading, number in tests])
-    return rows.withColumn("h", first).select("*", "h.*").drop("h")
+    return rows.withColumn("h", first).select("*", "h.*").drop("h", "bare__")
 
 
 def path_of(levels: list[int], window) -> Column:

@@ -19,7 +19,7 @@ def remove_boilerplate(text: Column) -> Column:
     shown = F.regexp_replace(text, "(?iu)" + V.HIDDEN_EMAIL, V.SHOWN_EMAIL.replace("$", r"\$"))
     shown = F.regexp_replace(shown, "(?iu)" + V.INLINE_TOGGLE, "")
     noise = lambda line: reduce(lambda a, b: a | b, [line.rlike(p) for p in NOISE_LINES])
-    return F.coalesce(F.array_join(F.filter(T.lines(shown), lambda line: ~noise(T.strip(line))), "\n"), F.lit(""))
+    return F.coalesce(F.array_join(F.filter(T.lines(shown), lambda line: ~noise(line)), "\n"), F.lit(""))  # the patterns allow for white space at both ends
 
 
 def unwrapped(title: Column) -> Column:
@@ -37,7 +37,8 @@ def normalize_headings(df: DataFrame, key: str, text: str, out: str | None = Non
     the same and later than the last line of text. Other columns are kept; ``key`` names a row.
     """
     rows = df.select(key, F.posexplode_outer(T.lines(F.coalesce(F.col(text), F.lit("")))).alias("no", "line"))
-    bare = T.strip(F.col("line"))
+    rows = rows.withColumn("bare__", T.strip(F.col("line")))  # a column, so that it is computed once
+    bare = F.col("bare__")
     rows = rows.withColumn("hashes", F.regexp_extract(bare, V.MARKDOWN, 1)).withColumn("title", unwrapped(F.regexp_extract(bare, V.MARKDOWN, 2)))
     heading = F.col("hashes") != ""
     name = F.concat(F.col("hashes"), F.lit(" "), F.lower(F.col("title")))
