@@ -118,16 +118,17 @@ def exploded(df: DataFrame, chunks: Column, keep: list[str]) -> DataFrame:
 
 @dataclass(frozen=True)
 class Heading:
-    """A kind of heading: its pattern (group 1 the text, ``number`` the group of its number), and its level in the path."""
+    """A kind of heading: its pattern (group 1 the text, ``number`` the group of its number), its level in the path, and its first letter in either case."""
 
     kind: str
     pattern: str
     level: int
+    letter: str
     number: int = 0
 
 
-POLICY = (Heading("chapter", V.CHAPTER, 2, 2), Heading("section", V.SECTION, 3, 2), Heading("article", V.ARTICLE, 4, 2), Heading("clause", V.CLAUSE, 5, 2))
-PLAIN = (Heading("chapter", V.PLAIN_CHAPTER, 20), Heading("section", V.PLAIN_SECTION, 30), Heading("article", V.PLAIN_ARTICLE, 40))
+POLICY = (Heading("chapter", V.CHAPTER, 2, "C", 2), Heading("section", V.SECTION, 3, "M", 2), Heading("article", V.ARTICLE, 4, "Đ", 2), Heading("clause", V.CLAUSE, 5, "K", 2))
+PLAIN = (Heading("chapter", V.PLAIN_CHAPTER, 20, "C"), Heading("section", V.PLAIN_SECTION, 30, "M"), Heading("article", V.PLAIN_ARTICLE, 40, "Đ"))
 
 
 def heading_lines(docs: DataFrame, text: str, kinds: tuple[Heading, ...], markdown_first: bool, clean) -> DataFrame:
@@ -139,7 +140,8 @@ def heading_lines(docs: DataFrame, text: str, kinds: tuple[Heading, ...], markdo
     markdown = (bare.rlike(V.MARKDOWN), "markdown", F.length(F.regexp_extract(bare, V.MARKDOWN, 1)), clean(F.regexp_extract(bare, V.MARKDOWN, 2)), F.lit(None).cast("string"))
     tests = [markdown, *tests] if markdown_first else [*tests, markdown]
     first = F.coalesce(*[F.when(t, F.struct(F.lit(kind).alias("kind"), level.alias("level"), heading.alias("heading"), number.alias("number"))) for t, kind, level, heading, number in tests])
-    return rows.withColumn("h", first).select("*", "h.*").drop("h", "bare__")
+    maybe = bare.rlike("(?iu)^[#*" + "".join(h.letter for h in kinds) + "]")  # most lines need no other test
+    return rows.withColumn("h", F.when(maybe, first)).select("*", "h.*").drop("h", "bare__")
 
 
 def path_of(levels: list[int], window) -> Column:
