@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import cut, id_and_text, slices
 
 SIZES, BITS, EDGE, WINDOW = (4, 6, 8), 20, 8, 1 << 20
-TASKS = 8
+TASKS, BLOCK = 8, 1000
 SPACES = bytes(32 if c in (9, 10, 11, 12, 13) else c for c in range(256))
 
 
@@ -101,14 +101,18 @@ def document_counts(rows: Iterable[tuple[str | None, int]]) -> np.ndarray:
     return counts
 
 
-def fit_logistic(row, feature, value, y: np.ndarray, n_features: int, l2: float, rounds: int) -> tuple[np.ndarray, float]:
-    """Full-batch Adam; deterministic."""
-    w, b = np.zeros(n_features), float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
+def fit_logistic(blocks: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], n_features: int, l2: float, rounds: int) -> tuple[np.ndarray, float]:
+    """Full-batch Adam; deterministic. blocks: (label of each row, row, feature, value) of some rows each, so that what a step makes stays small."""
+    n, positive = sum(len(x[0]) for x in blocks), sum(float(x[0].sum()) for x in blocks)
+    w, b = np.zeros(n_features), float(np.log((positive + 1) / (n - positive + 1)))
     m, v = np.zeros(n_features + 1), np.zeros(n_features + 1)
     for k in range(1, rounds + 1):
-        p = 1 / (1 + np.exp(-np.clip(b + np.bincount(row, weights=value * w[feature], minlength=len(y)), -40, 40)))
-        miss = p - y
-        g = np.append(np.bincount(feature, weights=value * miss[row], minlength=n_features) / len(y) + l2 * w, miss.mean())
+        g = np.append(l2 * w, 0.0)
+        for y, row, feature, value in blocks:
+            p = 1 / (1 + np.exp(-np.clip(b + np.bincount(row, weights=value * w[feature], minlength=len(y)), -40, 40)))
+            miss = (p - y) / n
+            g[:-1] += np.bincount(feature, weights=value * miss[row], minlength=n_features)
+            g[-1] += miss.sum()
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         step = 0.05 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
         w, b = w - step[:-1], b - step[-1]
@@ -119,8 +123,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, n_features
     """labels: (id, toxic), already restricted to the rows to learn from."""
     chosen = labels.where("toxic is not null").groupBy(F.col(id_col).alias("label_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = chosen.orderBy(F.xxhash64("label_id"), "label_id").limit(max_rows)  # bounded, so it may be broadcast
-    sample = id_and_text(docs, id_col, text_col).join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).select("label_id", "text", "toxic")
-    sample = cut(sample.repartition(TASKS, "label_id").select("text", "toxic"))
+    sample = id_and_text(docs, id_col, text_col).join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).select("text", "toxic")
+    sample = cut(sample.select("text", "toxic").repartition(TASKS))
 
     def rows(batches):
         for batch in batches:
@@ -147,6 +151,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, n_features
     best = best[evidence[best] > 0]
     table[often[best]] = np.arange(1, len(best) + 1)
     ratio = ratio[best]
+    del total, evidence
     model = Model(table, ratio, 0.0)
 
     def present(batches):
@@ -158,17 +163,24 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, n_features
                 packed = [[x[a:b].astype(np.int32).tobytes() for a, b in zip(edges, edges[1:], strict=False)] for x in (feature, n)]
                 yield pa.record_batch([pa.array(toxic > 0), *[pa.array(x, pa.binary()) for x in packed]], names=["toxic", "feature", "n"])
 
-    y, feature, n = [], [], []
+    blocks, held = [], []
     for r in cut(sample.mapInArrow(present, "toxic boolean, feature binary, n binary")).toLocalIterator():  # max_rows at most
-        y.append(r.toxic)
-        feature.append(np.frombuffer(r.feature, np.int32))
-        n.append(np.frombuffer(r.n, np.int32))
-    row = np.repeat(np.arange(len(y)), [len(x) for x in n])
-    feature, value = np.concatenate(feature), np.log1p(np.concatenate(n))
-    w, b = fit_logistic(row, feature, value * ratio[feature], np.array(y, float), len(ratio), l2, rounds)
+        held.append(r)
+        if len(held) == BLOCK:
+            blocks.append(block_of(held, ratio))
+            held = []
+    if held:
+        blocks.append(block_of(held, ratio))
+    w, b = fit_logistic(blocks, len(ratio), l2, rounds)
     return Model(table, w * ratio, b)
 
 
+def block_of(rows: list, ratio: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    feature, n = (np.concatenate([np.frombuffer(r[c], np.int32) for r in rows]) for c in ("feature", "n"))
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r.n) // 4 for r in rows])
+    return np.array([float(r.toxic) for r in rows]), row, feature, (np.log1p(n) * ratio[feature]).astype(np.float32)
+
+
 def held_out(doc_id: Column) -> Column:
     """Documents that are never learnt from."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
