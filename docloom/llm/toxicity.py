@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, id_and_text, slices
 
-SIZES, BITS, EDGE, WINDOW = (4, 6, 8), 20, 8, 1 << 20
+SIZES, BITS, EDGE, WINDOW = (4, 6, 8), 20, 8, 1 << 18
 TASKS, BLOCK = 8, 1000
 SPACES = bytes(32 if c in (9, 10, 11, 12, 13) else c for c in range(256))
 
@@ -55,7 +55,7 @@ def pieces(texts: list[str | None]):
             yield first, ends - at, ngrams(data[at : at + WINDOW + 7])
 
 
-def batched(texts, most: int = 1 << 20):
+def batched(texts, most: int = WINDOW):
     first, group, total = 0, [], 0
     for k, t in enumerate(texts):
         group.append(t)
@@ -75,13 +75,16 @@ class Model:
 
     def counts(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Rows, kept features and their counts, a row a text."""
-        most, keys = len(self.weights) + 1, []
-        for first, ends, grams in pieces(texts):
+        most, found, times = len(self.weights) + 1, [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for first, ends, grams in pieces(texts):  # counted window by window: few features differ where many positions hit
             kept = self.table[grams]
             _, at = hit = np.nonzero(kept)
-            keys.append((first + np.searchsorted(ends, at, side="right")) * most + kept[hit])
-        found, n = np.unique(np.concatenate(keys) if keys else np.zeros(0, np.int64), return_counts=True)
-        return found // most, found % most - 1, n
+            keys, n = np.unique((first + np.searchsorted(ends, at, side="right")) * most + kept[hit], return_counts=True)
+            found.append(keys)
+            times.append(n)
+        keys, place = np.unique(np.concatenate(found), return_inverse=True)
+        n = np.bincount(place, weights=np.concatenate(times), minlength=len(keys)).astype(np.int64)
+        return keys // most, keys % most - 1, n
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         row, feature, n = self.counts(texts)
