@@ -182,6 +182,153 @@ def groups(docs: DataFrame, shingle: int = 3, max_bits: int = 3, id_col: str = "
     return marked.join(of_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def kept_rows(docs: DataFrame, rooted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each group of ``rooted`` (doc_id, key, root), key being xxhash64 of the text: that of the least id, then key."""
+    counted = rooted.groupBy("root", "doc_id", "key").agg(F.count("*").alias("n"))
+    first = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "key", "n")).alias("x")
+    kept = cut(counted.groupBy("root").agg(first).select("x.*"))
+    own = F.col(id_col).cast("long").eqNullSafe(F.col("doc_id__kept")) & (F.xxhash64(text_col) == F.col("key__kept"))
+    single, repeated = (kept.where(c).select(F.col("doc_id").alias("doc_id__kept"), F.col("key").alias("key__kept")) for c in ("n = 1", "n > 1"))
+    return docs.join(single, own, "left_semi").unionByName(docs.join(repeated, own, "left_semi").dropDuplicates([id_col, text_col]))
+
+
+def shingles(text: str | None, shingle: int) -> np.ndarray:
+    """XXH64 of every word shingle; a shorter text is one shingle, one without words none."""
+    words = (text or "").encode().lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    digest, total = xxhash.xxh64_intdigest, max(1, len(words) - shingle + 1)
+    parts = (words[at : at + (1 << 16) + shingle - 1] for at in range(0, total, 1 << 16))
+    return np.concatenate([np.array([digest(b" ".join(part[k : k + shingle]), SEED) for k in range(max(1, len(part) - shingle + 1))], np.uint64) for part in parts])
+
+
+#: Bucket keys of the similarity join: bands of four minima each, beside the blocks of the fingerprint. Two texts at
+#: similarity 0.8 share no band with a chance of (1 - 0.8**4)**20, about 1 in 38,000; more similar ones less.
+BANDS, MINIMA = 20, 4
+FACTORS = np.random.default_rng(SEED).integers(0, 1 << 64, BANDS * MINIMA, dtype=np.uint64, endpoint=False) | np.uint64(1)
+MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def bucket_keys(hashes: np.ndarray, distinct: np.ndarray, masks: np.ndarray) -> np.ndarray:
+    """Keys under which similar texts meet; none without words. hashes: of all shingles; distinct: the same, each once."""
+    if not len(distinct):
+        return np.zeros(0, np.uint64)
+    least, counts = np.full(len(FACTORS), np.iinfo(np.uint64).max, np.uint64), np.zeros(64, np.int64)
+    for at in range(0, len(distinct), 2048):
+        least = np.minimum(least, (FACTORS[:, None] * distinct[None, at : at + 2048]).min(axis=1))
+    for k, column in enumerate(hashes.view(np.uint8).reshape(-1, 8).T):
+        counts[8 * k : 8 * k + 8] += np.bincount(column, minlength=256) @ BITS_OF_BYTE
+    fp = np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0]
+    bands = np.zeros(BANDS, np.uint64)
+    for column in least.reshape(BANDS, MINIMA).T:
+        bands = (bands ^ column ^ (column >> np.uint64(29))) * MIX
+    keys = np.concatenate([fp & masks, bands])
+    keys = (keys ^ (np.arange(1, len(keys) + 1, dtype=np.uint64) * np.uint64(0xBF58476D1CE4E5B9))) * MIX
+    return keys ^ (keys >> np.uint64(32))
+
+
+def similar_links(nodes: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links that join the distinct sets of a bucket exactly as all pairs of ``similarity`` (Jaccard) or more do."""
+    found, sizes = [], np.array([len(x) for x in sets])
+    left, seen = np.arange(1, len(sets)), [0]
+    values, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    while len(left):
+        at = seen.pop() if seen else None
+        if at is None:
+            at, left = left[0], left[1:]
+        alive = np.zeros(len(sets), bool)
+        alive[left] = True
+        if alive[owner].sum() < len(owner):
+            values, owner = values[alive[owner]], owner[alive[owner]]
+        own = sets[at]
+        place = np.minimum(np.searchsorted(own, values), len(own) - 1)
+        both = np.bincount(owner[own[place] == values], minlength=len(sets))[left]
+        near = both >= similarity * (sizes[left] + sizes[at] - both) - 1e-9
+        found += [(int(nodes[k]), int(nodes[at])) for k in left[near]]
+        seen += left[near].tolist()
+        left = left[~near]
+    return found
+
+
+def whole_runs(batches):
+    """Tables that hold whole runs of equal values of the first column; rows are sorted by it."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        x = batch.column(0).to_numpy()
+        change = np.flatnonzero(x[1:] != x[:-1])
+        last = int(change[-1]) + 1 if len(change) else 0
+        if held and (last or held[-1].column(0)[0].as_py() != x[0]):
+            same = held[-1].column(0)[0].as_py() == x[0]
+            yield pa.Table.from_batches([*held, batch.slice(0, last)] if same else held).combine_chunks()
+            held = []
+            if not same and last:
+                yield pa.Table.from_batches([batch.slice(0, last)])
+        elif last:
+            yield pa.Table.from_batches([batch.slice(0, last)])
+        held.append(batch.slice(last))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def one_of_similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row, of the least id, of each group of texts linked by ``similarity`` or more.
+
+    Similarity is the Jaccard index of the sets of word shingles, computed in full for what shares a bucket: a choice of
+    three of six blocks of the fingerprint, or a band of minima. Texts of equal sets are one node and always meet. The
+    distinct sets of one bucket meet in one task.
+    """
+    masks = np.array(block_masks(), np.int64).view(np.uint64)
+
+    def mark(batches):
+        for batch in batches:
+            nodes, keys = [], []
+            for t in batch.column(2):
+                hashes = shingles(t.as_py(), shingle)
+                distinct = np.unique(hashes)
+                nodes.append(xxhash.xxh64_intdigest(distinct.tobytes(), SEED))
+                keys.append(bucket_keys(hashes, distinct, masks).view(np.int64))
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "key", "node", "keys"])
+
+    def meet(batches):
+        for rows in whole_runs(batches):
+            key, node = (rows.column(k).to_numpy() for k in range(2))
+            starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            ends = np.r_[starts[1:], len(key)]
+            some = np.flatnonzero(ends - starts > 1)
+            yield pa.record_batch([pa.array([np.sort(node[starts[k] : ends[k]]) for k in some], pa.list_(pa.int64()))], names=["nodes"])
+
+    def fill(batches):
+        for batch in batches:
+            yield pa.record_batch([batch.column(0), pa.array([np.unique(shingles(t.as_py(), shingle)).tobytes() for t in batch.column(1)], pa.binary())], names=["node", "items"])
+
+    def verify(batches):
+        for rows in whole_runs(batches):
+            bucket, node = (rows.column(k).to_numpy() for k in range(2))
+            items, pairs = rows.column(2), []
+            starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+            for a, b in zip(starts, np.r_[starts[1:], len(bucket)], strict=True):
+                pairs += similar_links(node[a:b], [np.frombuffer(items[int(k)].as_py(), np.uint64) for k in range(a, b)], similarity)
+            yield pa.record_batch([pa.array([max(p) for p in pairs], pa.int64()), pa.array([min(p) for p in pairs], pa.int64())], names=["u", "v"])
+
+    keyed = id_and_text(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("key"), "text")
+    marked = cut(keyed.mapInArrow(mark, "doc_id long, key long, node long, keys array<long>"))
+    nodes = marked.groupBy("node").agg(F.first("keys").alias("keys"), F.min("key").alias("key"))
+    each = 16 * (len(masks) + BANDS)
+    parts = parts_for(marked, each * marked.count(), 64 << 20)
+    dealt = nodes.select(F.explode("keys").alias("b"), "node").repartition(parts, "b").sortWithinPartitions("b")
+    buckets = cut(dealt.mapInArrow(meet, "nodes array<long>").distinct())
+    members = buckets.select(F.xxhash64("nodes").alias("bucket"), F.explode("nodes").alias("node"))
+    asked = nodes.select("node", "key").join(members.select("node").distinct(), "node", "left_semi").select("node", F.col("key").alias("key__asked"))
+    texts = keyed.join(asked, F.col("key") == F.col("key__asked")).select("node", "text").dropDuplicates(["node"])
+    sets = cut(texts.mapInArrow(fill, "node long, items binary"))
+    met = members.join(sets, "node").select("bucket", "node", "items").repartition("bucket").sortWithinPartitions("bucket")
+    roots = components(met.mapInArrow(verify, "u long, v long").distinct())
+    rooted = marked.select("doc_id", "key", "node").join(roots.withColumnRenamed("u", "node"), "node", "left")
+    return kept_rows(docs, rooted.select("doc_id", "key", F.coalesce("root", "node").alias("root")), id_col, text_col)
+
+
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """``docs`` with one row of each group: that of the least id. Of rows that share this id, one stays."""
     kept = groups(docs, id_col=id_col, **options).where(F.col("doc_id").eqNullSafe(F.col("component_id")))

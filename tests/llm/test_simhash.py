@@ -132,3 +132,54 @@ def test_one_of_each(spark):
 def test_null_ids(spark):
     rows = S.groups(frame(spark, [(None, "a b c d"), (4, "a b c d"), (None, "x y z w")])).collect()
     assert sorted((str(r.doc_id), str(r.component_id)) for r in rows) == [("4", "4"), ("None", "4"), ("None", "None")]
+
+
+def jaccard_groups(texts, least=0.8):
+    """Groups by 5-word Jaccard similarity, all pairs; equal to a walk over all links."""
+    cut = [(t or "").encode().lower().split() for t in texts]
+    sets = [{b" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for w in cut]
+    root = list(range(len(sets)))
+    for a in range(len(sets)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if sets[a] == sets[b] or both and both >= least * (len(sets[a]) + len(sets[b]) - both):
+                old, new = root[a], root[b]
+                root = [new if x == old else x for x in root]
+    return root
+
+
+def near_corpus():
+    """Copies at about 0.8 to 0.95, and pairs just below."""
+    rng, rows = random.Random(11), []
+    words = [f"w{k}" for k in range(3000)]
+    for _ in range(30):
+        text = [rng.choice(words) for _ in range(rng.randint(100, 400))]
+        rows.append(text)
+        for share in (0.005, 0.01, 0.02, 0.03):
+            copy = list(text)
+            for k in rng.sample(range(len(copy)), max(1, int(share * len(copy)))):
+                copy[k] = rng.choice(words)
+            rows.append(copy)
+    rng.shuffle(rows)
+    return [(k, " ".join(w)) for k, w in enumerate(rows)] + [(900, None), (901, ""), (902, "a b"), (903, "A  B")]
+
+
+def test_similar_texts_leave_one(spark):
+    rows = near_corpus()
+    roots, least = jaccard_groups([t for _, t in rows]), {}
+    for (i, _), g in zip(rows, roots, strict=True):
+        least[g] = min(i, least.get(g, i))
+    docs = frame(spark, rows).repartition(3)
+    kept = S.one_of_similar(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(least.values())
+    assert S.one_of_each(docs).count() > len(least)  # three bits don't find them
+    assert S.one_of_similar(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("step", [1, 3, 1000])
+def test_runs_stay_whole(step):
+    rng = np.random.default_rng(step)
+    x = np.sort(rng.integers(0, 40, 200))
+    whole = S.pa.record_batch([S.pa.array(x), S.pa.array(np.arange(200))], names=["a", "b"])
+    parts = [p.column(0).to_numpy() for p in S.whole_runs(whole.slice(k, step) for k in range(0, 200, step))]
+    assert np.array_equal(np.concatenate(parts), x) and all(a[-1] != b[0] for a, b in zip(parts, parts[1:], strict=False))
