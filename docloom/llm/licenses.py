@@ -1,7 +1,7 @@
 """License scans by patience alignment.
 
-A text is compared with license templates only around words that a template names as its anchor (its rarest word of
-a fixed list). The neighbourhood and the template are aligned: equal ends first, then the words that occur once in
+A text is compared with each license template of whose words it holds enough, around the template's rarest words: one
+more than a match may lack, so every match holds one. A neighbourhood, widened until no more words align, and the template are aligned: equal ends first, then the words that occur once in
 either, thinned to a longest increasing run of positions, then the gaps between these, recursively. Coverage is the
 share of the template's words that are aligned; matches of ``min_coverage`` or more are reported, the longest first,
 and no two overlap.
@@ -12,6 +12,7 @@ even if they agree; an empty table gives an empty result; other columns are not
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_left
 from collections import Counter
@@ -39,7 +40,7 @@ TEMPLATES = {
     "CC-BY-NC-4.0-line": "Licensed under CC BY-NC 4.0.",
     "CC-BY-SA-4.0-line": "Licensed under CC BY-SA 4.0.",
 }
-#: Words that may be anchors, the rarest in ordinary text first.
+#: Words that seed a comparison first, the rarest in ordinary text first; longer words come next.
 ANCHORS = ("sublicense", "unencumbered", "mozilla", "redistributions", "redistribute", "apache", "gnu", "mit", "hereby", "licensed", "license", "permission", "copyright")
 
 
@@ -96,25 +97,53 @@ class Scanner:
     def __init__(self, templates: dict[str, str], min_coverage: float):
         self.min_coverage = min_coverage
         self.templates = {name: words_of(text) for name, text in templates.items()}
-        self.by_anchor: dict[str, list[tuple[str, int]]] = {}
+        self.counts = {name: Counter(words) for name, words in self.templates.items()}
+        self.vocabulary = frozenset(w for words in self.templates.values() for w in words)
+        self.seeds: dict[str, dict[str, list[int]]] = {}  # by template and word: places in the template
         for name, words in self.templates.items():
-            anchor = next(w for w in ANCHORS if w in words)
-            for k, w in enumerate(words):
-                if w == anchor:
-                    self.by_anchor.setdefault(anchor, []).append((name, k))
+            spare = len(words) - math.ceil(min_coverage * len(words) - 1e-9)  # words a match may lack
+            rare = sorted(range(len(words)), key=lambda k: (self.counts[name][words[k]], ANCHORS.index(words[k]) if words[k] in ANCHORS else len(ANCHORS), -len(words[k]), k))  # noqa: B023
+            chosen = {words[k] for k in rare[: spare + 1]}
+            self.seeds[name] = {w: [k for k, x in enumerate(words) if x == w] for w in chosen}
+
+    def possible(self, words: set[str]) -> list[str]:
+        """Templates of whose words a text with these words holds enough."""
+        words = words & self.vocabulary
+        return [name for name, counts in self.counts.items() if sum(n for w, n in counts.items() if w in words) >= self.min_coverage * len(self.templates[name])] if words else []
+
+    def grown(self, words: list[str], template: list[str], at: int) -> tuple[int, list[tuple[int, int]]]:
+        """The alignment around where the template would begin, its window widened until that aligns no more words."""
+        slack, best, low = max(2, len(template) // 4), [], 0
+        while True:
+            a, b = max(0, at - slack), at + len(template) + slack
+            pairs = align(words[a:b], template)
+            if len(pairs) <= len(best):
+                return low, best
+            low, best = a, pairs
+            if len(pairs) == len(template) or a == 0 and b >= len(words):
+                return low, best
+            slack *= 2
 
     def scan(self, text: str) -> list[dict]:
+        possible = self.possible({w.lower() for w in WORD.findall(text)})
+        if not possible:
+            return []
         at = [(m.start(), m.end()) for m in WORD.finditer(text)]
         words = [text[s:e].lower() for s, e in at]
         found = []
-        for p, w in enumerate(words):
-            for name, offset in self.by_anchor.get(w, ()):
-                template = self.templates[name]
-                slack = max(2, len(template) // 4)
-                low = max(0, p - offset - slack)
-                pairs = align(words[low : p - offset + len(template) + slack], template)
-                if len(pairs) >= self.min_coverage * len(template):
-                    found.append((len(pairs), len(pairs) / len(template), low + pairs[0][0], low + pairs[-1][0] + 1, name))
+        for name in possible:
+            template, seeds, begun = self.templates[name], self.seeds[name], set()
+            whole = -1  # where the last complete match ends
+            for p, w in enumerate(words):
+                for offset in seeds.get(w, ()) if p >= whole else ():
+                    if p - offset in begun:
+                        continue
+                    begun.add(p - offset)
+                    low, pairs = self.grown(words, template, p - offset)
+                    if pairs and len(pairs) >= self.min_coverage * len(template):
+                        found.append((len(pairs), len(pairs) / len(template), low + pairs[0][0], low + pairs[-1][0] + 1, name))
+                        if len(pairs) == len(template) == found[-1][3] - found[-1][2]:
+                            whole = max(whole, found[-1][3])
         kept: list[tuple] = []
         for x in sorted(found, key=lambda x: (-x[0], -x[1], x[2], x[4])):
             if all(x[3] <= y[2] or y[3] <= x[2] for y in kept):
@@ -123,19 +152,16 @@ class Scanner:
 
 
 def scan(docs: DataFrame, min_coverage: float = 0.8, templates: dict[str, str] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, found array<struct<license, coverage, start, end>>), a row a document. Texts without an anchor word never reach Python."""
+    """(doc_id, found array<struct<license, coverage, start, end>>), a row a document."""
     kind = pa.list_(pa.struct([("license", pa.string()), ("coverage", pa.float64()), ("start", pa.int32()), ("end", pa.int32())]))
     scanner = Scanner(templates, min_coverage)
-    pattern = "(?i)(" + "|".join(sorted(scanner.by_anchor)) + ")"
 
     def run(batches):
         for batch in batches:
             found = [scanner.scan(t) if t else [] for t in batch.column(1).to_pylist()]
             yield pa.record_batch([batch.column(0), pa.array(found, kind)], names=["doc_id", "found"])
 
-    slim = id_and_text(docs, id_col, text_col)
-    gated = slim.select("doc_id", F.when(F.col("text").rlike(pattern), F.col("text")).alias("text"))
-    return gated.mapInArrow(run, "doc_id long, found array<struct<license: string, coverage: double, start: int, end: int>>")
+    return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, found array<struct<license: string, coverage: double, start: int, end: int>>")
 
 
 def summary(found: DataFrame) -> DataFrame:

@@ -62,3 +62,21 @@ def test_scan(spark):
     r = next(r for r in L.scan(docs).collect() if r.doc_id == 1)
     assert rows[0][1][r.found[0].start : r.found[0].end] == mit[:-1]
     assert L.summary(L.scan(docs)).where("doc_id = 3").first().n_licenses == 2 and L.scan(docs.limit(0)).count() == 0
+
+
+def test_no_single_word_is_needed():
+    scan = L.Scanner(L.TEMPLATES, 0.8).scan
+    mit = L.TEMPLATES["MIT"]
+    for odd in ("sub-license", "sublicence", "sub-\nlicense"):
+        found = scan("w " * 300 + mit.replace("sublicense", odd) + " x" * 300)
+        assert [x["license"] for x in found] == ["MIT"] and found[0]["coverage"] > 0.98
+    for name, word in (("GPL", "redistribute"), ("ISC", "hereby"), ("Unlicense", "unencumbered")):
+        assert [x["license"] for x in scan(L.TEMPLATES[name].replace(word, "zzz"))] == [name]
+
+
+def test_interleaved_notices_align_whole():
+    words = L.TEMPLATES["MIT"].split()
+    text = "before " * 500 + " ".join(f"{w} col{k} col{k}b" for k, w in enumerate(words)) + " after" * 500
+    found = L.Scanner(L.TEMPLATES, 0.8).scan(text)
+    assert [(x["license"], x["coverage"]) for x in found] == [("MIT", 1.0)]
+    assert text[found[0]["start"] : found[0]["end"]].startswith("Permission") and text[: found[0]["end"]].endswith("Software")
