@@ -119,8 +119,16 @@ def read_words(text: str, low: int, high: int) -> Stretch:
     return Stretch(starts, ends, np.array(shapes, np.int64), spaced, np.array(cues, np.int64))
 
 
+#: Characters of its neighbours that a piece of a long stretch is decoded with, far more than a span and its cue take.
+OVERLAP = 2000
+
+
 def stretches(text: str, piece: int = 4000):
-    """Character ranges to decode: those around triggers, grown by REACH words, united where they meet; cut after ``piece`` words' worth of text at white space."""
+    """Character ranges to decode, each with the part of it whose spans count (those that start there).
+
+    Ranges are those around triggers, grown by REACH words, united where they meet. Long ones are decoded in pieces of
+    ``piece`` words' worth of text, each with OVERLAP characters of its neighbours: a span at an edge is read whole.
+    """
     grow = 24 * REACH
     ranges: list[list[int]] = []
     for m in TRIGGER.finditer(text):
@@ -134,12 +142,9 @@ def stretches(text: str, piece: int = 4000):
             low -= 1
         while high < len(text) and not text[high].isspace() and high - low < 10 * piece:
             high += 1
-        while high - low > 8 * piece:
-            cut = max(text.rfind(" ", low + 1, low + 4 * piece), text.rfind("\n", low + 1, low + 4 * piece))
-            cut = cut if cut > low else low + 4 * piece
-            yield low, cut
-            low = cut
-        yield low, high
+        first, own = low, 4 * piece if high - low > 8 * piece else high - low
+        for at in range(first, high, max(1, own)):
+            yield max(first, at - OVERLAP), min(high, at + own + OVERLAP), at, at + own
 
 
 #: Feature tables: shape here, two before, one before, one after, two after; pairs here-before and here-after; space; cue with shape.
@@ -368,11 +373,14 @@ def texts_spans(texts: list[str], field: Field) -> list[list[tuple[int, int, int
     out, parts, held = [], [], []
     for k, text in enumerate(texts):
         out.append([(a, kind, b, False) for a, kind, b in base_spans(text)])
-        for low, high in stretches(text):
+        for low, high, first, last in stretches(text):
             s = read_words(text, low, high)
-            parts.append((k, s))
+            parts.append((k, s, first, last))
             held.append(features(s))
-    for (k, s), labels in zip(parts, field.viterbi(held), strict=True):
+    of, done = -1, 0
+    for (k, s, first, last), labels in zip(parts, field.viterbi(held), strict=True):
+        if k != of:
+            of, done = k, 0  # where the last span of the text's pieces so far ends
         at = 0
         base = [x for x in out[k] if not x[3]]
         while at < len(labels):
@@ -383,8 +391,9 @@ def texts_spans(texts: list[str], field: Field) -> list[list[tuple[int, int, int
             while end < len(labels) and labels[end] == labels[at] + 1:
                 end += 1
             start, stop, kind = s.starts[at], s.ends[end - 1], int(labels[at]) // 2
-            if plausible(kind, texts[k][start:stop]) and all(b <= start or a >= stop for a, _, b, _ in base):
+            if first <= start < last and start >= done and plausible(kind, texts[k][start:stop]) and all(b <= start or a >= stop for a, _, b, _ in base):
                 out[k].append((start, kind, stop, True))
+                done = stop
             at = end
     return [sorted(set(x)) for x in out]
 

@@ -105,3 +105,11 @@ def test_rows(spark, field):
     assert sorted((str(r.doc_id), r.n_email, r.n_phone) for r in got) == [("1", 0, 0), ("2", 0, 0), ("3", 1, 0), ("3", 1, 0), ("4", 1, 0), ("None", 0, 1)]
     assert next(r.spans for r in got if r.doc_id == 3) == "email:0:6"
     assert P.scan(docs.limit(0), field).count() == 0
+
+
+def test_long_stretches_keep_spans_at_edges():
+    """A list of phones far longer than a piece: every one is found as in a short list."""
+    phones = [f"{200 + k % 700} {300 + k % 600} {1000 + k % 9000}" for k in range(6000)]
+    text = "\n".join(f"phone: {p}, office" for p in phones)
+    spans = [(a, b) for a, kind, b, _ in P.texts_spans([text], P.default_field())[0] if kind == 3]
+    assert [text[a:b] for a, b in spans] == phones
