@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import json
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import text as T
 
+try:
+    import yaml
+except ImportError:  # then only ``key: value`` lines are read
+    yaml = None
+
 ANCHORED = r"(?s)\A---\s*\r?\n(.*?)\r?\n---\s*(?:\r?\n|\z)(.*)\z"
 NO_MAP = "map<string,string>"
 
@@ -36,19 +44,54 @@ def parse_lines(raw: Column, comments: bool = True) -> Column:
     return F.map_from_entries(last)
 
 
-def anchored(text: Column) -> Column:
-    """struct<metadata, body>: front matter between lines of ---; the body is kept as it is; without one the whole text is body."""
+#: Lines that a flat reading can't take: indented ones, list items, and flow lists and maps.
+NESTED = r"(?m)^(?:[ \t]+\S|-[ \t]|[^:\n]+:[ \t]*[\[{|>])"
+
+
+def shown(value) -> str | None:
+    """A YAML value as text: lists and maps as JSON."""
+    if isinstance(value, (list, dict)):
+        return json.dumps(value, ensure_ascii=False)
+    return None if value.lower() in ("null", "none", "~", "") else value.lower() if value.lower() in ("true", "false") else value
+
+
+def nested(raw: Column) -> Column:
+    """map<string,string> of YAML with lists and maps, whose values are JSON texts; null where it isn't a YAML map, or where there is no YAML reader."""
+
+    def run(texts: pa.Array) -> pa.Array:
+        out = []
+        for t in texts:
+            try:
+                made = yaml.load(t.as_py() or "", Loader=yaml.BaseLoader) if yaml else None
+            except yaml.YAMLError:
+                made = None
+            out.append([(str(k), shown(v)) for k, v in made.items()] if isinstance(made, dict) else None)
+        return pa.array(out, pa.map_(pa.string(), pa.string()))
+
+    run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, NO_MAP)(raw)
+
+
+def parse(raw: Column) -> Column:
+    """``nested`` where the text calls for it and can be read so, else ``parse_lines``. Only front matter that calls for it goes to Python."""
+    calls = raw.rlike(NESTED)
+    return F.coalesce(F.when(calls, nested(F.when(calls, raw))), parse_lines(raw))
+
+
+def anchored(text: Column, read=parse_lines) -> Column:
+    """struct<metadata, body>: front matter between lines of ---; the body is kept as it is; without one the whole text is body. read: ``parse_lines`` or ``parse``."""
     clean = F.regexp_replace(text, "^﻿+", "")
     has = clean.rlike(ANCHORED)
-    meta = F.when(has, parse_lines(F.regexp_extract(clean, ANCHORED, 1))).otherwise(F.create_map().cast(NO_MAP))
+    meta = F.when(has, read(F.regexp_extract(clean, ANCHORED, 1))).otherwise(F.create_map().cast(NO_MAP))
     return F.struct(meta.alias("metadata"), F.when(has, F.regexp_extract(clean, ANCHORED, 2)).otherwise(F.coalesce(clean, F.lit(""))).alias("body"))
 
 
-def prefixed(text: Column) -> Column:
-    """struct<metadata, body>: what stands between the first two --- of a text that begins with one; both sides stripped."""
+def prefixed(text: Column, read=None) -> Column:
+    """struct<metadata, body>: what stands between the first two --- of a text that begins with one; both sides stripped. read: as for ``anchored``, by default lines with comments."""
     parts = F.split(text, "---", 3)
     has = text.startswith("---") & (F.size(parts) >= 3)
-    meta = F.when(has, parse_lines(T.strip(F.try_element_at(parts, F.lit(2))), comments=False)).otherwise(F.create_map().cast(NO_MAP))
+    raw = T.strip(F.try_element_at(parts, F.lit(2)))
+    meta = F.when(has, read(raw) if read else parse_lines(raw, comments=False)).otherwise(F.create_map().cast(NO_MAP))
     return F.struct(meta.alias("metadata"), F.when(has, T.strip(F.try_element_at(parts, F.lit(3)))).otherwise(text).alias("body"))
 
 

@@ -116,6 +116,7 @@ NO_ANSWER = "TRẢ LỜI: Xin lỗi, tôi không tìm thấy thông tin liên qu
 CONTEXT_LABEL, QUESTION_LABEL, ANSWER_LABEL = "NGỮ CẢNH:\n", "CÂU HỎI: ", "TRẢ LỜI:"
 NOT_FOUND = "Không tìm thấy thông tin liên quan trong cơ sở tri thức để trả lời câu hỏi này."
 ANSWER_START = ("Dựa trên tài liệu quy định và chính sách chính thức của Trường Đại học FPT TP.HCM, thông tin giải đáp cho câu hỏi '", "' như sau:\n\n")
+MODEL_FAILED = "Lỗi khi gọi LLM: "
 CITATIONS_TITLE = "\n--- Nguồn tham khảo ---"
 EMPTY_STORE, EMPTY_RESULT = "Không tìm thấy tài liệu nào trong cơ sở tri thức.", "Không tìm thấy thông tin liên quan đến câu hỏi."
 AGENT_RULES = "Dựa trên các ngữ cảnh được cung cấp bên dưới, hãy trả lời câu hỏi. Trích dẫn số nguồn [1], [2], ... khi trả lời. Nếu ngữ cảnh không chứa câu trả lời, hãy nói rõ là không tìm thấy thông tin."

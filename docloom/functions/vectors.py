@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import text as T
 from . import values as V
 
 
@@ -20,14 +21,12 @@ def norm(a: Column) -> Column:
 
 def cosine(a: Column, b: Column) -> Column:
     """0 where either has no length."""
-    size = norm(a) * norm(b)
-    return F.when(size == 0, F.lit(0.0)).otherwise(dot(a, b) / F.nullif(size, F.lit(0.0)))
+    return T.let(norm(a) * norm(b), lambda size: F.when(size == 0, F.lit(0.0)).otherwise(dot(a, b) / F.nullif(size, F.lit(0.0))))
 
 
 def normalize(a: Column) -> Column:
     """Of length 1; as it is below 1e-12."""
-    size = norm(a)
-    return F.when(size < 1e-12, a).otherwise(F.transform(a, lambda x: x / F.nullif(size, F.lit(0.0))))
+    return T.let(F.struct(norm(a).alias("size"), a.alias("v")), lambda s: F.when(s["size"] < 1e-12, s["v"]).otherwise(F.transform(s["v"], lambda x: x / s["size"])))
 
 
 def hashed_values(text: Column, dim: int = V.EMBEDDING_DIM) -> Column:

@@ -6,11 +6,15 @@ and score may be missing from the struct or null.
 
 from __future__ import annotations
 
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import values as V
+from ..storage import cut
 
 
 def gathered(ranking: DataFrame, columns: list[str], query_col: str = "query_id") -> DataFrame:
@@ -81,8 +85,23 @@ def extractive(rows: DataFrame, key: str = "query_id", query: str = "query", con
     return rows.join(bodies, key, "left").withColumn("answer", F.when(F.coalesce(F.size(contexts), F.lit(0)) > 0, said).otherwise(V.NOT_FOUND)).drop("body__")
 
 
+def model_text(model):
+    """A Column function of a prompt: ``model`` (a function of one text to one text) called in Arrow batches; where it fails, the answer tells so."""
+
+    def run(prompts: pd.Series) -> pd.Series:
+        out = []
+        for p in prompts:
+            try:
+                out.append(model(p))
+            except Exception as error:
+                out.append(V.MODEL_FAILED + str(error))
+        return pd.Series(out, dtype=object)
+
+    return F.pandas_udf(run, "string")
+
+
 def generate(rows: DataFrame, fields: list[str], llm=None, key: str = "query_id", query: str = "query", contexts: str = "contexts", cite: bool = True) -> DataFrame:
-    """Adds prompt, citations and answer. llm: a Column function of the prompt; errors are its own to turn into text. Without one the answer is extractive."""
+    """Adds prompt, citations and answer. llm: a Column function of the prompt, such as ``model_text`` makes. Without one the answer is extractive."""
     rows = rows.withColumn("prompt", prompt(F.col(query), F.col(contexts), fields))
     rows = rows.withColumn("answer", llm(F.col("prompt"))) if llm else extractive(rows, key, query, contexts)
     if not cite:
@@ -169,15 +188,17 @@ def retry(assessed: DataFrame, attempt: int = 0, max_retries: int = 2) -> DataFr
 
 
 def corrected(queries: DataFrame, search, assess_fn, max_retries: int = 2) -> DataFrame:
-    """search(queries, overrides) -> rows a question; questions whose rows are to be retried are searched again with the overrides of their suggestion, ``max_retries`` times at most."""
-    done, todo = None, [({}, queries)]
+    """search(queries, overrides) -> rows a question; questions whose rows are to be retried are searched again with the overrides of their suggestion, ``max_retries`` times at most.
+
+    A round is one search a suggestion, whatever led to it, and is computed once: the next reads what it left in the shared folder.
+    """
+    done, todo = [], [({}, queries)]
     for attempt in range(max_retries + 1):
-        later: list[tuple[dict, DataFrame]] = []
-        for overrides, part in todo:
-            judged = retry(assess_fn(search(part, overrides)), attempt, max_retries)
-            final = judged.where("retry = ''")
-            done = final if done is None else done.unionByName(final, allowMissingColumns=True)
-            if attempt < max_retries:
-                later += [(V.RETRY_OVERRIDES[s], part.join(judged.where(F.col("retry") == s).select("query_id"), "query_id", "left_semi")) for s in ("broaden_filters", "rewrite_query", "multi_query")]
-        todo = later
-    return done
+        judged = [cut(retry(assess_fn(search(part, overrides)), attempt, max_retries)) for overrides, part in todo]
+        done += [x.where("retry = ''") for x in judged]
+        again = reduce(DataFrame.unionByName, [x.select("query_id", "retry") for x in judged])
+        wanted = [r.retry for r in again.where("retry <> ''").select("retry").distinct().orderBy("retry").collect()]  # three at most
+        if not wanted:
+            break
+        todo = [(V.RETRY_OVERRIDES[s], queries.join(again.where(F.col("retry") == s).select("query_id"), "query_id", "left_semi")) for s in wanted]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), done)

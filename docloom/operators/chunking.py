@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import structure as S
 from ..functions import text as T
-from ..functions import values as V
 
 STRINGS = "array<string>"
 RECURSIVE = ("\n\n", "\n", ". ", " ", "")
@@ -116,77 +114,25 @@ def exploded(df: DataFrame, chunks: Column, keep: list[str]) -> DataFrame:
 # --- sections ---
 
 
-@dataclass(frozen=True)
-class Heading:
-    """A kind of heading: its pattern (group 1 the text, ``number`` the group of its number), its level in the path, and its first letter in either case."""
-
-    kind: str
-    pattern: str
-    level: int
-    letter: str
-    number: int = 0
-
-
-POLICY = (Heading("chapter", V.CHAPTER, 2, "C", 2), Heading("section", V.SECTION, 3, "M", 2), Heading("article", V.ARTICLE, 4, "Đ", 2), Heading("clause", V.CLAUSE, 5, "K", 2))
-PLAIN = (Heading("chapter", V.PLAIN_CHAPTER, 20, "C"), Heading("section", V.PLAIN_SECTION, 30, "M"), Heading("article", V.PLAIN_ARTICLE, 40, "Đ"))
-
-
-def heading_lines(docs: DataFrame, text: str, kinds: tuple[Heading, ...], markdown_first: bool, clean) -> DataFrame:
-    """Adds no, line, kind, level, heading and number to a row a line; kind is null for text."""
-    rows = docs.select(*[c for c in docs.columns if c != text], F.posexplode_outer(T.lines(F.col(text))).alias("no", "line")).where("no is not null")
-    rows = rows.withColumn("bare__", T.strip(F.col("line")))  # a column, so that it is computed once
-    bare = F.col("bare__")
-    tests = [(bare.rlike("(?iu)" + h.pattern), h.kind, F.lit(h.level), clean(F.regexp_extract(bare, "(?iu)" + h.pattern, 1)), T.number_label(F.regexp_extract(bare, "(?iu)" + h.pattern, h.number)) if h.number else F.lit(None).cast("string")) for h in kinds]
-    markdown = (bare.rlike(V.MARKDOWN), "markdown", F.length(F.regexp_extract(bare, V.MARKDOWN, 1)), clean(F.regexp_extract(bare, V.MARKDOWN, 2)), F.lit(None).cast("string"))
-    tests = [markdown, *tests] if markdown_first else [*tests, markdown]
-    first = F.coalesce(*[F.when(t, F.struct(F.lit(kind).alias("kind"), level.alias("level"), heading.alias("heading"), number.alias("number"))) for t, kind, level, heading, number in tests])
-    maybe = bare.rlike("(?iu)^[#*" + "".join(h.letter for h in kinds) + "]")  # most lines need no other test
-    return rows.withColumn("h", F.when(maybe, first)).select("*", "h.*").drop("h", "bare__")
-
-
-def path_of(levels: list[int], window) -> Column:
-    """The active headings from the top level down, without one that repeats the one above.
-
-    A heading ends all headings of its level and below, so a level is active where its last heading is later than the
-    last of any level above it.
-    """
-    at = lambda cond: F.max(F.when(cond, F.col("no"))).over(window)
-    names = [F.when(at(F.col("level") == n) > F.coalesce(at(F.col("level") < n), F.lit(-1)), F.last(F.when(F.col("level") == n, T.strip(F.col("heading"))), ignorenulls=True).over(window)) for n in levels]
-    return F.filter(F.array(*names), lambda x: x.isNotNull() & (x != ""))
-
-
 def unrepeated(path: Column) -> Column:
     return F.filter(path, lambda x, k: (k == 0) | (T.folded(x) != T.folded(F.element_at(path, F.greatest(k, F.lit(1))))))
 
 
-def sections(docs: DataFrame, key: str, text: str, advanced: bool = True) -> DataFrame:
-    """(key, section_ord, path, body[, chapter, chapter_number, article, ..., slug, first_title]) of sections with text.
+def sections(docs: DataFrame, key: str, text: str, advanced: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, keep..., section_ord, path, body[, chapter, chapter_number, article, ..., slug, doc_title]) of sections with text.
 
-    Every line is one row with the number of headings up to it; the state at a line is a comparison of the last
-    positions of the kinds of headings, all over one window of the document's lines.
+    A document is read whole, in its own row: nothing is shuffled, and rows that share a key, or have none, stay apart.
     """
-    docs = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias(text))
-    rows = heading_lines(docs, text, POLICY if advanced else PLAIN, not advanced, T.clean_heading if advanced else T.plain_heading)
-    w = Window.partitionBy(key).orderBy("no").rowsBetween(Window.unboundedPreceding, 0)
-    kind, level = F.col("kind"), F.col("level")
-    markdown = kind == "markdown"
-    levels = [1, 2, 3, 4, 5, 6] if advanced else [1, 2, 3, 4, 5, 6, 20, 30, 40]
-    state = {"section_ord": F.sum(kind.isNotNull().cast("int")).over(w), "path": path_of(levels, w)}
+    own = [key, *keep]
+    # an outer explode: an inner one makes Spark infer a filter that reads the texts a second time
+    rows = docs.select(*own, F.explode_outer(S.outline(F.col(text), advanced)).alias("s__")).where("s__ is not null").select(*own, "s__.*")
+    clean = T.clean_heading if advanced else T.plain_heading
+    path = F.filter(F.transform("path", lambda x: T.strip(clean(x))), lambda x: x != "")
+    named = [F.col("section_ord"), F.col("body")]
     if advanced:
-        last = lambda cond: F.coalesce(F.max(F.when(cond, F.col("no"))).over(w), F.lit(-1))
-        value = lambda cond, c: F.last(F.when(cond, F.col(c)), ignorenulls=True).over(w)
-        ends = {"chapter": markdown & (level <= 2), "article": kind.isin("chapter", "section") | markdown & (level <= 4), "clause": kind.isin("chapter", "section", "article") | markdown & (level <= 4)}
-        for k, end in ends.items():
-            active = last(kind == k) > last(end)
-            state |= {k: F.when(active, value(kind == k, "heading")), f"{k}_number": F.when(active, value(kind == k, "number"))}
-        deep = markdown & (level >= 2)
-        ended = kind.isin("chapter", "section", "article", "clause") | markdown & (level == 1)
-        state |= {"slug": F.when(last(deep) > last(ended), T.slug(value(deep, "heading"), 25)), "first_title": F.first(F.when(markdown & (level == 1), F.col("heading")), ignorenulls=True).over(w)}
-    names = [n for n in state if n != "section_ord"]
-    rows = rows.select(key, "no", "line", "kind", *[c.alias(n) for n, c in state.items()])
-    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("kind").isNull(), F.struct("no", "line")))), lambda x: x["line"]), "\n")
-    grouped = rows.groupBy(key, "section_ord").agg(T.strip(body).alias("body"), F.min_by(F.struct(*names), "no").alias("s"))
-    return grouped.where("body <> ''").select(key, "section_ord", "body", "s.*").withColumn("path", unrepeated(F.col("path")))
+        named += [c for k in S.PARTS for c in (clean(F.col(k)).alias(k), F.when(F.col(f"{k}_number").isNotNull(), T.number_label(F.col(f"{k}_number"))).alias(f"{k}_number"))]
+        named += [F.when(F.col("deep").isNotNull(), T.slug(clean(F.col("deep")), 25)).alias("slug"), clean(F.col("doc_title")).alias("doc_title")]
+    return rows.select(*own, *named, path.alias("path")).withColumn("path", unrepeated(F.col("path")))
 
 
 # --- prefixes and ids ---
@@ -233,15 +179,10 @@ def heading_chunks(docs: DataFrame, key: str, text: str, title: str | None = Non
     The title is ``title``'s, or the first level-1 heading if it stands before any text, or the id.
     """
     size = max(min_size, size)
-    rows = sections(docs, key, text)
-    first = Window.partitionBy(key).orderBy("section_ord")
-    found = F.first("first_title").over(first)
     name = F.col(key).cast("string")
-    if title:
-        rows = rows.join(docs.select(key, F.trim(F.col(title)).alias("title__")), key)
-        rows = rows.withColumn("title", F.coalesce(F.nullif("title__", F.lit("")), F.nullif(found, F.lit("")), name)).drop("title__")
-    else:
-        rows = rows.withColumn("title", F.coalesce(F.nullif(found, F.lit("")), name))
+    given = docs.withColumn("title__", F.trim(F.col(title)) if title else F.lit(None).cast("string"))
+    rows = sections(given, key, text, keep=("title__",))
+    rows = rows.withColumn("title", F.coalesce(F.nullif("title__", F.lit("")), F.nullif("doc_title", F.lit("")), name)).drop("title__")
     rows = rows.withColumn("prefix", context_prefix(F.col("title"), F.col("path")) if prefixed else F.lit(""))
     room = F.greatest(F.lit(min_size), size - F.length("prefix") - 2) if prefixed else F.lit(size)
     parts = F.when(F.length("body") <= room, F.array("body")).otherwise(recursive(F.col("body"), room, separators, stripped=True))

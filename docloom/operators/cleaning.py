@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import structure as S
 from ..functions import text as T
 from ..functions import values as V
 
@@ -22,39 +23,16 @@ def remove_boilerplate(text: Column) -> Column:
     return F.coalesce(F.array_join(F.filter(T.lines(shown), lambda line: ~noise(line)), "\n"), F.lit(""))  # the patterns allow for white space at both ends
 
 
-def unwrapped(title: Column) -> Column:
-    """A heading without emphasis around all of it and without hashes at its end."""
-    double = title.startswith("**") & title.endswith("**") & (F.length(title) > 4)
-    single = title.startswith("*") & title.endswith("*") & (F.length(title) > 2)
-    inner = F.when(double, F.substring(title, F.lit(3), F.length(title) - 4)).when(single, F.substring(title, F.lit(2), F.length(title) - 2)).otherwise(title)
-    return T.strip(F.regexp_replace(T.strip(inner), r"\s+#+$", ""))
-
-
 def normalize_headings(df: DataFrame, key: str, text: str, out: str | None = None) -> DataFrame:
-    """Markdown headings without emphasis; a heading that repeats the one before it, with only blank or banner lines between, goes.
+    """Adds ``out`` (or replaces ``text``): Markdown headings without emphasis; a heading that repeats the one before it, with only blank or banner lines between, goes.
 
-    Lines are numbered and looked at through a window of their document: a heading goes if the last heading before it is
-    the same and later than the last line of text. Other columns are kept; ``key`` names a row.
+    A row is read by itself; ``key`` names it to callers and may repeat or be null. Other columns are kept.
     """
-    rows = df.select(key, F.posexplode_outer(T.lines(F.coalesce(F.col(text), F.lit("")))).alias("no", "line"))
-    rows = rows.withColumn("bare__", T.strip(F.col("line")))  # a column, so that it is computed once
-    bare = F.col("bare__")
-    rows = rows.withColumn("hashes", F.regexp_extract(bare, V.MARKDOWN, 1)).withColumn("title", unwrapped(F.regexp_extract(bare, V.MARKDOWN, 2)))
-    heading = F.col("hashes") != ""
-    name = F.concat(F.col("hashes"), F.lit(" "), F.lower(F.col("title")))
-    before = Window.partitionBy(key).orderBy("no").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("last_name", F.last(F.when(heading, name), ignorenulls=True).over(before))
-    rows = rows.withColumn("last_at", F.max(F.when(heading, F.col("no"))).over(before))
-    rows = rows.withColumn("text_at", F.max(F.when(~heading & (bare != "") & ~F.lower(bare).isin(*V.BANNERS), F.col("no"))).over(before))
-    repeated = heading & F.coalesce(name == F.col("last_name"), F.lit(False)) & (F.coalesce("text_at", F.lit(-1)) < F.col("last_at"))
-    rows = rows.withColumn("line", F.when(heading, F.concat_ws(" ", "hashes", "title")).otherwise(F.col("line")))
-    kept = F.sort_array(F.collect_list(F.when(~repeated & F.col("no").isNotNull(), F.struct("no", "line"))))
-    made = rows.groupBy(key).agg(F.array_join(F.transform(kept, lambda x: x["line"]), "\n").alias(out or text))
-    return (df if out else df.drop(text)).join(made, key)
+    return df.withColumn(out or text, S.normalize_headings(F.col(text)))
 
 
 def clean_documents(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Boilerplate, then headings, then white space."""
+    """Boilerplate, then headings, then white space; as ``normalize_headings``, each row by itself."""
     df = normalize_headings(df.withColumn(text, remove_boilerplate(F.col(text))), key, text)
     return df.withColumn(text, T.normalize_whitespace(F.col(text)))
 

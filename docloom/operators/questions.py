@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import warnings
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +28,29 @@ def word(w: str) -> str:
     return r"(?<![\p{L}\p{N}_])" + w + r"(?![\p{L}\p{N}_])"
 
 
+# --- models ---
+
+
+def asked(model, instruction: str = "{}", lines: bool = False, most: int | None = None):
+    """A Column function of a question: ``model`` (a function of one text to one text) is called in Arrow batches with ``instruction``, its {} being the question.
+
+    The answer is stripped; with ``lines`` it is a list of its lines of more than 10 characters, ``most`` at most. Where the
+    model fails the value is null, so that callers fall back on their own rules.
+    """
+
+    def of(question):
+        if question is None:
+            return None
+        try:
+            said = model(instruction.replace("{}", question)).strip()
+        except Exception as error:
+            warnings.warn(f"the model failed: {error!r}", stacklevel=2)
+            return None
+        return [x.strip() for x in said.splitlines() if len(x.strip()) > 10][:most] if lines else said
+
+    return F.pandas_udf(lambda questions: pd.Series([of(q) for q in questions], dtype=object), NO_STRINGS if lines else "string")
+
+
 # --- analysis ---
 
 
@@ -140,7 +165,7 @@ def should_decompose(query: Column) -> Column:
 
 
 def decompose(query: Column, more: Column | None = None) -> Column:
-    """Sub-questions of more than 10 characters, as sentences; the question itself if there are fewer than two. ``more``: a model's lines, which count instead where two or more are long enough."""
+    """Sub-questions of more than 10 characters, as sentences; the question itself if there are fewer than two. ``more``: a model's lines, which count instead: those that are long enough, or the question itself if they are fewer than two; null where it failed."""
     q = F.lower(T.strip(query))
     parts = F.split(q, "|".join(word(w) for w in V.SPLIT_WORDS), -1)
     given = F.when(q.rlike(V.IF_THEN), F.array(F.regexp_extract(q, V.IF_THEN, 1), F.regexp_extract(q, V.IF_THEN, 2))).otherwise(parts)
@@ -150,7 +175,7 @@ def decompose(query: Column, more: Column | None = None) -> Column:
     if more is None:
         return own
     lines = F.filter(F.transform(more, T.strip), lambda p: F.length(p) > 10)
-    return T.let(lines, lambda p: F.when(F.size(p) >= 2, p).otherwise(own))
+    return F.when(more.isNull(), own).otherwise(T.let(lines, lambda p: F.when(F.size(p) >= 2, p).otherwise(F.array(query))))
 
 
 def sub_queries(queries: DataFrame, query: str = "query") -> DataFrame:

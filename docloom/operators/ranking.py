@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from functools import reduce
 
 import pandas as pd
@@ -38,22 +39,37 @@ def first_per_parent(ranking: DataFrame, k: int, query_col: str = "query_id", pa
 
 
 def rerank(ranking: DataFrame, k: int, score_fn=None, text_col: str = "content", query_text_col: str = "query") -> DataFrame:
-    """Ordered by ``score_fn(query column, text column)``, a Column, best first; without one the first k, as they are."""
+    """Ordered by ``score_fn(query column, text column)``, a Column, best first; without one the first k, as they are.
+
+    A question for which any text got no score keeps its order and its scores, as without a scorer.
+    """
+    passed = F.coalesce(F.col("score").cast("double"), F.lit(0.0))
     if score_fn is None:
-        return ranking.where(F.col("rank") <= k).withColumn("rerank_score", F.coalesce("score", F.lit(0.0)))
+        return ranking.where(F.col("rank") <= k).withColumn("rerank_score", passed)
     scored = ranking.withColumn("rerank_score", score_fn(F.col(query_text_col), F.col(text_col)))
-    order = Window.partitionBy("query_id").orderBy(F.desc_nulls_last("rerank_score"), "rank")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    failed = F.max(F.isnull("rerank_score")).over(Window.partitionBy("query_id"))
+    scored = scored.withColumn("failed__", failed)
+    order = Window.partitionBy("query_id").orderBy(F.when(F.col("failed__"), None).otherwise(F.col("rerank_score")).desc_nulls_last(), "rank")
+    ranked = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked.withColumn("rerank_score", F.when(F.col("failed__"), passed).otherwise(F.col("rerank_score"))).drop("failed__")
 
 
-def model_score(model):
-    """A scorer for ``rerank``: model is a function of a list of (query, text) to scores, run in Arrow batches; a batch it fails for keeps its order."""
+def model_score(model, batch: int = 32):
+    """A scorer for ``rerank``: model is a function of a list of (query, text) to scores, such as a cross-encoder's logits or an API's relevance; it gets the pairs of one question, ``batch`` at most, in a call. A question for which a call fails has no scores."""
 
-    def run(queries: pd.Series, texts: pd.Series) -> pd.Series:
+    def of(pairs: list) -> list:
         try:
-            return pd.Series(list(map(float, model(list(zip(queries, texts, strict=True))))))
-        except Exception:
-            return pd.Series([None] * len(queries), dtype="float64")
+            made = [float(x) for at in range(0, len(pairs), batch) for x in model(pairs[at : at + batch])]
+            return made if len(made) == len(pairs) else [None] * len(pairs)
+        except Exception as error:
+            warnings.warn(f"reranking failed: {error!r}", stacklevel=2)
+            return [None] * len(pairs)
+
+    def run(queries: pd.Series, texts: pd.Series) -> pd.Series:
+        out = pd.Series([None] * len(queries), dtype="float64")
+        for places in queries.reset_index(drop=True).groupby(queries.to_numpy(), sort=False, dropna=False).indices.values():
+            out.iloc[places] = of([(queries.iloc[i], texts.iloc[i]) for i in places])
+        return out
 
     return lambda query, text: F.pandas_udf(run, "double")(query, text)
 

@@ -7,17 +7,20 @@ otherwise joined (keyword search) or taken in blocks (vector search).
 
 from __future__ import annotations
 
+import time
 import warnings
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as X
+from ..storage import cut
 from .ranking import DIGITS, first_per_parent, fuse, top_k
 
 #: Rows that may be broadcast.
@@ -41,15 +44,34 @@ def searchable(chunks: DataFrame) -> Column:
 
 # --- keyword search ---
 
+#: Stands among a chunk's terms for the chunk itself; no token is empty.
+WHOLE = ""
 
-def term_frequencies(chunks: DataFrame, terms: DataFrame | None = None) -> DataFrame:
-    """(chunk_idx, chunk_len, term, tf). Only occurrences of ``terms`` leave the scan; they are dealt by chunk, which all later grouping by chunk reuses."""
-    words = chunks.select("chunk_idx", T.tokens(searchable(chunks)).alias("words"))
+
+def counted_terms(chunks: DataFrame, terms: DataFrame | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., chunk_idx, chunk_len, term, tf), with one row of term WHOLE a chunk, so that one pass over the texts gives all statistics.
+
+    Only occurrences of ``terms`` leave the scan; they are dealt by chunk, which all later grouping by chunk reuses. Without
+    ``terms`` a task counts the words of its chunks before anything is shuffled.
+    """
+    words = chunks.select(*by, "chunk_idx", T.tokens(searchable(chunks)).alias("words"))
     # an outer explode: an inner one makes Spark infer a filter that tokenises every text a second time
-    rows = words.select("chunk_idx", F.size("words").alias("chunk_len"), F.explode_outer("words").alias("term")).where("term is not null")
+    rows = words.select(*by, "chunk_idx", F.size("words").alias("chunk_len"), F.explode_outer(F.concat(F.array(F.lit(WHOLE)), "words")).alias("term"))
     if terms is not None:
-        rows = rows.join(terms, "term", "left_semi")
-    return rows.repartition("chunk_idx").groupBy("chunk_idx", "chunk_len", "term").agg(F.count("*").alias("tf"))
+        rows = rows.join(terms, "term", "left_semi").repartition("chunk_idx")
+    return rows.groupBy(*by, "chunk_idx", "chunk_len", "term").agg(F.count("*").alias("tf"))
+
+
+def term_frequencies(chunks: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+    """(chunk_idx, chunk_len, term, tf)."""
+    return counted_terms(chunks, terms).where(F.col("term") != WHOLE)
+
+
+def statistics(counted: DataFrame, by: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(by..., n_chunks, avg_len), one row a group, and (by..., term, df), both of ``counted_terms``; no filter, so that all its uses share one exchange."""
+    whole = F.col("term") == WHOLE
+    of_all = counted.groupBy(*by).agg(F.sum(F.when(whole, F.col("tf")).otherwise(0)).alias("n_chunks"), F.coalesce(F.sum(F.when(whole, F.col("chunk_len") * F.col("tf"))) / F.nullif(F.sum(F.when(whole, F.col("tf"))), F.lit(0)), F.lit(0.0)).alias("avg_len"))
+    return of_all, counted.groupBy(*by, "term").agg(F.count("*").alias("df"))
 
 
 def corpus_stats(chunks: DataFrame) -> DataFrame:
@@ -66,25 +88,56 @@ def idf(n: Column, df: Column) -> Column:
     return F.log(1.0 + (n - df + 0.5) / (df + 0.5))
 
 
-def query_terms(queries: DataFrame) -> DataFrame:
-    """(query_id, term, times): a term counts as often as the question holds it."""
-    return queries.select("query_id", F.explode(T.tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
+def okapi_idf(n: Column, df: Column) -> Column:
+    """The classic weight, negative for terms that more than half of the chunks hold."""
+    return F.log(n - df + 0.5) - F.log(df + 0.5)
 
 
-def bm25(chunks: DataFrame, queries: DataFrame, k: int = 20, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """BM25 with positive idf; only chunks that hold a term of the question."""
-    wanted = query_terms(queries)
+def query_terms(queries: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., query_id, term, times): a term counts as often as the question holds it."""
+    return queries.select(*by, "query_id", F.explode(T.tokens(F.col("query"))).alias("term")).groupBy(*by, "query_id", "term").agg(F.count("*").alias("times"))
+
+
+def bm25(chunks: DataFrame, queries: DataFrame, k: int = 20, k1: float = 1.5, b: float = 0.75, by: str | None = None) -> DataFrame:
+    """BM25 with positive idf; only chunks that hold a term of the question.
+
+    by: a column of both; questions see the chunks of their value alone, and statistics are those of these chunks.
+    """
+    group = (by,) if by else ()
+    wanted = query_terms(queries, group)
     small = are_few(wanted)  # then the terms and the weights are few as well
     shared = F.broadcast if small else lambda df: df
-    tf = term_frequencies(chunks, shared(wanted.select("term").distinct()))
-    weights = shared(wanted).join(document_frequencies(tf), "term").crossJoin(F.broadcast(corpus_stats(chunks)))  # one row
-    weights = weights.select("query_id", "term", (F.col("times") * idf(F.col("n_chunks"), F.col("df"))).alias("weight"), "avg_len")
+    terms = wanted.select("term").distinct().union(wanted.sparkSession.range(1).select(F.lit(WHOLE)))
+    tf = counted_terms(chunks, shared(terms), group)
+    of_all, df = statistics(tf, group)
+    weights = shared(wanted).join(df, [*group, "term"])
+    weights = weights.join(F.broadcast(of_all), list(group)) if group else weights.crossJoin(F.broadcast(of_all))  # a row a group, or one
+    weights = weights.select(*group, "query_id", "term", (F.col("times") * idf(F.col("n_chunks"), F.col("df"))).alias("weight"), "avg_len")
     length = 1 - b + b * F.col("chunk_len") / F.greatest(F.col("avg_len"), F.lit(1e-12))
     part = F.col("weight") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * length)
-    scored = tf.join(shared(weights), "term").groupBy("chunk_idx", "query_id").agg(F.sum(part).alias("score"))
+    scored = tf.join(shared(weights), [*group, "term"]).groupBy("chunk_idx", "query_id").agg(F.sum(part).alias("score"))
     return top_k(scored.where("score > 0"), k).select("query_id", "chunk_idx", "score", "rank")
 
 
+def okapi(chunks: DataFrame, queries: DataFrame, k: int = 20, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
+    """BM25 as the usual library computes it: classic idf, negative ones replaced by ``epsilon`` times the mean idf of all terms; where no chunk scores above 0 for a question, all that hold a term of it are ranked.
+
+    The mean needs the frequencies of all terms, so every occurrence is shuffled once, as (term, chunk) counts.
+    """
+    wanted = query_terms(queries)
+    tf = counted_terms(chunks)
+    of_all, df = statistics(tf)
+    rated = df.where(F.col("term") != WHOLE).crossJoin(F.broadcast(of_all)).withColumn("idf", okapi_idf(F.col("n_chunks"), F.col("df")))
+    floor = rated.agg((F.avg("idf") * epsilon).alias("floor"))
+    weights = few(wanted).join(rated, "term").crossJoin(F.broadcast(floor))
+    weights = weights.select("query_id", "term", (F.col("times") * F.when(F.col("idf") < 0, F.col("floor")).otherwise(F.col("idf"))).alias("weight"), "avg_len")
+    length = 1 - b + b * F.col("chunk_len") / F.greatest(F.col("avg_len"), F.lit(1e-12))
+    part = F.col("weight") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * length)
+    scored = tf.join(few(weights), "term").groupBy("chunk_idx", "query_id").agg(F.sum(part).alias("score"))
+    found = top_k(scored, k).withColumn("best", F.max("score").over(Window.partitionBy("query_id")))  # k rows a question
+    return found.where("score > 0 OR best <= 0").select("query_id", "chunk_idx", "score", "rank")
+
+
 # --- vector search ---
 
 
@@ -93,27 +146,49 @@ def hashed_embedding(text: Column) -> Column:
     return X.hashed_values(text)
 
 
-def embed(df: DataFrame, text: Column, out: str = "embedding", model=None, batch: int = 256) -> DataFrame:
-    """Adds a vector column. model: a function of list[str] to a list of vectors, run in Arrow batches; texts it fails for, one by one, get hashed vectors, and so do all without a model."""
+def embed(df: DataFrame, text: Column, out: str = "embedding", model=None, batch: int = 25, tries: int = 3, wait: float = 1.0) -> DataFrame:
+    """Adds a vector column. model: a function of list[str] to a list of vectors, run in Arrow batches.
+
+    A batch that fails is tried ``tries`` times in all, after ``wait``, 2 * ``wait``, ... seconds, then its texts one by one;
+    texts that still fail get hashed vectors, and so do all without a model. Equal texts of an Arrow batch are asked for once.
+    """
     hashed = X.normalize(F.col(f"{out}__raw"))
     df = df.withColumn(f"{out}__raw", hashed_embedding(text))
     if model is None:
         return df.withColumn(out, hashed).drop(f"{out}__raw")
 
     def tried(texts: list[str]) -> list:
-        try:
-            return [list(map(float, v)) for v in model(texts)]
-        except Exception:
-            return [None] if len(texts) == 1 else [v for t in texts for v in tried([t])]
+        for attempt in range(tries):
+            try:
+                made = [list(map(float, v)) for v in model(texts)]
+                if len(made) != len(texts):
+                    raise ValueError(f"{len(made)} vectors for {len(texts)} texts")
+                return made
+            except Exception as error:
+                warnings.warn(f"embedding failed: {error!r}", stacklevel=2)
+                if attempt + 1 < tries:
+                    time.sleep(wait * 2**attempt)
+        return [None] if len(texts) == 1 else [v for t in texts for v in tried([t])]
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series([v for at in range(0, len(texts), batch) for v in tried(texts.iloc[at : at + batch].tolist())], dtype=object)
+            once = list(dict.fromkeys(texts))
+            made = dict(zip(once, [v for at in range(0, len(once), batch) for v in tried(once[at : at + batch])], strict=True))
+            yield pd.Series([made[t] for t in texts], dtype=object)
 
     run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return df.withColumn(f"{out}__model", F.pandas_udf(run, "array<double>")(text)).withColumn(out, F.coalesce(f"{out}__model", hashed)).drop(f"{out}__raw", f"{out}__model")
 
 
+def embed_cached(df: DataFrame, text: Column, cache: DataFrame, out: str = "embedding", model=None, **options) -> tuple[DataFrame, DataFrame]:
+    """(``df`` with vectors, new entries of the cache): only texts that ``cache`` (text_hash, embedding) lacks reach the model, each once."""
+    keyed = df.withColumn("text__hash", F.sha2(text, 256))
+    missing = keyed.where(F.col("text__hash").isNotNull()).groupBy("text__hash").agg(F.first(text).alias("text__asked")).join(cache.select(F.col("text_hash").alias("text__hash")), "text__hash", "left_anti")
+    made = cut(embed(missing, F.col("text__asked"), "text__vector", model, **options).select(F.col("text__hash").alias("text_hash"), F.col("text__vector").alias("embedding")))
+    known = cache.select(F.col("text_hash").alias("text__hash"), F.col("embedding").alias(out)).unionByName(made.toDF("text__hash", out)).dropDuplicates(["text__hash"])
+    return keyed.join(known, "text__hash", "left").drop("text__hash"), made
+
+
 def available(name: str | None, factories: dict):
     """What ``factories[name]()`` makes, an embedding model or a reranker; None, with a warning, if that fails: callers then use hashed vectors or keep the order."""
     if not name:
@@ -138,12 +213,12 @@ def vectors_of(column: pa.Array, width: int) -> np.ndarray:
 ID_TYPES = {"smallint": pa.int16(), "int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}
 
 
-def dense(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = 4096, normalized: bool = True) -> DataFrame:
+def dense(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = 4096, normalized: bool = True, most_bytes: int = 1 << 26) -> DataFrame:
     """The k nearest of ``vectors`` (chunk_idx, embedding) for ``queries`` (query_id, embedding), by cosine, or by inner product if not ``normalized``.
 
-    Exact: every pair is scored, a block of questions (the only data that is broadcast) against an Arrow batch of vectors
-    as one matrix product. Each task keeps k rows a question, so that no more than that is ever shuffled. Negative scores
-    are kept; null vectors take no part.
+    Exact: every pair is scored, ``block`` questions against part of an Arrow batch of vectors as one matrix product.
+    Questions are broadcast, ``most_bytes`` of them at a time; only sets larger than that read the vectors again. Each task
+    keeps k rows a question, so that no more than that is ever shuffled. Negative scores are kept; null vectors take no part.
     """
     spark = vectors.sparkSession
     kind = dict(queries.dtypes)["query_id"]
@@ -160,34 +235,41 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = 4096
 
         def run(batches):
             q = shared.value
-            best = np.full((len(q), 0), 0.0)
-            items = np.zeros((len(q), 0), np.int64)
-            step = min(4096, max(16, (1 << 22) // max(1, len(q))))  # scores held at once are bounded
+            parts = [slice(at, at + block) for at in range(0, len(q), block)]
+            best, items = [np.zeros((len(q[p]), 0)) for p in parts], [np.zeros((len(q[p]), 0), np.int64) for p in parts]
+            step = min(4096, max(16, (1 << 22) // min(len(q), block)))  # scores held at once are bounded
             for batch in (whole.slice(at, step) for whole in batches for at in range(0, whole.num_rows, step)):
                 v = vectors_of(batch.column(1), q.shape[1])
-                got, own = q @ (unit(v) if normalized else v).T, batch.column(0).to_numpy()
-                if best.shape[1] == k:  # only what is among the best k of some question, or as good
-                    some = (np.round(got, DIGITS) >= np.round(best[:, -1:], DIGITS)).any(axis=0)
-                    got, own = got[:, some], own[some]
-                if not got.shape[1]:
-                    continue
-                best = np.concatenate([best, got], axis=1)
-                items = np.concatenate([items, np.broadcast_to(own, got.shape)], axis=1)
-                order = np.lexsort((items, -np.round(best, DIGITS)), axis=1)[:, :k]
-                best, items = np.take_along_axis(best, order, 1), np.take_along_axis(items, order, 1)
-            n = best.shape[1]
-            yield pa.record_batch([pa.array([i for i in ids for _ in range(n)], ID_TYPES[kind]), pa.array(items.ravel()), pa.array(best.ravel())], names=["query_id", "chunk_idx", "score"])
+                v, own = unit(v) if normalized else v, batch.column(0).to_numpy()
+                for n, p in enumerate(parts):
+                    best[n], items[n] = bettered(best[n], items[n], q[p] @ v.T, own, k)
+            for n, p in enumerate(parts):
+                width = best[n].shape[1]
+                yield pa.record_batch([pa.array([i for i in ids[p] for _ in range(width)], ID_TYPES[kind]), pa.array(items[n].ravel()), pa.array(best[n].ravel())], names=["query_id", "chunk_idx", "score"])
 
         return vectors.where("embedding is not null").select(F.col("chunk_idx").cast("long"), F.col("embedding").cast("array<double>")).mapInArrow(run, schema)
 
-    found, held = None, []
+    found, held, size = [], [], 0
     for r in queries.select("query_id", F.col("embedding").cast("array<double>").alias("embedding")).where("embedding is not null").toLocalIterator():
         held.append(r)
-        if len(held) == block:
-            found, held = scores(held) if found is None else found.unionByName(scores(held)), []
-    if held or found is None:
-        found = (scores(held) if found is None else found.unionByName(scores(held))) if held else spark.createDataFrame([], schema)
-    return top_k(found, k).select("query_id", "chunk_idx", "score", "rank")
+        size += 8 * len(r.embedding) + 64
+        if size >= most_bytes:
+            found, held, size = [*found, scores(held)], [], 0
+    found += [scores(held)] if held else []
+    whole = reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], schema)
+    return top_k(whole, k).select("query_id", "chunk_idx", "score", "rank")
+
+
+def bettered(best: np.ndarray, items: np.ndarray, scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The best k of ``best`` with their ``items`` and further ``scores`` of ``ids``, a row a question; equal scores in order of their ids."""
+    if best.shape[1] == k:  # only what is among the best k of some question, or as good
+        some = (np.round(scores, DIGITS) >= np.round(best[:, -1:], DIGITS)).any(axis=0)
+        scores, ids = scores[:, some], ids[some]
+        if not len(ids):
+            return best, items
+    best, items = np.concatenate([best, scores], axis=1), np.concatenate([items, np.broadcast_to(ids, scores.shape)], axis=1)
+    order = np.lexsort((items, -np.round(best, DIGITS)), axis=1)[:, :k]
+    return np.take_along_axis(best, order, 1), np.take_along_axis(items, order, 1)
 
 
 def embedded_queries(queries: DataFrame, model=None) -> DataFrame:
@@ -249,15 +331,36 @@ def filter_chunks(chunks: DataFrame, wanted: dict) -> DataFrame:
     return chunks
 
 
+def meets(columns: dict[str, str], wanted: Column) -> Column:
+    """Whether a row has every entry of map<string,string> ``wanted``, as ``filter_chunks`` compares; columns: name -> type."""
+
+    def entry(e):
+        own = [F.when(e["key"] == c, F.coalesce(F.array_contains(F.col(c).cast("array<string>"), e["value"]), F.lit(False)) if kind.startswith("array") else F.col(c).cast("string").eqNullSafe(e["value"])) for c, kind in columns.items()]
+        return F.coalesce(*own, e["value"].isNull())
+
+    return F.coalesce(F.forall(F.map_entries(wanted), entry), F.lit(True))
+
+
+#: Filters for which ``filtered`` makes a search of its own.
+MOST_FILTERS = 16
+
+
 def filtered(chunks: DataFrame, queries: DataFrame, filters: Column, search) -> DataFrame:
-    """search(chunks, queries) for each distinct filter map of ``queries``, on the chunks it keeps: statistics are those of the subset. Filters are few; the driver lists them."""
+    """search(chunks, queries) for each distinct filter map of ``queries``, on the chunks it keeps: statistics are those of the subset. More than MOST_FILTERS are refused; ``bm25_filtered`` takes any number."""
     keyed = queries.withColumn("filter", filters)
-    out = None
-    for r in keyed.select(F.to_json("filter").alias("key"), "filter").dropDuplicates(["key"]).orderBy("key").collect():
-        own = keyed.where(F.to_json("filter").eqNullSafe(F.lit(r.key))).drop("filter")
-        part = search(filter_chunks(chunks, r["filter"] or {}), own)
-        out = part if out is None else out.unionByName(part)
-    return out
+    found = keyed.select(F.to_json("filter").alias("key"), "filter").dropDuplicates(["key"]).orderBy("key").limit(MOST_FILTERS + 1).collect()
+    if len(found) > MOST_FILTERS:
+        raise ValueError(f"more than {MOST_FILTERS} different filters")
+    parts = [search(filter_chunks(chunks, r["filter"] or {}), keyed.where(F.to_json("filter").eqNullSafe(F.lit(r.key))).drop("filter")) for r in found]
+    return reduce(DataFrame.unionByName, parts) if parts else search(chunks, queries.limit(0))
+
+
+def bm25_filtered(chunks: DataFrame, queries: DataFrame, filters: Column, k: int = 20, **options) -> DataFrame:
+    """``filtered`` with ``bm25`` in one pass: a chunk is dealt to the filters that keep it, and statistics are kept a filter."""
+    keyed = queries.withColumn("filter__key", F.coalesce(F.to_json(filters), F.lit("{}"))).withColumn("filter__map", filters)
+    distinct = few(keyed.groupBy("filter__key").agg(F.first("filter__map").alias("filter__map")))
+    kept = chunks.join(distinct, meets({c: kind for c, kind in chunks.dtypes if c not in ("content", "retrieval_content")}, F.col("filter__map"))).drop("filter__map")
+    return bm25(kept, keyed.drop("filter__map"), k, by="filter__key", **options)
 
 
 # --- the store ---

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import spread
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -12,7 +14,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole documents as chunks."""
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_idx"), F.col("text").alias("content"), "lang", "source")
+    return spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("chunk_idx"), F.col("text").alias("content"), "lang", "source")
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:

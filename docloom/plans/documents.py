@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import structure as S
 from ..functions import text as T
 from ..functions import values as V
 from ..operators import chunking as C
 from ..operators import cleaning as L
+from ..storage import spread
 from .common import table
 
 # --- made-up texts: literals and expressions in both dialects ---
@@ -33,7 +35,7 @@ def sql_text(parts) -> str:
 
 
 def docs(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    return spread(table(spark, sf_dir, "documents"))
 
 
 def policies(spark, sf_dir) -> DataFrame:
@@ -194,7 +196,7 @@ def sql_slug(x: str, n: int) -> str:
 
 def sql_sections(policy: bool) -> str:
     """Tables l (a row a line with its state) and sec (a row a section)."""
-    kinds = C.POLICY if policy else C.PLAIN
+    kinds = S.POLICY if policy else S.PLAIN
     clean = sql_heading if policy else (lambda x: sql_one_spaced(rf"regexp_replace({x}, '\*\*|__', '', 'g')"))
     pattern = lambda h: "(?i)" + h.pattern
     bare = sql_strip("line")

@@ -19,7 +19,8 @@ def term_stats(spark, sf_dir) -> DataFrame:
 
 def term_idf(spark, sf_dir) -> DataFrame:
     docs = chunks(spark, sf_dir)
-    df = R.document_frequencies(R.term_frequencies(docs)).crossJoin(F.broadcast(R.corpus_stats(docs)))
+    of_all, df = R.statistics(R.counted_terms(docs))
+    df = df.where(F.col("term") != R.WHOLE).crossJoin(F.broadcast(of_all))
     return df.select("term", "df", F.round(R.idf(F.col("n_chunks"), F.col("df")), 6).alias("idf"), F.round("avg_len", 6).alias("avg_len"))
 
 
@@ -30,7 +31,7 @@ def bm25_topk(spark, sf_dir) -> DataFrame:
 def bm25_filtered_topk(spark, sf_dir) -> DataFrame:
     asked = questions(spark, sf_dir)
     lang = F.when(F.col("query_id") % 3 == 0, "en").when(F.col("query_id") % 3 == 1, "fr").otherwise("de")
-    return ranked(R.filtered(chunks(spark, sf_dir), asked, F.create_map(F.lit("lang"), lang), R.bm25))
+    return ranked(R.bm25_filtered(chunks(spark, sf_dir), asked, F.create_map(F.lit("lang"), lang)))
 
 
 def hashed_embedding(spark, sf_dir) -> DataFrame:

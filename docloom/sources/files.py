@@ -46,7 +46,7 @@ def read_documents(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 def read_markdown(spark: SparkSession, folder: str) -> DataFrame:
     """(id, content, metadata) of a folder's Markdown files, by name: front matter by its --- alone, bodies stripped."""
-    rows = whole_files(spark, folder, "*.md").withColumn("f", M.prefixed(F.col("text")))
+    rows = whole_files(spark, folder, "*.md").withColumn("f", M.prefixed(F.col("text"), M.parse))
     return rows.orderBy("file_name").select(stem(F.col("path")).alias("id"), T.strip(F.col("f.body")).alias("content"), F.col("f.metadata").alias("metadata"))
 
 
@@ -54,7 +54,7 @@ def read_corpus(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, doc_ord, file_name, body, metadata): a folder's Markdown files in order of their names regardless of case; the id is in the front matter, or the name. A missing folder is empty."""
     if not existing(spark, [folder]):
         return spark.createDataFrame([], "doc_id string, doc_ord int, file_name string, body string, metadata map<string,string>")
-    rows = whole_files(spark, folder, "*.md").withColumn("f", M.anchored(F.col("text")))
+    rows = whole_files(spark, folder, "*.md").withColumn("f", M.anchored(F.col("text"), M.parse))
     name = F.coalesce(F.try_element_at(F.col("f.metadata"), F.lit("doc_id")), stem(F.col("path")))
     order = F.row_number().over(Window.orderBy(F.lower("file_name")))  # one row a file of one folder
     return rows.select(name.alias("doc_id"), order.alias("doc_ord"), "file_name", F.col("f.body").alias("body"), F.map_concat(F.map_filter("f.metadata", lambda k, _: k != "doc_id"), F.create_map(F.lit("doc_id"), name)).alias("metadata"))

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 from html.parser import HTMLParser
+from urllib.robotparser import RobotFileParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -173,6 +176,55 @@ def allowed(url: Column, domains: list[str] | None = None) -> Column:
     return good & F.coalesce(T.url_host(url).isin(*domains), F.lit(False)) if domains else good
 
 
+#: Content types that are read, and the charset where none is given.
+READ_TYPES, CHARSET = ("text/html", "text/plain"), "utf-8"
+
+
+def decoded_bodies(responses: DataFrame, body: str = "body", content_type: str = "content_type", out: str = "html") -> DataFrame:
+    """``responses`` (bytes and the Content-Type header) with the body as text: rows of other types than HTML and plain text go, and so do unknown charsets; bytes that can't be decoded become replacement characters."""
+    header = F.split(F.lower(F.coalesce(F.col(content_type), F.lit(""))), ";", 2)
+    kind = F.trim(header[0])
+    charset = F.coalesce(F.nullif(F.regexp_extract(F.col(content_type), r"(?i)charset\s*=\s*[\"']?([^\s;\"']+)", 1), F.lit("")), F.lit(CHARSET))
+
+    def run(bodies: pa.Array, charsets: pa.Array) -> pa.Array:
+        made = []
+        for b, c in zip(bodies, charsets, strict=True):
+            try:
+                made.append(None if b.as_py() is None else b.as_py().decode(c.as_py(), errors="replace"))
+            except LookupError:
+                made.append(None)
+        return pa.array(made, pa.string())
+
+    run.__annotations__ = {"bodies": pa.Array, "charsets": pa.Array, "return": pa.Array}
+    read = responses.where(kind.isin(*READ_TYPES)).withColumn(out, F.arrow_udf(run, "string")(F.col(body), charset))
+    return read.where(F.col(out).isNotNull())
+
+
+@lru_cache(4096)
+def rules(text: str) -> RobotFileParser:
+    made = RobotFileParser()
+    made.parse(text.splitlines())
+    made.modified()
+    return made
+
+
+def robots_allowed(pages: DataFrame, robots: DataFrame, agent: str = "*", url: str = "url") -> DataFrame:
+    """``pages`` that the rules of their site let ``agent`` read.
+
+    robots: (site, robots), the text of each site's robots.txt, '' where it has none; site is scheme://host:port as the
+    address gives it. Sites without a row can't be verified, so their pages go. One row a site counts.
+    """
+
+    def run(texts: pa.Array, urls: pa.Array) -> pa.Array:
+        return pa.array([t.as_py() is not None and rules(t.as_py()).can_fetch(agent, u.as_py()) for t, u in zip(texts, urls, strict=True)])
+
+    run.__annotations__ = {"texts": pa.Array, "urls": pa.Array, "return": pa.Array}
+    site = F.lower(F.regexp_extract(F.col(url), r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1))
+    own = robots.select(F.lower("site").alias("robots__site"), F.col("robots").alias("robots__text")).where("robots__text is not null").dropDuplicates(["robots__site"])
+    joined = pages.where(allowed(F.col(url))).withColumn("robots__of", site).join(own, F.col("robots__of") == F.col("robots__site"))
+    return joined.where(F.arrow_udf(run, "boolean")(F.col("robots__text"), F.col(url))).select(*pages.columns)
+
+
 def page_documents(pages: DataFrame, url: str = "url", html: str = "html", retrieved_at: str = "", extra: list[str] = (), min_length: int = V.MIN_PAGE) -> DataFrame:  # type: ignore[assignment]
     """(doc_id, title, source_url, content, metadata, markdown) of pages that may be read and have enough text.
 

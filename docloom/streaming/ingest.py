@@ -2,26 +2,34 @@
 
 Every micro-batch is chunked and embedded and written to a folder of its own, named by the batch, so that a batch that is
 run again replaces itself: each document is ingested exactly once. The store's current rows are those of the last batch
-that has the document; a batch of deletions has rows without content.
+that has the document. A document whose text is null, or too short to have a chunk, leaves one row without content: it
+marks that nothing of the document is current. Of several rows of a document in one batch the greatest ``version`` counts
+(the greatest content, if there is no such column or it agrees; null the least). ``compact`` rewrites the store to its
+current rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import chunking as C
 from ..operators import retrieval as R
+from ..storage import remove, rename
 
 STORE = "doc_id string, part_index int, content string, embedding array<double>"
 
 
 def prepared(documents: DataFrame, size: int = 500, overlap: int = 50, model=None) -> DataFrame:
-    """Chunks with vectors of (doc_id, content); a null content is kept as one row, which marks a deletion."""
-    docs = documents.select(F.col("doc_id").cast("string").alias("doc_id"), "content")
-    parts = F.when(F.col("content").isNull(), F.array(F.lit(None).cast("string"))).otherwise(C.fixed(F.col("content"), size, overlap))
-    chunks = docs.select("doc_id", F.posexplode(parts).alias("part_index", "content")).withColumn("part_index", F.col("part_index") + 1)
+    """Chunks with vectors of (doc_id, content[, version]), one version a document; one without chunks is kept as one row without content."""
+    order = F.struct(*[F.col(c) for c in ("version",) if c in documents.columns], F.col("content"))
+    docs = documents.groupBy(F.col("doc_id").cast("string").alias("doc_id")).agg(F.max_by("content", order).alias("content"))
+    # an outer explode keeps documents without chunks
+    chunks = docs.select("doc_id", F.posexplode_outer(C.fixed(F.col("content"), size, overlap)).alias("part_index", "content"))
+    chunks = chunks.withColumn("part_index", F.coalesce(F.col("part_index") + 1, F.lit(1)))
     return R.embed(chunks, F.col("content"), model=model).select("doc_id", "part_index", "content", "embedding")
 
 
@@ -35,8 +43,38 @@ def start(stream: DataFrame, store: str, checkpoint: str, once: bool = True, **o
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+def history(spark: SparkSession, store: str) -> DataFrame:
+    return spark.read.schema(STORE + ", batch long").parquet(store)
+
+
 def current(spark: SparkSession, store: str) -> DataFrame:
-    """The store's rows: of each document those of its last batch, without deleted ones."""
-    rows = spark.read.schema(STORE + ", batch long").parquet(store)
-    last = F.max("batch").over(Window.partitionBy("doc_id"))
-    return rows.withColumn("last__", last).where("batch = last__ and content is not null").drop("last__", "batch")
+    """The store's rows: of each document those of its last batch, without deleted ones.
+
+    The last batch of each document comes from two columns of the files; vectors and texts are joined to it, not sorted.
+    """
+    rows = history(spark, store)
+    last = rows.groupBy(F.col("doc_id").alias("last__id")).agg(F.max("batch").alias("last__batch"))
+    kept = rows.where("content is not null").join(last, F.col("doc_id").eqNullSafe(F.col("last__id")) & (F.col("batch") == F.col("last__batch")))
+    return kept.drop("last__id", "last__batch", "batch")
+
+
+def compact(spark: SparkSession, store: str) -> None:
+    """Leaves one folder, named by the last batch, with the current rows and the marks of deleted documents; to be run while no stream writes to the store.
+
+    The new folder is complete, under a name that readers skip, before any other goes; it takes the last batch's name by
+    renaming. Older folders go last: as long as they are there they are read as before, so a compaction that was cut short
+    can be run again.
+    """
+    rows = history(spark, store)
+    last = rows.agg(F.max("batch")).first()[0]
+    if last is None:
+        return
+    newest = rows.groupBy(F.col("doc_id").alias("last__id")).agg(F.max("batch").alias("last__batch"))
+    kept = rows.join(newest, F.col("doc_id").eqNullSafe(F.col("last__id")) & (F.col("batch") == F.col("last__batch")))
+    kept.select("doc_id", "part_index", "content", "embedding").write.parquet(made := f"{store}/_compacted-{uuid.uuid4().hex}")
+    old = [r.batch for r in rows.select("batch").distinct().collect()]  # one row a batch
+    remove(spark, f"{store}/batch={last}")
+    rename(spark, made, f"{store}/batch={last}")
+    for b in old:
+        if b != last:
+            remove(spark, f"{store}/batch={b}")
