@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import math
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -12,38 +10,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: White space that separates words: space, tab, line feed, vertical tab, form feed, carriage return.
-SPACE = r"\x20\x09-\x0D"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors and the driver share: ``spark.checkpoint.dir``, or a temporary one where it is unset (local tests)."""
-    sc = spark.sparkContext
-    at = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not at:
-        at = tempfile.mkdtemp(prefix="docloom-")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(at)
-    return at.rstrip("/")
+from ..storage import cut, fresh_dir, remove, shared_dir, size_of
 
+__all__ = ["SPACE", "cut", "fresh_dir", "id_and_text", "parts_for", "remove", "shared_dir", "size_of", "slices", "table"]
 
-def fresh_dir(spark: SparkSession, kind: str) -> str:
-    """A path in the shared folder that nothing has used before."""
-    return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once into the shared folder, so that what follows neither recomputes it nor depends on any executor."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+#: White space that separates words: space, tab, line feed, vertical tab, form feed, carriage return.
+SPACE = r"\x20\x09-\x0D"
 
 
 def parts_for(df: DataFrame, size: int | None = None, each: int = 128 << 20) -> int:
     """Partitions for ``size`` bytes at ``each`` bytes, but no fewer than spark.sql.shuffle.partitions. Without ``size``, that of the files below ``df``; tables whose size Spark doesn't know don't count."""
-    if size is None:
-        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-        known = [int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size())]
-        size = sum(n for n in known if n < 1 << 60)
+    size = size_of(df) if size is None else size
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / each))
 
 
