@@ -97,7 +97,7 @@ def test_pruning_saves_work():
     s = K.Search(q, v[q], K.cover_tree(v[q].astype(float)), 5)
     s.show(ids, v, K.cover_tree(v.astype(float)))
     assert s.pairs < 0.7 * len(q) * len(v)
-    assert s.pairs + s.bounds < 0.2 * len(q) * len(v)
+    assert s.pairs + s.bounds < 0.3 * len(q) * len(v)  # a twentieth of the vectors share a cluster
 
 
 def test_random_directions_can_not_be_pruned():
