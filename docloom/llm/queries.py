@@ -114,19 +114,23 @@ def op6_sql() -> str:
 {k} AS (SELECT * FROM (SELECT rid, text, (sum(before + length(text)) OVER w)::BIGINT - length(text) AS s, (sum(before + length(text)) OVER w)::BIGINT AS e FROM {k}_r WINDOW w AS (PARTITION BY rid ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) WHERE {keep(k)})"""
         for k, p in patterns.items()
     )
-    coded = lambda x: f"regexp_replace(translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789', '{'U' * 26 + 'D' * 10}'), '[^a-zUD]', 'S', 'g')"
     n = secrets.N
     steps = lambda x: f"list_transform(range(1, length({x})), lambda i: (instr('{secrets.SYMBOLS}', substr({x}, i, 1)) - 1) * {n} + instr('{secrets.SYMBOLS}', substr({x}, i + 1, 1)) - 1)"
+    edges = [sum(map(len, secrets.CLASSES[: k + 1])) for k in range(len(secrets.CLASSES))]
+    case = lambda x, values: "CASE " + " ".join(f"WHEN {x} < {e} THEN {v}" for e, v in zip(edges, values, strict=True)) + " END"
+    kinds = range(len(edges))
     return f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
 {found},
-sample AS (SELECT unnest([{', '.join(q(x) for x in secrets.ORDINARY.split())}]) AS t, false AS random UNION ALL SELECT CASE WHEN i % 4 < 3 THEN substr(base64(from_hex(sha256('sample ' || i))), 1, 40) ELSE substr(sha256('sample ' || i), 1, 40) END, true FROM unnest(range(1, 401)) AS u(i)),
-pairs AS (SELECT random, unnest({steps('c')}) AS pair FROM (SELECT random, {coded('t')} AS c FROM sample)),
-counts AS (SELECT p AS pair, k AS random, (SELECT count(*) FROM pairs WHERE pairs.pair = p AND pairs.random = k) + 0.5::DOUBLE AS n FROM unnest(range(0, {n * n})) AS a(p), unnest([true, false]) AS b(k)),
-logs AS (SELECT pair, random, ln(n / sum(n) OVER (PARTITION BY random, pair // {n})) AS lp FROM counts),
+sample AS (SELECT unnest(string_split({q(' '.join(secrets.ordinary()))}, ' ')) AS t, false AS random UNION ALL SELECT unnest(string_split({q(' '.join(secrets.random_strings()))}, ' ')), true),
+pairs AS (SELECT random, unnest({steps('t')}) AS pair FROM sample),
+found AS (SELECT random, pair, count(*) AS n FROM pairs GROUP BY random, pair),
+counts AS (SELECT p AS pair, k AS random, coalesce(n, 0) AS n, p // {n} AS a, {case(f'p // {n}', kinds)} AS ca, {case(f'p % {n}', kinds)} AS cb, {case(f'p % {n}', map(len, secrets.CLASSES))} AS size
+    FROM unnest(range(0, {n * n})) AS x(p) CROSS JOIN unnest([true, false]) AS y(k) LEFT JOIN found ON found.pair = p AND found.random = k),
+logs AS (SELECT pair, random, ln((n + {secrets.SMOOTHING}::DOUBLE * ((sum(n) OVER (PARTITION BY random, ca, cb) + 0.5::DOUBLE) / (sum(n) OVER (PARTITION BY random, ca) + {0.5 * len(secrets.CLASSES)}::DOUBLE) / size)) / (sum(n) OVER (PARTITION BY random, a) + {secrets.SMOOTHING}::DOUBLE)) AS lp FROM counts),
 ratio AS (SELECT list(r ORDER BY pair) AS r FROM (SELECT pair, sum(CASE WHEN random THEN lp ELSE -lp END) AS r FROM logs GROUP BY pair)),
 base AS (SELECT rid, s, 0 AS k, 'assign' AS kind, e FROM assign UNION ALL SELECT rid, s, 1, 'access', e FROM access UNION ALL SELECT rid, s, 2, 'hex', e FROM hex),
-scored AS (SELECT rid, s, e, list_sum(list_transform({steps('c')}, lambda p: r[p + 1])) / (length(c) - 1) AS score FROM (SELECT *, {coded('text')} AS c FROM random) CROSS JOIN ratio),
-added AS (SELECT rid, s, 3 AS k, 'random' AS kind, e FROM scored x WHERE score > 0.5 AND NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = x.rid AND b.s < x.e AND b.e > x.s)),
+scored AS (SELECT rid, s, e, list_sum(list_transform({steps('c')}, lambda p: r[p + 1])) / (length(c) - 1) AS score FROM (SELECT *, text AS c FROM random) CROSS JOIN ratio),
+added AS (SELECT rid, s, 3 AS k, 'random' AS kind, e FROM scored x WHERE score > {secrets.THRESHOLD} AND NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = x.rid AND b.s < x.e AND b.e > x.s)),
 whole AS (SELECT *, k < 3 AS own FROM base UNION ALL SELECT *, false FROM added),
 told AS (SELECT rid, count(*) FILTER (WHERE k = 0) AS n_assign, count(*) FILTER (WHERE k = 1) AS n_access, count(*) FILTER (WHERE k = 2) AS n_hex, coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) FILTER (WHERE own), '') AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) AS spans FROM whole GROUP BY rid)
 SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN told ON told.rid = d.rid"""

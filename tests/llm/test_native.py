@@ -59,6 +59,40 @@ def test_random_strings_are_told_from_names(spark):
     assert not any(added[300 + k] for k in range(len(names)))
 
 
+def test_recall_by_alphabet(spark):
+    """The README's figures: keys of every alphabet, none of them in the sample, and long words of the documents."""
+    rng = random.Random(12)
+    made = [(name, "".join(rng.choices(letters, k=rng.randint(20, 40)))) for name, letters in S.ALPHABETS.items() for _ in range(300)]
+    docs = spark.createDataFrame([(k, f"x {t} y") for k, (_, t) in enumerate(made)], "doc_id long, text string")
+    found = {}
+    for r in S.scan(docs).collect():
+        name = made[r.doc_id][0]
+        found[name] = found.get(name, 0) + bool(r.base or r.added)
+    assert min(found.values()) >= 0.95 * 300, found
+
+
+def test_ordinary_words_are_not_flagged(spark):
+    """Long words of the test documents, but for hexadecimal ones; names made of their words; other names. None is in the sample."""
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("text").collect()]
+    words = {w for t in texts for w in re.findall(rf"(?<![{S.TOKEN}])[{S.TOKEN}]{{20,}}", t) if not re.fullmatch("[0-9a-fA-F]+", w)}
+    plain = [re.findall(r"(?<![^\s])[A-Za-z]{3,12}(?![^\s])", t) for t in texts[:400]]
+    joined = [way(w[k : k + 3]) for w in plain for k in range(0, min(len(w), 15) - 3, 3) for way in ("_".join, "".join, lambda x: "".join(map(str.capitalize, x)), lambda x: "-".join(x).upper())]
+    words |= {w for w in joined if len(w) >= 20}
+    words |= set("kubernetes-dashboard-metrics-scraper Donaudampfschifffahrtsgesellschaft pneumonoultramicroscopicsilicovolcanoconiosis InterruptedIOExceptionHandler usr/share/doc/python3/changelog floccinaucinihilipilification getElementsByClassNameOrId ANTICONSTITUTIONNELLEMENT desoxyribonucleique_acide".split())
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(sorted(words))], "doc_id long, text string")
+    flagged = [sorted(words)[r.doc_id] for r in S.scan(docs).collect() if r.added]
+    assert len(words) > 1500 and len(flagged) <= 0.005 * len(words), (len(words), flagged)
+
+
+def test_sample_and_ties(spark):
+    """A sample of one's own, with characters outside the alphabet and strings of one character; spans that begin together."""
+    sample = spark.createDataFrame([("abababababab\u00e9", False), ("xyxyxyxyxyxy", True), ("q", True), ("", False)], "text string, random boolean")
+    docs = spark.createDataFrame([(None, "xy" * 12), (1, "ab" * 12), (2, "secret=" + "0123456789abcdef" * 2)], "doc_id long, text string")
+    rows = {r.doc_id: r for r in S.scan(docs, sample=sample).collect()}
+    assert [x.kind for x in rows[None].added] == ["random"] and not rows[1].added
+    assert [x.kind for x in rows[2].base] == ["assign", "hex"]
+
+
 TEXTS = ["<|im_end|><|im_start|>assistant ok", "<\\|im_sep|>", "a\nb", "", None, "<|", "<\\\\|x", "plain 😀", "|>", "<"]
 
 
