@@ -2,21 +2,26 @@
 
 The base patterns (e-mail, IP address, card, phone) are always reported. The field adds spans that no base span touches:
 phones without a plus, national ids, and addresses spelled out ("name at mail dot com"). It is trained by gradient
-ascent on a small labelled table and decoded by Viterbi, many stretches of words at once, in numpy. Only stretches within
-``REACH`` words of a digit, an @ or a spelled-out "at"/"dot"/"arroba" are decoded; all other words have no label.
+ascent on a small labelled table and decoded by Viterbi over every word of every text, many texts at once, in numpy.
+
+A long text is decoded in segments, cut only where that changes nothing: in a window of words in which the best paths from
+any label to any label all pass through one and the same label, the best path of the whole text does so too. Texts without
+such windows are decoded in one piece.
 
 Words are runs of ASCII letters, runs of digits, and single other visible characters; runs of non-ASCII characters are
 letters. Features are the shape of a word, of its two neighbours on either side, pairs of adjacent shapes, whether white
 space stands before, and cue words ("phone", "ssn") within the five words before.
 
-Defined results: null and empty texts hold nothing; rows stay apart even if they agree; an empty table gives an empty
-result; other columns are not looked at.
+Defined results: null and empty texts hold nothing; very long texts are read whole, in some 30 bytes a word; rows stay
+apart even if they agree; a null id is carried along; an empty table gives an empty result; spans that begin at the same
+place are in order of their kind; other columns are not looked at.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -69,82 +74,170 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 # --- words and features ---
 
-REACH = 6
 TOKEN = re.compile(r"(?P<letters>(?:[A-Za-z]|[^\x00-\x7F])+)|(?P<digits>[0-9]+)|[^\s]")
-TRIGGER = re.compile(r"[0-9@]|(?i:\b(?:at|arroba)\b(?=[^\n]{0,60}?\b(?:dot|punto|point)\b))")
 #: Shapes: none (beyond the ends), words by case and length, digits by length, and marks of their own.
 MARKS = {c: 21 + k for k, c in enumerate(".-+()[]@:/,_#%$*")}
 N_SHAPES, N_CUES = 40, 5
 AT_WORDS, DOT_WORDS = {"at", "arroba"}, {"dot", "punto", "point"}
+OTHER_MARK, AT, DOT = 37, 38, 39
+
+#: Characters by kind: white space, letters, digits, other marks (each a word of its own). All beyond ASCII are letters.
+BLANK, LETTER, DIGIT, MARK = range(4)
+KIND_OF = np.array([BLANK if chr(c).isspace() else LETTER if chr(c).isalpha() else DIGIT if chr(c).isdigit() else MARK for c in range(128)], np.uint8)
+SHAPE_OF_MARK = np.array([MARKS.get(chr(c), OTHER_MARK) for c in range(128)], np.uint8)
+FOLDED = np.array([c + 32 if 65 <= c <= 90 else c for c in range(128)], np.uint64)
+
+
+def packed(word: str) -> int:
+    """The first eight characters of an ASCII word as a number."""
+    return int.from_bytes(word[:8].encode().ljust(8, b"\0"), "little")
+
 
+KNOWN = sorted([*CUES, *AT_WORDS, *DOT_WORDS], key=packed)
+KNOWN_KEYS, KNOWN_SIZES = np.array([packed(w) for w in KNOWN], np.uint64), np.array([len(w) for w in KNOWN])
+KNOWN_CUES = np.array([CUES.get(w, 0) for w in KNOWN], np.uint8)
+KNOWN_SHAPES = np.array([AT if w in AT_WORDS else DOT if w in DOT_WORDS else 0 for w in KNOWN], np.uint8)
+assert len(set(KNOWN_KEYS.tolist())) == len(KNOWN)
 
-@lru_cache(1 << 16)
-def shape(word: str) -> int:
-    c = word[0]
-    if "0" <= c <= "9":
-        return 8 + min(len(word), 12) if len(word) <= 11 else 19 if len(word) <= 13 else 20
-    if c.isalpha() or c > "\x7f":
-        low = word.lower()
-        if low in AT_WORDS:
-            return 38
-        if low in DOT_WORDS:
-            return 39
-        return 1 + (0 if word == low else 2 if word == word.upper() and len(word) > 1 else 4) + (len(word) > 3)
-    return MARKS.get(c, 37)
+
+@lru_cache(1)
+def cased() -> tuple[np.ndarray, np.ndarray]:
+    """For the first 65,536 characters: whether lower(), and whether upper(), changes it."""
+    every = [chr(c) for c in range(1 << 16)]
+    return np.array([c.lower() != c for c in every]), np.array([c.upper() != c for c in every])
+
+
+def changed(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether lower(), and whether upper(), changes each character; those beyond the first 65,536 count as lower case."""
+    low, up = cased()
+    inside = np.minimum(points, 0xFFFF)  # U+FFFF has no case
+    return low[inside], up[inside]
+
+
+@dataclass
+class Words:
+    """Words of some texts, one after another; ``first`` has where each text's begin, and their number. Positions are in characters of the text."""
+
+    first: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    shapes: np.ndarray
+    spaced: np.ndarray
+    cues: np.ndarray
+
+
+#: Characters that are read at once.
+WINDOW = 1 << 20
+
+
+def kind_of(c: str) -> int:
+    return int(KIND_OF[ord(c)]) if c < "\x80" else LETTER
+
+
+def windows(text: str):
+    """(begin, end) of parts of about WINDOW characters that don't cut a word."""
+    low = 0
+    while low < len(text):
+        high = min(len(text), low + WINDOW)
+        while high < len(text) and kind_of(text[high]) in (LETTER, DIGIT) and kind_of(text[high - 1]) == kind_of(text[high]):
+            high += 1
+        yield low, high
+        low = high
+
+
+def read(texts: list[str]) -> Words:
+    """Words with shapes, white space before them and cues, of whole texts."""
+    parts, sizes = [], []
+    group: list[tuple[int, int, int]] = []  # text, begin, end
+    held = 0
+    for k, text in enumerate(texts):
+        for low, high in windows(text):
+            group.append((k, low, high))
+            held += high - low
+            if held >= WINDOW:
+                parts.append(read_parts(texts, group))
+                group, held = [], 0
+    if group:
+        parts.append(read_parts(texts, group))
+    if not parts:
+        none = np.zeros(0, np.int32)
+        return Words(np.zeros(len(texts) + 1, np.int64), none, none, none.astype(np.uint8), none.astype(np.uint8), none.astype(np.uint8))
+    sizes = sum(np.bincount(p[0], minlength=len(texts)) for p in parts)
+    columns = []
+    for c in range(1, 6):  # one after another, so that little is held twice
+        columns.append(np.concatenate([p[c] for p in parts]))
+        parts = [(*p[:c], None, *p[c + 1 :]) for p in parts]
+    starts, ends, shapes, spaced, known = columns
+    first = np.r_[0, np.cumsum(sizes)]
+    spaced[first[:-1][sizes > 0]] = 1
+    return Words(first, starts, ends, shapes, spaced, cues_of(known, np.repeat(first[:-1].astype(np.int32), sizes)))
+
+
+def read_parts(texts: list[str], group: list[tuple[int, int, int]]) -> tuple[np.ndarray, ...]:
+    """(text, start, end, shape, spaced, cue of the word itself) of each word of parts of texts."""
+    joined = " ".join(texts[k][a:b] for k, a, b in group)
+    points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")
+    kind = np.where(points < 128, KIND_OF[np.minimum(points, 127)], LETTER).astype(np.uint8)
+    before = np.r_[np.uint8(BLANK), kind[:-1]]
+    starts = np.flatnonzero((kind != BLANK) & ((kind == MARK) | (kind != before)))
+    if not len(starts):
+        none = np.zeros(0, np.int32)
+        return none, none, none, none.astype(np.uint8), none.astype(np.uint8), none.astype(np.uint8)
+    after = np.r_[kind[1:], np.uint8(BLANK)]
+    ends = np.flatnonzero((kind != BLANK) & ((kind == MARK) | (kind != after))) + 1
+    of_kind, size = kind[starts], ends - starts
+    low, up = changed(points)
+    not_low, not_up = (np.add.reduceat(x.astype(np.int32), starts) > 0 for x in (low & (kind == LETTER), up & (kind == LETTER)))
+    word = 1 + np.where(~not_low, 0, np.where(~not_up & (size > 1), 2, 4)) + (size > 3)
+    digits = np.where(size <= 11, 8 + size, np.where(size <= 13, 19, 20))
+    mark = SHAPE_OF_MARK[np.minimum(points[starts], 127)]
+    shapes = np.where(of_kind == LETTER, word, np.where(of_kind == DIGIT, digits, mark)).astype(np.uint8)
+    known = np.zeros(len(starts), np.uint8)
+    some = np.flatnonzero((of_kind == LETTER) & (size <= int(KNOWN_SIZES.max())) & (size >= int(KNOWN_SIZES.min())))
+    keys = np.zeros(len(some), np.uint64)
+    for j in range(8):
+        own = size[some] > j
+        c = points[np.minimum(starts[some] + j, len(points) - 1)]
+        keys |= np.where(own, FOLDED[np.minimum(c, 127)], 0).astype(np.uint64) << np.uint64(8 * j)
+    place = np.minimum(np.searchsorted(KNOWN_KEYS, keys), len(KNOWN) - 1)
+    hits = np.flatnonzero((KNOWN_KEYS[place] == keys) & (KNOWN_SIZES[place] == size[some]))
+    hits = hits[[joined[a:b].lower() == KNOWN[k] for a, b, k in zip(starts[some[hits]].tolist(), ends[some[hits]].tolist(), place[hits].tolist(), strict=True)]] if len(hits) else hits
+    known[some[hits]] = KNOWN_CUES[place[hits]]
+    own = KNOWN_SHAPES[place[hits]]
+    shapes[some[hits]] = np.where(own > 0, own, shapes[some[hits]])
+    lengths = np.array([b - a for _, a, b in group])
+    offsets = np.cumsum(lengths + 1) - lengths - 1
+    part = np.searchsorted(offsets, starts, side="right") - 1
+    shift = np.array([a for _, a, _ in group]) - offsets
+    spaced = (before[starts] == BLANK).astype(np.uint8)
+    inner = np.array([a > 0 and not texts[k][a - 1].isspace() for k, a, _ in group])  # parts that go on right after a word
+    spaced[(starts == offsets[part]) & inner[part]] = 0
+    return np.array([k for k, _, _ in group], np.int32)[part], (starts + shift[part]).astype(np.int32), (ends + shift[part]).astype(np.int32), shapes, spaced, known
+
+
+def cues_of(known: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The cue of the last cue word among the five words before each word; ``first`` is where its text begins."""
+    if not len(known):
+        return known
+    at = np.arange(len(known), dtype=np.int32)
+    before = np.empty_like(at)
+    before[0] = -1
+    np.maximum.accumulate(np.where(known[:-1] > 0, at[:-1], np.int32(-1)), out=before[1:])
+    return np.where((before >= first) & (at - before <= 5), known[np.maximum(before, 0)], np.uint8(0))
 
 
 @dataclass
 class Stretch:
-    starts: list[int]
-    ends: list[int]
+    starts: np.ndarray
+    ends: np.ndarray
     shapes: np.ndarray
     spaced: np.ndarray
     cues: np.ndarray
 
 
 def read_words(text: str, low: int, high: int) -> Stretch:
-    starts, ends, shapes, cues = [], [], [], []
-    recent, last = 0, -99
-    for k, m in enumerate(TOKEN.finditer(text, low, high)):
-        starts.append(m.start())
-        ends.append(m.end())
-        word = m[0]
-        shapes.append(shape(word[:64]))
-        cues.append(recent if k - last <= 5 else 0)
-        if m.lastgroup == "letters" and (cue := CUES.get(word.lower())):
-            recent, last = cue, k
-    s = np.array(starts, np.int64)
-    e = np.array(ends, np.int64)
-    spaced = np.r_[1, (s[1:] > e[:-1]).astype(np.int64)][: len(s)]
-    return Stretch(starts, ends, np.array(shapes, np.int64), spaced, np.array(cues, np.int64))
-
-
-#: Characters of its neighbours that a piece of a long stretch is decoded with, far more than a span and its cue take.
-OVERLAP = 2000
-
-
-def stretches(text: str, piece: int = 4000):
-    """Character ranges to decode, each with the part of it whose spans count (those that start there).
-
-    Ranges are those around triggers, grown by REACH words, united where they meet. Long ones are decoded in pieces of
-    ``piece`` words' worth of text, each with OVERLAP characters of its neighbours: a span at an edge is read whole.
-    """
-    grow = 24 * REACH
-    ranges: list[list[int]] = []
-    for m in TRIGGER.finditer(text):
-        low, high = max(0, m.start() - grow), min(len(text), m.end() + grow)
-        if ranges and low <= ranges[-1][1]:
-            ranges[-1][1] = high
-        else:
-            ranges.append([low, high])
-    for low, high in ranges:
-        while low and not text[low - 1].isspace() and high - low < 10 * piece:
-            low -= 1
-        while high < len(text) and not text[high].isspace() and high - low < 10 * piece:
-            high += 1
-        first, own = low, 4 * piece if high - low > 8 * piece else high - low
-        for at in range(first, high, max(1, own)):
-            yield max(first, at - OVERLAP), min(high, at + own + OVERLAP), at, at + own
+    w = read([text[low:high]])
+    return Stretch(w.starts + low, w.ends + low, *(x.astype(np.int64) for x in (w.shapes, w.spaced, w.cues)))
 
 
 #: Feature tables: shape here, two before, one before, one after, two after; pairs here-before and here-after; space; cue with shape.
@@ -163,6 +256,12 @@ def features(s: Stretch) -> np.ndarray:
 LABELS = 1 + 2 * len(KINDS)  # none, then begin and inside of each kind
 
 
+#: Padded words that are decoded side by side, sequences of a group, and steps whose scores are held at once.
+PADDED, SIDE_BY_SIDE, STEPS = 1 << 17, 1024, 2048
+#: Words between places where a long text may be cut, and words of the window that is looked at there.
+PIECE, LOOK = 512, 32
+
+
 @dataclass
 class Field:
     """emit: features x labels; move: labels x labels, -inf where an inside would follow another kind."""
@@ -170,33 +269,141 @@ class Field:
     emit: np.ndarray
     move: np.ndarray
 
-    def viterbi(self, batch: list[np.ndarray]) -> list[np.ndarray]:
-        """Best labels of each sequence of feature rows; sequences of like length are decoded at once."""
-        out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(batch)
-        order = sorted((k for k in range(len(batch)) if len(batch[k])), key=lambda k: len(batch[k]))
-        for at in range(0, len(order), 256):
-            group = order[at : at + 256]
-            sizes = np.array([len(batch[k]) for k in group])
-            longest = int(sizes.max())
-            scores = np.zeros((len(group), longest, LABELS))
-            for j, k in enumerate(group):
-                scores[j, : sizes[j]] = self.emit[batch[k]].sum(axis=1)
-            best = scores[:, 0] + self.start()
+    def tables(self) -> tuple[np.ndarray, ...]:
+        """Scores of pairs of shapes (before and here, here and after), of a shape two before and two after, and of space, cue and shape."""
+        if not hasattr(self, "_tables"):
+            n = N_SHAPES
+            here, two_before, before, after, two_after, pair_before, pair_after, spaced, cue = (self.emit[o : o + size] for o, size in zip(OFFSETS, SIZES, strict=True))
+            back = before[:, None] + pair_before.reshape(n, n, -1).transpose(1, 0, 2)  # [before, here]
+            forth = after[None, :] + pair_after.reshape(n, n, -1)  # [here, after]
+            own = here[None, None] + spaced.reshape(2, 1, n, -1) + cue.reshape(1, N_CUES, n, -1)
+            self._tables = tuple(np.ascontiguousarray(x.reshape(-1, LABELS)) for x in (back, forth, two_before, two_after, own))
+        return self._tables
+
+    def __getstate__(self):
+        return {"emit": self.emit, "move": self.move}
+
+    def paths(self, score, sizes: np.ndarray, previous: np.ndarray, last: np.ndarray) -> list[np.ndarray]:
+        """Best labels of sequences. score(sequences, low, high) gives their scores of words low ... high - 1, padded; previous: the label before a sequence, or -1 at the start of a text; last: the label it must end with, or -1."""
+        out: list[np.ndarray] = [np.zeros(0, np.int8)] * len(sizes)
+        order = np.argsort(sizes, kind="stable")
+        order = order[sizes[order] > 0]
+        high = len(order)
+        while high:  # the longest first
+            longest = int(sizes[order[high - 1]])
+            low = max(0, high - max(1, min(SIDE_BY_SIDE, PADDED // longest)))
+            group, high = order[low:high], low
+            own = sizes[group]
             back = np.zeros((longest, len(group), LABELS), np.int8)
-            for t in range(1, longest):
-                through = best[:, :, None] + self.move
-                back[t] = through.argmax(axis=1)
-                best = np.where((t < sizes)[:, None], through.max(axis=1) + scores[:, t], best)
-            state = best.argmax(axis=1)
-            path = np.zeros((len(group), longest), np.int64)
-            rows = np.arange(len(group))
+            begun = np.where((previous[group] < 0)[:, None], self.start(), self.move[np.maximum(previous[group], 0)])
+            for at in range(0, longest, STEPS):
+                scores = score(group, at, min(longest, at + STEPS))
+                for t in range(at, min(longest, at + STEPS)):
+                    if t == 0:
+                        best = begun + scores[:, 0]
+                        continue
+                    through = best[:, None, :] + self.move.T  # [sequence, to, from]
+                    back[t] = came = through.argmax(axis=2)
+                    new = np.take_along_axis(through, came[:, :, None], 2)[:, :, 0] + scores[:, t - at]
+                    best = new if t < own[0] else np.where((t < own)[:, None], new, best)
+            state = np.where(last[group] < 0, best.argmax(axis=1), last[group])
+            path, rows = np.zeros((longest, len(group)), np.int8), np.arange(len(group))
             for t in range(longest - 1, -1, -1):
-                path[:, t] = state
-                state = np.where((t < sizes) & (t > 0), back[t, rows, state], state)
-            for j, k in enumerate(group):
-                out[k] = path[j, : sizes[j]]
+                inside = t < own
+                path[t] = np.where(inside, state, 0)
+                state = np.where(inside, back[t, rows, state], state)
+            for j, k in enumerate(group.tolist()):
+                out[k] = path[: own[j], j]
         return out
 
+    def viterbi(self, batch: list[np.ndarray]) -> list[np.ndarray]:
+        """Best labels of each sequence of feature rows."""
+
+        def score(group: np.ndarray, low: int, high: int) -> np.ndarray:
+            out = np.zeros((len(group), high - low, LABELS))
+            for j, k in enumerate(group):
+                part = batch[k][low:high]
+                out[j, : len(part)] = self.emit[part].sum(axis=1)
+            return out
+
+        none = np.full(len(batch), -1)
+        return [x.astype(np.int64) for x in self.paths(score, np.array([len(x) for x in batch], np.int64), none, none)]
+
+    def scores_of(self, words: Words):
+        """A function of places to their scores."""
+        sizes = np.diff(words.first)
+        left, right = (np.full(len(words.shapes), 2, np.uint8) for _ in range(2))  # words of the text on either side, two at most
+        for least in (2, 1):
+            some = sizes >= least
+            left[words.first[:-1][some] + least - 1] = right[words.first[1:][some] - least] = least - 1
+        shapes = words.shapes
+        back, forth, two_before, two_after, own = self.tables()
+
+        def score(places: np.ndarray) -> np.ndarray:
+            p = places
+            here, l, r = shapes[p].astype(np.int64), left[p], right[p]  # noqa: E741
+            near = lambda d, there: np.where(there, shapes[np.clip(p + d, 0, len(shapes) - 1)], 0).astype(np.int64)
+            total = back[near(-1, l > 0) * N_SHAPES + here]
+            total += forth[here * N_SHAPES + near(1, r > 0)]
+            total += two_before[near(-2, l > 1)]
+            total += two_after[near(2, r > 1)]
+            total += own[(words.spaced[p].astype(np.int64) * N_CUES + words.cues[p]) * N_SHAPES + here]
+            return total
+
+        return score
+
+    def cuts(self, score, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For windows of LOOK words from ``low``: a place that all best paths through the window pass with one label, and that label; -1 if there is none."""
+        places, labels = np.full(len(low), -1, np.int64), np.full(len(low), -1, np.int64)
+        for first in range(0, len(low), 256):
+            part = low[first : first + 256]
+            n = len(part)
+            scores = score((part[:, None] + np.arange(LOOK)).ravel()).reshape(n, LOOK, LABELS)
+            best = self.move[None] + scores[:, None, 0]  # [window, label before it, label]
+            back = np.zeros((LOOK, n, LABELS, LABELS), np.int8)
+            for t in range(1, LOOK):
+                through = best[:, :, None, :] + self.move.T
+                back[t] = came = through.argmax(axis=3)
+                best = np.take_along_axis(through, came[..., None], 3)[..., 0] + scores[:, None, t]
+            possible = np.isfinite(best)
+            state = np.broadcast_to(np.arange(LABELS), best.shape)
+            found = np.zeros(n, bool)
+            for t in range(LOOK - 1, -1, -1):
+                least, most = np.where(possible, state, LABELS).min(axis=(1, 2)), np.where(possible, state, -1).max(axis=(1, 2))
+                new = (least == most) & ~found
+                places[first : first + n][new], labels[first : first + n][new] = part[new] + t, most[new]
+                found |= new
+                if found.all():
+                    break
+                state = np.take_along_axis(back[t].astype(np.int64), state, 2)
+        return places, labels
+
+    def labels(self, words: Words) -> np.ndarray:
+        """The best path of each text, one after another."""
+        score = self.scores_of(words)
+        begin, end = words.first[:-1], words.first[1:]
+        long = np.flatnonzero(end - begin > 2 * PIECE)
+        tried = np.concatenate([np.arange(begin[k] + PIECE, end[k] - PIECE, PIECE) for k in long]) if len(long) else np.zeros(0, np.int64)
+        places, states = self.cuts(score, tried)
+        places, states = places[places >= 0], states[places >= 0]
+        # a sequence ends with the word at a cut, or at the end of a text
+        stops = np.concatenate([places + 1, end[end > begin]])
+        last = np.concatenate([states, np.full(int((end > begin).sum()), -1)])
+        order = np.argsort(stops, kind="stable")
+        stops, last = stops[order], last[order]
+        starts = np.r_[0, stops[:-1]]
+        previous = np.r_[-1, last[:-1]]
+
+        def of(group: np.ndarray, low: int, high: int) -> np.ndarray:
+            at = starts[group][:, None] + np.arange(low, high)
+            inside = at < stops[group][:, None]
+            out = np.zeros((*at.shape, LABELS))
+            out[inside] = score(at[inside])
+            return out
+
+        found = self.paths(of, stops - starts, previous, last)
+        return np.concatenate(found) if found else np.zeros(0, np.int8)
+
     @staticmethod
     def start() -> np.ndarray:
         return np.array([0.0] + [0.0, -np.inf] * len(KINDS))
@@ -369,32 +576,26 @@ def plausible(kind: int, value: str) -> bool:
 
 
 def texts_spans(texts: list[str], field: Field) -> list[list[tuple[int, int, int, bool]]]:
-    """(start, kind, end, added) of each text, by start, then kind; the stretches of all texts are decoded together."""
-    out, parts, held = [], [], []
-    for k, text in enumerate(texts):
-        out.append([(a, kind, b, False) for a, kind, b in base_spans(text)])
-        for low, high, first, last in stretches(text):
-            s = read_words(text, low, high)
-            parts.append((k, s, first, last))
-            held.append(features(s))
-    of, done = -1, 0
-    for (k, s, first, last), labels in zip(parts, field.viterbi(held), strict=True):
-        if k != of:
-            of, done = k, 0  # where the last span of the text's pieces so far ends
-        at = 0
-        base = [x for x in out[k] if not x[3]]
-        while at < len(labels):
-            if labels[at] % 2 == 0:
-                at += 1
-                continue
-            end = at + 1
-            while end < len(labels) and labels[end] == labels[at] + 1:
-                end += 1
-            start, stop, kind = s.starts[at], s.ends[end - 1], int(labels[at]) // 2
-            if first <= start < last and start >= done and plausible(kind, texts[k][start:stop]) and all(b <= start or a >= stop for a, _, b, _ in base):
-                out[k].append((start, kind, stop, True))
-                done = stop
-            at = end
+    """(start, kind, end, added) of each text, by start, then kind; the words of all texts are decoded together."""
+    out = [[(a, kind, b, False) for a, kind, b in base_spans(text)] for text in texts]
+    words = read(texts)
+    labels = field.labels(words)
+    begins = np.flatnonzero((labels > 0) & (labels % 2 == 1))
+    of = np.searchsorted(words.first, begins, side="right") - 1
+    base_of, base, ends = -1, [], []
+    for at, k in zip(begins.tolist(), of.tolist(), strict=True):
+        end, stop = at + 1, int(words.first[k + 1])
+        while end < stop and labels[end] == labels[at] + 1:
+            end += 1
+        first, last, kind = int(words.starts[at]), int(words.ends[end - 1]), int(labels[at]) // 2
+        if not plausible(kind, texts[k][first:last]):
+            continue
+        if k != base_of:  # base spans by start; the greatest end so far tells whether any reaches a place
+            base_of, base = k, [x for x in out[k] if not x[3]]
+            ends = np.maximum.accumulate([b for _, _, b, _ in base]).tolist() if base else []
+        before = bisect_left(base, (last,)) if base else 0
+        if not before or ends[before - 1] <= first:
+            out[k].append((first, kind, last, True))
     return [sorted(set(x)) for x in out]
 
 

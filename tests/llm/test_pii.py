@@ -113,3 +113,196 @@ def test_long_stretches_keep_spans_at_edges():
     text = "\n".join(f"phone: {p}, office" for p in phones)
     spans = [(a, b) for a, kind, b, _ in P.texts_spans([text], P.default_field())[0] if kind == 3]
     assert [text[a:b] for a, b in spans] == phones
+
+
+def plain_words(text):
+    """(start, end, shape, spaced, cue), word by word."""
+    out, recent, last, end = [], 0, -99, None
+    for k, m in enumerate(P.TOKEN.finditer(text)):
+        word, c = m[0], m[0][0]
+        low = word.lower()
+        if m.lastgroup == "digits":
+            shape = 8 + len(word) if len(word) <= 11 else 19 if len(word) <= 13 else 20
+        elif m.lastgroup == "letters":
+            shape = P.AT if low in P.AT_WORDS else P.DOT if low in P.DOT_WORDS else 1 + (0 if word == low else 2 if word == word.upper() and len(word) > 1 else 4) + (len(word) > 3)
+        else:
+            shape = P.MARKS.get(c, P.OTHER_MARK)
+        out.append((m.start(), m.end(), shape, int(m.start() != end), recent if k - last <= 5 else 0))
+        end = m.end()
+        if m.lastgroup == "letters" and low in P.CUES:
+            recent, last = P.CUES[low], k
+    return out
+
+
+def plain_labels(text, field):
+    """Viterbi over the whole text, one word after another."""
+    words = plain_words(text)
+    if not words:
+        return []
+    n = P.N_SHAPES
+    shapes = [0, 0, *(w[2] for w in words), 0, 0]
+    score = []
+    for k, (_, _, c, spaced, cue) in enumerate(words):
+        a, b, d, e = shapes[k], shapes[k + 1], shapes[k + 3], shapes[k + 4]
+        score.append(sum(field.emit[o + x] for o, x in zip(P.OFFSETS, (c, a, b, d, e, c * n + b, c * n + d, spaced * n + c, cue * n + c), strict=True)))
+    best, back = P.Field.start() + score[0], []
+    for s in score[1:]:
+        through = best[:, None] + field.move
+        back.append(through.argmax(axis=0))
+        best = through.max(axis=0) + s
+    path = [int(best.argmax())]
+    for came in reversed(back):
+        path.append(int(came[path[-1]]))
+    return path[::-1]
+
+
+def plain_spans(text, field):
+    """All spans of a whole text, without windows, cuts or batches."""
+    words, labels, base = plain_words(text), plain_labels(text, field), plainly(text)
+    found, at = [(a, k, b, False) for a, k, b in base], 0
+    while at < len(labels):
+        end = at + 1
+        if labels[at] % 2:
+            while end < len(labels) and labels[end] == labels[at] + 1:
+                end += 1
+            a, b, kind = words[at][0], words[end - 1][1], labels[at] // 2
+            if P.plausible(kind, text[a:b]) and all(y <= a or x >= b for x, _, y in base):
+                found.append((a, kind, b, True))
+        at = end
+    return sorted(set(found))
+
+
+def mixed_texts(seed, n):
+    rng = random.Random(seed)
+    rows = [t for t, _ in P.labelled_table(1, seed=seed)]
+    odd = ["é", "ß", "ÜBER", "\u00a0", "\u2028", "😀", "1!", "\n", "\t", "\x1c", "\x07", "at", "DOT", "Phone", "x" * 80, "0" * 40, "I", "ǅ", "ﬀ", "+", "@", "a@b", "5551234567", "12-34"]
+    return [" ".join(rng.choices(rows + odd * 3, k=rng.randint(0, 12))) if rng.random() < 0.7 else "".join(rng.choices(odd, k=rng.randint(0, 40))) for _ in range(n)]
+
+
+def test_words_as_one_by_one(monkeypatch):
+    texts = ["", *mixed_texts(21, 150), "", " ", "one"]
+    for window in (7, 1 << 20):
+        monkeypatch.setattr(P, "WINDOW", window)
+        w = P.read(texts)
+        for k, t in enumerate(texts):
+            part = slice(int(w.first[k]), int(w.first[k + 1]))
+            assert list(zip(*(x[part].tolist() for x in (w.starts, w.ends, w.shapes, w.spaced, w.cues)), strict=True)) == plain_words(t), t
+    assert len(P.read([]).shapes) == 0 and len(P.read(["", " "]).shapes) == 0
+
+
+@pytest.mark.parametrize(("piece", "look"), [(8, 6), (64, 32), (512, 32)])
+def test_whole_texts_as_plain_viterbi(field, monkeypatch, piece, look):
+    """Added spans, base spans and their order, of texts decoded in segments, against one pass over each whole text."""
+    monkeypatch.setattr(P, "PIECE", piece)
+    monkeypatch.setattr(P, "LOOK", look)
+    rng = random.Random(piece)
+    texts = mixed_texts(22, 60)
+    texts += [" ".join(rng.sample(texts, 25)) for _ in range(6)] + ["1!" * 3000, "7 " * 3000, "555 123 4567 " * 500]
+    assert P.texts_spans(texts, field) == [plain_spans(t, field) for t in texts]
+
+
+def test_long_texts_are_cut(field):
+    """Where they are dense with digits too, so that a long text is decoded side by side."""
+    text = "\n".join(f"phone: {200 + k % 700} {300 + k % 600} {1000 + k % 9000}, office" for k in range(3000))
+    words = P.read([text + " and some plain words go on here" * 2000])
+    places, _ = field.cuts(field.scores_of(words), np.arange(P.PIECE, len(words.shapes) - P.PIECE, P.PIECE))
+    assert (places >= 0).mean() > 0.9
+
+
+def test_no_word_is_out_of_reach(field):
+    assert ("email", "john at mail\ndot com", True) in kinds("write to john at mail\ndot com please", field)
+    host = "h" * 80
+    assert ("email", f"john at {host} dot com", True) in kinds(f"john at {host} dot com", field)
+    assert ("phone", "555-123-4567", True) in kinds("word " * 3000 + "call me at 555-123-4567 tomorrow" + " word" * 3000, field)
+
+
+def test_memory_of_dense_texts():
+    """4 MB of one mark after each digit stay under 400 MB in a worker of their own."""
+    import subprocess
+    import sys
+
+    code = "import resource; from docloom.llm import pii as P; P.texts_spans(['1!' * 2_000_000], P.default_field()); print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)"
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300, check=True)
+    assert int(done.stdout) < 400
+
+
+#: Sentences of others, not those of the training table: [kind|value] is personal data.
+OTHERS = """
+You can text my landlord on [phone|412-555-0187] after six.
+For refunds ring [phone|(212) 555-0143] and hold the line.
+Our hotline, [phone|800.555.0199], never sleeps.
+She wrote [phone|646 555 0122] on a napkin.
+Emergency contact is Aunt May, [phone|718-555-0106].
+If nobody answers try [phone|1-800-555-0175] instead.
+The doctor's office gave us [phone|303-555-0164] and [phone|303-555-0165].
+Beep me: [phone|(415) 555-0110]
+Applicant's social security number is [id|078-05-1120].
+He read out [id|219-09-9999] to the clerk.
+SSN [id|457-55-5462] appears twice in the ledger.
+Taxpayer [id|123-45-6789] filed late.
+Please forward it to [email|maria at post dot org] by Friday.
+reach the team: [email|sales (at) acme (dot) com]
+My handle is [email|peter [at] web [dot] net] if you need me.
+Ask [email|info at example dot de] for a copy.
+Drop a line to [email|greta.lind@uni-koeln.de] or [email|bob_77@mail.example.co.uk].
+The gateway [ip|172.16.254.1] rebooted at noon.
+Blocked [ip|8.8.8.8] and [ip|192.0.2.44] this morning.
+Charge it to [card|4012 8888 8888 1881] please.
+International guests dial [phone|+44 20 7946 0958] first.
+The meeting on 2023-11-05 was moved to 12/11/2023.
+Version 3.14.2 replaced 2.71.8 last spring.
+It sold for $1,250,000.00 in 1998.
+Invoice 20231105 covers items 14 to 37.
+Flight 447 leaves gate 12 at 18:45.
+See pages 112-118 of volume 4.
+The ratio fell from 0.75 to 0.52.
+ISBN 978-3-16-148410-0 is out of print.
+Section 8.2.1 refers to table 19.
+We counted 1024 nodes and 65536 ports.
+She ran 42 kilometres in 3:59:20.
+Meet at the corner, look at the dot on the map.
+Serial A1B2-C3D4-E5F6 was recalled.
+In 1984 there were 12 of them, in 2001 none.
+The parcel weighs 12.5 kg and costs 9.99 euro.
+Room 12B, floor 3, building 7.
+Call number 823.912 is on the second shelf.
+Add 250 ml of water at 80 degrees.
+Score: 21-19, 18-21, 21-17.
+Batch 000123 of 000456 passed.
+"""
+
+
+def test_precision_and_recall_on_sentences_of_others(field):
+    """The README's figures."""
+    right = found = gold = 0
+    for line in OTHERS.strip().split("\n"):
+        text, want, at = "", [], 0
+        for m in re.finditer(r"\[(phone|id|email|ip|card)\|((?:[^\[\]]|\[at\]|\[dot\])*)\]", line):
+            text += line[at : m.start()]
+            want.append((len(text), P.KINDS.index(m[1]), len(text) + len(m[2])))
+            text += m[2]
+            at = m.end()
+        text += line[at:]
+        got = [x[:3] for x in P.texts_spans([text], field)[0]]
+        if got != want:
+            print(repr(text), [(P.KINDS[k], text[a:b]) for a, k, b in got])
+        right, found, gold = right + len(set(got) & set(want)), found + len(got), gold + len(want)
+    print(right, found, gold)
+    assert right >= 0.9 * found and right >= 0.9 * gold
+
+
+def test_the_query_against_plain_python(spark, field):
+    """Counts, digest and spans of the registered query, on the smallest table."""
+    import hashlib
+
+    from docloom.llm.queries import op2_pii
+
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()}
+    rows = op2_pii(spark, "/root/testdata/sf0.001").collect()
+    assert sorted(r.doc_id for r in rows) == sorted(docs)
+    for r in rows:
+        spans = plain_spans(docs[r.doc_id], field)
+        told = lambda x: ",".join(f"{P.KINDS[k]}:{a}:{b}" for a, k, b, _ in x)
+        base = [x for x in spans if not x[3]]
+        assert (r.spans, r.base_sha256) == (told(spans), hashlib.sha256(told(base).encode()).hexdigest())
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(x[1] == k for x in base) for k in range(4))
