@@ -7,9 +7,12 @@ stay few even at 10**9 fingerprints. Equal fingerprints are one row before any b
 nothing more; within a bucket only a spanning forest of the links is kept, never all pairs. Groups are the connected
 components of the links, found by alternating large-star and small-star rounds.
 
-Defined results: null and empty texts have fingerprint 0; texts shorter than a shingle are one shingle; equal rows
-share a group; a null id never names a group that has another id; an empty table gives an empty result; other columns
-are not looked at.
+Buckets of very many distinct fingerprints are cut further, across tasks.
+
+Defined results: null and empty texts have fingerprint 0; texts shorter than a shingle are one shingle; very long texts
+are read whole, 65,536 shingles at a time; equal rows share a group; of equally good representatives the least id, then
+the least text hash, stays; a null id never names a group that has another id; an empty table gives an empty result;
+other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -47,14 +50,14 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long."""
+    """(doc_id, key, fp): the text's XXH64 as Spark computes it, and the fingerprint as a signed long."""
 
     def run(batches):
         for batch in batches:
-            prints = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(1)], dtype=np.uint64).view(np.int64)
-            yield pa.record_batch([batch.column(0), pa.array(prints)], names=["doc_id", "fp"])
+            prints = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(2)], dtype=np.uint64).view(np.int64)
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(prints)], names=["doc_id", "key", "fp"])
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
+    return id_and_text(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("key"), "text").mapInArrow(run, "doc_id long, key long, fp long")
 
 
 def block_masks(max_bits: int = 3, blocks: int = 6) -> list[int]:
@@ -111,41 +114,76 @@ def bucket_links(which: np.ndarray, key: np.ndarray, prints: np.ndarray, masks:
         near = (g[d:] == g[:-d]) & (np.bitwise_count(p[d:] ^ p[:-d]) <= max_bits)
         found.append((p[d:][near], p[:-d][near]))
     for k in np.flatnonzero(sizes > few):
-        mask = masks[which[starts[k]]] & ((1 << 64) - 1)
-        found += forest(prints[starts[k] : starts[k] + sizes[k]], [b for b in range(64) if not mask >> b & 1], max_bits)
+        found += forest(prints[starts[k] : starts[k] + sizes[k]], free_bits(int(which[starts[k]]), masks, max_bits), max_bits)
     return [np.concatenate(x) for x in zip(*found, strict=False)] if found else [np.zeros(0, np.uint64)] * 2
 
 
-def links(prints: DataFrame, max_bits: int = 3) -> DataFrame:
+#: Fingerprints of a bucket that one task takes; larger buckets are cut across tasks. One in SEEN is counted to find them.
+HOT, SEEN = 1 << 18, 16
+
+
+def free_bits(which: int, masks: list[int], max_bits: int) -> list[int]:
+    """The bits in which fingerprints of a bucket may differ. which: a choice of blocks, then for each cut of a large bucket the part of the free bits that agrees."""
+    path = []
+    while which >= len(masks):
+        which -= len(masks)
+        path.append(which % (max_bits + 1))
+        which //= max_bits + 1
+    mask = masks[which] & ((1 << 64) - 1)
+    free = [b for b in range(64) if not mask >> b & 1]
+    for k in reversed(path):
+        own = set(free[k :: max_bits + 1])
+        free = [b for b in free if b not in own]
+    return free
+
+
+def deeper(which: int, part: int, masks: list[int], max_bits: int) -> int:
+    return len(masks) + which * (max_bits + 1) + part
+
+
+def cut_hot(buckets: DataFrame, masks: list[int], max_bits: int, hot: int, seen: int) -> DataFrame:
+    """``buckets`` (which, key, fp) with those of about ``hot`` fingerprints or more cut by the pigeonhole rule on the bits that are left: two fingerprints at ``max_bits`` agree in one of max_bits + 1 parts of them. A sample of the fingerprints tells which are large; that decides where the work is done, not what is found."""
+    whole = buckets
+    while True:
+        counted = whole.where(F.pmod(F.xxhash64("fp"), F.lit(seen)) == 0).groupBy("which", "key").count().where(F.col("count") * seen >= hot)
+        large = cut(counted.select(F.col("which").alias("which__hot"), F.col("key").alias("key__hot")))
+        kinds = [r[0] for r in large.select("which__hot").distinct().collect()]  # a few paths
+        parts = {w: free_bits(w, masks, max_bits) for w in kinds}
+        parts = {w: [free[k :: max_bits + 1] for k in range(max_bits + 1)] for w, free in parts.items() if len(free) > max_bits + 1}
+        large = large.where(F.col("which__hot").isin(*parts)) if parts else large.limit(0)
+        if not parts:
+            return whole
+        same = (F.col("which") == F.col("which__hot")) & (F.col("key") == F.col("key__hot"))
+        cold = whole.join(large, same, "left_anti")
+        choice = None
+        for w, own in parts.items():
+            made = F.array(*[F.struct(F.lit(deeper(w, k, masks, max_bits)).cast("long").alias("which"), F.xxhash64("key", F.col("fp").bitwiseAND(F.lit(signed(sum(1 << b for b in bits))).cast("long"))).alias("key")) for k, bits in enumerate(own)])
+            choice = F.when(F.col("which") == w, made) if choice is None else choice.when(F.col("which") == w, made)
+        split = whole.join(large, same, "left_semi").select("fp", F.explode(choice).alias("b")).select("b.which", "b.key", "fp")
+        whole = cut(cold.unionByName(split))
+
+
+def signed(m: int) -> int:
+    return m - (1 << 64) if m >> 63 else m
+
+
+def links(prints: DataFrame, max_bits: int = 3, hot: int = HOT, seen: int = SEEN) -> DataFrame:
     """(u, v), u > v: links between distinct fingerprints of ``prints`` (fp), enough to connect all that are connected."""
     masks = block_masks(max_bits)
 
     def run(batches):
-        held: list[tuple[np.ndarray, ...]] = []
-
-        def give(rows):
-            a, b = bucket_links(rows[0], rows[1], rows[2].view(np.uint64), masks, max_bits)
+        for rows in whole_runs(batches, 2):
+            which, key, fp = (rows.column(k).to_numpy() for k in range(3))
+            a, b = bucket_links(which, key, fp.view(np.uint64), masks, max_bits)
             a, b = a.view(np.int64), b.view(np.int64)
             pairs = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], axis=1), axis=0)
-            return pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
+            yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = tuple(c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            change = np.flatnonzero((rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1]))
-            last = int(change[-1]) + 1 if len(change) else 0  # where the batch's last bucket, which may go on, begins
-            if last or held and (held[-1][0][-1] != rows[0][0] or held[-1][1][-1] != rows[1][0]):
-                held.append(tuple(x[:last] for x in rows))
-                yield give([np.concatenate(x) for x in zip(*held, strict=False)])
-                held = []
-            held.append(tuple(x[last:] for x in rows))
-        if held:
-            yield give([np.concatenate(x) for x in zip(*held, strict=False)])
-
-    keys = F.array(*[F.struct(F.lit(k).alias("which"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("key")) for k, m in enumerate(masks)])
+    keys = F.array(*[F.struct(F.lit(k).cast("long").alias("which"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("key")) for k, m in enumerate(masks)])
     buckets = prints.select("fp", F.explode(keys).alias("b")).select("b.which", "b.key", "fp")
-    parts = parts_for(prints, 17 * len(masks) * prints.count(), 64 << 20)
+    n = prints.count()
+    buckets = cut_hot(buckets, masks, max_bits, hot, seen) if n >= hot else buckets
+    parts = parts_for(prints, 17 * len(masks) * n, 64 << 20)
     dealt = buckets.repartition(parts, "which", "key").sortWithinPartitions("which", "key")
     return dealt.mapInArrow(run, "u long, v long").distinct()
 
@@ -171,12 +209,17 @@ def components(edges: DataFrame) -> DataFrame:
         edges = cut(small.select("u", F.col("m").alias("v")).union(small.where("v <> m").select(F.col("v"), F.col("m"))).distinct())
 
 
-def groups(docs: DataFrame, shingle: int = 3, max_bits: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fingerprint, component_id): 16 lower-case hex digits, and the least id of the document's group."""
+def rooted_prints(docs: DataFrame, shingle: int, max_bits: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, key, fp) of each row, and (fp, first_id, root) of each distinct fingerprint."""
     marked = cut(fingerprints(docs, shingle, id_col, text_col))
     distinct = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     roots = components(links(distinct.select("fp"), max_bits))
-    rooted = distinct.join(roots.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    return marked, distinct.join(roots.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+
+
+def groups(docs: DataFrame, shingle: int = 3, max_bits: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, fingerprint, component_id): 16 lower-case hex digits, and the least id of the document's group."""
+    marked, rooted = rooted_prints(docs, shingle, max_bits, id_col, text_col)
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     of_print = rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
     return marked.join(of_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -250,17 +293,17 @@ def similar_links(nodes: np.ndarray, sets: list[np.ndarray], similarity: float)
     return found
 
 
-def whole_runs(batches):
-    """Tables that hold whole runs of equal values of the first column; rows are sorted by it."""
+def whole_runs(batches, columns: int = 1):
+    """Tables that hold whole runs of rows that agree in the first ``columns``; rows are sorted by them."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
             continue
-        x = batch.column(0).to_numpy()
-        change = np.flatnonzero(x[1:] != x[:-1])
+        x = [batch.column(k).to_numpy() for k in range(columns)]
+        change = np.flatnonzero(np.any([c[1:] != c[:-1] for c in x], axis=0))
         last = int(change[-1]) + 1 if len(change) else 0
-        if held and (last or held[-1].column(0)[0].as_py() != x[0]):
-            same = held[-1].column(0)[0].as_py() == x[0]
+        same = bool(held) and all(held[-1].column(k)[0].as_py() == x[k][0] for k in range(columns))
+        if held and (last or not same):
             yield pa.Table.from_batches([*held, batch.slice(0, last)] if same else held).combine_chunks()
             held = []
             if not same and last:
@@ -329,10 +372,7 @@ def one_of_similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, i
     return kept_rows(docs, rooted.select("doc_id", "key", F.coalesce("root", "node").alias("root")), id_col, text_col)
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` with one row of each group: that of the least id. Of rows that share this id, one stays."""
-    kept = groups(docs, id_col=id_col, **options).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = cut(kept.groupBy("doc_id").agg(F.count("*").alias("n")))
-    own = F.col(id_col).eqNullSafe(F.col("doc_id__kept"))
-    single, repeated = (kept.where(c).select(F.col("doc_id").alias("doc_id__kept")) for c in ("n = 1", "n > 1"))
-    return docs.join(single, own, "left_semi").unionByName(docs.join(repeated, own, "left_semi").dropDuplicates([id_col]))
+def one_of_each(docs: DataFrame, shingle: int = 3, max_bits: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each group of ``groups``: that of the least id, then text hash; null ids come last. Rows of different groups stay apart, whatever their ids."""
+    marked, rooted = rooted_prints(docs, shingle, max_bits, id_col, text_col)
+    return kept_rows(docs, marked.join(rooted.select("fp", "root"), "fp").select("doc_id", "key", "root"), id_col, text_col)

@@ -119,6 +119,39 @@ def test_a_large_group_of_near_copies_gives_few_links(spark):
     assert {r.root for r in S.components(edges).collect()} == {min(p - (1 << 64) if p >> 63 else p for p in prints)}
 
 
+@pytest.mark.parametrize(("hot", "seen"), [(8, 1), (40, 2), (200, 1)])
+def test_hot_buckets_are_cut_without_losing_links(spark, hot, seen):
+    """Fingerprints that share all but a few bits, and others: the same groups as by all pairs."""
+    rng = random.Random(hot)
+    base = rng.getrandbits(64)
+    prints = sorted({base ^ sum(1 << b for b in rng.sample(range(20, 44), rng.randint(0, 9))) for _ in range(300)} | {rng.getrandbits(64) for _ in range(50)})
+    frame_of = spark.createDataFrame([(p - (1 << 64) if p >> 63 else p,) for p in prints], "fp long").repartition(5)
+    rooted = {r.u: r.root for r in S.components(S.links(frame_of, hot=hot, seen=seen)).collect()}
+    signed = [p - (1 << 64) if p >> 63 else p for p in prints]
+    mine, want = [rooted.get(p, p) for p in signed], grouped(prints)
+    assert len(set(zip(mine, want, strict=True))) == len(set(mine)) == len(set(want)) > 20
+
+
+def test_free_bits():
+    masks = S.block_masks()
+    for which in (0, 7, 19):
+        free = S.free_bits(which, masks, 3)
+        assert len(free) in (31, 32, 33) and all(not masks[which] >> b & 1 for b in free)
+        for part in range(4):
+            deep = S.free_bits(S.deeper(which, part, masks, 3), masks, 3)
+            assert deep == [b for b in free if b not in free[part::4]]
+            again = S.free_bits(S.deeper(S.deeper(which, part, masks, 3), 2, masks, 3), masks, 3)
+            assert again == [b for b in deep if b not in deep[2::4]]
+
+
+def test_one_of_each_keeps_rows_not_ids(spark):
+    """Different texts without ids or of one id all stay; a copy goes even if another row of its id stays."""
+    docs = frame(spark, [(None, "aa bb cc dd ee"), (None, "ff gg hh ii jj"), (None, "kk ll mm nn oo"), (5, "pp qq rr ss tt"), (5, "uu vv ww xx yy"), (3, "some words that are here"), (9, "some words that are here"), (9, "zz yy xx ww vv uu")])
+    for one_of in (S.one_of_each, S.one_of_similar):
+        kept = sorted((str(r.doc_id), r.text) for r in one_of(docs).collect())
+        assert kept == sorted([("None", "aa bb cc dd ee"), ("None", "ff gg hh ii jj"), ("None", "kk ll mm nn oo"), ("5", "pp qq rr ss tt"), ("5", "uu vv ww xx yy"), ("3", "some words that are here"), ("9", "zz yy xx ww vv uu")])
+
+
 def test_one_of_each(spark):
     rows = corpus()
     docs = frame(spark, rows)
