@@ -8,8 +8,10 @@ united.
 
 Words: runs of ASCII digits and letters (lower-cased) and all non-ASCII characters.
 
-Defined results: null and empty texts have no words; items without words occur nowhere; equal items are all reported;
-rows of ``docs`` stay apart even if they agree; other columns are carried along and never looked at.
+Defined results: null and empty texts have no words; very long texts are read whole, word by word; items without words
+occur nowhere; equal items are all reported, in order of their ids as strings; a null item id is one; without items, or
+with an empty table of documents, nothing is hit; rows of ``docs`` stay apart even if they agree; other columns are carried
+along and never looked at.
 """
 
 from __future__ import annotations
@@ -210,41 +212,102 @@ def united(parts: DataFrame, n_blocks: int) -> DataFrame:
     return rows.select("doc_id", "n_words", n_hit.alias("n_hit"), "item_ids", "spans", "longest")
 
 
-def without_spans(text: str, automata: list[Automaton], max_coverage: float) -> str | None:
-    """``text`` without the hit words and what stands between them, again until none is left; None if more than ``max_coverage`` of its words are hit."""
+def marked(words: list[bytes], spans: list[tuple[int, int]]) -> bytearray:
+    out = bytearray(len(words))
+    for start, end in spans:
+        out[start:end] = b"\x01" * (end - start)
+    return out
+
+
+def cut_out(text: str, hit: bytearray) -> str:
+    """``text`` without the marked words and what stands between adjacent ones."""
+    at, kept, done = places(text), [], 0
+    for run in re.finditer(b"\x01+", bytes(hit)):
+        kept.append(text[done : at[run.start()][0]])
+        done = at[run.end() - 1][1]
+    return "".join([*kept, text[done:]])
+
+
+def without_spans(text: str, automaton: Automaton, max_coverage: float) -> str | None:
+    """``text`` without the hit words and what stands between them, again until none is left; None if more than ``max_coverage`` of its words are hit at any time."""
     while True:
         words = words_of(text)
-        marked = bytearray(len(words))
-        for a in automata:
-            for start, end in a.scan(words)[0]:
-                marked[start:end] = b"\x01" * (end - start)
-        if not any(marked):
+        hit = marked(words, automaton.scan(words)[0])
+        if not any(hit):
             return text
-        if sum(marked) > max_coverage * len(words):
+        if sum(hit) > max_coverage * len(words):
             return None
-        at, kept, done = places(text), [], 0
-        for run in re.finditer(b"\x01+", bytes(marked)):
-            kept.append(text[done : at[run.start()][0]])
-            done = at[run.end() - 1][1]
-        text = "".join([*kept, text[done:]])
+        text = cut_out(text, hit)
+
+
+def replaced_texts(docs: DataFrame, shared: list, max_coverage: float, text_col: str) -> DataFrame:
+    """(key, other, new): what becomes of each text that is hit, null if it goes; key and other are hashes of the text as it was.
+
+    A pass over the texts for each block of items, so that a task holds one automaton; each gives the ranges of its hits
+    alone. Their union is cut out, and what is left of these texts is read again until nothing is hit.
+    """
+
+    def passed(texts: DataFrame, automaton) -> DataFrame:
+        def run(batches):
+            for batch in (part for whole in batches for part in slices(whole, 2)):
+                found = [automaton.value.scan(words_of(t.as_py()))[0] for t in batch.column(2)]
+                some = [k for k, x in enumerate(found) if x]
+                spans = pa.array([[{"start": a, "end": b} for a, b in found[k]] for k in some], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
+                yield pa.record_batch([batch.column(0).take(pa.array(some, pa.int64())), batch.column(1).take(pa.array(some, pa.int64())), spans], names=["key", "other", "spans"])
+
+        return texts.mapInArrow(run, "key long, other long, spans array<struct<start: int, end: int>>")
+
+    def cleaned(batches):
+        for batch in (part for whole in batches for part in slices(whole, 2)):
+            new = []
+            for text, spans in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                words = words_of(text)
+                hit = marked(words, [(x["start"], x["end"]) for x in spans])
+                new.append(None if sum(hit) > max_coverage * len(words) else cut_out(text, hit))
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(new, pa.string())], names=["key", "other", "text"])
+
+    hashed = [F.xxhash64(F.col(text_col)).alias("key"), F.xxhash64(F.lit("other"), F.col(text_col)).alias("other")]
+    texts = docs.where(F.col(text_col).isNotNull()).select(*hashed, F.col(text_col).alias("text"))
+    done: list[DataFrame] = []
+    while True:
+        found = cut(reduce(DataFrame.unionByName, [passed(texts, x).dropDuplicates(["key", "other"]) for x in shared]))
+        hits = found.groupBy("key", "other").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+        if found.isEmpty():
+            return reduce(DataFrame.unionByName, done) if done else texts.select("key", "other", F.col("text").alias("new")).limit(0)
+        again = texts.join(hits, ["key", "other"]).dropDuplicates(["key", "other"]).select("key", "other", "text", "spans")
+        made = cut(again.mapInArrow(cleaned, "key long, other long, text string"))
+        if done:  # texts that were changed before: their last state counts
+            done[0] = cut(done[0].join(made.select("key", "other"), ["key", "other"], "left_anti").unionByName(made.withColumnRenamed("text", "new")))
+        else:
+            done = [made.withColumnRenamed("text", "new")]
+        texts = made.where("text is not null")
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, window: int = 10, max_coverage: float = 0.8, block_words: int = 100_000, text_col: str = "text", length_col: str | None = "n_chars", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """``docs`` with hit spans removed from the texts; documents of which more than ``max_coverage`` is hit go.
 
-    Texts without a hit stay as they are. One block of items is in memory at a time if there is one; with more, all are,
-    so ``block_words`` times their number bounds the broadcast.
+    Texts without a hit stay as they are. A task holds the automaton of one block of items: with one block the texts are
+    read once, with more once a block, and only texts that are hit are ever shuffled.
     """
     sc = docs.sparkSession.sparkContext
     shared = [sc.broadcast(x) for x in blocks(items, item_id_col, item_text_col, window, block_words)]
     at = docs.columns.index(text_col)
     size_at = docs.columns.index(length_col) if length_col in docs.columns else None
+    if len(shared) > 1:
+        new = replaced_texts(docs, shared, max_coverage, text_col).select(F.col("key").alias("key__hit"), F.col("other").alias("other__hit"), F.col("new").alias("text__new"))
+        own = (F.xxhash64(F.col(text_col)) == F.col("key__hit")) & (F.xxhash64(F.lit("other"), F.col(text_col)) == F.col("other__hit"))
+        joined = docs.join(new, own, "left").where("key__hit is null or text__new is not null")
+        hit = F.col("key__hit").isNotNull()
+        changed = {text_col: F.when(hit, F.col("text__new")).otherwise(F.col(text_col))}
+        if size_at is not None:
+            changed[length_col] = F.when(hit, F.length("text__new").cast(docs.schema[size_at].dataType)).otherwise(F.col(length_col))
+        return joined.select(*[changed.get(c, F.col(c)).alias(c) for c in docs.columns])
 
     def run(batches):
-        automata = [x.value for x in shared]
+        automaton = shared[0].value
         for batch in (part for whole in batches for part in slices(whole, at)):
             old = batch.column(at).to_pylist()
-            new = [t and without_spans(t, automata, max_coverage) for t in old]
+            new = [t and without_spans(t, automaton, max_coverage) for t in old]
             columns = list(batch.columns)
             columns[at] = pa.array(new, batch.schema.field(at).type)
             if size_at is not None:

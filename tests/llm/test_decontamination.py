@@ -78,6 +78,32 @@ def test_removal(spark):
     assert D.hits(D.decontaminated(d, i), i).agg({"n_hit": "sum"}).first()[0] == 0
 
 
+@pytest.mark.parametrize("block", [12, 60])
+def test_removal_with_several_blocks_is_as_with_one(spark, block):
+    """Items in blocks of few words: what their ends leave behind is read again, and rows that agree or lack ids stay apart."""
+    rng = random.Random(block)
+    word = lambda: "".join(rng.choice("abc") for _ in range(3))
+    items = [(k, " ".join(word() for _ in range(rng.randint(1, 9)))) for k in range(12)]
+    docs = []
+    for k in range(60):
+        parts = [rng.choice(items)[1] if rng.random() < 0.4 else " ".join(word() for _ in range(rng.randint(1, 8))) for _ in range(rng.randint(0, 6))]
+        docs.append((k % 9 or None, ", ".join(parts)))
+    half = items[0][1].split()
+    docs += [(70, f"zz {' '.join(half[:1])} {items[1][1]} {' '.join(half[1:])} zz " + "yy " * 40), (71, None), (71, None), (72, ""), docs[3], docs[3]]
+    d, i = frames(spark, docs, items)
+    one, several = (sorted((str(r.doc_id), str(r.text), r.n_chars) for r in D.decontaminated(d, i, 5, 0.7, b).collect()) for b in (100_000, block))
+    assert several == one and 20 < len(one) < len(docs)
+    assert D.decontaminated(d.limit(0), i, 5, 0.7, block).count() == 0
+
+
+def test_a_very_long_text(spark):
+    item = " ".join(f"w{k}" for k in range(20))
+    text = "plain word " * 150_000 + item + " plain" * 100_000
+    d, i = frames(spark, [(1, text)], [(5, item), (None, item)])
+    r = D.hits(d, i).first()
+    assert (r.n_words, r.n_hit, r.item_ids) == (400_020, 20, [5, None]) and D.decontaminated(d, i).first().n_chars == len(text) - len(item)
+
+
 def test_empty_tables(spark):
     d, i = frames(spark, [(1, "a b")], [(1, "a b")])
     assert D.hits(d.limit(0), i).count() == 0
