@@ -11,12 +11,15 @@ so that a reader opens the table at the end, the index before it, and then only
 Each file is written under a temporary name and renamed, so that a task that runs twice leaves one file.
 
 Defined results: a null text is encoded as empty and so has the end id alone; null ids come first; rows of one id are in
-the order of the hash of their text; an empty table makes no file; other columns are not looked at.
+the order of the hash of their text; very long texts are one document of one frame; an empty table makes no file; other
+columns are not looked at.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import zlib
 from functools import lru_cache
@@ -44,9 +47,22 @@ def opened(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
     return (pyarrow.fs.LocalFileSystem(), uri) if uri.startswith("/") else pyarrow.fs.FileSystem.from_uri(uri)
 
 
+def stitches(described: str) -> bool:
+    """Whether a tokenizer, as its JSON describes it, gives a text's ids by its stretches: byte-level pieces by the usual pattern, without anything before or after, and no added token that holds white space."""
+    made = json.loads(described)
+    split = made.get("pre_tokenizer") or {}
+    plain = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space", True)
+    model = made.get("model") or {}
+    whole = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix"))
+    added = all(not re.search(r"\s", t["content"]) and not (t.get("lstrip") or t.get("rstrip") or t.get("single_word")) for t in made.get("added_tokens") or [])
+    return bool(plain and whole and added and not made.get("normalizer") and not made.get("truncation") and not made.get("padding"))
+
+
 class Encoder:
     """Token ids of whole texts; remembers the ids of stretches between single spaces.
 
+    That is done for tokenizers of the kind ``stitches`` knows; any other one is given the whole texts.
+
     The usual pattern of a byte-level BPE never joins characters across a space, unless white space stands on both sides
     of it or it ends the text; such texts are encoded in one piece. Any other text is the sequence of its first stretch
     and of each later stretch with its space. Texts are split and their distinct stretches found in Arrow; only stretches
@@ -59,7 +75,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.remember = remember
+        self.remember, self.stitched = remember, stitches(self.tokenizer.to_str())
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.opens = np.array([(self.tokenizer.id_to_token(k) or "").startswith("\u0120") for k in range(size)])
         self.forget()
@@ -101,6 +117,8 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of each text; none of the texts is null."""
+        if not self.stitched:
+            return self.direct(texts.to_pylist())
         joined = np.array(pc.match_substring_regex(texts, JOINED))
         out: list[np.ndarray] = [np.zeros(0, "<u4")] * len(texts)
         for k in np.flatnonzero(joined):
@@ -208,6 +226,24 @@ class Reader:
         return [np.frombuffer(self.ids(int(k)), "<u4") for k in np.flatnonzero(self.index[0] == doc_id)]
 
 
+def settle(fs: pyarrow.fs.FileSystem, draft: str, path: str) -> None:
+    """Gives a complete file its name. Where a file system refuses to replace one, an earlier run of the task left the same bytes under it."""
+    try:
+        fs.move(draft, path)
+    except OSError:
+        if fs.get_file_info(path).type != pyarrow.fs.FileType.File:
+            raise
+        fs.delete_file(draft)
+
+
+def clear_drafts(folder: str) -> None:
+    """Deletes what tasks that were lost have left unfinished."""
+    fs, at = opened(folder)
+    for x in fs.get_file_info(pyarrow.fs.FileSelector(at, allow_not_found=True)):
+        if x.path.endswith(".draft"):
+            fs.delete_file(x.path)
+
+
 def write(docs: DataFrame, tokenizer: str, end_id: int = 2, to: str | None = None, frame_ids: int = FRAME_IDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes the files and returns (part, path, n_docs, n_tokens), in order of the ids by part; ``to`` is a shared folder."""
     spark = docs.sparkSession
@@ -231,12 +267,14 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 2, to: str | None = Non
         if writer is not None:
             writer.close()
             sink.close()
-            fs.move(draft, path)
+            settle(fs, draft, path)
             yield pa.record_batch([pa.array([part], pa.int32()), pa.array([name]), pa.array([n_docs], pa.int64()), pa.array([n_tokens], pa.int64())], names=["part", "path", "n_docs", "n_tokens"])
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     dealt = slim.repartitionByRange(parts_for(slim), F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    return cut(dealt.mapInArrow(run, "part int, path string, n_docs long, n_tokens long"))
+    files = cut(dealt.mapInArrow(run, "part int, path string, n_docs long, n_tokens long"))
+    clear_drafts(to)
+    return files
 
 
 def read(files: DataFrame) -> DataFrame:

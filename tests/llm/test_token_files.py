@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
 import pytest
 
 from docloom.llm import token_files as K
@@ -84,3 +85,42 @@ def test_damage_is_found(written, tmp_path):
 def test_no_documents(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert K.read(K.write(empty, tokenizer_path())).count() == 0
+
+
+def test_other_tokenizers_get_whole_texts():
+    """Only the kind whose ids follow from stretches is taken apart; ids are those of the tokenizer for any."""
+    import json
+
+    own = K.Encoder(tokenizer_path())
+    assert own.stitched
+    described = json.loads(own.tokenizer.to_str())
+    changes = [("normalizer", {"type": "NFC"}), ("pre_tokenizer", {"type": "Whitespace"}), ("pre_tokenizer", None), ("pre_tokenizer", {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}), ("pre_tokenizer", {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False})]
+    for name, value in changes:
+        assert not K.stitches(json.dumps(described | {name: value}))
+    words = K.Encoder(tokenizer_path("word_bpe_49k.json"))
+    sample = texts(300, 4)
+    assert not words.stitched and [x.tolist() for x in words.encode(pa.array(sample))] == [words.tokenizer.encode(t, add_special_tokens=False).ids for t in sample]
+
+
+def test_a_name_that_is_taken(tmp_path):
+    """A file system that doesn't replace files: the first complete file stays, the draft goes."""
+    (tmp_path / "part.tok").write_bytes(b"first")
+    (tmp_path / "part.tok.7.draft").write_bytes(b"first")
+
+    class Refuses:
+        def move(self, a, b):
+            raise OSError("there is one")
+
+        def get_file_info(self, path):
+            return pa.fs.LocalFileSystem().get_file_info(path)
+
+        def delete_file(self, path):
+            pa.fs.LocalFileSystem().delete_file(path)
+
+    K.settle(Refuses(), str(tmp_path / "part.tok.7.draft"), str(tmp_path / "part.tok"))
+    assert [p.name for p in tmp_path.iterdir()] == ["part.tok"]
+    with pytest.raises(OSError):
+        K.settle(Refuses(), str(tmp_path / "gone.draft"), str(tmp_path / "gone.tok"))
+    (tmp_path / "lost.tok.9.draft").write_bytes(b"half")
+    K.clear_drafts(str(tmp_path))
+    assert [p.name for p in tmp_path.iterdir()] == ["part.tok"]
