@@ -5,15 +5,20 @@ sorted by key, and word counts are summed in two levels: over the cells of a sou
 total decides how often a document is taken: whole epochs of its source first, then the key order up to the budget,
 where the last document is cut to the word.
 
-No step brings a source together in one task: cells hold about 1/2**cell_bits of a source, and only their sums meet.
+No step brings a source together in one task: cells hold about 1/2**cell_bits of a source, and only their sums meet. Rows
+without an id share one key; they are cut into cells of their own, by size and by a hash of their text, in the order of
+their sizes. Sources themselves meet in one task, a row each: that bounds them to some hundred thousand.
 
 Defined results: a null text has size 0 and is taken 0 times; a null source is a source of its own, after all others;
-rows that agree in id, source and size are interchangeable; an empty table gives an empty mix; other columns are
-carried along and never looked at.
+null ids come in the order of an empty id's key; of rows that share an id the smaller comes first, and rows that agree in
+id, source and size are interchangeable; very long texts count as any other, and the one at a budget's edge is cut at the
+word; an empty table gives an empty mix; other columns are carried along and never looked at.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,7 +26,7 @@ from .common import SPACE, cut
 
 WORD = f"[^{SPACE}]+"
 PIECE = f"[{SPACE}]*[^{SPACE}]+"
-KEY_BITS = 60
+KEY_BITS, SALTS = 60, 64
 
 
 def n_words(text: Column) -> Column:
@@ -66,25 +71,28 @@ def mix(docs: DataFrame, carry: list[str] | None = None, id_col: str = "doc_id",
     """
     own = F.struct(*[F.col(c) for c in carry]) if carry else F.struct(F.lit(1).alias("one"))
     key = random_key(F.col(id_col), seed)
+    none = F.lit(int(hashlib.md5(f"{seed}:".encode()).hexdigest()[: KEY_BITS // 4], 16)).cast("long")  # the key of rows without an id
+    salted = (n_words(F.col(text_col)) + 1) * SALTS + F.pmod(F.xxhash64(F.col(text_col)), F.lit(SALTS))
+    sub = F.when(F.col(id_col).isNull(), salted).when(key > none, F.lit((1 << 63) - 1)).otherwise(F.lit(0))  # in the order of (key, id, size)
     slim = docs.select(
         own.alias("row"), F.col(id_col).alias("doc_id"), F.when(F.col(source_col).isNull(), "t").otherwise(F.concat(F.lit("s"), F.col(source_col))).alias("src"),
-        n_words(F.col(text_col)).alias("size"), key.alias("key"), F.shiftright(key, KEY_BITS - cell_bits).cast("int").alias("cell"),
+        n_words(F.col(text_col)).alias("size"), key.alias("key"), F.shiftright(key, KEY_BITS - cell_bits).cast("int").alias("cell"), sub.cast("long").alias("sub"),
     )
     if not carry:
         slim = cut(slim)
-    cells = cut(slim.groupBy("src", "cell").agg(F.sum("size").alias("cell_size")))
+    cells = cut(slim.groupBy("src", "cell", "sub").agg(F.sum("size").alias("cell_size")))
     budgets = (
         source_targets(weigh(cells.groupBy("src").agg(F.sum("cell_size").alias("source_size"))), max_epochs)
         .withColumn("budget", F.floor("target").cast("long"))
         .withColumn("epochs", F.when(F.col("source_size") > 0, F.expr("budget div source_size")).otherwise(F.lit(0)).cast("long"))
         .withColumn("rest", F.col("budget") - F.col("epochs") * F.col("source_size"))
     )
-    before = Window.partitionBy("src").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy("src").orderBy("cell", "sub").rowsBetween(Window.unboundedPreceding, 0)
     offsets = cells.withColumn("cell_start", F.sum("cell_size").over(before) - F.col("cell_size")).join(budgets, "src").drop("cell_size", "budget")
-    within = Window.partitionBy("src", "cell").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy("src", "cell", "sub").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     start = F.col("cell_start") + F.sum("size").over(within) - F.col("size")
     part = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.col("rest") - F.col("start")))
-    return slim.join(offsets, ["src", "cell"]).withColumn("start", start).select("row", "doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + part).alias("taken"))
+    return slim.join(offsets, ["src", "cell", "sub"]).withColumn("start", start).select("row", "doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + part).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars", **options) -> DataFrame:

@@ -62,6 +62,21 @@ def test_as_brute_force(spark, rows):
     assert got(M.mix(frame(spark, rows), cell_bits=4)) == sorted((-1 if x[0] is None else x[0], *x[1:]) for x in brute(rows))
 
 
+def test_rows_without_ids_are_dealt_out(spark):
+    """Many of them, of several sizes, in the order of their sizes; and no cell holds them all."""
+    rng = random.Random(5)
+    rows = [(None, " ".join(rng.choices("abcdef", k=rng.choice([0, 2, 3, 3, 3, 7]))), "s") for _ in range(400)] + made(100, 6) + [(900 + k, "x " * k, "s") for k in range(30)]
+    assert got(M.mix(frame(spark, rows), cell_bits=2)) == sorted((-1 if x[0] is None else x[0], *x[1:]) for x in brute(rows))
+    assert got(M.mix(frame(spark, rows), cell_bits=2)) == got(M.mix(frame(spark, rows).repartition(7), cell_bits=2))
+
+
+def test_a_very_long_text(spark):
+    rows = [(1, "word " * 600_000, "a"), (2, "w", "a"), (3, "x y", "b")]
+    out = {r.doc_id: r for r in M.mix(frame(spark, rows)).collect()}
+    assert out[1].size == 600_000 and sum(r.taken for r in out.values()) == sum({r.source_size: int(r.target + 1e-9) for r in out.values()}.values())
+    assert sum(count(r.text) for r in M.mixed_documents(frame(spark, rows)).collect()) == sum(r.taken for r in out.values())
+
+
 def test_budgets_hold(spark):
     rows = M.mix(frame(spark, made(300))).collect()
     for size in {r.source_size for r in rows}:
