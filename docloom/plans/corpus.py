@@ -12,6 +12,7 @@ from ..operators import retrieval as R
 from ..operators import validation as D
 from ..sources import files as S
 from ..sources import pages as P
+from ..storage import spread
 from .common import BM25, DOCS, chunks, questions, table, with_
 from .documents import sql_strip
 from .questions import quoted
@@ -78,12 +79,12 @@ def front_matter(spark, sf_dir) -> DataFrame:
 
 
 def html_text(spark, sf_dir) -> DataFrame:
-    df = table(spark, sf_dir, "pages").select("page_id", P.html_text(F.col("html")).alias("text"))
+    df = spread(table(spark, sf_dir, "pages")).select("page_id", P.html_text(F.col("html")).alias("text"))
     return df.select("page_id", F.length("text").alias("chars"), F.md5("text").alias("md5"))
 
 
 def main_content(spark, sf_dir) -> DataFrame:
-    df = table(spark, sf_dir, "pages").select("page_id", P.main_content(F.col("html")).alias("text"))
+    df = spread(table(spark, sf_dir, "pages")).select("page_id", P.main_content(F.col("html")).alias("text"))
     return df.select("page_id", F.length("text").alias("chars"), F.md5("text").alias("md5"))
 
 
@@ -93,7 +94,7 @@ def page_facts(spark, sf_dir) -> DataFrame:
 
 
 def page_documents(spark, sf_dir) -> DataFrame:
-    df = P.page_documents(table(spark, sf_dir, "pages"), extra=["page_id"], retrieved_at="2024-01-02")
+    df = P.page_documents(spread(table(spark, sf_dir, "pages")), extra=["page_id"], retrieved_at="2024-01-02")
     return df.select("doc_id", "title", "source_url", F.length("content").alias("chars"), F.md5("markdown").alias("md5"))
 
 
