@@ -17,12 +17,13 @@ other columns are not looked at.
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, id_and_text, parts_for
@@ -256,15 +257,11 @@ def bucket_keys(hashes: np.ndarray, distinct: np.ndarray, masks: np.ndarray) ->
     """Keys under which similar texts meet; none without words. hashes: of all shingles; distinct: the same, each once."""
     if not len(distinct):
         return np.zeros(0, np.uint64)
-    least, counts = np.full(len(FACTORS), np.iinfo(np.uint64).max, np.uint64), np.zeros(64, np.int64)
-    for at in range(0, len(distinct), 2048):
-        least = np.minimum(least, (FACTORS[:, None] * distinct[None, at : at + 2048]).min(axis=1))
+    counts = np.zeros(64, np.int64)
     for k, column in enumerate(hashes.view(np.uint8).reshape(-1, 8).T):
         counts[8 * k : 8 * k + 8] += np.bincount(column, minlength=256) @ BITS_OF_BYTE
     fp = np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0]
-    bands = np.zeros(BANDS, np.uint64)
-    for column in least.reshape(BANDS, MINIMA).T:
-        bands = (bands ^ column ^ (column >> np.uint64(29))) * MIX
+    bands = minima(distinct, FACTORS)
     keys = np.concatenate([fp & masks, bands])
     keys = (keys ^ (np.arange(1, len(keys) + 1, dtype=np.uint64) * np.uint64(0xBF58476D1CE4E5B9))) * MIX
     return keys ^ (keys >> np.uint64(32))
@@ -315,12 +312,113 @@ def whole_runs(batches, columns: int = 1):
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def one_of_similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def minima(distinct: np.ndarray, factors: np.ndarray) -> np.ndarray:
+    """Keys of bands of MINIMA least products with ``factors``, one after another."""
+    least = np.full(len(factors), np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(distinct), 2048):
+        least = np.minimum(least, (factors[:, None] * distinct[None, at : at + 2048]).min(axis=1))
+    bands = np.zeros(len(factors) // MINIMA, np.uint64)
+    for column in least.reshape(-1, MINIMA).T:
+        bands = (bands ^ column ^ (column >> np.uint64(29))) * MIX
+    return bands
+
+
+#: Distinct sets of a bucket that one task compares; of larger ones, sets that are compared with all others in a round.
+CROWD, PIVOTS = 8192, 16
+
+
+def crowd_links(crowds: DataFrame, sets: DataFrame, similarity: float, crowd: int = CROWD, pivots: int = PIVOTS) -> DataFrame:
+    """Links (u, v) that join the sets of large buckets as all pairs of ``similarity`` or more do; no bucket meets in one task.
+
+    crowds: (b, node); sets: (node, items). A round compares some sets of each bucket, its pivots, with all of the bucket,
+    pair by pair. A set that is linked to a pivot needs no comparison with others that are; one that isn't, and is no pivot,
+    is still open. Buckets with open sets are dealt out by further bands of minima, with all their sets: what comes below
+    ``crowd`` is compared in a task, the rest goes into another round. Two texts at 0.8 part at a level with a chance of 1
+    in 38,000, as in the bands before.
+    """
+    spark = crowds.sparkSession
+    pair = "u long, v long"
+
+    def compare(batches):
+        for batch in batches:
+            nodes, others = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            near = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                a, b = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                least, most = min(len(a), len(b)), max(len(a), len(b))
+                if least < similarity * most - 1e-9:
+                    near.append(False)
+                    continue
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                near.append(both >= similarity * (len(a) + len(b) - both) - 1e-9)
+            near = np.array(near, bool)
+            yield pa.record_batch([pa.array(np.maximum(nodes, others)[near]), pa.array(np.minimum(nodes, others)[near])], names=["u", "v"])
+
+    def bands(level: int):
+        factors = np.random.default_rng([SEED, level]).integers(0, 1 << 64, BANDS * MINIMA, dtype=np.uint64, endpoint=False) | np.uint64(1)
+
+        def run(batches):
+            for batch in batches:
+                made = [minima(np.frombuffer(x.as_buffer(), np.uint64), factors).view(np.int64) for x in batch.column(1)]
+                yield pa.record_batch([batch.column(0), pa.array(made, pa.list_(pa.int64()))], names=["node", "bands"])
+
+        return run
+
+    found, level = [], 0
+    state = cut(crowds.select("b", "node", F.lit(True).alias("open")))
+    while not state.isEmpty():
+        level += 1
+        order = Window.partitionBy("b").orderBy(F.xxhash64("node"))
+        chosen = cut(state.where("open").select("b", F.col("node").alias("pivot"), F.row_number().over(order).alias("n")).where(F.col("n") <= pivots).drop("n"))
+        few = chosen.count() <= 100_000  # then they, and the distinct sets among them, are few enough to be sent to all
+        shared = F.broadcast if few else lambda df: df
+        pairs = state.join(shared(chosen), "b").where("node <> pivot").select("node", "pivot").distinct()
+        held = pairs.join(sets, "node").withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(64)).cast("int"))
+        salted = sets.select(F.col("node").alias("pivot"), F.col("items").alias("other"), F.explode(F.array(*map(F.lit, range(64)))).alias("salt"))
+        salted = salted.join(pairs.select("pivot").distinct(), "pivot", "left_semi")
+        links = cut(held.join(salted, ["pivot", "salt"]).select("node", "pivot", "items", "other").mapInArrow(compare, pair).distinct())
+        found.append(links)
+        both = links.select(F.col("u").alias("pivot"), F.col("v").alias("node")).union(links.select("v", "u"))
+        near = both.join(shared(chosen), "pivot").select("b", "node").distinct().withColumn("near", F.lit(True))
+        tried = chosen.withColumnRenamed("pivot", "node").withColumn("tried", F.lit(True))
+        state = state.join(near, ["b", "node"], "left").join(tried, ["b", "node"], "left")
+        state = state.select("b", "node", (F.col("open") & F.col("near").isNull() & F.col("tried").isNull()).alias("open"))
+        left = state.groupBy("b").agg(F.max("open").alias("some")).where("some").select("b")
+        state = cut(state.join(left, "b", "left_semi"))
+        if state.isEmpty():
+            break
+        dealt = state.join(sets.join(state.select("node").distinct(), "node", "left_semi").mapInArrow(bands(level), "node long, bands array<long>"), "node")
+        dealt = dealt.select("node", "open", F.posexplode("bands").alias("k", "band"), "b").select(F.xxhash64("b", "k", "band").alias("b"), "node", "open")
+        sizes = dealt.groupBy("b").agg(F.count("*").alias("n"), F.max("open").alias("some")).where("some and n > 1")
+        dealt = cut(dealt.join(sizes, "b"))
+        found.append(cut(bucket_pairs(dealt.where(F.col("n") <= crowd).select(F.col("b").alias("bucket"), "node"), sets, similarity)))
+        state = dealt.where(F.col("n") > crowd).select("b", "node", "open")
+    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], pair)
+
+
+def bucket_pairs(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (u, v) within buckets of bounded size; members: (bucket, node)."""
+
+    def verify(batches):
+        for rows in whole_runs(batches):
+            bucket, node = (rows.column(k).to_numpy() for k in range(2))
+            items, pairs = rows.column(2), []
+            starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+            for a, b in zip(starts, np.r_[starts[1:], len(bucket)], strict=True):
+                pairs += similar_links(node[a:b], [np.frombuffer(items[int(k)].as_py(), np.uint64) for k in range(a, b)], similarity)
+            yield pa.record_batch([pa.array([max(p) for p in pairs], pa.int64()), pa.array([min(p) for p in pairs], pa.int64())], names=["u", "v"])
+
+    met = members.join(sets, "node").select("bucket", "node", "items").repartition("bucket").sortWithinPartitions("bucket")
+    return met.mapInArrow(verify, "u long, v long").distinct()
+
+
+def one_of_similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", crowd: int = CROWD, seen: int = SEEN) -> DataFrame:
     """``docs`` with one row, of the least id, of each group of texts linked by ``similarity`` or more.
 
     Similarity is the Jaccard index of the sets of word shingles, computed in full for what shares a bucket: a choice of
-    three of six blocks of the fingerprint, or a band of minima. Texts of equal sets are one node and always meet. The
-    distinct sets of one bucket meet in one task.
+    three of six blocks of the fingerprint, or a band of minima. Texts of equal sets are one node and always meet. Buckets
+    of more than about ``crowd`` sets go to ``crowd_links``; one in ``seen`` sets is counted to find them, which decides
+    where the work is done, not what is found.
     """
     masks = np.array(block_masks(), np.int64).view(np.uint64)
 
@@ -346,28 +444,29 @@ def one_of_similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, i
         for batch in batches:
             yield pa.record_batch([batch.column(0), pa.array([np.unique(shingles(t.as_py(), shingle)).tobytes() for t in batch.column(1)], pa.binary())], names=["node", "items"])
 
-    def verify(batches):
-        for rows in whole_runs(batches):
-            bucket, node = (rows.column(k).to_numpy() for k in range(2))
-            items, pairs = rows.column(2), []
-            starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-            for a, b in zip(starts, np.r_[starts[1:], len(bucket)], strict=True):
-                pairs += similar_links(node[a:b], [np.frombuffer(items[int(k)].as_py(), np.uint64) for k in range(a, b)], similarity)
-            yield pa.record_batch([pa.array([max(p) for p in pairs], pa.int64()), pa.array([min(p) for p in pairs], pa.int64())], names=["u", "v"])
-
     keyed = id_and_text(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("key"), "text")
     marked = cut(keyed.mapInArrow(mark, "doc_id long, key long, node long, keys array<long>"))
-    nodes = marked.groupBy("node").agg(F.first("keys").alias("keys"), F.min("key").alias("key"))
-    each = 16 * (len(masks) + BANDS)
-    parts = parts_for(marked, each * marked.count(), 64 << 20)
-    dealt = nodes.select(F.explode("keys").alias("b"), "node").repartition(parts, "b").sortWithinPartitions("b")
-    buckets = cut(dealt.mapInArrow(meet, "nodes array<long>").distinct())
-    members = buckets.select(F.xxhash64("nodes").alias("bucket"), F.explode("nodes").alias("node"))
-    asked = nodes.select("node", "key").join(members.select("node").distinct(), "node", "left_semi").select("node", F.col("key").alias("key__asked"))
+    of = lambda rows: rows.groupBy("node").agg(F.first("keys").alias("keys"), F.min("key").alias("key"))
+    nodes, n = of(marked), marked.count()
+    buckets = nodes.select(F.explode("keys").alias("b"), "node")
+    crowds = None
+    if n > crowd:
+        sample = of(marked.where(F.pmod(F.xxhash64("node"), F.lit(seen)) == 0)).select(F.explode("keys").alias("b"))
+        hot = cut(sample.groupBy("b").count().where(F.col("count") * seen > crowd).select("b"))
+        if not hot.isEmpty():
+            crowds = cut(buckets.join(hot, "b", "left_semi"))
+            buckets = buckets.join(hot, "b", "left_anti")
+    parts = parts_for(marked, 16 * (len(masks) + BANDS) * n, 64 << 20)
+    met = cut(buckets.repartition(parts, "b").sortWithinPartitions("b").mapInArrow(meet, "nodes array<long>").distinct())
+    members = met.select(F.xxhash64("nodes").alias("bucket"), F.explode("nodes").alias("node"))
+    wanted = members.select("node") if crowds is None else members.select("node").union(crowds.select("node"))
+    asked = nodes.select("node", "key").join(wanted.distinct(), "node", "left_semi").select("node", F.col("key").alias("key__asked"))
     texts = keyed.join(asked, F.col("key") == F.col("key__asked")).select("node", "text").dropDuplicates(["node"])
     sets = cut(texts.mapInArrow(fill, "node long, items binary"))
-    met = members.join(sets, "node").select("bucket", "node", "items").repartition("bucket").sortWithinPartitions("bucket")
-    roots = components(met.mapInArrow(verify, "u long, v long").distinct())
+    links = bucket_pairs(members, sets, similarity)
+    if crowds is not None:
+        links = links.union(crowd_links(crowds, sets, similarity, crowd)).distinct()
+    roots = components(links)
     rooted = marked.select("doc_id", "key", "node").join(roots.withColumnRenamed("u", "node"), "node", "left")
     return kept_rows(docs, rooted.select("doc_id", "key", F.coalesce("root", "node").alias("root")), id_col, text_col)
 

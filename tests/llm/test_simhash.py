@@ -209,6 +209,41 @@ def test_similar_texts_leave_one(spark):
     assert S.one_of_similar(docs.limit(0)).count() == 0
 
 
+def crowded(seed):
+    """Near copies of one text, some of them only linked through others; texts that share a long passage but nothing else; others."""
+    rng = random.Random(seed)
+    words = [f"w{k}" for k in range(5000)]
+    base = rng.choices(words, k=300)
+    passage = rng.choices(words, k=120)
+    rows = []
+    for k in range(90):
+        copy = list(base)
+        for at in rng.sample(range(300), rng.choice([1, 2, 4, 6, 9])):
+            copy[at] = rng.choice(words)
+        rows.append(copy)
+    for k in range(60):
+        rows.append(passage + rng.choices(words, k=90))
+    chain = rng.choices(words, k=200)
+    for k in range(25):
+        chain = chain[6:] + rng.choices(words, k=6)
+        rows.append(list(chain))
+    rows += [rng.choices(words, k=50) for _ in range(20)]
+    rng.shuffle(rows)
+    return [(k, " ".join(w)) for k, w in enumerate(rows)] + [(500, None), (501, "")]
+
+
+@pytest.mark.parametrize(("crowd", "pivots"), [(6, 2), (30, 16)])
+def test_crowds_as_all_pairs(spark, monkeypatch, crowd, pivots):
+    monkeypatch.setattr(S.crowd_links, "__defaults__", (S.CROWD, pivots))
+    rows = crowded(crowd)
+    roots, least = jaccard_groups([t for _, t in rows]), {}
+    for (i, _), g in zip(rows, roots, strict=True):
+        least[g] = min(i, least.get(g, i))
+    assert 50 < len(least) < 140
+    kept = S.one_of_similar(frame(spark, rows).repartition(3), crowd=crowd, seen=1)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(least.values())
+
+
 @pytest.mark.parametrize("step", [1, 3, 1000])
 def test_runs_stay_whole(step):
     rng = np.random.default_rng(step)
