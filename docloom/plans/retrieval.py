@@ -57,10 +57,10 @@ def hybrid_topk(spark, sf_dir) -> DataFrame:
 
 
 def rrf_fuse(spark, sf_dir) -> DataFrame:
-    """Two made-up rankings of embeddings by label: one by id, one by id backwards."""
+    """Two made-up rankings of all embeddings of a label, one by id, one by the id's remainder: whole lists are fused."""
     rows = table(spark, sf_dir, "embeddings").select(F.col("label").cast("long").alias("query_id"), F.col("vec_id").alias("chunk_idx"))
     orders = ["chunk_idx"], [F.desc(F.col("chunk_idx") % 37), "chunk_idx"]
-    up, down = (rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*o))).where("rank <= 30") for o in orders)
+    up, down = (rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*o))) for o in orders)
     return ranked(K.top_k(K.fuse([up, down], 60), 20))
 
 
@@ -149,7 +149,7 @@ SELECT term, df, round(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)), 6) A
     "dense_topk": f"{with_(DOCS, ASKED, TEXTS, HASHED, DENSE)} {TAIL} dense WHERE rank <= 20",
     "hybrid_topk": f"{HYBRID} {TAIL} fused WHERE rank <= 10",
     "rrf_fuse": """WITH a AS (SELECT label::BIGINT AS query_id, vec_id AS chunk_idx, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS up, row_number() OVER (PARTITION BY label ORDER BY vec_id % 37 DESC, vec_id) AS down FROM embeddings),
-u AS (SELECT query_id, chunk_idx, up AS rank FROM a WHERE up <= 30 UNION ALL SELECT query_id, chunk_idx, down FROM a WHERE down <= 30), f AS (SELECT query_id, chunk_idx, sum(1.0::DOUBLE / (60 + rank)) AS score FROM u GROUP BY query_id, chunk_idx),
+u AS (SELECT query_id, chunk_idx, up AS rank FROM a UNION ALL SELECT query_id, chunk_idx, down FROM a), f AS (SELECT query_id, chunk_idx, sum(1.0::DOUBLE / (60 + rank)) AS score FROM u GROUP BY query_id, chunk_idx),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_idx)::INTEGER AS rank FROM f) SELECT query_id, rank, chunk_idx, round(score, 6) AS score FROM r WHERE rank <= 20""",
     "vector_search": SEARCH.format("", 5),
     "vector_search_filtered": SEARCH.format(" AND b.label = 3", 3),
