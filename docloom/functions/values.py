@@ -83,7 +83,11 @@ EXPANSIONS = {"học phí": ["mức thu", "đóng tiền", "tài chính", "kho
 ENRICHED_START, PREFIX_START = "Quy định của Đại học FPT về: ", "Quy định Đại học FPT: "
 SYNONYMS = {"học phí": "chi phí đào tạo", "học bổng": "chính sách học bổng", "ojt": "thực tập doanh nghiệp", "thi lại": "học lại", "fap": "cổng thông tin đào tạo", "bảo lưu": "tạm hoãn học tập", "phúc khảo": "khiếu nại điểm thi", "điểm danh": "chuyên cần vắng học"}
 #: Words a question may hold, and what stands around it in a variant if it doesn't, or if it does.
-VARIANT_FRAMES = [(["fpt"], ("", " Đại học FPT"), ("", " cơ sở HCM")), (["quy chế", "quy định"], ("quy chế ", ""), ("thủ tục quy định ", "")), (["sinh viên"], ("sinh viên ", ""), ("hướng dẫn học vụ ", ""))]
+VARIANT_FRAMES = [
+    {"words": ["fpt"], "lacks": ["", " Đại học FPT"], "has": ["", " cơ sở HCM"]},
+    {"words": ["quy chế", "quy định"], "lacks": ["quy chế ", ""], "has": ["thủ tục quy định ", ""]},
+    {"words": ["sinh viên"], "lacks": ["sinh viên ", ""], "has": ["hướng dẫn học vụ ", ""]},
+]
 
 # --- questions: decomposition ---
 SPLIT_SHORT = r"(?:và|rồi|sau đó|đồng thời|nếu.*?thì)"
@@ -132,7 +136,11 @@ RETRY_OVERRIDES = {"broaden_filters": {"use_metadata_filter": False, "top_k_mult
 
 # --- routing: strategy and flags of each kind of question ---
 ROUTES = {
-    "FACTUAL": ("hybrid", "filter"), "PROCEDURAL": ("hybrid", "filter rewrite"), "MULTI_HOP": ("decomposed", "filter decomposition"),
-    "GLOBAL": ("multi_query", "multi_query"), "AMBIGUOUS": ("multi_query", "filter multi_query"), "OUT_OF_SCOPE": ("hybrid", ""),
-}
+    "FACTUAL": {"strategy": "hybrid", "flags": ["filter"]},
+    "PROCEDURAL": {"strategy": "hybrid", "flags": ["filter", "rewrite"]},
+    "MULTI_HOP": {"strategy": "decomposed", "flags": ["filter", "decomposition"]},
+    "GLOBAL": {"strategy": "multi_query", "flags": ["multi_query"]},
+    "AMBIGUOUS": {"strategy": "multi_query", "flags": ["filter", "multi_query"]},
+    "OUT_OF_SCOPE": {"strategy": "hybrid", "flags": []},
+}
 ROUTE_FLAGS = ["filter", "reranker", "rewrite", "multi_query", "hyde", "decomposition"]

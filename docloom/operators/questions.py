@@ -137,7 +137,8 @@ def search_variants(query: Column, more: Column | None = None) -> Column:
     """The question, and what a model gave (``more``) or else framed and synonymous versions, without repeats whatever the case; nothing for a blank question."""
     asked = T.strip(query)
     low = F.lower(asked)
-    framed = [F.when(T.any_in(low, words), F.concat(F.lit(has[0]), asked, F.lit(has[1]))).otherwise(F.concat(F.lit(lacks[0]), asked, F.lit(lacks[1]))) for words, lacks, has in V.VARIANT_FRAMES]
+    around = lambda x: F.concat(F.lit(x[0]), asked, F.lit(x[1]))
+    framed = [F.when(T.any_in(low, f["words"]), around(f["has"])).otherwise(around(f["lacks"])) for f in V.VARIANT_FRAMES]
     same = F.coalesce(*[F.when(F.contains(low, F.lit(k)), F.regexp_replace(asked, rf"(?iu)\Q{k}\E", v)) for k, v in V.SYNONYMS.items()])
     own = compact(*framed, F.when(F.lower(same) != low, same))
     rest = F.when(F.coalesce(F.size(more), F.lit(0)) > 0, more).otherwise(own) if more is not None else own
@@ -191,8 +192,7 @@ def route(query_type: Column, reranker: bool = False, llm: bool = False) -> Colu
     """struct<strategy, use_filter, use_reranker, use_rewrite, use_multi_query, use_hyde, use_decomposition> for a type of question."""
 
     def decided(kind: str) -> Column:
-        strategy, flags = V.ROUTES.get(kind, V.ROUTES["FACTUAL"])
-        flags = set(flags.split())
+        strategy, flags = V.ROUTES[kind]["strategy"], set(V.ROUTES[kind]["flags"])
         if kind == "AMBIGUOUS" and llm:
             strategy, flags = "hyde", {"filter", "hyde"}
         if reranker and kind in ("FACTUAL", "PROCEDURAL", "MULTI_HOP", "GLOBAL"):

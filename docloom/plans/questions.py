@@ -205,7 +205,7 @@ SIMPLE = f"list_filter(list_transform(string_split_regex(q, '{V.SPLIT_SHORT}'),
 FORMAL_ALL = in_turn("lower(query)", V.FORMAL)
 FORMAL = "upper(left(f, 1)) || substr(f, 2)"
 MORE = compact(*[f"CASE WHEN contains(lower(query), {quoted(k)}) THEN CASE " + " ".join(f"WHEN NOT contains(lower(query), {quoted(t.lower())}) THEN {quoted(t)}" for t in terms) + " END END" for k, terms in V.EXPANSIONS.items()])
-FRAMED = [f"CASE WHEN {any_in('lower(s)', w)} THEN {quoted(has[0])} || s || {quoted(has[1])} ELSE {quoted(lacks[0])} || s || {quoted(lacks[1])} END" for w, lacks, has in V.VARIANT_FRAMES]
+FRAMED = [f"CASE WHEN {any_in('lower(s)', f['words'])} THEN {quoted(f['has'][0])} || s || {quoted(f['has'][1])} ELSE {quoted(f['lacks'][0])} || s || {quoted(f['lacks'][1])} END" for f in V.VARIANT_FRAMES]
 SAME = "CASE " + " ".join(f"WHEN contains(lower(s), {quoted(k)}) THEN regexp_replace(s, {quoted(k)}, {quoted(v)}, 'gi')" for k, v in V.SYNONYMS.items()) + " END"
 CLEAN = f"regexp_replace({strip('query')}, '[?.!]+$', '')"
 
@@ -226,8 +226,9 @@ SENTENCE = "list_transform(l, lambda p: upper(left(p, 1)) || substr(p, 2) || CAS
 
 def route_sql(setup: str, reranker: bool, llm: bool) -> str:
     rows = []
-    for kind, (strategy, flags) in V.ROUTES.items():
-        flags = set(flags.split())
+    for kind, made in V.ROUTES.items():
+        strategy, flags = made["strategy"], made["flags"]
+        flags = set(flags)
         if kind == "AMBIGUOUS" and llm:
             strategy, flags = "hyde", {"filter", "hyde"}
         if reranker and kind not in ("AMBIGUOUS", "OUT_OF_SCOPE"):

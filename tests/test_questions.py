@@ -88,3 +88,38 @@ def test_no_metadata(spark):
     assert len(df.select(D.issues(F.col("m"), F.col("b")).alias("x")).first().x) == 6
     log = D.check_log(df, "s", "m", "b").collect()
     assert [(r.check_name, r.passed) for r in log] == [("Encoding", True), ("Frontmatter Syntax", False)]
+
+
+def test_models_that_fail(spark):
+    """Questions fall back on their own rules, answers tell what went wrong."""
+
+    def model(text):
+        if "bad" in text:
+            raise RuntimeError("no quota")
+        return " The first sub question \nshort\nThe second sub question\nThe third sub question "
+
+    lines = Q.asked(model, "Split: {}", lines=True)
+    assert one(spark, lambda q: Q.decompose(q, lines(q)), "fine") == ["The first sub question", "The second sub question", "The third sub question"]
+    assert one(spark, lambda q: Q.decompose(q, lines(q)), "Nếu bad trượt môn thì đăng ký thi lại") == ["Bad trượt môn?", "Đăng ký thi lại?"]
+    assert one(spark, Q.asked(model, lines=True, most=2), "x") == ["The first sub question", "The second sub question"]
+    assert one(spark, lambda q: Q.rewrite(q, Q.asked(lambda t: t.upper())), "abc") == "ABC"
+    assert one(spark, lambda q: Q.rewrite(q, Q.asked(model)), "bad thi lại") == "Bad thi kết thúc học phần lần 2"
+    df = spark.sql("SELECT 1 query_id, 'bad' query, array(struct('d' doc_id, 'text' content)) contexts")
+    assert A.generate(df, ["doc_id", "content"], llm=A.model_text(model), cite=False).first().answer == "Lỗi khi gọi LLM: no quota"
+
+
+def test_retries_search_each_suggestion_once(spark):
+    """However many rounds, a round is one search a suggestion, and every question ends with one row."""
+    queries = spark.createDataFrame([(k, "q") for k in range(6)], "query_id int, query string")
+    seen = []
+
+    def search(part, overrides):
+        seen.append(overrides)
+        return part.withColumn("n", F.lit(len(seen)))
+
+    def judge(rows):
+        low = F.when(F.col("query_id") % 3 == 0, 0.0).otherwise(1.0)
+        return rows.select("*", (F.col("query_id") < 5).alias("should_abstain"), low.alias("result_count"), F.when(F.col("query_id") % 3 == 1, 0.0).otherwise(1.0).alias("top_score"), F.lit(0.0).alias("evidence_support"))
+
+    rows = A.corrected(queries, search, judge, max_retries=2).collect()
+    assert sorted(r.query_id for r in rows) == list(range(6)) and len(seen) == 1 + 3 + 3

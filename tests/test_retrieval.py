@@ -57,6 +57,55 @@ def test_statistics_follow_the_filter(spark, chunks):
     assert {r.chunk_idx for r in rows if r.query_id == 2} == {3, 5}
 
 
+def test_filters_in_one_pass_are_filters_one_by_one(spark, chunks):
+    """Any number of filters, with lists, nulls, missing keys and none at all."""
+    docs = chunks.withColumn("lang", F.when(F.col("chunk_idx") < 3, "a").when(F.col("chunk_idx") < 5, "b")).withColumn("tags", F.when(F.col("chunk_idx") % 2 == 0, F.array(F.lit("x"), F.lit("y"))))
+    wanted = [{"lang": "a"}, {"lang": None}, {"tags": "x"}, {"lang": "b", "tags": "y"}, {"other": None}, {"other": "z"}, {}, None]
+    queries = spark.createDataFrame([(k, "the cat fish học", f) for k, f in enumerate(wanted)], "query_id int, query string, f map<string,string>")
+    shown = lambda df: sorted((r.query_id, r["rank"], r.chunk_idx, round(r.score, 9)) for r in df.collect())
+    got = shown(R.bm25_filtered(docs, queries, F.col("f")))
+    assert got == shown(R.filtered(docs, queries, F.col("f"), R.bm25)) and {r[0] for r in got} == {0, 1, 2, 3, 4, 6, 7}
+    many = spark.range(40).select(F.col("id").alias("query_id"), F.lit("cat").alias("query"), F.create_map(F.lit("lang"), F.col("id").cast("string")).alias("f"))
+    with pytest.raises(ValueError, match="filters"):
+        R.filtered(docs, many, F.col("f"), R.bm25)
+    assert R.bm25_filtered(docs, many, F.col("f")).count() == 0
+
+
+def okapi(query, docs, k1=1.5, b=0.75, epsilon=0.25):
+    words = [d.lower().split() for d in docs]
+    n, mean = len(docs), sum(map(len, words)) / len(docs)
+    df = Counter(t for w in words for t in set(w))
+    idf = {t: math.log(n - x + 0.5) - math.log(x + 0.5) for t, x in df.items()}
+    least = epsilon * sum(idf.values()) / len(idf)
+    out = {}
+    for i, w in enumerate(words):
+        tf, terms = Counter(w), [t for t in query.lower().split() if t in w]
+        if terms:
+            out[i] = sum((least if idf[t] < 0 else idf[t]) * tf[t] * (k1 + 1) / (tf[t] + k1 * (1 - b + b * len(w) / mean)) for t in terms)
+    good = {i: s for i, s in out.items() if s > 0}
+    return sorted((good or out).items(), key=lambda x: (-round(x[1], 9), x[0]))
+
+
+def test_okapi(spark, chunks):
+    """Classic weights, a floor for common words, and all that hold a word where no score is above 0."""
+    common = ["a b", "a c", "a b c", "a"]
+    for docs, asked in ((DOCS, ["the cat", "the the cat", "fish fish", "nothing", ""]), (common, ["a", "a b", "c b", "d"])):
+        frame = spark.createDataFrame([(k, t) for k, t in enumerate(docs)], "chunk_idx long, content string")
+        rows = R.okapi(frame, spark.createDataFrame(list(enumerate(asked)), "query_id int, query string")).orderBy("query_id", "rank").collect()
+        for k, q in enumerate(asked):
+            want = okapi(q, docs)
+            assert [r.chunk_idx for r in rows if r.query_id == k] == [i for i, _ in want]
+            assert [r.score for r in rows if r.query_id == k] == pytest.approx([s for _, s in want])
+
+
+def test_one_scan_for_all_statistics(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(F.col("doc_id").alias("chunk_idx"), F.col("text").alias("content"))
+    df = R.bm25(docs, spark.createDataFrame([(1, "the and")], "query_id int, query string"))
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert final.count("documents.parquet") == 1 and final.count("ReusedExchange") >= 2
+
+
 def test_fusion_scores(spark):
     a, b = (spark.createDataFrame([(1, i, k + 1) for k, i in enumerate(x)], "query_id int, chunk_idx long, rank int") for x in ([0, 1], [1, 2]))
     got = K.top_k(K.fuse([a, b], 60), 5).orderBy("rank").collect()
@@ -122,6 +171,64 @@ def test_a_failing_model_falls_back(spark):
     assert rows["ok"] == [1.0] * 64 and rows["bad"] != rows["ok"] and abs(sum(x * x for x in rows["bad"]) - 1) < 1e-9
 
 
+def test_models_are_tried_again(spark, tmp_path):
+    """Three tries a batch, then one by one; equal texts are asked for once; too few vectors are a failure."""
+    log = str(tmp_path / "calls")
+
+    def model(texts):
+        with open(log, "a") as f:
+            f.write(f"{len(texts)}\n")
+        if sum(1 for _ in open(log)) < 3:
+            raise RuntimeError("busy")
+        return [[float(len(t))] for t in texts]
+
+    rows = R.embed(spark.createDataFrame([("ab",), ("c",), ("ab",)], "t string").coalesce(1), F.col("t"), model=model, wait=0.0).collect()
+    assert [r.embedding for r in rows] == [[2.0], [1.0], [2.0]] and open(log).read().split() == ["2", "2", "2"]
+    short = R.embed(spark.createDataFrame([("ab",), ("c",)], "t string").coalesce(1), F.col("t"), model=lambda texts: [[1.0]], wait=0.0).collect()
+    assert [r.embedding for r in short] == [[1.0], [1.0]]  # right for one text, wrong for two
+
+
+def test_the_cache_spares_the_model(spark, tmp_path):
+    log = str(tmp_path / "asked")
+
+    def model(texts):
+        with open(log, "a") as f:
+            f.writelines(t + "\n" for t in texts)
+        return [[float(len(t))] for t in texts]
+
+    texts = spark.createDataFrame([(1, "aa"), (2, "b"), (3, "aa"), (4, "ccc"), (5, None)], "id int, t string")
+    empty = spark.createDataFrame([], "text_hash string, embedding array<double>")
+    first, new = R.embed_cached(texts.where("id < 3"), F.col("t"), empty, model=model)
+    assert sorted((r.id, r.embedding) for r in first.collect()) == [(1, [2.0]), (2, [1.0])]
+    again, more = R.embed_cached(texts, F.col("t"), new, model=model)
+    assert sorted((r.id, r.embedding) for r in again.collect()) == [(1, [2.0]), (2, [1.0]), (3, [2.0]), (4, [3.0]), (5, None)]
+    assert more.count() == 1 and sorted(open(log).read().split()) == ["aa", "b", "ccc"]
+
+
+def test_a_failing_question_alone_keeps_its_order(spark):
+    rows = [(q, i, s, n, f"q{q}", t) for q in (1, 2, 3) for n, (i, s, t) in enumerate([(5, 0.9, "short"), (6, 0.5, "much longer"), (7, 0.1, "mid text")], 1)]
+    ranking = spark.createDataFrame(rows, "query_id int, chunk_idx long, score double, rank int, query string, content string").coalesce(1)
+
+    def model(pairs):
+        if pairs[0][0] == "q2":
+            raise RuntimeError
+        return [len(t) for _, t in pairs]
+
+    got = {}
+    for r in K.rerank(ranking, 2, K.model_score(model, batch=2)).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.chunk_idx, r.rerank_score))
+    assert got == {1: [(6, 11.0), (7, 8.0)], 2: [(5, 0.9), (6, 0.5)], 3: [(6, 11.0), (7, 8.0)]}
+
+
+def test_questions_beyond_a_broadcast(spark):
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(200, 4))
+    docs = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "chunk_idx long, embedding array<double>").repartition(3)
+    asked = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v[:50])], "query_id int, embedding array<double>")
+    shown = lambda df: sorted((r.query_id, r["rank"], r.chunk_idx) for r in df.collect())
+    assert shown(R.dense(docs, asked, 3, block=8, most_bytes=1000)) == shown(R.dense(docs, asked, 3))
+
+
 def test_unavailable_models():
     assert R.available(None, {}) is None and R.available("a", {"a": lambda: 5}) == 5
     with pytest.warns(UserWarning):

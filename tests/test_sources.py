@@ -94,3 +94,54 @@ def test_stream_replaces_and_deletes(spark, tmp_path):
     assert ingest.current(spark, store).count() == 4
     feed([("a", "z"), ("b", None)])
     assert [(r.doc_id, r.content, len(r.embedding)) for r in ingest.current(spark, store).collect()] == [("a", "z", 64)]
+
+
+def test_emptied_documents_leave_the_store(spark, tmp_path):
+    """An empty text, a null one and the last version of several in a batch; then the store in one folder."""
+    source, store, checkpoint = (str(tmp_path / n) for n in ("in", "store", "check"))
+    schema = "doc_id string, content string, version int"
+
+    def feed(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        ingest.start(spark.readStream.schema(schema).parquet(source), store, checkpoint, size=10, overlap=0).awaitTermination()
+
+    feed([("a", "x" * 15, 1), ("b", "y", 1), ("c", "old", 1), ("c", "new", 2), ("c", None, None), (None, "no id", 1)])
+    got = {(str(r.doc_id), r.content) for r in ingest.current(spark, store).collect()}
+    assert ("b", "y") in got and ("c", "new") in got and ("c", "old") not in got and ("None", "no id") in got
+    feed([("a", "", 2), ("b", None, 2)])
+    assert {str(r.doc_id) for r in ingest.current(spark, store).collect()} == {"c", "None"}
+    feed([("b", "back", 3)])
+    before = sorted(map(str, ingest.current(spark, store).select("doc_id", "part_index", "content").collect()))
+    ingest.compact(spark, store)
+    assert sorted(p.name for p in (tmp_path / "store").iterdir() if not p.name.startswith(("_", "."))) == ["batch=2"]
+    assert sorted(map(str, ingest.current(spark, store).select("doc_id", "part_index", "content").collect())) == before
+    ingest.compact(spark, store)
+    feed([("c", "newer", 4), ("a", "again", 5)])
+    assert {(str(r.doc_id), r.content) for r in ingest.current(spark, store).collect()} == {("a", "again"), ("b", "back"), ("c", "newer"), ("None", "no id")}
+
+
+def test_robots(spark):
+    """Rules by site; no rules allow all, an unknown site none."""
+    rules = "User-agent: *\nDisallow: /private\n\nUser-agent: friend\nAllow: /\n"
+    robots = spark.createDataFrame([("https://a.org", rules), ("https://a.org", rules), ("http://b.org:8080", ""), ("https://d.org", None)], "site string, robots string")
+    urls = ["https://a.org/x", "https://A.org/private/y", "http://b.org:8080/private", "https://c.org/x", "https://d.org/x", "ftp://a.org/x", None]
+    df = spark.createDataFrame([(u, k) for k, u in enumerate(urls)], "url string, robots int")
+    kept = lambda agent: sorted(r.robots for r in pages.robots_allowed(df, robots, agent).collect())
+    assert kept("stranger") == [0, 2] and kept("friend") == [0, 1, 2]
+    assert pages.robots_allowed(df, robots).columns == df.columns
+
+
+def test_content_types_and_charsets(spark):
+    rows = [(1, "h\u00e9".encode(), "text/html; charset=UTF-8"), (2, "h\u00e9".encode("latin-1"), "text/plain;charset='iso-8859-1'"), (3, b"h\xff", "TEXT/HTML"), (4, b"{}", "application/json"), (5, b"x", "text/html; charset=no-such"), (6, None, "text/html"), (7, b"x", None)]
+    df = spark.createDataFrame(rows, "id int, body binary, content_type string")
+    assert {r.id: r.html for r in pages.decoded_bodies(df).collect()} == {1: "h\u00e9", 2: "h\u00e9", 3: "h\ufffd"}
+
+
+def test_nested_front_matter(spark, tmp_path):
+    pytest.importorskip("yaml")
+    (tmp_path / "n.md").write_text("---\ntitle: T\ntags:\n  - a\n  - 'b: c'\nby: {name: x, age: 3}\nflag: Yes\nnone: ~\n---\nbody", encoding="utf-8")
+    (tmp_path / "flat.md").write_text("---\ntitle: \"A: b\"\nn: 5\n---\nbody", encoding="utf-8")
+    (tmp_path / "broken.md").write_text("---\ntitle: [a\nn: 5\n---\nbody", encoding="utf-8")
+    got = {r.doc_id: r.metadata for r in files.read_corpus(spark, str(tmp_path)).collect()}
+    assert json.loads(got["n"]["tags"]) == ["a", "b: c"] and json.loads(got["n"]["by"]) == {"name": "x", "age": "3"} and got["n"]["title"] == "T" and got["n"]["none"] is None
+    assert got["flat"] == {"doc_id": "flat", "title": "A: b", "n": "5"} and got["broken"]["n"] == "5"
