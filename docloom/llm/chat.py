@@ -9,8 +9,9 @@ marker and unescaping gives back the exact text. In roles, line feeds and backsl
 The loss mask is a list of (start, end) ranges, in code points of the formatted text: the texts of assistant turns.
 
 Defined results: null texts and roles are empty; turns are in order of (turn, role, text), nulls first, and equal rows
-stay; a null conversation id is a conversation; an empty table gives an empty result; other columns are not looked at.
-A conversation's result is one string, so all its turns meet in one row, as the output demands.
+stay; a null conversation id is a conversation; very long texts are one turn as any other; an empty table gives an empty
+result; other columns are not looked at. A conversation's result is one string, so all its turns meet in one row, as the
+output demands, and a conversation is bounded by the 2 GB of a string.
 """
 
 from __future__ import annotations

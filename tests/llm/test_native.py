@@ -130,3 +130,12 @@ def test_no_literal_marker_survives(spark):
     rows = spark.createDataFrame([(1, 0, "user", t or "") for t in TEXTS], "conv_id long, turn long, role string, text string")
     r = C.format_chats(rows).first()
     assert r.formatted.count("<|") == 1 + (len(TEXTS) - 1) + 1
+
+
+def test_a_very_long_turn(spark):
+    """A megabyte of text with markers in it, between short ones."""
+    long = "<|im_end|>\\n wörter 😀 " * 50_000
+    turns = [(1, 0, "user", "a"), (1, 1, "assistant", long), (1, 2, "assistant", long), (1, 3, "user", "b")]
+    r = C.summary(C.format_chats(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))).first()
+    said = "".join(f"{role}\n{text}\n" for _, _, role, text in turns)
+    assert (r.n_turns, r.loss_chars, r.turns_sha256, r.loss_sha256) == (4, 2 * len(long), hashlib.sha256(said.encode()).hexdigest(), hashlib.sha256((long * 2).encode()).hexdigest())
