@@ -226,14 +226,25 @@ def groups(docs: DataFrame, shingle: int = 3, max_bits: int = 3, id_col: str = "
     return marked.join(of_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+#: Rows of ids and hashes that are sent to all tasks; more of them are joined.
+FEW = 300_000
+
+
 def kept_rows(docs: DataFrame, rooted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each group of ``rooted`` (doc_id, key, root), key being xxhash64 of the text: that of the least id, then key."""
-    counted = rooted.groupBy("root", "doc_id", "key").agg(F.count("*").alias("n"))
-    first = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "key", "n")).alias("x")
-    kept = cut(counted.groupBy("root").agg(first).select("x.*"))
+    """``docs`` with one row of each group of ``rooted`` (doc_id, key, root), key being xxhash64 of the text: that of the least id, then key.
+
+    Texts are not shuffled as long as the rows that go are few.
+    """
+    counted = cut(rooted.groupBy("root", "doc_id", "key").agg(F.count("*").alias("n")))
+    first = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "key")).alias("first")
+    marked = counted.join(counted.groupBy("root").agg(first), "root")
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("key") == F.col("first.key"))
+    named = [F.col("doc_id").alias("doc_id__kept"), F.col("key").alias("key__kept")]
+    repeated, gone = cut(marked.where(stays & (F.col("n") > 1)).select(*named)), cut(marked.where(~stays).select(*named))
     own = F.col(id_col).cast("long").eqNullSafe(F.col("doc_id__kept")) & (F.xxhash64(text_col) == F.col("key__kept"))
-    single, repeated = (kept.where(c).select(F.col("doc_id").alias("doc_id__kept"), F.col("key").alias("key__kept")) for c in ("n = 1", "n > 1"))
-    return docs.join(single, own, "left_semi").unionByName(docs.join(repeated, own, "left_semi").dropDuplicates([id_col, text_col]))
+    shared = lambda df: F.broadcast(df) if df.count() <= FEW else df
+    single = docs.join(shared(gone.union(repeated)), own, "left_anti")
+    return single.unionByName(docs.join(shared(repeated), own, "left_semi").dropDuplicates([id_col, text_col]))
 
 
 def shingles(text: str | None, shingle: int) -> np.ndarray:
@@ -461,7 +472,8 @@ def one_of_similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, i
     members = met.select(F.xxhash64("nodes").alias("bucket"), F.explode("nodes").alias("node"))
     wanted = members.select("node") if crowds is None else members.select("node").union(crowds.select("node"))
     asked = nodes.select("node", "key").join(wanted.distinct(), "node", "left_semi").select("node", F.col("key").alias("key__asked"))
-    texts = keyed.join(asked, F.col("key") == F.col("key__asked")).select("node", "text").dropDuplicates(["node"])
+    asked = cut(asked)
+    texts = keyed.join(F.broadcast(asked) if asked.count() <= FEW else asked, F.col("key") == F.col("key__asked")).select("node", "text").dropDuplicates(["node"])
     sets = cut(texts.mapInArrow(fill, "node long, items binary"))
     links = bucket_pairs(members, sets, similarity)
     if crowds is not None:
