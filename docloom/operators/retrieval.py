@@ -111,7 +111,7 @@ def bm25(chunks: DataFrame, queries: DataFrame, k: int = 20, k1: float = 1.5, b:
     tf = counted_terms(chunks, shared(terms), group)
     of_all, df = statistics(tf, group)
     weights = shared(wanted).join(df, [*group, "term"])
-    weights = weights.join(F.broadcast(of_all), list(group)) if group else weights.crossJoin(F.broadcast(of_all))  # a row a group, or one
+    weights = weights.join(shared(of_all), list(group)) if group else weights.crossJoin(F.broadcast(of_all))  # no more groups than questions, or one row
     weights = weights.select(*group, "query_id", "term", (F.col("times") * idf(F.col("n_chunks"), F.col("df"))).alias("weight"), "avg_len")
     length = 1 - b + b * F.col("chunk_len") / F.greatest(F.col("avg_len"), F.lit(1e-12))
     part = F.col("weight") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * length)
@@ -125,15 +125,16 @@ def okapi(chunks: DataFrame, queries: DataFrame, k: int = 20, k1: float = 1.5, b
     The mean needs the frequencies of all terms, so every occurrence is shuffled once, as (term, chunk) counts.
     """
     wanted = query_terms(queries)
+    shared = F.broadcast if are_few(wanted) else lambda df: df  # the weights are as few
     tf = counted_terms(chunks)
     of_all, df = statistics(tf)
     rated = df.where(F.col("term") != WHOLE).crossJoin(F.broadcast(of_all)).withColumn("idf", okapi_idf(F.col("n_chunks"), F.col("df")))
     floor = rated.agg((F.avg("idf") * epsilon).alias("floor"))
-    weights = few(wanted).join(rated, "term").crossJoin(F.broadcast(floor))
+    weights = shared(wanted).join(rated, "term").crossJoin(F.broadcast(floor))
     weights = weights.select("query_id", "term", (F.col("times") * F.when(F.col("idf") < 0, F.col("floor")).otherwise(F.col("idf"))).alias("weight"), "avg_len")
     length = 1 - b + b * F.col("chunk_len") / F.greatest(F.col("avg_len"), F.lit(1e-12))
     part = F.col("weight") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * length)
-    scored = tf.join(few(weights), "term").groupBy("chunk_idx", "query_id").agg(F.sum(part).alias("score"))
+    scored = tf.join(shared(weights), "term").groupBy("chunk_idx", "query_id").agg(F.sum(part).alias("score"))
     found = top_k(scored, k).withColumn("best", F.max("score").over(Window.partitionBy("query_id")))  # k rows a question
     return found.where("score > 0 OR best <= 0").select("query_id", "chunk_idx", "score", "rank")
 
