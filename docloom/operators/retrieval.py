@@ -68,10 +68,17 @@ def term_frequencies(chunks: DataFrame, terms: DataFrame | None = None) -> DataF
 
 
 def statistics(counted: DataFrame, by: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
-    """(by..., n_chunks, avg_len), one row a group, and (by..., term, df), both of ``counted_terms``; no filter, so that all its uses share one exchange."""
+    """(by..., n_chunks, avg_len), one row a group, and (by..., term, df), both of ``counted_terms``.
+
+    Both come from one aggregation by term, whose exchange they share: each uses all of its columns, or Spark would prune
+    them apart and compute it twice.
+    """
     whole = F.col("term") == WHOLE
-    of_all = counted.groupBy(*by).agg(F.sum(F.when(whole, F.col("tf")).otherwise(0)).alias("n_chunks"), F.coalesce(F.sum(F.when(whole, F.col("chunk_len") * F.col("tf"))) / F.nullif(F.sum(F.when(whole, F.col("tf"))), F.lit(0)), F.lit(0.0)).alias("avg_len"))
-    return of_all, counted.groupBy(*by, "term").agg(F.count("*").alias("df"))
+    here = lambda c: F.sum(F.when(whole, c).otherwise(F.lit(0)))
+    terms = counted.groupBy(*by, "term").agg(F.count("*").alias("df"), here(F.col("tf")).alias("n_whole"), here(F.col("chunk_len") * F.col("tf")).alias("total"))
+    n = F.sum(F.when(F.col("df") > 0, F.col("n_whole")))
+    of_all = terms.groupBy(*by).agg(n.alias("n_chunks"), F.coalesce(F.sum("total") / F.nullif(n, F.lit(0)), F.lit(0.0)).alias("avg_len"))
+    return of_all, terms.where("n_whole >= 0 AND total >= 0").select(*by, "term", "df")
 
 
 def corpus_stats(chunks: DataFrame) -> DataFrame:
@@ -239,7 +246,8 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = 4096
             parts = [slice(at, at + block) for at in range(0, len(q), block)]
             best, items = [np.zeros((len(q[p]), 0)) for p in parts], [np.zeros((len(q[p]), 0), np.int64) for p in parts]
             step = min(4096, max(16, (1 << 22) // min(len(q), block)))  # scores held at once are bounded
-            for batch in (whole.slice(at, step) for whole in batches for at in range(0, whole.num_rows, step)):
+            known = (b.filter(b.column(1).is_valid()) for b in batches)  # a filter in Spark would compute the vectors a second time
+            for batch in (whole.slice(at, step) for whole in known for at in range(0, whole.num_rows, step)):
                 v = vectors_of(batch.column(1), q.shape[1])
                 v, own = unit(v) if normalized else v, batch.column(0).to_numpy()
                 for n, p in enumerate(parts):
@@ -248,10 +256,12 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = 4096
                 width = best[n].shape[1]
                 yield pa.record_batch([pa.array([i for i in ids[p] for _ in range(width)], ID_TYPES[kind]), pa.array(items[n].ravel()), pa.array(best[n].ravel())], names=["query_id", "chunk_idx", "score"])
 
-        return vectors.where("embedding is not null").select(F.col("chunk_idx").cast("long"), F.col("embedding").cast("array<double>")).mapInArrow(run, schema)
+        return vectors.select(F.col("chunk_idx").cast("long"), F.col("embedding").cast("array<double>")).mapInArrow(run, schema)
 
     found, held, size = [], [], 0
-    for r in queries.select("query_id", F.col("embedding").cast("array<double>").alias("embedding")).where("embedding is not null").toLocalIterator():
+    for r in queries.select("query_id", F.col("embedding").cast("array<double>").alias("embedding")).toLocalIterator():
+        if r.embedding is None:
+            continue
         held.append(r)
         size += 8 * len(r.embedding) + 64
         if size >= most_bytes:
