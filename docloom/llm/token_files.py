@@ -58,6 +58,12 @@ def stitches(described: str) -> bool:
     return bool(plain and whole and added and not made.get("normalizer") and not made.get("truncation") and not made.get("padding"))
 
 
+def spans(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places begin ... begin + size - 1 of all spans, one after another."""
+    ends = np.cumsum(sizes)
+    return np.repeat(begins - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
 class Encoder:
     """Token ids of whole texts; remembers the ids of stretches between single spaces.
 
@@ -70,7 +76,7 @@ class Encoder:
     then gathered from one pool of all known stretches.
     """
 
-    def __init__(self, path: str, remember: int = 400_000):
+    def __init__(self, path: str, remember: int = 100_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -82,38 +88,41 @@ class Encoder:
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.parts: list[np.ndarray] = []
-        self.sizes: list[np.ndarray] = []
+        self.ids, self.sizes = np.zeros(0, "<u4"), np.zeros(0, np.int32)
 
     def direct(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(x.ids, "<u4") for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, words: list[str]) -> np.ndarray:
-        """Adds the ids of each word after a space and returns the words' numbers. Words that begin or end with white space are encoded one by one."""
-        numbers = np.zeros(len(words), np.int64)
+    def spelled(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of each word after a space, one after another, and their numbers. Words that begin or end with white space are encoded one by one."""
+        sizes = np.zeros(len(words), np.int64)
         plain = np.array([bool(w) and len(w.strip()) == len(w) for w in words], bool)
         odd = np.flatnonzero(~plain).tolist()
         plain = np.flatnonzero(plain)
+        order, found = [], []
         for at in range(0, len(plain), 2000):
             places = plain[at : at + 2000]
             part = [words[k] for k in places] if odd else words[at : at + 2000]
             ids = np.concatenate(self.direct([" " + " ".join(part[k : k + 100]) for k in range(0, len(part), 100)]))
             edges = np.flatnonzero(self.opens[ids])
             if len(edges) == len(part) and edges[0] == 0:
-                numbers[places] = self.keep(part, ids, np.diff(edges, append=len(ids)))
+                sizes[places] = np.diff(edges, append=len(ids))
+                order.append(places)
+                found.append(ids)
             else:
                 odd += places.tolist()
         if odd:
-            found = self.direct([" " + words[k] for k in odd])
-            numbers[odd] = self.keep([words[k] for k in odd], np.concatenate(found), np.array([len(x) for x in found]))
-        return numbers
-
-    def keep(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        numbers = range(len(self.known), len(self.known) + len(words))
-        self.known.update(zip(words, numbers, strict=True))
-        self.parts.append(ids)
-        self.sizes.append(sizes)
-        return np.array(numbers)
+            alone = self.direct([" " + words[k] for k in odd])
+            sizes[odd] = [len(x) for x in alone]
+            order.append(np.array(odd))
+            found += alone
+        ids = np.concatenate([np.zeros(0, "<u4"), *found])
+        if len(odd):  # back into the order of the words
+            order = np.concatenate(order)
+            begins = np.zeros(len(words), np.int64)
+            begins[order] = np.cumsum(sizes[order]) - sizes[order]
+            ids = ids[spans(begins, sizes)]
+        return ids, sizes
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of each text; none of the texts is null."""
@@ -134,25 +143,30 @@ class Encoder:
         starts = split.offsets.to_numpy() - split.offsets[0].as_py()
         flat = split.flatten()
         coded = flat.dictionary_encode()
+        piece = coded.indices.to_numpy()
         words = coded.dictionary.to_numpy(zero_copy_only=False)
         if len(self.known) > self.remember:
             self.forget()
         numbers = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
         new = np.flatnonzero(numbers < 0)
-        if len(new):
-            numbers[new] = self.learn(words[new].tolist())
+        # what comes once is encoded, but not remembered: it would seldom be asked for again
+        often = np.bincount(piece, minlength=len(words))[new] > 1
+        new, rare = new[often], new[~often]
+        for places in (new, rare):
+            numbers[places] = len(self.known) + np.arange(len(places))
+            if places is new:
+                ids, sizes = self.spelled(words[new].tolist())
+                self.known.update(zip(words[new].tolist(), numbers[new].tolist(), strict=True))
+                self.ids, self.sizes = np.concatenate([self.ids, ids]), np.concatenate([self.sizes, sizes.astype(np.int32)])
+        ids, sizes = self.spelled(words[rare].tolist())
         heads = self.direct(flat.take(pa.array(starts[:-1])).to_pylist())  # without a space before them
-        if len(self.parts) > 1:
-            self.parts, self.sizes = [np.concatenate(self.parts)], [np.concatenate(self.sizes)]
-        sizes = np.concatenate([*self.sizes, [len(x) for x in heads]]).astype(np.int64)
-        pool = np.concatenate([*self.parts, *heads])
+        sizes = np.concatenate([self.sizes, sizes, [len(x) for x in heads]]).astype(np.int64)
+        pool = np.concatenate([self.ids, ids, *heads])
         begins = np.cumsum(sizes) - sizes
-        piece = numbers[coded.indices.to_numpy()]
-        piece[starts[:-1]] = len(self.known) + np.arange(len(heads))
+        piece = numbers[piece]
+        piece[starts[:-1]] = len(self.known) + len(rare) + np.arange(len(heads))
         n = sizes[piece]
-        ends = np.cumsum(n)
-        ids = pool[np.repeat(begins[piece] - (ends - n), n) + np.arange(ends[-1])]
-        return np.split(ids, ends[starts[1:] - 1][:-1])
+        return np.split(pool[spans(begins[piece], n)], np.cumsum(n)[starts[1:] - 1][:-1])
 
 
 @lru_cache(1)
