@@ -73,8 +73,8 @@ def extractive(rows: DataFrame, key: str = "query_id", query: str = "query", con
     """Adds ``answer``: the sentences of the first contexts that hold most words of the question, each once; equal ones in reading order."""
     held = rows.select(key, content_words(F.col(query)).alias("words"), F.posexplode(F.slice(contexts, 1, top)).alias("ctx", "c"))
     parts = F.transform(F.split(F.col("c.content"), r"(?<=[.!?\n])\s+", -1), T.strip)
-    lines = held.select(key, "words", "ctx", F.posexplode(parts).alias("pos", "line")).where(F.length("line") > 15)
-    lines = lines.withColumn("overlap", F.size(F.filter("words", lambda w: F.contains(F.lower("line"), w))))
+    lines = held.select(key, "words", "ctx", F.posexplode_outer(parts).alias("pos", "line")).where(F.length("line") > 15)  # outer: see chunking.exploded
+    lines = lines.withColumn("overlap", T.let(F.lower("line"), lambda low: F.size(F.filter("words", lambda w: F.contains(low, w)))))
     order = [F.desc("overlap"), "ctx", "pos"]
     once = lines.withColumn("n", F.row_number().over(Window.partitionBy(key, "line").orderBy(*order))).where("n = 1")
     best = once.withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("n") <= most)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,8 +23,8 @@ def issues(metadata: Column, body: Column, audiences: list[str] | None = None) -
     audience = field(metadata, "audience")
     low = F.lower(T.strip(audience))
     found.append(F.when((low != "") & ~low.isin(*allowed), F.concat(F.lit("Invalid audience value: '"), audience, F.lit(f"' (expected one of: {allowed})"))))
-    size = F.length(T.strip(body))
-    found.append(F.when(F.coalesce(size, F.lit(0)) == 0, "Empty content: Document body contains no text").when(size < V.MIN_BODY, F.concat(F.lit("Suspiciously short document: Body has "), size.cast("string"), F.lit(f" characters (minimum: {V.MIN_BODY})"))))
+    short = lambda size: F.when(F.coalesce(size, F.lit(0)) == 0, "Empty content: Document body contains no text").when(size < V.MIN_BODY, F.concat(F.lit("Suspiciously short document: Body has "), size.cast("string"), F.lit(f" characters (minimum: {V.MIN_BODY})")))
+    found.append(T.let(F.length(T.strip(body)), short))
     return F.array_compact(F.array(*found))
 
 
@@ -39,23 +38,28 @@ def strict_checks(metadata: Column, body: Column, stem: Column, error: Column |
     bad_mark = F.contains(F.coalesce(body, F.lit("")), F.lit("�"))
     encoding = check("Encoding", ~bad_mark, F.lit("UTF-8 valid"), F.lit("Contains Unicode replacement character (\\ufffd)"))
     syntax = check("Frontmatter Syntax", parsed, F.concat(F.lit("Parsed "), F.size(F.map_keys(metadata)).cast("string"), F.lit(" frontmatter keys")), error if error is not None else F.lit("No frontmatter"))
-    missing = F.array_join(F.array_compact(F.array(*[F.when(T.strip(F.coalesce(field(metadata, n), F.lit(""))) == "", n) for n in V.REQUIRED_FIELDS])), ", ")
-    audience = F.lower(T.strip(F.coalesce(field(metadata, "audience"), F.lit(""))))
-    named, size = field(metadata, "doc_id"), F.length(T.strip(F.coalesce(body, F.lit(""))))
+    lacks = F.array_join(F.array_compact(F.array(*[F.when(T.strip(F.coalesce(field(metadata, n), F.lit(""))) == "", n) for n in V.REQUIRED_FIELDS])), ", ")
+    named = field(metadata, "doc_id")
+    known = F.struct(lacks.alias("lacks"), F.lower(T.strip(F.coalesce(field(metadata, "audience"), F.lit("")))).alias("audience"), F.length(T.strip(F.coalesce(body, F.lit("")))).alias("size"))
     text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
-    rest = F.array(
-        check("Required Fields", missing == "", F.lit(f"All {len(V.REQUIRED_FIELDS)} required fields present"), text("Missing required fields: ", missing)),
-        check("Audience Value", audience.isin(*V.STRICT_AUDIENCES), text("Audience '", audience, "' is valid"), F.when(audience == "", "Audience field is empty or missing").otherwise(text("Invalid audience '", audience, f"'. Must be one of: {V.STRICT_AUDIENCES}"))),
-        check("doc_id Matching", F.coalesce(T.strip(named) == stem, F.lit(True)), F.when(named.isNull(), text("Implicit doc_id from stem '", stem, "'")).otherwise(text("doc_id matches stem '", stem, "'")), text("Frontmatter doc_id '", named, "' does not match filename stem '", stem, "'")),
-        check("Body Content", size > V.MIN_BODY, text("Body content non-empty (", F.format_string("%,d", size), f" characters > {V.MIN_BODY})"), text("Body content too short: ", size, f" characters (must be > {V.MIN_BODY})")),
-    )
-    return F.when(bad_mark, F.array(encoding)).when(~parsed, F.array(encoding, syntax)).otherwise(F.concat(F.array(encoding, syntax), rest))
+
+    def rest(v):
+        missing, audience, size = v["lacks"], v["audience"], v["size"]
+        return F.array(
+            check("Required Fields", missing == "", F.lit(f"All {len(V.REQUIRED_FIELDS)} required fields present"), text("Missing required fields: ", missing)),
+            check("Audience Value", audience.isin(*V.STRICT_AUDIENCES), text("Audience '", audience, "' is valid"), F.when(audience == "", "Audience field is empty or missing").otherwise(text("Invalid audience '", audience, f"'. Must be one of: {V.STRICT_AUDIENCES}"))),
+            check("doc_id Matching", F.coalesce(T.strip(named) == stem, F.lit(True)), F.when(named.isNull(), text("Implicit doc_id from stem '", stem, "'")).otherwise(text("doc_id matches stem '", stem, "'")), text("Frontmatter doc_id '", named, "' does not match filename stem '", stem, "'")),
+            check("Body Content", size > V.MIN_BODY, text("Body content non-empty (", F.format_string("%,d", size), f" characters > {V.MIN_BODY})"), text("Body content too short: ", size, f" characters (must be > {V.MIN_BODY})")),
+        )
+
+    return F.when(bad_mark, F.array(encoding)).when(~parsed, F.array(encoding, syntax)).otherwise(F.concat(F.array(encoding, syntax), T.let(known, rest)))
 
 
 def check_log(documents: DataFrame, target: str, metadata: str = "metadata", body: str = "body", error: str | None = None) -> DataFrame:
     """(target, check_name, passed, message, is_warning), a row a check."""
     checks = strict_checks(F.col(metadata), F.col(body), F.col(target), F.col(error) if error else None)
-    return documents.select(F.col(target).alias("target"), F.inline(checks)).withColumn("is_warning", F.lit(False))
+    # an outer generator: an inner one makes Spark infer a filter that computes the checks a second time
+    return documents.select(F.col(target).alias("target"), F.inline_outer(checks)).where("check_name is not null").withColumn("is_warning", F.lit(False))
 
 
 def summary(log: DataFrame, by: str | None = None) -> DataFrame:

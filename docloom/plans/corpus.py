@@ -33,7 +33,7 @@ BODY = "CASE WHEN doc_id % 23 = 0 THEN '   ' WHEN doc_id % 29 = 0 THEN 'x' || ch
 def described(spark, sf_dir) -> DataFrame:
     made = F.map_filter(F.create_map(*[x for k, v in MADE.items() for x in (F.lit(k), F.expr(v))]), lambda _, v: v.isNotNull())
     body = F.expr(BODY.replace("chr(65533)", "'�'"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("stem"), made.alias("metadata"), body.alias("body"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("stem"), made.alias("metadata"), body.alias("body"))
 
 
 def doc_issues(spark, sf_dir) -> DataFrame:
