@@ -237,7 +237,7 @@ def kept_rows(docs: DataFrame, rooted: DataFrame, id_col: str = "doc_id", text_c
     """
     counted = cut(rooted.groupBy("root", "doc_id", "key").agg(F.count("*").alias("n")))
     first = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "key")).alias("first")
-    marked = counted.join(counted.groupBy("root").agg(first), "root")
+    marked = counted.join(cut(counted.groupBy("root").agg(first)), "root")  # from a table, so that Spark can split a large group
     stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("key") == F.col("first.key"))
     named = [F.col("doc_id").alias("doc_id__kept"), F.col("key").alias("key__kept")]
     repeated, gone = cut(marked.where(stays & (F.col("n") > 1)).select(*named)), cut(marked.where(~stays).select(*named))
