@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,13 +31,32 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
 
+@lru_cache(1)
+def c_library():
+    """The C library, where it can give memory back (glibc); else None."""
+    try:
+        found = ctypes.CDLL(None)
+        return found if hasattr(found, "malloc_trim") else None
+    except OSError:
+        return None
+
+
+def release() -> None:
+    """Gives memory that is free in this process back to the system: workers serve many tasks, and keep what the largest one took."""
+    pa.default_memory_pool().release_unused()
+    if (library := c_library()) is not None:
+        library.malloc_trim(0)
+
+
 def slices(batch: pa.RecordBatch, text: int = 1, most: int = 1 << 22):
-    """Parts of a batch of at most about ``most`` bytes of column ``text``, so that what is made of them stays small."""
+    """Parts of a batch of at most about ``most`` bytes of column ``text``, so that what is made of them stays small. After a large batch, free memory is given back."""
     sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy().astype(np.int64)
     edges = [0, *(np.flatnonzero(np.diff(np.cumsum(sizes) // most)) + 1).tolist(), batch.num_rows]
     for a, b in zip(edges, edges[1:], strict=False):
         if b > a:
             yield batch.slice(a, b - a)
+    if batch.num_rows and sizes.sum() > most:
+        release()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
