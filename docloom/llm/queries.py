@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, licenses, mixing, pii, secrets, simhash, token_files, topk, toxicity
+from . import chat, decontamination, licenses, minhash, mixing, pii, secrets, simhash, token_files, topk, toxicity
 from .common import table
 
 
@@ -65,6 +65,10 @@ def op10_token_files(spark, sf_dir):
     return token_files.read(token_files.write(table(spark, sf_dir, "documents"), tokenizer_path()))
 
 
+def op13_minhash(spark, sf_dir):
+    return minhash.groups(table(spark, sf_dir, "documents"))
+
+
 OP1_SQL = r"""
 WITH docs AS (SELECT doc_id, coalesce(source, '') AS source, source IS NULL AS no_source,
     coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, substr(md5('mix:' || coalesce(doc_id::VARCHAR, '')), 1, 15) AS k FROM documents),
@@ -148,5 +152,16 @@ SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) |
 FROM written GROUP BY conv_id
 """
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_pii, op3_licenses, op4_decontamination, op5_topk, op6_secrets, op7_simhash, op8_toxicity, op9_chat, op10_token_files)}
-ORACLES = {"op1_mixing": OP1_SQL, "op4_decontamination": OP4_SQL, "op5_topk": OP5_SQL, "op6_secrets": op6_sql(), "op9_chat": OP9_SQL}
+OP13_SQL = r"""
+WITH RECURSIVE words AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS (SELECT DISTINCT rid, array_to_string(w[p:p + 3], ' ') AS gram FROM (SELECT rid, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS p FROM words WHERE len(w) > 0)),
+sizes AS (SELECT rid, count(*) AS n FROM shingles GROUP BY rid),
+shared AS (SELECT a.rid AS a, b.rid AS b, count(*) AS n_both FROM shingles a JOIN shingles b ON a.gram = b.gram AND a.rid <> b.rid GROUP BY a.rid, b.rid),
+links AS (SELECT a, b FROM shared JOIN sizes x ON x.rid = a JOIN sizes y ON y.rid = b WHERE 100 * n_both >= 80 * (x.n + y.n - n_both)),
+reach AS (SELECT rid AS a, rid AS b FROM words UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+least AS (SELECT r.a AS rid, min(d.doc_id) AS component_id FROM reach r JOIN words d ON d.rid = r.b GROUP BY r.a)
+SELECT words.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, words.doc_id IS NOT DISTINCT FROM component_id AS kept FROM words JOIN least USING (rid) LEFT JOIN sizes USING (rid)
+"""
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_pii, op3_licenses, op4_decontamination, op5_topk, op6_secrets, op7_simhash, op8_toxicity, op9_chat, op10_token_files, op13_minhash)}
+ORACLES = {"op1_mixing": OP1_SQL, "op4_decontamination": OP4_SQL, "op5_topk": OP5_SQL, "op6_secrets": op6_sql(), "op9_chat": OP9_SQL, "op13_minhash": OP13_SQL}
