@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, licenses, minhash, mixing, pii, secrets, simhash, token_files, topk, toxicity
+from . import chat, decontamination, licenses, minhash, mixing, pii, prefix_trie, secrets, simhash, token_files, topk, toxicity
 from .common import table
 
 
@@ -65,6 +65,10 @@ def op10_token_files(spark, sf_dir):
     return token_files.read(token_files.write(table(spark, sf_dir, "documents"), tokenizer_path()))
 
 
+def op12_prefix_trie(spark, sf_dir):
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_minhash(spark, sf_dir):
     return minhash.groups(table(spark, sf_dir, "documents"))
 
@@ -152,6 +156,24 @@ SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) |
 FROM written GROUP BY conv_id
 """
 
+OP12_SQL = r"""
+WITH turns AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS k FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT conv_id, conv_id - conv_id % 100 AS base, xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda c: [unicode(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda r, s: CASE WHEN s >= 0 THEN xor(r, s) ELSE xor(r >> 1, (r & 1) * 3988292384) END), 4294967295) % 6 AS h FROM (SELECT DISTINCT conv_id FROM turns)),
+pieces AS (SELECT c.conv_id, t.role, t.text, 0 AS part, t.k FROM convs c JOIN turns t ON t.conv_id = c.base AND t.k <= c.h UNION ALL SELECT c.conv_id, t.role, t.text, 1, t.k FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND t.k > c.h),
+steps AS (SELECT conv_id, row_number() OVER w AS d, length(text) AS chars, list({'role': role, 'text': text}) OVER (PARTITION BY conv_id ORDER BY part, k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS path FROM pieces WINDOW w AS (PARTITION BY conv_id ORDER BY part, k)),
+rows_ AS (SELECT conv_id, d, chars, path FROM steps UNION ALL SELECT conv_id, 0, 0, [] FROM convs),
+nodes AS (SELECT d, path, min(conv_id) AS conv_id, count(*) AS n, min(chars) AS chars FROM rows_ GROUP BY d, path),
+last_ AS (SELECT conv_id, max(d) AS d FROM rows_ GROUP BY conv_id),
+ended AS (SELECT r.d, r.path, sha256(string_agg(r.conv_id::VARCHAR, ',' ORDER BY r.conv_id)) AS ends_sha256 FROM rows_ r JOIN last_ USING (conv_id, d) GROUP BY r.d, r.path),
+linked AS (SELECT x.*, p.conv_id AS parent FROM nodes x LEFT JOIN nodes p ON p.d = x.d - 1 AND p.path = x.path[:x.d - 1]),
+children AS (SELECT d - 1 AS d, path[:d - 1] AS path, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY 1, 2),
+told AS (SELECT x.*, coalesce(n_children, 0) AS n_children FROM linked x LEFT JOIN children c ON c.d = x.d AND c.path = x.path),
+below AS (SELECT r.d, r.path, sum((w.n - 1) * w.chars) AS saved, count(*) FILTER (WHERE w.n_children = 0) AS leaves FROM told w JOIN rows_ r ON r.conv_id = w.conv_id AND r.d <= w.d GROUP BY r.d, r.path)
+SELECT x.conv_id, x.d::BIGINT AS depth, x.parent AS parent_conv_id, x.n::BIGINT AS n_convs, x.n_children::BIGINT AS n_children, leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, coalesce(ends_sha256, sha256('')) AS ends_sha256
+FROM told x JOIN below b ON b.d = x.d AND b.path = x.path LEFT JOIN ended e ON e.d = x.d AND e.path = x.path
+"""
+
 OP13_SQL = r"""
 WITH RECURSIVE words AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 shingles AS (SELECT DISTINCT rid, array_to_string(w[p:p + 3], ' ') AS gram FROM (SELECT rid, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS p FROM words WHERE len(w) > 0)),
@@ -163,5 +185,5 @@ least AS (SELECT r.a AS rid, min(d.doc_id) AS component_id FROM reach r JOIN wor
 SELECT words.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, words.doc_id IS NOT DISTINCT FROM component_id AS kept FROM words JOIN least USING (rid) LEFT JOIN sizes USING (rid)
 """
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_pii, op3_licenses, op4_decontamination, op5_topk, op6_secrets, op7_simhash, op8_toxicity, op9_chat, op10_token_files, op13_minhash)}
-ORACLES = {"op1_mixing": OP1_SQL, "op4_decontamination": OP4_SQL, "op5_topk": OP5_SQL, "op6_secrets": op6_sql(), "op9_chat": OP9_SQL, "op13_minhash": OP13_SQL}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_pii, op3_licenses, op4_decontamination, op5_topk, op6_secrets, op7_simhash, op8_toxicity, op9_chat, op10_token_files, op12_prefix_trie, op13_minhash)}
+ORACLES = {"op1_mixing": OP1_SQL, "op4_decontamination": OP4_SQL, "op5_topk": OP5_SQL, "op6_secrets": op6_sql(), "op9_chat": OP9_SQL, "op12_prefix_trie": OP12_SQL, "op13_minhash": OP13_SQL}
