@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, licenses, minhash, mixing, pii, prefix_trie, secrets, simhash, token_files, topk, toxicity
+from . import chat, collocations, decontamination, licenses, minhash, mixing, pii, prefix_trie, secrets, simhash, token_files, topk, toxicity
 from .common import table
 
 
@@ -65,6 +65,10 @@ def op10_token_files(spark, sf_dir):
     return token_files.read(token_files.write(table(spark, sf_dir, "documents"), tokenizer_path()))
 
 
+def op11_collocations(spark, sf_dir):
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_prefix_trie(spark, sf_dir):
     return prefix_trie.trie(table(spark, sf_dir, "conversations"))
 
@@ -156,6 +160,22 @@ SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) |
 FROM written GROUP BY conv_id
 """
 
+OP11_SQL = r"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM words GROUP BY lang),
+grams AS (SELECT lang, m, array_to_string(w[p:p + m - 1], ' ') AS phrase FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS p FROM words, unnest([1, 2, 3, 4, 5]) AS x(m) WHERE len(w) >= m)),
+counts AS (SELECT lang, m, phrase, count(*)::BIGINT AS f FROM grams GROUP BY lang, m, phrase HAVING count(*) >= 100),
+split AS (SELECT *, string_split(phrase, ' ') AS w FROM counts),
+cuts AS (SELECT c.lang, c.phrase, c.f AS a, c.k, x.f AS l, y.f AS r, t.n, ((1000::HUGEINT * c.f * t.n) // (x.f::HUGEINT * y.f))::BIGINT AS score FROM (SELECT *, unnest(range(1, m)) AS k FROM split WHERE m > 1) c
+    JOIN counts x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[:c.k], ' ') JOIN counts y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[c.k + 1:], ' ') JOIN totals t ON t.lang = c.lang),
+lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inner_ AS (SELECT lang, array_to_string(w[p:p + size - 1], ' ') AS phrase, max(f) AS longer FROM (SELECT *, unnest(range(1, m - size + 2)) AS p FROM split, unnest([2, 3, 4]) AS y(size) WHERE size < m) GROUP BY 1, 2),
+kept AS (SELECT l.* FROM lowest l LEFT JOIN inner_ i ON i.lang = l.lang AND i.phrase = l.phrase WHERE i.longer IS NULL OR 100 * i.longer < 100 * l.a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000
+"""
+
 OP12_SQL = r"""
 WITH turns AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS k FROM conversations WHERE conv_id IS NOT NULL),
 convs AS (SELECT conv_id, conv_id - conv_id % 100 AS base, xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda c: [unicode(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
@@ -185,5 +205,5 @@ least AS (SELECT r.a AS rid, min(d.doc_id) AS component_id FROM reach r JOIN wor
 SELECT words.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, words.doc_id IS NOT DISTINCT FROM component_id AS kept FROM words JOIN least USING (rid) LEFT JOIN sizes USING (rid)
 """
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_pii, op3_licenses, op4_decontamination, op5_topk, op6_secrets, op7_simhash, op8_toxicity, op9_chat, op10_token_files, op12_prefix_trie, op13_minhash)}
-ORACLES = {"op1_mixing": OP1_SQL, "op4_decontamination": OP4_SQL, "op5_topk": OP5_SQL, "op6_secrets": op6_sql(), "op9_chat": OP9_SQL, "op12_prefix_trie": OP12_SQL, "op13_minhash": OP13_SQL}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_pii, op3_licenses, op4_decontamination, op5_topk, op6_secrets, op7_simhash, op8_toxicity, op9_chat, op10_token_files, op11_collocations, op12_prefix_trie, op13_minhash)}
+ORACLES = {"op1_mixing": OP1_SQL, "op4_decontamination": OP4_SQL, "op5_topk": OP5_SQL, "op6_secrets": op6_sql(), "op9_chat": OP9_SQL, "op11_collocations": OP11_SQL, "op12_prefix_trie": OP12_SQL, "op13_minhash": OP13_SQL}
