@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from urllib.parse import unquote, urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,11 +34,80 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def rename(spark: SparkSession, path: str, to: str) -> None:
-    """Moves a folder within its file system."""
-    at, jvm = spark._jvm.org.apache.hadoop.fs.Path(path), spark._jvm
-    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).rename(at, jvm.org.apache.hadoop.fs.Path(to)):
-        raise OSError(f"{path} can't be renamed to {to}")
+def hadoop_path(spark: SparkSession, path: str):
+    """The path and its file system."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def names(spark: SparkSession, folder: str) -> list[str]:
+    """What is in a folder; nothing if there is none."""
+    at, fs = hadoop_path(spark, folder)
+    return sorted(x.getPath().getName() for x in fs.listStatus(at)) if fs.exists(at) else []
+
+
+def written_at(spark: SparkSession, path: str) -> float:
+    """When a file or folder was last changed, in seconds since 1970."""
+    at, fs = hadoop_path(spark, path)
+    return fs.getFileStatus(at).getModificationTime() / 1000
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file."""
+    at, fs = hadoop_path(spark, path)
+    stream = fs.open(at)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    at, fs = hadoop_path(spark, path)
+    stream = fs.create(at, True)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+
+
+def publish(spark: SparkSession, path: str, text: str) -> bool:
+    """Creates a small file, whole or not at all; False if there is one of this name already.
+
+    The text is written beside it and then given the name, by a link where files are local and else by a rename that
+    refuses an existing name, which has to be atomic (as in HDFS).
+    """
+    beside = f"{path.rpartition('/')[0]}/.{uuid.uuid4().hex}"
+    write_text(spark, beside, text)
+    url = urlparse(path)
+    try:
+        if url.scheme in ("", "file"):
+            local = lambda p: unquote(urlparse(p).path) if url.scheme else p
+            try:
+                os.link(local(beside), local(path))
+            except FileExistsError:
+                return False
+            return True
+        return renamed(spark, beside, path)
+    finally:
+        remove(spark, beside)
+
+
+def renamed(spark: SparkSession, path: str, to: str) -> bool:
+    """Whether a file could be given a name that nothing else has."""
+    jvm = spark._jvm
+    at, conf = jvm.org.apache.hadoop.fs.Path(path), spark._jsc.hadoopConfiguration()
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.getFileSystem(conf).makeQualified(at).toUri(), conf)
+    kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    options = spark.sparkContext._gateway.new_array(kind, 1)
+    options[0] = kind.NONE
+    try:
+        context.rename(at, jvm.org.apache.hadoop.fs.Path(to), options)
+    except Exception as error:
+        if "FileAlreadyExistsException" in str(error):
+            return False
+        raise
+    return True
 
 
 def cut(df: DataFrame) -> DataFrame:

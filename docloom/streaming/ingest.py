@@ -1,26 +1,21 @@
 """Incremental ingestion of documents into a vector store.
 
-Every micro-batch is chunked and embedded and written to a folder of its own, named by the batch, so that a batch that is
-run again replaces itself: each document is ingested exactly once. The store's current rows are those of the last batch
-that has the document. A document whose text is null, or too short to have a chunk, leaves one row without content: it
-marks that nothing of the document is current. Of several rows of a document in one batch the greatest ``version`` counts
-(the greatest content, if there is no such column or it agrees; null the least). ``compact`` rewrites the store to its
-current rows.
+Every micro-batch is chunked and embedded and committed to a ``sources.store.Store`` under the stream's name and the
+batch's number, so that a batch that is run again changes nothing: each document is ingested exactly once. A batch
+replaces its documents; one whose text is null, or too short to have a chunk, leaves a mark that nothing of it is current.
+Of several rows of a document in one batch the greatest ``version`` counts (the greatest content, if there is no such
+column or it agrees; null the least). Several streams may write to one store, and others may add and delete.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import chunking as C
 from ..operators import retrieval as R
-from ..storage import remove, rename
-
-STORE = "doc_id string, part_index int, content string, embedding array<double>"
+from ..sources.store import MARK, Store
 
 
 def prepared(documents: DataFrame, size: int = 500, overlap: int = 50, model=None) -> DataFrame:
@@ -33,48 +28,27 @@ def prepared(documents: DataFrame, size: int = 500, overlap: int = 50, model=Non
     return R.embed(chunks, F.col("content"), model=model).select("doc_id", "part_index", "content", "embedding")
 
 
-def start(stream: DataFrame, store: str, checkpoint: str, once: bool = True, **options) -> StreamingQuery:
-    """stream: a streaming DataFrame of (doc_id, content)."""
+def start(stream: DataFrame, store: str, checkpoint: str, once: bool = True, name: str = "documents", **options) -> StreamingQuery:
+    """stream: a streaming DataFrame of (doc_id, content). name: the stream's in the store; a checkpoint that begins anew needs a new one."""
+    held = Store(stream.sparkSession, store)
 
     def write(batch: DataFrame, number: int) -> None:
-        prepared(batch, **options).write.mode("overwrite").parquet(f"{store}/batch={number}")
+        rows = prepared(batch, **options)
+        held.replace(rows.withColumn(MARK, rows.content.isNull()), name=f"batch={number}", stream=name, batch=number)
 
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-def history(spark: SparkSession, store: str) -> DataFrame:
-    return spark.read.schema(STORE + ", batch long").parquet(store)
-
-
 def current(spark: SparkSession, store: str) -> DataFrame:
-    """The store's rows: of each document those of its last batch, without deleted ones.
-
-    The last batch of each document comes from two columns of the files; vectors and texts are joined to it, not sorted.
-    """
-    rows = history(spark, store)
-    last = rows.groupBy(F.col("doc_id").alias("last__id")).agg(F.max("batch").alias("last__batch"))
-    kept = rows.where("content is not null").join(last, F.col("doc_id").eqNullSafe(F.col("last__id")) & (F.col("batch") == F.col("last__batch")))
-    return kept.drop("last__id", "last__batch", "batch")
-
+    """The store's rows: of each document those of its last batch, without deleted ones."""
+    return Store(spark, store).read()
 
-def compact(spark: SparkSession, store: str) -> None:
-    """Leaves one folder, named by the last batch, with the current rows and the marks of deleted documents; to be run while no stream writes to the store.
 
-    The new folder is complete, under a name that readers skip, before any other goes; it takes the last batch's name by
-    renaming. Older folders go last: as long as they are there they are read as before, so a compaction that was cut short
-    can be run again.
-    """
-    rows = history(spark, store)
-    last = rows.agg(F.max("batch")).first()[0]
-    if last is None:
-        return
-    newest = rows.groupBy(F.col("doc_id").alias("last__id")).agg(F.max("batch").alias("last__batch"))
-    kept = rows.join(newest, F.col("doc_id").eqNullSafe(F.col("last__id")) & (F.col("batch") == F.col("last__batch")))
-    kept.select("doc_id", "part_index", "content", "embedding").write.parquet(made := f"{store}/_compacted-{uuid.uuid4().hex}")
-    old = [r.batch for r in rows.select("batch").distinct().collect()]  # one row a batch
-    remove(spark, f"{store}/batch={last}")
-    rename(spark, made, f"{store}/batch={last}")
-    for b in old:
-        if b != last:
-            remove(spark, f"{store}/batch={b}")
+def compact(spark: SparkSession, store: str, keep: int = 1) -> None:
+    """Leaves one folder of the current rows, named by the last batch; ``keep`` versions of the store stay readable."""
+    held = Store(spark, store)
+    folders = held.snapshot()[1]["folders"]
+    if folders:
+        held.compact(folders[-1]["path"].partition("/")[0])
+        held.vacuum(keep)
