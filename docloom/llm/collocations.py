@@ -1,13 +1,13 @@
 """Phrases whose words keep company, by two passes over the texts.
 
 The first pass counts every n-gram of 1 to ``longest`` words in count-min sketches, one a task, in numpy; merged, they
-overestimate each count and underestimate none. A cell is as wide as the limit needs: counts stop at ``least``, which
-keeps what the sketch is asked, whether a count reaches it. The second pass counts exactly, but only n-grams that every
+overestimate each count and underestimate none. What leaves a task is as wide as the limit needs: counts stop at ``least``,
+which keeps what the sketch is asked, whether a count reaches it. The second pass counts exactly, but only n-grams that every
 row of the merged sketch lets pass, with both of their parts of one word less; whatever is frequent is among them. Its
 survivors hold every part of every candidate, so scores and the dropping of phrases inside longer ones are joins of that
 one table.
 
-Sketches grow with the texts, up to ``CELLS`` cells a row (a byte each in a task, a bit each when they are sent to all);
+Sketches grow with the texts, up to ``CELLS`` cells a row (four bytes each in a task, a bit each when they are sent to all);
 beyond it more rare n-grams pass, and the second pass leaves them out by their exact counts.
 
 Defined results: null texts are empty; a null language is ``und``; words are what stands between spaces and tabs in the
@@ -31,9 +31,9 @@ from pyspark.sql import functions as F
 from .common import cut, size_of, slices
 from .prefix_trie import stored
 
-ROWS, CELLS, LEAST_CELLS = 3, 1 << 26, 1 << 18
+ROWS, CELLS, LEAST_CELLS = 3, 1 << 25, 1 << 18
 #: Cells of a block of the sketch, and words that are counted together.
-BLOCK, WORDS = 1 << 18, 1 << 20
+BLOCK, WORDS = 1 << 18, 1 << 18
 
 BREAK = b"."
 TABLE = bytes(ord(BREAK) if chr(c) in ".,;:!?\n\v\f\r" else c for c in range(256))
@@ -54,9 +54,10 @@ def words_of(text: str | None, each: int = 1 << 20) -> Iterator[list[bytes]]:
 
 
 def runs_of(batches, longest: int, words: int = WORDS) -> Iterator[tuple[str, list[bytes], int]]:
-    """(language, words, carried): some ``words`` words of one language at a time, the first ``carried`` of them told before."""
+    """(language, words, carried): some ``words`` words of one language at a time, the first ``carried`` of them told before; fewer, where many languages are held."""
     held: dict[str, list[bytes]] = {}
     carried: dict[str, int] = {}
+    total = 0
     for batch in (part for whole in batches for part in slices(whole)):
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             for some in words_of(text.as_py()):
@@ -67,6 +68,11 @@ def runs_of(batches, longest: int, words: int = WORDS) -> Iterator[tuple[str, li
                     held[lang] = own[-(longest - 1) :] if longest > 1 else []
                     carried[lang] = len(held[lang])
             held.setdefault(lang, []).append(BREAK)
+            total += len(text.as_py() or "") + 100
+            if total >= 16 * words:
+                for other, own in held.items():
+                    yield other, own, carried.get(other, 0)
+                held, carried, total = {}, {}, 0
     for lang, own in held.items():
         yield lang, own, carried.get(lang, 0)
 
@@ -126,17 +132,14 @@ def sketch(texts: DataFrame, least: int, longest: int, cells: int, words: int =
     kind, size = narrow(least), min(BLOCK, cells)
 
     def count(batches):
-        counts = np.zeros((ROWS, cells), kind)
+        counts = np.zeros((ROWS, cells), np.uint32)
         for lang, some, carried in runs_of(batches, longest, words):
-            run = Run(lang, some, carried)
-            found = list(run.lengths(longest))
-            for row in range(ROWS):
-                at = np.concatenate([places(h, n, row, cells) for n, _, h in found])
-                added = np.bincount(at, minlength=cells)
-                counts[row] = np.minimum(counts[row] + added, least)
+            for n, _, hashes in Run(lang, some, carried).lengths(longest):
+                for row in range(ROWS):
+                    np.add.at(counts[row], places(hashes, n, row, cells), np.uint32(1))
         for k, block in enumerate(counts.reshape(-1, size)):
             if block.any():
-                yield pa.record_batch([pa.array([k]), pa.array([block.tobytes()])], names=["block", "counts"])
+                yield pa.record_batch([pa.array([k]), pa.array([np.minimum(block, least).astype(kind).tobytes()])], names=["block", "counts"])
 
     def merge(batches):
         last, total = None, None
