@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .spans import sums_before
+from .spans import substrings, sums_before
 
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 
@@ -74,7 +74,7 @@ def parse_chats(chats: DataFrame) -> DataFrame:
         role = unescape_role(F.substring(b, F.lit(len(START) + 1), head - len(START) - 1))
         return F.transform(F.split(F.substring(b, head + 1, F.length(b)), r"<\|im_sep\|>", -1), lambda x: F.struct(role.alias("role"), unescape(x).alias("text")))
 
-    learnt = F.transform("loss", lambda x: unescape(F.substring(F.col("formatted"), x["start"].cast("int") + 1, (x["end"] - x["start"]).cast("int"))))
+    learnt = F.transform(substrings(F.col("formatted"), F.col("loss")), unescape)
     return chats.select("conv_id", F.length("formatted").cast("long").alias("formatted_chars"), F.flatten(F.transform(blocks, turns_of)).alias("turns"), learnt.alias("learnt"))
 
 

@@ -153,14 +153,15 @@ def build(items: list[tuple[object, str | None]], window: int) -> Automaton:
 
 def blocks(items: DataFrame, id_col: str, text_col: str, window: int, block_words: int):
     """Automata over consecutive items; the driver holds one block of items at a time."""
-    held, words = [], 0
+    held, words, any_ = [], 0, False
     for row in items.select(F.col(id_col), F.col(text_col)).toLocalIterator():
         held.append((row[0], row[1]))
         words += len(words_of(row[1]))
         if words >= block_words:
             yield build(held, window)
-            held, words = [], 0
-    yield build(held, window)
+            held, words, any_ = [], 0, True
+    if held or not any_:
+        yield build(held, window)
 
 
 def hits(docs: DataFrame, items: DataFrame, window: int = 10, block_words: int = 100_000, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -196,7 +197,9 @@ def united(parts: DataFrame, n_blocks: int) -> DataFrame:
     parts = parts.groupBy("doc_id", "text_hash", "n_words", "item_ids", "spans", "longest").agg(F.count("*").alias("times"))
     ordered = F.array_sort(F.flatten(F.collect_list("spans")))
     ids = F.array_distinct(F.flatten(F.collect_list("item_ids")))
-    by_name = F.array_sort(ids, lambda a, b: F.when(a.cast("string") < b.cast("string"), -1).otherwise(1))
+    # by name, a null id as the name None: as in one block
+    named = F.sort_array(F.transform(ids, lambda x: F.struct(F.coalesce(x.cast("string"), F.lit("None")).alias("name"), x.alias("id"))))
+    by_name = F.transform(named, lambda x: x["id"])
     whole = parts.groupBy("doc_id", "text_hash", "n_words").agg(ordered.alias("all"), by_name.alias("item_ids"), F.max("longest").alias("longest"), (F.sum("times") / n_blocks).cast("int").alias("times"))
     empty = F.array().cast("array<struct<start:int,end:int>>")
 

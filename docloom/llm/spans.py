@@ -11,15 +11,47 @@ CHUNK = 256
 def sums_before(df: DataFrame, lengths: str, out: str) -> DataFrame:
     """Adds ``out``: for each element of the array column ``lengths`` the sum of those before it.
 
-    Sums of chunks first, then of chunks before each chunk, then within a chunk: n * CHUNK steps and no growing arrays.
-    The steps are columns of their own, so that no lambda computes one again.
+    Chunks of CHUNK elements first, each with the sums within it and its total, then a list of the totals, then of the sums
+    before each chunk, by groups of CHUNK chunks again. Each step is bound by a one-element ``transform`` around all that
+    uses it: a column of its own would be put back into the lambdas by the optimiser, and computed again for every element.
+    So an element costs CHUNK steps, whatever the list's length, up to CHUNK ** 3 elements; beyond it some more.
     """
+    return df.withColumn(out, before(F.col(lengths)))
+
+
+def bound(value: Column, use) -> Column:
+    """``use(value)``, with ``value`` computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def before(values: Column, depth: int = 2) -> Column:
+    """The sums before each element; lists of totals are summed in chunks too, ``depth`` times."""
     total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x)
-    chunks = F.when(F.size(lengths) > 0, F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / CHUNK).cast("int"))).otherwise(F.array().cast("array<int>"))
-    df = df.withColumn(f"{out}_c", F.transform(chunks, lambda c: total(F.slice(lengths, c * CHUNK + 1, F.lit(CHUNK)))))
-    df = df.withColumn(f"{out}_p", F.transform(f"{out}_c", lambda x, k: total(F.slice(f"{out}_c", F.lit(1), k))))
-    within = lambda x, k: F.element_at(f"{out}_p", F.floor(k / CHUNK).cast("int") + 1) + total(F.slice(lengths, F.floor(k / CHUNK).cast("int") * CHUNK + 1, k % CHUNK))
-    return df.withColumn(out, F.transform(lengths, within)).drop(f"{out}_c", f"{out}_p")
+    if not depth:
+        return F.transform(values, lambda _, k: total(F.slice(values, F.lit(1), k)))
+    starts = F.when(F.size(values) > 0, F.sequence(F.lit(0), F.floor((F.size(values) - 1) / CHUNK).cast("int"))).otherwise(F.array().cast("array<int>"))
+    chunks = F.transform(starts, lambda c: F.slice(values, c * CHUNK + 1, F.lit(CHUNK)))
+    within = lambda chunk, at: F.transform(chunk, lambda _, k: at + total(F.slice(chunk, F.lit(1), k)))
+
+    def placed(cut: Column) -> Column:
+        sums = bound(F.transform(cut, total), lambda totals: before(totals, depth - 1))
+        return F.flatten(F.transform(F.arrays_zip(cut.alias("chunk"), sums.alias("at")), lambda x: within(x["chunk"], x["at"])))
+
+    return bound(chunks, placed)
+
+
+def cut_up(text: Column, size: int) -> Column:
+    """Parts of ``size`` code points."""
+    starts = lambda n: F.when(n > 0, F.sequence(F.lit(0), F.floor((n - 1) / size).cast("int"))).otherwise(F.array().cast("array<int>"))
+    return bound(F.length(text), lambda n: F.transform(starts(n), lambda k: F.substring(text, k * size + 1, F.lit(size))))
+
+
+def substrings(text: Column, ranges: Column, size: int = 1024) -> Column:
+    """The text of each of array<struct<start, end>>, in code points. Places in a text are found by counting from its beginning, so it is cut into large parts first, these into small ones, and a range is looked up in its own."""
+    small = F.flatten(F.transform(cut_up(text, 64 * size), lambda part: cut_up(part, size)))
+    first = lambda x: F.floor(x["start"] / size).cast("int")
+    own = lambda parts, x: F.array_join(F.slice(parts, first(x) + 1, F.greatest(F.floor((x["end"] - 1) / size).cast("int") - first(x) + 1, F.lit(0))), "")
+    return bound(small, lambda parts: F.transform(ranges, lambda x: F.substring(own(parts, x), (x["start"] % size).cast("int") + 1, (x["end"] - x["start"]).cast("int"))))
 
 
 def matches(df: DataFrame, text: str, pattern: str, out: str) -> DataFrame:

@@ -110,3 +110,13 @@ def test_empty_tables(spark):
     r = D.hits(d, i.limit(0)).first()
     assert (r.n_words, r.n_hit, r.item_ids) == (2, 0, [])
     assert D.decontaminated(d, i.limit(0)).count() == 1
+
+
+def test_null_ids_in_several_blocks(spark):
+    """Ids come in one order, a null one as None, in one block and in many; words that end on a block's edge make no empty block."""
+    words = [f"w{k} x{k} y{k}" for k in range(58)]
+    items = [(None if k % 3 == 0 else k, w) for k, w in enumerate(words)]
+    d, i = frames(spark, [(1, " ".join(words)), (2, "none of them")], items)
+    one, several = ([r.item_ids for r in D.hits(d, i, 3, block_words=b).orderBy("doc_id").collect()] for b in (100_000, 6))
+    assert one == several and one[0] == sorted({k for k, _ in items}, key=str) and one[1] == []
+    assert len(list(D.blocks(i, "item_id", "text", 3, 3))) == 58

@@ -1,10 +1,14 @@
 import hashlib
 import random
 import re
+import time
+
+import numpy as np
+from pyspark.sql import functions as F
 
 from docloom.llm import chat as C
 from docloom.llm import secrets as S
-from docloom.llm.spans import matches, sums_before
+from docloom.llm.spans import matches, substrings, sums_before
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 
@@ -22,6 +26,41 @@ def test_sums(spark):
         assert r.s == [sum(lists[r.id][:k]) for k in range(len(lists[r.id]))]
 
 
+def test_sums_of_long_lists_stay_linear(spark):
+    """Many matches and many turns: each chunk's sum is computed once, whatever the optimiser moves."""
+    for n in (70_000, 300_000):
+        df = sums_before(spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda x: x % 10).cast("array<bigint>").alias("n")), "n", "s")
+        began = time.time()
+        got = df.first().s
+        assert time.time() - began < 60 and len(got) == n
+        assert got[::997] == np.r_[0, np.cumsum(np.arange(1, n) % 10)][::997].tolist()
+
+
+def test_substrings(spark):
+    rng = random.Random(4)
+    for size in (0, 1, 5, 64, 130, 5000):
+        text = "".join(rng.choice("aé😀\n") for _ in range(size))
+        ranges = [tuple(sorted((rng.randint(0, size), rng.randint(0, size)))) for _ in range(40)]
+        df = spark.createDataFrame([(text, [{"start": a, "end": b} for a, b in ranges])], "t string, r array<struct<start: bigint, end: bigint>>")
+        assert df.select(substrings(F.col("t"), F.col("r"), 4).alias("x")).first().x == [text[a:b] for a, b in ranges]
+
+
+def test_many_turns(spark):
+    turns = spark.range(30_000).selectExpr("1L AS conv_id", "id AS turn", "if(id % 2 = 0, 'user', 'assistant') AS role", "concat('text é ', id) AS text")
+    began = time.time()
+    r = C.summary(C.format_chats(turns)).first()
+    assert time.time() - began < 60 and r.n_turns == 30_000
+    said = "".join(f"text é {k}" for k in range(1, 30_000, 2))
+    assert r.loss_chars == len(said) and r.loss_sha256 == hashlib.sha256(said.encode()).hexdigest()
+
+
+def test_many_matches(spark):
+    docs = spark.createDataFrame([(1, "é token = abcdef " * 40_000)], "doc_id long, text string")
+    began = time.time()
+    r = S.summary(S.scan(docs)).first()
+    assert time.time() - began < 60 and r.n_assign == 40_000 and r.spans.endswith(f"assign:{17 * 39_999 + 2}:{17 * 40_000 - 1}")
+
+
 def test_positions(spark):
     texts = ["", "no", "a1b22😀333", "7" + "x" * 50 + "8", "é1 " * 700, "1"]
     rows = matches(spark.createDataFrame(list(enumerate(texts)), "id int, t string"), "t", "[0-9]+", "m").collect()
