@@ -105,10 +105,17 @@ def query_terms(queries: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return queries.select(*by, "query_id", F.explode(T.tokens(F.col("query"))).alias("term")).groupBy(*by, "query_id", "term").agg(F.count("*").alias("times"))
 
 
+def part_of(tf: Column, chunk_len: Column, avg_len: Column, k1: float, b: float) -> Column:
+    """What a term's frequency in a chunk makes of its weight; it grows with the frequency and falls with the length."""
+    return tf * (k1 + 1) / (tf + k1 * (1 - b + b * chunk_len / F.greatest(avg_len, F.lit(1e-12))))
+
+
 def bm25(chunks: DataFrame, queries: DataFrame, k: int = 20, k1: float = 1.5, b: float = 0.75, by: str | None = None) -> DataFrame:
-    """BM25 with positive idf; only chunks that hold a term of the question.
+    """BM25 with positive idf; only chunks that hold a term of the question. Rows of one ``chunk_idx`` are one chunk.
 
     by: a column of both; questions see the chunks of their value alone, and statistics are those of these chunks.
+    Questions whose terms are few meet each chunk's terms as lists, and a task adds up and ranks its chunks; with more, pairs
+    of chunk and question are added up by a shuffle.
     """
     group = (by,) if by else ()
     wanted = query_terms(queries, group)
@@ -120,12 +127,95 @@ def bm25(chunks: DataFrame, queries: DataFrame, k: int = 20, k1: float = 1.5, b:
     weights = shared(wanted).join(df, [*group, "term"])
     weights = weights.join(shared(of_all), list(group)) if group else weights.crossJoin(F.broadcast(of_all))  # no more groups than questions, or one row
     weights = weights.select(*group, "query_id", "term", (F.col("times") * idf(F.col("n_chunks"), F.col("df"))).alias("weight"), "avg_len")
-    length = 1 - b + b * F.col("chunk_len") / F.greatest(F.col("avg_len"), F.lit(1e-12))
-    part = F.col("weight") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * length)
-    scored = tf.join(shared(weights), [*group, "term"]).groupBy("chunk_idx", "query_id").agg(F.sum(part).alias("score"))
+    part = part_of(F.col("tf"), F.col("chunk_len"), F.col("avg_len"), k1, b)
+    if small:
+        asked = numbered(queries)
+        listed = weights.join(F.broadcast(asked), "query_id").groupBy(*group, "term", "avg_len").agg(F.collect_list(F.struct("number", "weight")).alias("asked"))
+        rows = tf.join(F.broadcast(listed), [*group, "term"]).select("chunk_idx", part.alias("part"), "asked")
+        return top_k(best_of_tasks(rows, asked, k), k).select("query_id", "chunk_idx", "score", "rank")
+    scored = tf.join(weights, [*group, "term"]).groupBy("chunk_idx", "query_id").agg(F.sum(F.col("weight") * part).alias("score"))
     return top_k(scored.where("score > 0"), k).select("query_id", "chunk_idx", "score", "rank")
 
 
+def numbered(queries: DataFrame) -> DataFrame:
+    """(query_id, number) of questions that are few, from 0."""
+    return queries.select("query_id").distinct().withColumn("number", F.row_number().over(Window.orderBy("query_id")) - 1)
+
+
+def best_of_tasks(rows: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """(query_id, chunk_idx, score): each task's k best chunks a question, of rows (chunk_idx, part, asked array<struct<number, weight>>) a term and chunk; all of a chunk's rows are in one partition. asked: (query_id, number)."""
+    kind = dict(rows.dtypes)["chunk_idx"]
+    schema = f"number int, chunk_idx {kind}, score double"
+
+    def run(batches):
+        pool, held = Pool(k), None
+        for batch in (b for b in batches if b.num_rows):
+            table = batch if held is None else pa.concat_batches([held, batch])
+            codes = table.column(0).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+            edge = int(np.flatnonzero(codes != codes[-1])[-1]) + 1 if (codes != codes[-1]).any() else 0
+            pool.add(table.slice(0, edge), codes[:edge])
+            held = table.slice(edge)  # its chunk may go on
+        if held is not None:
+            pool.add(held, np.zeros(held.num_rows, np.int64))
+        yield from pool.batches()
+
+    found = rows.sortWithinPartitions("chunk_idx").mapInArrow(run, schema)
+    return found.join(F.broadcast(asked), "number").select("query_id", "chunk_idx", "score")
+
+
+class Pool:
+    """The k best scores of each question so far; chunks come in order, so of equal scores the first counts."""
+
+    def __init__(self, k: int, most: int = 1 << 20):
+        self.k, self.most = k, most
+        self.numbers, self.scores, self.chunks = np.zeros(0, np.int64), np.zeros(0), None
+        self.least = np.full(0, -np.inf)
+
+    def add(self, rows: pa.RecordBatch, codes: np.ndarray) -> None:
+        """rows: (chunk_idx, part, asked), whole chunks; codes: equal for equal chunks."""
+        if not rows.num_rows or self.k <= 0:
+            return
+        lists = rows.column(2)
+        sizes, flat = np.diff(lists.offsets.to_numpy()), lists.flatten()
+        numbers, weights = flat.field(0).to_numpy().astype(np.int64), flat.field(1).to_numpy()
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        _, first, place = np.unique(codes, return_index=True, return_inverse=True)
+        width = int(numbers.max(initial=0)) + 1
+        key, own = place[row] * width + numbers, weights * rows.column(1).to_numpy()[row]
+        if len(first) * width <= 1 << 22:
+            sums = np.bincount(key, own, len(first) * width)
+            some = np.flatnonzero(np.bincount(key, minlength=len(sums)) > 0)
+            scores = sums[some]
+        else:
+            some, at = np.unique(key, return_inverse=True)
+            scores = np.bincount(at, own)
+        if width > len(self.least):
+            self.least = np.r_[self.least, np.full(width - len(self.least), -np.inf)]
+        good = (scores > 0) & (np.round(scores, DIGITS) > self.least[some % width])
+        some, scores = some[good], scores[good]
+        chunks = rows.column(0).take(pa.array(first[some // width]))
+        self.numbers, self.scores = np.r_[self.numbers, some % width], np.r_[self.scores, scores]
+        self.chunks = chunks if self.chunks is None else pa.concat_arrays([self.chunks, chunks])
+        if len(self.numbers) > self.most:
+            self.prune()
+            self.most = max(self.most, 2 * len(self.numbers))
+
+    def prune(self) -> None:
+        order = np.lexsort((np.arange(len(self.numbers)), -np.round(self.scores, DIGITS), self.numbers))
+        numbers = self.numbers[order]
+        starts = np.flatnonzero(np.r_[True, numbers[1:] != numbers[:-1]]) if len(numbers) else np.zeros(0, np.int64)
+        place = np.arange(len(numbers)) - np.repeat(starts, np.diff(np.r_[starts, len(numbers)]))
+        last = order[place == self.k - 1]
+        self.least[self.numbers[last]] = np.round(self.scores[last], DIGITS)
+        kept = np.sort(order[place < self.k])  # in order of arrival
+        self.numbers, self.scores, self.chunks = self.numbers[kept], self.scores[kept], self.chunks.take(pa.array(kept))
+
+    def batches(self):
+        if self.chunks is not None:
+            self.prune()
+            yield pa.record_batch([pa.array(self.numbers, pa.int32()), self.chunks, pa.array(self.scores)], names=["number", "chunk_idx", "score"])
+
+
 def okapi(chunks: DataFrame, queries: DataFrame, k: int = 20, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
     """BM25 as the usual library computes it: classic idf, negative ones replaced by ``epsilon`` times the mean idf of all terms; where no chunk scores above 0 for a question, all that hold a term of it are ranked.
 
@@ -366,11 +456,38 @@ def filtered(chunks: DataFrame, queries: DataFrame, filters: Column, search) ->
     return reduce(DataFrame.unionByName, parts) if parts else search(chunks, queries.limit(0))
 
 
+def kept_by_filters(chunks: DataFrame, filters: DataFrame) -> DataFrame:
+    """(filter__key, chunk__row) of the chunks, numbered by ``chunk__row``, that meet every entry of ``filters`` (filter__key, filter__map), as ``filter_chunks`` compares.
+
+    An inverted index: a chunk has an entry (column, value) for each value it has, a filter one for each it wants, and a
+    filter keeps the chunks that share as many entries with it as it has. The entry of a key that no column has is met
+    by null alone; filters without entries keep all chunks.
+    """
+    columns = {c: kind for c, kind in chunks.dtypes if c not in ("content", "retrieval_content", "chunk__row")}
+    values = [F.when(F.col(c).isNotNull(), F.col(c).cast("array<string>")).otherwise(F.array().cast("array<string>")) if kind.startswith("array") else F.array(F.col(c).cast("string")) for c, kind in columns.items()]
+    entry = lambda c: lambda x: F.struct(F.lit(c).alias("key"), x.alias("value"))
+    has = F.flatten(F.array(*[F.transform(F.array_distinct(v), entry(c)) for c, v in zip(columns, values, strict=True)]))
+    wanted = filters.select("filter__key", F.explode(F.map_entries("filter__map")).alias("e")).select("filter__key", "e.*")
+    known, lists = F.col("key").isin(*columns), [c for c, kind in columns.items() if kind.startswith("array")]
+    never = (~known & F.col("value").isNotNull()) | (F.col("key").isin(*lists) & F.col("value").isNull())
+    wanted = wanted.withColumn("never", never).withColumn("free", ~known & F.col("value").isNull())
+    needs = wanted.groupBy("filter__key").agg(F.count(F.when(~F.col("free"), 1)).alias("needs"), F.max("never").alias("never"))
+    some = few(wanted.where("NOT free").join(needs.where("NOT never").select("filter__key"), "filter__key").select("filter__key", "key", F.coalesce("value", F.lit("")).alias("value"), F.isnull("value").alias("none")))
+    entries = chunks.select("chunk__row", F.explode(has).alias("e")).select("chunk__row", "e.key", F.coalesce("e.value", F.lit("")).alias("value"), F.isnull("e.value").alias("none"))
+    met = entries.join(some, ["key", "value", "none"]).groupBy("filter__key", "chunk__row").agg(F.count("*").alias("met"))
+    kept = met.join(few(needs.where("NOT never")), "filter__key").where("met = needs").select("filter__key", "chunk__row")
+    free = filters.join(needs.where("needs > 0 OR never"), "filter__key", "left_anti").select("filter__key")
+    if free.isEmpty():
+        return kept
+    return kept.union(chunks.select("chunk__row").crossJoin(few(free)).select("filter__key", "chunk__row"))  # all of these pairs are the answer
+
+
 def bm25_filtered(chunks: DataFrame, queries: DataFrame, filters: Column, k: int = 20, **options) -> DataFrame:
     """``filtered`` with ``bm25`` in one pass: a chunk is dealt to the filters that keep it, and statistics are kept a filter."""
     keyed = queries.withColumn("filter__key", F.coalesce(F.to_json(filters), F.lit("{}"))).withColumn("filter__map", filters)
-    distinct = few(keyed.groupBy("filter__key").agg(F.first("filter__map").alias("filter__map")))
-    kept = chunks.join(distinct, meets({c: kind for c, kind in chunks.dtypes if c not in ("content", "retrieval_content")}, F.col("filter__map"))).drop("filter__map")
+    distinct = keyed.groupBy("filter__key").agg(F.first("filter__map").alias("filter__map"))
+    rows = chunks.withColumn("chunk__row", F.monotonically_increasing_id())
+    kept = rows.join(kept_by_filters(rows, distinct), "chunk__row").drop("chunk__row")
     return bm25(kept, keyed.drop("filter__map"), k, by="filter__key", **options)
 
 

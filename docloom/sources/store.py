@@ -34,10 +34,10 @@ EMPTY = {"folders": [], "schema": None, "streams": {}}
 
 
 class Store:
-    """path: a folder that driver and executors share. key: the column that names documents. name: the folder that commits go to where they don't say."""
+    """path: a folder that driver and executors share. key: the column that names documents. name: the folder that commits go to where they don't say. by: columns whose values are folders of their own, so that readers of some values leave the others."""
 
-    def __init__(self, spark: SparkSession, path: str, key: str = "doc_id", name: str = "rows"):
-        self.spark, self.path, self.key, self.name = spark, path.rstrip("/"), key, name
+    def __init__(self, spark: SparkSession, path: str, key: str = "doc_id", name: str = "rows", by: tuple[str, ...] = ()):
+        self.spark, self.path, self.key, self.name, self.by = spark, path.rstrip("/"), key, name, by
 
     # --- snapshots ---
 
@@ -69,7 +69,7 @@ class Store:
     def write(self, rows: DataFrame, replaces: bool, name: str | None = None) -> dict:
         """A new folder of ``rows``, which no snapshot names yet."""
         folder = f"{name or self.name}/{uuid.uuid4().hex}"
-        rows.write.parquet(f"{self.path}/{folder}")
+        rows.write.partitionBy(*self.by).parquet(f"{self.path}/{folder}")
         return {"path": folder, "replaces": replaces, "schema": rows.schema.jsonValue()}
 
     def put(self, rows: DataFrame, replaces: bool, name: str | None = None, stream: str | None = None, batch: int | None = None) -> int:
@@ -117,7 +117,7 @@ class Store:
         older, replacing = folders[:newest], [(k, f) for k, f in enumerate(folders) if f["replaces"] and k]
 
         def scan(some: list[tuple[int, dict]]) -> DataFrame:
-            token = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
+            token = F.regexp_extract(F.col("_metadata.file_path"), "/([0-9a-f]{32})/(?!.*/[0-9a-f]{32}/)", 1)
             found = self.spark.read.schema(schema).parquet(*[f"{self.path}/{f['path']}" for _, f in some]).withColumn("token__", token)
             numbers = self.spark.createDataFrame([(f["path"].rpartition("/")[2], k) for k, f in some], "token__ string, at__ int")
             return found.join(F.broadcast(numbers), "token__").drop("token__")  # a row a folder
