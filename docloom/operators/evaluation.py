@@ -6,6 +6,9 @@ form that ``collected`` makes them from. Metrics are Columns, so a report is one
 
 from __future__ import annotations
 
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +33,52 @@ def share(part: Column, whole: Column) -> Column:
 # --- one expected document ---
 
 
+def holders(chunks: DataFrame, queries: DataFrame, most_bytes: int = 1 << 24) -> DataFrame:
+    """(query_id, chunk_idx): the chunks that hold a question's text, word for word; an empty text is in all that aren't null.
+
+    A task looks for all questions at once, in one pass over a text (Aho-Corasick). Questions are dealt to parts of about
+    ``most_bytes`` by a hash, a part is sent to all tasks, and only sets larger than that read the texts again.
+    """
+    import ahocorasick
+
+    asked = queries.where("query IS NOT NULL").select("query_id", "query").distinct()
+    kinds = dict(asked.dtypes)["query_id"], dict(chunks.dtypes)["chunk_idx"]
+    size = asked.agg(F.sum(F.octet_length("query") + 64)).first()[0] or 0
+    n = max(1, -(-size // most_bytes))
+    sc = chunks.sparkSession.sparkContext
+
+    def found(part: DataFrame) -> DataFrame:
+        rows = part.select("query", "query_id").toArrow()
+        shared = sc.broadcast((rows.column(0).to_pylist(), rows.column(1).combine_chunks()))
+
+        def run(batches):
+            texts, ids = shared.value
+            machine, everywhere, places = ahocorasick.Automaton(), [], {}
+            for k, text in enumerate(texts):
+                places.setdefault(text, []).append(k)
+            for text, own in places.items():
+                if text:
+                    machine.add_word(text, own)
+                else:
+                    everywhere = own
+            machine.make_automaton()
+            for batch in batches:
+                row, number = [], []
+                for k, text in enumerate(batch.column(1)):
+                    if not text.is_valid:
+                        continue
+                    met = {id(own): own for _, own in (machine.iter(text.as_py()) if len(machine) else ())}
+                    own = [x for some in (everywhere, *met.values()) for x in some]
+                    row += [k] * len(own)
+                    number += own
+                yield pa.record_batch([ids.take(pa.array(number, pa.int64())), batch.column(0).take(pa.array(row, pa.int64()))], names=["query_id", "chunk_idx"])
+
+        return chunks.select("chunk_idx", "content").mapInArrow(run, f"query_id {kinds[0]}, chunk_idx {kinds[1]}")
+
+    part = F.pmod(F.xxhash64("query_id"), F.lit(n))
+    return reduce(DataFrame.unionByName, [found(asked.where(part == k) if n > 1 else asked) for k in range(n)])
+
+
 def hit_at(retrieved: Column, gold: Column, k: int) -> Column:
     return F.array_contains(first(retrieved, k), gold)
 

@@ -311,24 +311,29 @@ def vectors_of(column: pa.Array, width: int) -> np.ndarray:
 ID_TYPES = {"smallint": pa.int16(), "int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}
 
 
+def unit(m: np.ndarray) -> np.ndarray:
+    """Rows of length 1; rows next to zero stay."""
+    size = np.sqrt((m * m).sum(axis=1, keepdims=True))
+    return np.where(size < 1e-12, m, m / np.where(size < 1e-12, 1, size))
+
+
 def dense(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = 4096, normalized: bool = True, most_bytes: int = 1 << 26) -> DataFrame:
     """The k nearest of ``vectors`` (chunk_idx, embedding) for ``queries`` (query_id, embedding), by cosine, or by inner product if not ``normalized``.
 
     Exact: every pair is scored, ``block`` questions against part of an Arrow batch of vectors as one matrix product.
-    Questions are broadcast, ``most_bytes`` of them at a time; only sets larger than that read the vectors again. Each task
-    keeps k rows a question, so that no more than that is ever shuffled. Negative scores are kept; null vectors take no part.
+    Questions are dealt to parts of about ``most_bytes`` by a hash of their ids, and one part at a time is sent to all
+    tasks, as one Arrow table; only sets larger than that read the vectors again (``vector_index`` keeps them, and needn't).
+    Each task keeps k rows a question, so that no more than that is ever shuffled. Negative scores are kept; null vectors
+    take no part.
     """
     spark = vectors.sparkSession
     kind = dict(queries.dtypes)["query_id"]
     schema = f"query_id {kind}, chunk_idx long, score double"
+    asked = queries.select("query_id", F.col("embedding").cast("array<double>").alias("embedding")).where("embedding IS NOT NULL")
 
-    def unit(m: np.ndarray) -> np.ndarray:
-        size = np.sqrt((m * m).sum(axis=1, keepdims=True))
-        return np.where(size < 1e-12, m, m / np.where(size < 1e-12, 1, size))
-
-    def scores(held: list) -> DataFrame:
-        matrix = vectors_of(pa.array([r.embedding for r in held], pa.list_(pa.float64())), max(len(r.embedding) for r in held))
-        ids = [r.query_id for r in held]
+    def scores(held: pa.Table, width: int) -> DataFrame:
+        matrix = vectors_of(held.column(1).combine_chunks(), width)
+        ids = held.column(0).to_pylist()
         shared = spark.sparkContext.broadcast(unit(matrix) if normalized else matrix)
 
         def run(batches):
@@ -348,16 +353,13 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = 4096
 
         return vectors.select(F.col("chunk_idx").cast("long"), F.col("embedding").cast("array<double>")).mapInArrow(run, schema)
 
-    found, held, size = [], [], 0
-    for r in queries.select("query_id", F.col("embedding").cast("array<double>").alias("embedding")).toLocalIterator():
-        if r.embedding is None:
-            continue
-        held.append(r)
-        size += 8 * len(r.embedding) + 64
-        if size >= most_bytes:
-            found, held, size = [*found, scores(held)], [], 0
-    found += [scores(held)] if held else []
-    whole = reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], schema)
+    told = asked.agg(F.sum(8 * F.size("embedding").cast("long") + 64).alias("bytes"), F.max(F.size("embedding")).alias("width")).first()
+    if told.bytes is None:
+        return top_k(spark.createDataFrame([], schema), k).select("query_id", "chunk_idx", "score", "rank")
+    n = -(-told.bytes // most_bytes)
+    part = F.pmod(F.xxhash64("query_id"), F.lit(n))
+    tables = (asked.where(part == at).toArrow() if n > 1 else asked.toArrow() for at in range(n))
+    whole = reduce(DataFrame.unionByName, [scores(t, told.width) for t in tables if t.num_rows])
     return top_k(whole, k).select("query_id", "chunk_idx", "score", "rank")
 
 

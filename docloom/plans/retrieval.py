@@ -95,7 +95,7 @@ def parent_search(spark, sf_dir) -> DataFrame:
 def gold(spark, sf_dir) -> DataFrame:
     """(query_id, gold): the documents that hold the item's text, if any."""
     asked, docs = questions(spark, sf_dir), chunks(spark, sf_dir)
-    held = docs.join(R.few(asked), F.contains("content", F.col("query"))).groupBy("query_id").agg(F.sort_array(F.collect_set("chunk_idx")).alias("gold"))
+    held = E.holders(docs, asked).groupBy("query_id").agg(F.sort_array(F.collect_set("chunk_idx")).alias("gold"))
     return asked.select("query_id").join(held, "query_id", "left").withColumn("gold", F.coalesce("gold", F.array().cast("array<bigint>")))
 
 

@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+from dataclasses import dataclass
+from urllib.parse import quote
+
+from pyarrow.fs import FileSelector, FileSystem, FileType, LocalFileSystem
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 from ..functions import frontmatter as M
 from ..functions import text as T
 from ..functions import values as V
 from ..operators import evaluation as E
+from .store import Store
 
 BENCHMARK = """id string, query string, query_vi string, gold_answer string, expected_doc string, expected_section string, expected_audience string, metadata_filter map<string,string>, query_type string,
 requires_filter boolean, gold_keywords array<string>, source_doc_ids array<string>, evidence array<struct<id: string, phrases: array<string>>>, answer_criteria array<struct<id: string, all_terms: array<string>>>"""
@@ -93,9 +100,75 @@ def markdown_document(metadata: Column, title: Column, content: Column) -> Colum
     return F.concat(F.lit("---\n"), lines, F.lit("\n---\n\n# "), title, F.lit("\n\n"), content, F.lit("\n"))
 
 
-def write_documents(rows: DataFrame, folder: str, content: str = "markdown", name: str = "doc_id") -> None:
-    """A folder a document with its text in it."""
-    rows.select(name, content).write.partitionBy(name).mode("overwrite").text(folder)
+class MarkdownSink(DataSource):
+    """Writes rows (name, text) as files ``<name>.md`` of one folder, which driver and executors share and pyarrow can reach.
+
+    A task gives a file its name once it is whole, so that a task that runs again replaces its files by the same; if the job
+    fails, what it has added goes. Overwriting removes what was there and is not written again, once all is written.
+    Characters that a name can't hold are percent-encoded; a null name is ``unnamed``. The driver holds the files' names.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "docloom_markdown"
+
+    def writer(self, schema, overwrite: bool) -> "MarkdownWriter":
+        return MarkdownWriter(self.options["path"], overwrite)
+
+
+@dataclass
+class Written(WriterCommitMessage):
+    names: list[str]
+
+
+class MarkdownWriter(DataSourceWriter):
+    def __init__(self, folder: str, overwrite: bool):
+        self.folder, self.overwrite = folder, overwrite
+        fs, at = reached(folder)
+        fs.create_dir(at)
+        self.before = {x.base_name for x in fs.get_file_info(FileSelector(at)) if x.base_name.endswith(".md")}
+
+    def write(self, rows) -> Written:
+        fs, at = reached(self.folder)
+        done: list[str] = []
+        try:
+            for name, text in rows:
+                file = f"{quote('unnamed' if name is None else str(name), safe=' ()[]{}=+,;@!')}.md"
+                with fs.open_output_stream(beside := f"{at}/.{uuid.uuid4().hex}") as out:
+                    out.write((text or "").encode())
+                fs.move(beside, f"{at}/{file}")
+                done.append(file)
+        except BaseException:
+            self.discard(done)
+            raise
+        return Written(done)
+
+    def discard(self, names) -> None:
+        fs, at = reached(self.folder)
+        for name in set(names) - self.before:
+            if fs.get_file_info(f"{at}/{name}").type == FileType.File:
+                fs.delete_file(f"{at}/{name}")
+
+    def commit(self, messages: list) -> None:
+        if self.overwrite:
+            fs, at = reached(self.folder)
+            for name in self.before - {n for m in messages if m for n in m.names}:
+                fs.delete_file(f"{at}/{name}")
+
+    def abort(self, messages: list) -> None:
+        self.discard(n for m in messages if m for n in m.names)
+
+
+def reached(folder: str) -> tuple[FileSystem, str]:
+    """A folder's file system and its path there; paths without a scheme are local."""
+    return FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (LocalFileSystem(), folder)
+
+
+def write_documents(rows: DataFrame, folder: str, content: str = "markdown", name: str = "doc_id", mode: str = "overwrite") -> None:
+    """A file ``<name>.md`` a document, as ``read_corpus`` and ``read_markdown`` read them. Of several rows of a name the greatest text counts. mode: overwrite or append."""
+    rows.sparkSession.dataSource.register(MarkdownSink)
+    one = rows.groupBy(F.col(name).cast("string").alias("name")).agg(F.max(content).alias("text"))
+    one.write.format(MarkdownSink.name()).mode(mode).save(folder)
 
 
 def upsert_manifest(old: DataFrame, new: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -137,6 +210,40 @@ failing = E.failing
 # --- the embedding cache ---
 
 
+#: Folders that the cache's hashes are dealt to, by their first digits.
+PREFIX = 2
+
+
+class EmbeddingCache:
+    """Vectors of texts by their SHA-256, kept in a ``store.Store`` in folders by the hash's first digits.
+
+    ``of`` reads only the folders of the hashes that are asked for. Writers at once may both add a hash: readers get one row
+    of it, and ``compact`` leaves one.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.store = spark, Store(spark, path, key="text_hash", name="vectors", by=("prefix",))
+
+    def extend(self, new: DataFrame) -> int:
+        """More entries (text_hash, embedding)."""
+        rows = new.select("text_hash", F.col("embedding").cast("array<double>").alias("embedding")).dropDuplicates(["text_hash"])
+        return self.store.add(rows.withColumn("prefix", F.substring("text_hash", 1, PREFIX)).repartition("prefix"))
+
+    def of(self, texts: DataFrame, text_col: str = "text") -> DataFrame:
+        """(text_hash, embedding) of those of ``texts`` that are known."""
+        asked = texts.select(F.sha2(F.col(text_col), 256).alias("text_hash")).where("text_hash IS NOT NULL").distinct()
+        if not self.store.versions():
+            return self.spark.createDataFrame([], "text_hash string, embedding array<double>")
+        prefixes = [r[0] for r in asked.select(F.substring("text_hash", 1, PREFIX)).distinct().collect()]  # 256 at most
+        held = self.store.read().where(F.col("prefix").isin(*prefixes)).select("text_hash", "embedding")
+        return held.join(asked, "text_hash", "left_semi").dropDuplicates(["text_hash"])
+
+    def compact(self) -> None:
+        """One folder, with one row a hash."""
+        self.store.compact(tidy=lambda rows: rows.dropDuplicates(["text_hash"]).repartition("prefix"))
+        self.store.vacuum(keep=2)
+
+
 def read_cache(spark: SparkSession, path: str) -> DataFrame:
     """(text_hash, embedding); empty if there is none yet."""
     if not existing(spark, [path]):

@@ -118,7 +118,9 @@ class Store:
 
         def scan(some: list[tuple[int, dict]]) -> DataFrame:
             token = F.regexp_extract(F.col("_metadata.file_path"), "/([0-9a-f]{32})/(?!.*/[0-9a-f]{32}/)", 1)
-            found = self.spark.read.schema(schema).parquet(*[f"{self.path}/{f['path']}" for _, f in some]).withColumn("token__", token)
+            paths = [f"{self.path}/{f['path']}" for _, f in some]
+            each = [[p] for p in paths] if self.by else [paths]  # folders of values are found below one path at a time
+            found = reduce(DataFrame.unionByName, [self.spark.read.schema(schema).parquet(*p).withColumn("token__", token) for p in each])
             numbers = self.spark.createDataFrame([(f["path"].rpartition("/")[2], k) for k, f in some], "token__ string, at__ int")
             return found.join(F.broadcast(numbers), "token__").drop("token__")  # a row a folder
 
@@ -134,12 +136,12 @@ class Store:
 
     # --- upkeep ---
 
-    def compact(self, name: str | None = None) -> int:
-        """One folder of the current rows in place of all; what is committed meanwhile stays behind it."""
+    def compact(self, name: str | None = None, tidy: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> int:
+        """One folder of the current rows, as ``tidy`` leaves them, in place of all; what is committed meanwhile stays behind it."""
         version, last = self.snapshot()
         if len(last["folders"]) < 2:
             return version
-        entry = self.write(self.rows(last), False, name)
+        entry = self.write(tidy(self.rows(last)), False, name)
         before = [f["path"] for f in last["folders"]]
 
         def change(now: dict) -> dict | None:

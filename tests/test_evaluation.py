@@ -53,3 +53,14 @@ def test_rubric(spark):
 def test_empty_report(spark):
     df = spark.createDataFrame([], "query_id int, hit boolean")
     assert tuple(E.report(df, ["hit"]).first()) == (0, 0.0)
+
+
+def test_holders(spark):
+    """Texts inside one another, repeated, empty and null, in one part and in many."""
+    docs = spark.createDataFrame([(1, "abcab é"), (2, ""), (3, None), (4, "xbcx ABC"), (5, "é")], "chunk_idx long, content string")
+    asked = spark.createDataFrame([(1, "ab"), (2, "bc"), (3, "abcab"), (4, "ABC"), (5, ""), (6, None), (7, "é"), (8, "bc"), (9, "none")], "query_id int, query string")
+    want = sorted((q.query_id, d.chunk_idx) for q in asked.collect() for d in docs.collect() if q.query is not None and d.content is not None and q.query in d.content)
+    for most in (1 << 24, 100):
+        assert sorted(map(tuple, E.holders(docs, asked, most).collect())) == want
+    assert E.holders(docs, asked.limit(0)).count() == 0 and E.holders(docs.limit(0), asked).count() == 0
+    assert "NestedLoop" not in E.holders(docs, asked)._jdf.queryExecution().executedPlan().toString()

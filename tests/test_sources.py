@@ -145,3 +145,65 @@ def test_nested_front_matter(spark, tmp_path):
     got = {r.doc_id: r.metadata for r in files.read_corpus(spark, str(tmp_path)).collect()}
     assert json.loads(got["n"]["tags"]) == ["a", "b: c"] and json.loads(got["n"]["by"]) == {"name": "x", "age": "3"} and got["n"]["title"] == "T" and got["n"]["none"] is None
     assert got["flat"] == {"doc_id": "flat", "title": "A: b", "n": "5"} and got["broken"]["n"] == "5"
+
+
+def test_written_documents_are_read_back(spark, tmp_path):
+    folder = str(tmp_path / "corpus dir")
+    rows = [("a-1", "title", "A: b"), ("Ä/b?#%", "title", None), ("c", "k", "v"), ("c", "k", "w")]
+    docs = spark.createDataFrame(rows, "doc_id string, key string, value string")
+    entries = F.array(F.struct(F.lit("doc_id").alias("key"), F.col("doc_id").alias("value")), F.struct("key", "value"))
+    files.write_documents(docs.withColumn("markdown", files.markdown_document(entries, F.lit("Head"), F.lit("Body ü"))).repartition(3), folder)
+    got = {r.doc_id: r for r in files.read_corpus(spark, folder).collect()}
+    assert set(got) == {"a-1", "Ä/b?#%", "c"} and got["a-1"].metadata["title"] == "A: b" and got["c"].metadata["k"] == "w"
+    assert all("# Head\n\nBody ü" in r.body for r in got.values())
+    assert [r.id for r in files.read_markdown(spark, folder).collect()][0] == "a-1"
+    more = spark.createDataFrame([("d", "text"), (None, "no name"), ("a-1", None)], "doc_id string, markdown string")
+    files.write_documents(more, folder, mode="append")
+    assert len(list((tmp_path / "corpus dir").glob("*.md"))) == 5 and (tmp_path / "corpus dir" / "a-1.md").read_text() == ""
+    files.write_documents(more.where("doc_id = 'd'"), folder)
+    assert sorted(p.name for p in (tmp_path / "corpus dir").iterdir()) == ["d.md"]
+
+
+def test_a_failed_write_leaves_what_was_there(spark, tmp_path):
+    folder = tmp_path / "corpus"
+    files.write_documents(spark.createDataFrame([("old", "old text")], "doc_id string, markdown string"), str(folder))
+    bad = spark.range(0, 40, 1, 4).select(F.col("id").cast("string").alias("doc_id"), F.when(F.col("id") == 37, F.raise_error(F.lit("no"))).otherwise(F.lit("t")).cast("string").alias("markdown"))
+    for write in (lambda: files.write_documents(bad, str(folder)), lambda: writer_that_stops(folder)):
+        with pytest.raises(Exception, match="no"):
+            write()
+        assert [p.name for p in folder.iterdir()] == ["old.md"] and (folder / "old.md").read_text() == "old text"
+
+
+def writer_that_stops(folder):
+    """A task that has written some files, and a job that ends after others have been."""
+    writer = files.MarkdownWriter(str(folder), True)
+    done = writer.write(iter([("x", "1"), ("y", "2")]))
+    assert done.names == ["x.md", "y.md"]
+
+    def rows():
+        yield "z", "3"
+        raise ValueError("no")
+
+    try:
+        writer.write(rows())
+    finally:
+        assert not (folder / "z.md").exists()
+        writer.abort([done, None])
+
+
+def test_the_cache_reads_its_folders_alone(spark, tmp_path):
+    cache = files.EmbeddingCache(spark, str(tmp_path / "cache"))
+    texts = spark.createDataFrame([(f"text {k}",) for k in range(300)] + [(None,)], "text string")
+    assert cache.of(texts).count() == 0
+    made = texts.where("text IS NOT NULL").select(F.sha2("text", 256).alias("text_hash"), F.array(F.lit(1.0)).alias("embedding"))
+    cache.extend(made)
+    cache.extend(made.limit(50))
+    assert cache.of(texts).count() == 300 and cache.store.read().count() == 350
+    one = cache.of(texts.where("text = 'text 7'"))
+    assert one.count() == 1
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(prefix" in plan or "PartitionFilters: [(prefix" in plan
+    cache.compact()
+    assert cache.store.read().count() == 300 and cache.of(texts).count() == 300 and len(cache.store.snapshot()[1]["folders"]) == 1
+    vectors, new = R.embed_cached(texts, F.col("text"), cache.of(texts))
+    assert new.count() == 0 and vectors.where("embedding IS NOT NULL").count() == 300
