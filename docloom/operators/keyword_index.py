@@ -26,8 +26,8 @@ from ..storage import cut
 from . import retrieval as R
 from .ranking import DIGITS, top_k
 
-#: Chunks of a window, folders of terms, windows that are scored first for each question.
-WINDOW, BUCKETS, FIRST = 64, 64, 4
+#: Chunks of a window, folders of terms.
+WINDOW, BUCKETS = 64, 64
 
 
 def bucket(term: Column) -> Column:
@@ -82,7 +82,8 @@ class KeywordIndex:
         bound = F.col("weight") * R.part_of(F.col("most"), F.col("least"), F.col("avg_len"), self.k1, self.b)
         met = heads.select("term", "window", "most", "least").join(R.few(weights), "term").crossJoin(F.broadcast(of_all))
         bounds = cut(met.groupBy("query_id", "window").agg(F.sum(bound).alias("bound")))
-        first = cut(top_k(bounds, FIRST, item_col="window", score_col="bound").select("query_id", "window"))
+        # k windows: a rare word may stand in one chunk of each
+        first = cut(top_k(bounds, max(4, k), item_col="window", score_col="bound").select("query_id", "window"))
         return {"blocks": blocks, "heads": heads, "weights": weights, "of_all": of_all, "bounds": bounds, "first": first, "asked": cut(R.numbered(weights))}
 
     def scored(self, plan: dict, some: DataFrame, k: int) -> DataFrame:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import corpus, documents, parts, questions, retrieval
+from . import corpus, documents, kept, parts, questions, retrieval
 
-MODULES = (retrieval, documents, questions, corpus, parts)
+MODULES = (retrieval, documents, questions, corpus, parts, kept)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 SQL = {name: sql for m in MODULES for name, sql in m.SQL.items()}

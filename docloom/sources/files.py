@@ -210,31 +210,27 @@ failing = E.failing
 # --- the embedding cache ---
 
 
-#: Folders that the cache's hashes are dealt to, by their first digits.
-PREFIX = 2
-
-
 class EmbeddingCache:
-    """Vectors of texts by their SHA-256, kept in a ``store.Store`` in folders by the hash's first digits.
+    """Vectors of texts by their SHA-256, kept in a ``store.Store`` in folders by the hash's first ``digits`` of 16 values each.
 
     ``of`` reads only the folders of the hashes that are asked for. Writers at once may both add a hash: readers get one row
     of it, and ``compact`` leaves one.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.store = spark, Store(spark, path, key="text_hash", name="vectors", by=("prefix",))
+    def __init__(self, spark: SparkSession, path: str, digits: int = 2):
+        self.spark, self.digits, self.store = spark, digits, Store(spark, path, key="text_hash", name="vectors", by=("prefix",))
 
     def extend(self, new: DataFrame) -> int:
         """More entries (text_hash, embedding)."""
         rows = new.select("text_hash", F.col("embedding").cast("array<double>").alias("embedding")).dropDuplicates(["text_hash"])
-        return self.store.add(rows.withColumn("prefix", F.substring("text_hash", 1, PREFIX)).repartition("prefix"))
+        return self.store.add(rows.withColumn("prefix", F.substring("text_hash", 1, self.digits)).repartition("prefix"))
 
     def of(self, texts: DataFrame, text_col: str = "text") -> DataFrame:
         """(text_hash, embedding) of those of ``texts`` that are known."""
         asked = texts.select(F.sha2(F.col(text_col), 256).alias("text_hash")).where("text_hash IS NOT NULL").distinct()
         if not self.store.versions():
             return self.spark.createDataFrame([], "text_hash string, embedding array<double>")
-        prefixes = [r[0] for r in asked.select(F.substring("text_hash", 1, PREFIX)).distinct().collect()]  # 256 at most
+        prefixes = [r[0] for r in asked.select(F.substring("text_hash", 1, self.digits)).distinct().collect()]  # 16 ** digits at most
         held = self.store.read().where(F.col("prefix").isin(*prefixes)).select("text_hash", "embedding")
         return held.join(asked, "text_hash", "left_semi").dropDuplicates(["text_hash"])
 
