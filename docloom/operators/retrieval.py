@@ -459,7 +459,7 @@ def filtered(chunks: DataFrame, queries: DataFrame, filters: Column, search) ->
 
 
 def kept_by_filters(chunks: DataFrame, filters: DataFrame) -> DataFrame:
-    """(filter__key, chunk__row) of the chunks, numbered by ``chunk__row``, that meet every entry of ``filters`` (filter__key, filter__map), as ``filter_chunks`` compares.
+    """(filter__key, chunk__row) of the chunks, named by ``chunk__row``, that meet every entry of ``filters`` (filter__key, filter__map), as ``filter_chunks`` compares.
 
     An inverted index: a chunk has an entry (column, value) for each value it has, a filter one for each it wants, and a
     filter keeps the chunks that share as many entries with it as it has. The entry of a key that no column has is met
@@ -488,8 +488,12 @@ def bm25_filtered(chunks: DataFrame, queries: DataFrame, filters: Column, k: int
     """``filtered`` with ``bm25`` in one pass: a chunk is dealt to the filters that keep it, and statistics are kept a filter."""
     keyed = queries.withColumn("filter__key", F.coalesce(F.to_json(filters), F.lit("{}"))).withColumn("filter__map", filters)
     distinct = keyed.groupBy("filter__key").agg(F.first("filter__map").alias("filter__map"))
-    rows = chunks.withColumn("chunk__row", F.monotonically_increasing_id())
-    kept = rows.join(kept_by_filters(rows, distinct), "chunk__row").drop("chunk__row")
+    # what filters ask for decides: chunks that agree in it are one row of the index
+    columns = [c for c in chunks.columns if c not in ("content", "retrieval_content")]
+    asked = sorted(r[0] for r in distinct.select(F.explode(F.map_keys("filter__map")).alias("k")).where(F.col("k").isin(*columns)).distinct().collect())  # a row a column
+    rows = chunks.withColumn("chunk__row", F.to_json(F.struct(*asked)) if asked else F.lit("{}"))
+    found = kept_by_filters(rows.groupBy("chunk__row").agg(*[F.first(c).alias(c) for c in asked], F.count("*").alias("chunk__count")).drop("chunk__count"), distinct)
+    kept = rows.join(few(found), "chunk__row").drop("chunk__row")
     return bm25(kept, keyed.drop("filter__map"), k, by="filter__key", **options)
 
 
