@@ -190,16 +190,18 @@ class Scanner:
         found = []
         for name in possible:
             template, seeds, begun = self.templates[name], self.seeds[name], set()
-            whole = -1  # where the last complete match ends
+            whole = -1  # where the last match ends: what begins within it overlaps it, and one of them is left
+            tried: set[tuple[int, int]] = set()  # words of the text and of the template that an alignment has put together
             for p, w in enumerate(words):
                 for offset in seeds.get(w, ()) if p >= whole else ():
-                    if p - offset in begun:
+                    if p - offset in begun or (p, offset) in tried:
                         continue
                     begun.add(p - offset)
                     low, pairs = self.settled(words, template, p - offset)
+                    tried.update((low + i, j) for i, j in pairs if template[j] in seeds)
                     if pairs and len(pairs) >= self.min_coverage * len(template):
                         found.append((len(pairs), len(pairs) / len(template), low + pairs[0][0], low + pairs[-1][0] + 1, name))
-                        if len(pairs) == len(template) == found[-1][3] - found[-1][2]:
+                        if found[-1][2] <= p:
                             whole = max(whole, found[-1][3])
         return [{"license": x[4], "coverage": x[1], "start": at[x[2]][0], "end": at[x[3] - 1][1]} for x in disjoint(found)]
 

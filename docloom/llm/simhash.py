@@ -430,6 +430,10 @@ def one_of_similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, i
     three of six blocks of the fingerprint, or a band of minima. Texts of equal sets are one node and always meet. Buckets
     of more than about ``crowd`` sets go to ``crowd_links``; one in ``seen`` sets is counted to find them, which decides
     where the work is done, not what is found.
+
+    Defined results: null texts and texts without words have the same empty set and are one group; a text of fewer words than
+    a shingle is one shingle; very long texts are read whole; of equal rows one stays; null ids come last; an empty table gives an
+    empty result; other columns are kept and not looked at.
     """
     masks = np.array(block_masks(), np.int64).view(np.uint64)
 
