@@ -93,7 +93,7 @@ class KeywordIndex:
         read = plan["blocks"].select("term", "window", "postings").join(listed, ["term", "window"]).crossJoin(F.broadcast(plan["of_all"]))
         rows = read.repartition("window").select(F.explode("postings").alias("p"), "asked", "avg_len")
         part = R.part_of(F.col("p.tf"), F.col("p.chunk_len"), F.col("avg_len"), self.k1, self.b)
-        return R.best_of_tasks(rows.select("p.chunk_idx", part.alias("part"), "asked"), plan["asked"], k)
+        return R.best_of_tasks(rows.select("p.chunk_idx", part.alias("part"), "asked").sortWithinPartitions("chunk_idx"), plan["asked"], k)
 
     def search(self, queries: DataFrame, k: int = 20) -> DataFrame:
         """(query_id, chunk_idx, score, rank)."""

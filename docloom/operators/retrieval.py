@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as X
-from ..storage import cut
+from ..storage import cut, parts_for
 from .ranking import DIGITS, first_per_parent, fuse, top_k
 
 #: Rows that may be broadcast.
@@ -51,14 +51,15 @@ WHOLE = ""
 def counted_terms(chunks: DataFrame, terms: DataFrame | None = None, by: tuple[str, ...] = ()) -> DataFrame:
     """(by..., chunk_idx, chunk_len, term, tf), with one row of term WHOLE a chunk, so that one pass over the texts gives all statistics.
 
-    Only occurrences of ``terms`` leave the scan; they are dealt by chunk, which all later grouping by chunk reuses. Without
-    ``terms`` a task counts the words of its chunks before anything is shuffled.
+    Only occurrences of ``terms`` leave the scan; they are dealt by chunk, which all later grouping by chunk reuses, to more
+    parts the more there is to read, so that a task's share stays as it is. Without ``terms`` a task counts the words of its
+    chunks before anything is shuffled.
     """
     words = chunks.select(*by, "chunk_idx", T.tokens(searchable(chunks)).alias("words"))
     # an outer explode: an inner one makes Spark infer a filter that tokenises every text a second time
     rows = words.select(*by, "chunk_idx", F.size("words").alias("chunk_len"), F.explode_outer(F.concat(F.array(F.lit(WHOLE)), "words")).alias("term"))
     if terms is not None:
-        rows = rows.join(terms, "term", "left_semi").repartition("chunk_idx")
+        rows = rows.join(terms, "term", "left_semi").repartition(parts_for(chunks), "chunk_idx")
     return rows.groupBy(*by, "chunk_idx", "chunk_len", "term").agg(F.count("*").alias("tf"))
 
 
@@ -131,7 +132,7 @@ def bm25(chunks: DataFrame, queries: DataFrame, k: int = 20, k1: float = 1.5, b:
     if small:
         asked = numbered(queries)
         listed = weights.join(F.broadcast(asked), "query_id").groupBy(*group, "term", "avg_len").agg(F.collect_list(F.struct("number", "weight")).alias("asked"))
-        rows = tf.join(F.broadcast(listed), [*group, "term"]).select("chunk_idx", part.alias("part"), "asked")
+        rows = in_turn(tf, "chunk_idx").join(F.broadcast(listed), [*group, "term"]).select("chunk_idx", part.alias("part"), "asked", "turn__")
         return top_k(best_of_tasks(rows, asked, k), k).select("query_id", "chunk_idx", "score", "rank")
     scored = tf.join(weights, [*group, "term"]).groupBy("chunk_idx", "query_id").agg(F.sum(F.col("weight") * part).alias("score"))
     return top_k(scored.where("score > 0"), k).select("query_id", "chunk_idx", "score", "rank")
@@ -142,8 +143,13 @@ def numbered(queries: DataFrame) -> DataFrame:
     return queries.select("query_id").distinct().withColumn("number", F.row_number().over(Window.orderBy("query_id")) - 1)
 
 
+def in_turn(rows: DataFrame, by: str) -> DataFrame:
+    """``rows`` in the order of ``by`` within partitions, before a broadcast join widens them: what is sorted, and spilled, is narrow. ``turn__``, which a join's reader has to take along, keeps Spark from leaving out a sort below a join."""
+    return rows.sortWithinPartitions(by).withColumn("turn__", F.monotonically_increasing_id())
+
+
 def best_of_tasks(rows: DataFrame, asked: DataFrame, k: int) -> DataFrame:
-    """(query_id, chunk_idx, score): each task's k best chunks a question, of rows (chunk_idx, part, asked array<struct<number, weight>>) a term and chunk; all of a chunk's rows are in one partition. asked: (query_id, number)."""
+    """(query_id, chunk_idx, score): each task's k best chunks a question, of rows (chunk_idx, part, asked array<struct<number, weight>>, ...) a term and chunk; all of a chunk's rows are in one partition, and follow one another. asked: (query_id, number)."""
     kind = dict(rows.dtypes)["chunk_idx"]
     schema = f"number int, chunk_idx {kind}, score double"
 
@@ -159,7 +165,7 @@ def best_of_tasks(rows: DataFrame, asked: DataFrame, k: int) -> DataFrame:
             pool.add(held, np.zeros(held.num_rows, np.int64))
         yield from pool.batches()
 
-    found = rows.sortWithinPartitions("chunk_idx").mapInArrow(run, schema)
+    found = rows.mapInArrow(run, schema)
     return found.join(F.broadcast(asked), "number").select("query_id", "chunk_idx", "score")
 
 

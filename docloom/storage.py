@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import os
 import tempfile
 import uuid
@@ -126,3 +127,8 @@ def size_of(df: DataFrame) -> int:
 def spread(df: DataFrame, most: int = 1 << 30) -> DataFrame:
     """A table of less than ``most`` bytes is often one row group and hence one task: it is dealt out to all cores. Larger ones have row groups enough and stay where they lie."""
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size_of(df) < most else df
+
+
+def parts_for(df: DataFrame, each: int = 1 << 23) -> int:
+    """Partitions for what is made of ``df`` at ``each`` bytes of its files, but no fewer than spark.sql.shuffle.partitions."""
+    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(size_of(df) / each))

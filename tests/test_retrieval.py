@@ -273,3 +273,20 @@ def test_plans_prune_and_avoid_text_shuffles(spark):
     assert "WindowGroupLimit" in plan
     for line in plan.splitlines():
         assert "Exchange hashpartitioning(content" not in line
+
+
+def test_keyword_search_sorts_narrow_rows_in_parts_of_one_size(spark, monkeypatch):
+    """What a task sorts has no lists of questions, and more files make more parts, not larger ones."""
+    from docloom import storage
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(F.col("doc_id").alias("chunk_idx"), F.col("text").alias("content"))
+    asked = spark.createDataFrame([(k, "the and of") for k in range(30)], "query_id int, query string")
+    want = [(r.query_id, r["rank"], r.chunk_idx, round(r.score, 9)) for r in R.bm25(docs, asked, 3).orderBy("query_id", "rank").collect()]
+    monkeypatch.setattr(storage, "size_of", lambda df: 40 << 23)
+    df = R.bm25(docs, asked, 3)
+    assert [(r.query_id, r["rank"], r.chunk_idx, round(r.score, 9)) for r in df.orderBy("query_id", "rank").collect()] == want
+    plan = df._jdf.queryExecution()
+    lines = plan.executedPlan().toString().split("Initial Plan")[-1].splitlines()
+    sort, join = (next(k for k, x in enumerate(lines) if part in x) for part in (" Sort [chunk_idx", " BroadcastHashJoin [term"))
+    assert join < sort and "asked" not in lines[sort]
+    assert "40, REPARTITION_BY_NUM" in plan.optimizedPlan().toString() or "hashpartitioning(chunk_idx" in plan.executedPlan().toString() and ", 40)" in plan.executedPlan().toString()
