@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -81,12 +80,9 @@ def pieces(text: str | None, size: int, separators: tuple[str, ...], overlap: in
 
 
 def recursive(text: Column, size: int | Column = 500, separators: tuple[str, ...] = RECURSIVE, overlap: int = 0, stripped: bool = False) -> Column:
-    """``pieces`` over Arrow batches: the packing depends on everything packed before, which no built-in does without copying its result at each step."""
-
-    def run(texts: pd.Series, sizes: pd.Series) -> pd.Series:
-        return pd.Series([pieces(t, int(n), separators, overlap, stripped) for t, n in zip(texts, sizes, strict=True)], dtype=object)
-
-    return F.pandas_udf(run, STRINGS)(text, size if isinstance(size, Column) else F.lit(size))
+    """``pieces``, a hundred rows at a time: the packing depends on everything packed before, which no built-in does without copying its result at each step."""
+    run = F.udf(lambda t, n: pieces(t, n, separators, overlap, stripped), STRINGS, useArrow=False)
+    return run(text, size if isinstance(size, Column) else F.lit(size))
 
 
 def strategies(text: Column, size: int = 200) -> dict[str, Column]:

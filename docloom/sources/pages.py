@@ -7,7 +7,6 @@ from functools import lru_cache
 from html.parser import HTMLParser
 from urllib.robotparser import RobotFileParser
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -130,12 +129,12 @@ def main_text(html: str | None) -> str:
 
 
 def html_text(html: Column) -> Column:
-    """In Arrow batches: a parser's state has no built-in counterpart."""
-    return F.pandas_udf(lambda s: pd.Series([plain_text(x) for x in s]), "string")(html)
+    """In Python, a hundred rows at a time: a parser's state has no built-in counterpart."""
+    return F.udf(plain_text, "string", useArrow=False)(html)
 
 
 def main_content(html: Column) -> Column:
-    return clean_markdown(F.pandas_udf(lambda s: pd.Series([main_text(x) for x in s]), "string")(html))
+    return clean_markdown(F.udf(main_text, "string", useArrow=False)(html))
 
 
 # --- native: titles, dates, addresses ---

@@ -118,3 +118,17 @@ def test_contextual(spark):
     got = C.contextual(rows).collect()
     assert [r.context_header for r in got] == ["Document: T. Chapter: C. Article: N/A. Audience: sinh viên."]
     assert got[0].retrieval_content == got[0].context_header + "\n\nbody"
+
+
+def test_texts_reach_python_a_few_at_a_time(spark):
+    """Long texts and what is made of them are not held 10,000 rows at a time, as in Arrow batches."""
+    from docloom.functions import structure as S
+    from docloom.sources import pages as P
+
+    text = F.col("text")
+    docs = spark.createDataFrame([("# a\nb",), (None,)], "text string")
+    for made in (S.outline(text), S.outline(text, False), S.normalize_headings(text), C.recursive(text, 10), P.html_text(text), P.main_content(text)):
+        df = docs.select(made.alias("x"))
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
+        assert len(df.collect()) == 2
