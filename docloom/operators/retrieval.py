@@ -148,13 +148,13 @@ def in_turn(rows: DataFrame, by: str) -> DataFrame:
     return rows.sortWithinPartitions(by).withColumn("turn__", F.monotonically_increasing_id())
 
 
-def best_of_tasks(rows: DataFrame, asked: DataFrame, k: int) -> DataFrame:
-    """(query_id, chunk_idx, score): each task's k best chunks a question, of rows (chunk_idx, part, asked array<struct<number, weight>>, ...) a term and chunk; all of a chunk's rows are in one partition, and follow one another. asked: (query_id, number)."""
+def best_of_tasks(rows: DataFrame, asked: DataFrame, k: int, above: float | None = 0.0) -> DataFrame:
+    """(query_id, chunk_idx, score): each task's k best chunks a question, of rows (chunk_idx, part, asked array<struct<number, weight>>, ...) a term and chunk; all of a chunk's rows are in one partition, and follow one another. asked: (query_id, number). Only scores ``above`` count, if there is such a limit."""
     kind = dict(rows.dtypes)["chunk_idx"]
     schema = f"number int, chunk_idx {kind}, score double"
 
     def run(batches):
-        pool, held = Pool(k), None
+        pool, held = Pool(k, above=above), None
         for batch in (b for b in batches if b.num_rows):
             table = batch if held is None else pa.concat_batches([held, batch])
             codes = table.column(0).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
@@ -172,8 +172,8 @@ def best_of_tasks(rows: DataFrame, asked: DataFrame, k: int) -> DataFrame:
 class Pool:
     """The k best scores of each question so far; chunks come in order, so of equal scores the first counts."""
 
-    def __init__(self, k: int, most: int = 1 << 20):
-        self.k, self.most = k, most
+    def __init__(self, k: int, most: int = 1 << 20, above: float | None = 0.0):
+        self.k, self.most, self.above = k, most, -np.inf if above is None else above
         self.numbers, self.scores, self.chunks = np.zeros(0, np.int64), np.zeros(0), None
         self.least = np.full(0, -np.inf)
 
@@ -197,7 +197,7 @@ class Pool:
             scores = np.bincount(at, own)
         if width > len(self.least):
             self.least = np.r_[self.least, np.full(width - len(self.least), -np.inf)]
-        good = (scores > 0) & (np.round(scores, DIGITS) > self.least[some % width])
+        good = (scores > self.above) & (np.round(scores, DIGITS) > self.least[some % width])
         some, scores = some[good], scores[good]
         chunks = rows.column(0).take(pa.array(first[some // width]))
         self.numbers, self.scores = np.r_[self.numbers, some % width], np.r_[self.scores, scores]
@@ -225,23 +225,47 @@ class Pool:
 def okapi(chunks: DataFrame, queries: DataFrame, k: int = 20, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
     """BM25 as the usual library computes it: classic idf, negative ones replaced by ``epsilon`` times the mean idf of all terms; where no chunk scores above 0 for a question, all that hold a term of it are ranked.
 
-    The mean needs the frequencies of all terms, so every occurrence is shuffled once, as (term, chunk) counts.
+    The mean needs the frequencies of all terms, which ``all_frequencies`` counts within tasks; only occurrences of the
+    questions' terms are dealt by chunk.
     """
     wanted = query_terms(queries)
-    shared = F.broadcast if are_few(wanted) else lambda df: df  # the weights are as few
-    tf = counted_terms(chunks)
-    of_all, df = statistics(tf)
-    rated = df.where(F.col("term") != WHOLE).crossJoin(F.broadcast(of_all)).withColumn("idf", okapi_idf(F.col("n_chunks"), F.col("df")))
+    small = are_few(wanted)  # then the terms and the weights are few as well
+    shared = F.broadcast if small else lambda df: df
+    terms = wanted.select("term").distinct().union(wanted.sparkSession.range(1).select(F.lit(WHOLE)))
+    tf = counted_terms(chunks, shared(terms))
+    of_all, _ = statistics(tf)
+    rated = all_frequencies(chunks).crossJoin(F.broadcast(of_all)).withColumn("idf", okapi_idf(F.col("n_chunks"), F.col("df")))
     floor = rated.agg((F.avg("idf") * epsilon).alias("floor"))
     weights = shared(wanted).join(rated, "term").crossJoin(F.broadcast(floor))
     weights = weights.select("query_id", "term", (F.col("times") * F.when(F.col("idf") < 0, F.col("floor")).otherwise(F.col("idf"))).alias("weight"), "avg_len")
-    length = 1 - b + b * F.col("chunk_len") / F.greatest(F.col("avg_len"), F.lit(1e-12))
-    part = F.col("weight") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * length)
-    scored = tf.join(shared(weights), "term").groupBy("chunk_idx", "query_id").agg(F.sum(part).alias("score"))
+    part = part_of(F.col("tf"), F.col("chunk_len"), F.col("avg_len"), k1, b)
+    if small:
+        asked = numbered(queries)
+        listed = weights.join(F.broadcast(asked), "query_id").groupBy("term", "avg_len").agg(F.collect_list(F.struct("number", "weight")).alias("asked"))
+        rows = in_turn(tf, "chunk_idx").join(F.broadcast(listed), "term").select("chunk_idx", part.alias("part"), "asked", "turn__")
+        scored = best_of_tasks(rows, asked, k, above=None)
+    else:
+        scored = tf.join(weights, "term").groupBy("chunk_idx", "query_id").agg(F.sum(F.col("weight") * part).alias("score"))
     found = top_k(scored, k).withColumn("best", F.max("score").over(Window.partitionBy("query_id")))  # k rows a question
     return found.where("score > 0 OR best <= 0").select("query_id", "chunk_idx", "score", "rank")
 
 
+def all_frequencies(chunks: DataFrame) -> DataFrame:
+    """(term, df) of all terms, as ``statistics`` counts them. A chunk of one row gives each of its words once, and tasks add them up before anything is shuffled; rows whose id repeats are told apart by id and length first."""
+    words = chunks.select("chunk_idx", T.tokens(searchable(chunks)).alias("words"))
+    # outer explodes: inner ones make Spark infer a filter that tokenises every text a second time
+    once = lambda df: df.select(F.explode_outer(F.array_distinct("words")).alias("term"))
+    again = chunks.groupBy("chunk_idx").agg(F.count("*").alias("n")).where("n > 1").select(F.col("chunk_idx").alias("again__"))
+    if again.isEmpty():
+        terms = once(words)
+    else:
+        again = few(again)
+        same = F.col("chunk_idx").eqNullSafe(F.col("again__"))
+        several = words.join(again, same, "left_semi").select("chunk_idx", F.size("words").alias("chunk_len"), F.explode_outer("words").alias("term")).distinct()
+        terms = once(words.join(again, same, "left_anti")).union(several.select("term"))
+    return terms.groupBy("term").agg(F.count("*").alias("df")).where("term IS NOT NULL")
+
+
 # --- vector search ---
 
 

@@ -290,3 +290,21 @@ def test_keyword_search_sorts_narrow_rows_in_parts_of_one_size(spark, monkeypatc
     sort, join = (next(k for k, x in enumerate(lines) if part in x) for part in (" Sort [chunk_idx", " BroadcastHashJoin [term"))
     assert join < sort and "asked" not in lines[sort]
     assert "40, REPARTITION_BY_NUM" in plan.optimizedPlan().toString() or "hashpartitioning(chunk_idx" in plan.executedPlan().toString() and ", 40)" in plan.executedPlan().toString()
+
+
+def test_frequencies_of_all_terms(spark):
+    """Each chunk of one row gives a word once; rows of one id and length are one chunk, as in the statistics of keyword search."""
+    rows = [(1, "a a b"), (2, "b c"), (3, None), (4, "a b"), (4, "a c"), (4, "a d e"), (None, "a"), (None, "f"), (5, "")]
+    docs = spark.createDataFrame(rows, "chunk_idx long, content string")
+    shown = lambda df: sorted((r.term, r.df) for r in df.collect())
+    for some in (docs, docs.where("chunk_idx < 4"), docs.limit(0)):
+        want = R.statistics(R.counted_terms(some))[1].where(F.col("term") != R.WHOLE)
+        assert shown(R.all_frequencies(some)) == shown(want)
+
+
+def test_okapi_deals_only_the_terms_of_questions(spark):
+    """No exchange has a row for each word of each chunk: what is dealt by chunk was asked for, all else is added up by term."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(F.col("doc_id").alias("chunk_idx"), F.col("text").alias("content"))
+    df = R.okapi(docs, spark.createDataFrame([(1, "the and")], "query_id int, query string"))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(chunk_idx" in plan and "chunk_len" not in "".join(x for x in plan.splitlines() if "hashpartitioning" in x)
