@@ -156,6 +156,27 @@ def sketch(texts: DataFrame, least: int, longest: int, cells: int, words: int =
     return made.repartition("block").sortWithinPartitions("block").mapInArrow(merge, "block long, passes binary")
 
 
+def added_up(counts: Iterator[pa.RecordBatch], most: int = 1 << 19) -> Iterator[pa.RecordBatch]:
+    """``counts`` (lang, phrase, m, f) with equal phrases of a task in one row, as long as some ``most`` rows hold them: a frequent phrase leaves a task once, not once for each run of words."""
+
+    def together(some: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(some).group_by(["lang", "phrase", "m"], use_threads=False).aggregate([("f", "sum")])
+        return table.select(["lang", "phrase", "m", "f_sum"]).rename_columns(["lang", "phrase", "m", "f"]).combine_chunks().to_batches()[0]
+
+    held, rows = [], 0
+    for batch in (b for b in counts if b.num_rows):
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= most:
+            held = [together(held)]
+            rows = held[0].num_rows
+            if rows > most * 3 // 4:  # few are told again
+                yield held[0]
+                held, rows = [], 0
+    if held:
+        yield together(held)
+
+
 def survivors(texts: DataFrame, merged: DataFrame, least: int, longest: int, cells: int, words: int = WORDS) -> DataFrame:
     """(lang, phrase, m, f): n-grams of ``least`` occurrences or more, m words each, counted exactly."""
     size = min(BLOCK, cells)
@@ -165,6 +186,9 @@ def survivors(texts: DataFrame, merged: DataFrame, least: int, longest: int, cel
     passes = texts.sparkSession.sparkContext.broadcast(bits.reshape(ROWS, -1))
 
     def count(batches):
+        yield from added_up(counted(batches))
+
+    def counted(batches):
         held = passes.value
         for lang, some, carried in runs_of(batches, longest, words):
             run = Run(lang, some, 0)

@@ -104,3 +104,23 @@ def test_odd_tables(spark):
     assert C.collocations(frame(spark, [(None, None), ("", "en"), (" .,", "en")]), least=1).collect() == []
     rows = [("a b", None), ("A b", "und"), ("b\na", "und")]
     assert sorted(tuple(r) for r in C.collocations(frame(spark, rows), least=1).collect()) == brute(rows, 1)
+
+
+def test_a_phrase_leaves_a_task_once():
+    """Not once for each run of words, unless there are more phrases than are held."""
+    import pyarrow as pa
+
+    names = ["lang", "phrase", "m", "f"]
+    runs = [pa.record_batch([pa.array(["en"] * 4 + ["fr"]), pa.array(["a", "b", "a b", f"rare{k}", "a"]), pa.array([1, 1, 2, 1, 1]), pa.array([k + 1, 2, 1, 1, 3])], names=names) for k in range(50)]
+    empty = runs[0].slice(0, 0)
+    want = Counter()
+    for r in runs:
+        for x in r.to_pylist():
+            want[x["lang"], x["phrase"], x["m"]] += x["f"]
+    for most in (1 << 19, 100, 40):
+        rows = [x for b in C.added_up(iter([empty, *runs, empty]), most) for x in b.to_pylist()]
+        got = Counter()
+        for x in rows:
+            got[x["lang"], x["phrase"], x["m"]] += x["f"]
+        assert got == want and (most < 100 or len(rows) == len(want))
+    assert list(C.added_up(iter([]))) == [] and list(C.added_up(iter([empty]))) == []
