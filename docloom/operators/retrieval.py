@@ -15,6 +15,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -154,26 +155,44 @@ def best_of_tasks(rows: DataFrame, asked: DataFrame, k: int, above: float | None
     schema = f"number int, chunk_idx {kind}, score double"
 
     def run(batches):
-        pool, held = Pool(k, above=above), None
-        for batch in (b for b in batches if b.num_rows):
-            table = batch if held is None else pa.concat_batches([held, batch])
-            codes = table.column(0).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
-            edge = int(np.flatnonzero(codes != codes[-1])[-1]) + 1 if (codes != codes[-1]).any() else 0
-            pool.add(table.slice(0, edge), codes[:edge])
-            held = table.slice(edge)  # its chunk may go on
-        if held is not None:
-            pool.add(held, np.zeros(held.num_rows, np.int64))
+        pool = Pool(k, above=above)
+        for table, codes in whole_groups(batches):
+            pool.add(table, codes)
         yield from pool.batches()
 
     found = rows.mapInArrow(run, schema)
     return found.join(F.broadcast(asked), "number").select("query_id", "chunk_idx", "score")
 
 
+def whole_groups(batches):
+    """(rows, codes): batches that end where a value of the first column does, whose rows follow one another; codes are equal for equal values."""
+    held = None
+    for batch in (b for b in batches if b.num_rows):
+        table = batch if held is None else pa.concat_batches([held, batch])
+        codes = table.column(0).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+        edge = int(np.flatnonzero(codes != codes[-1])[-1]) + 1 if (codes != codes[-1]).any() else 0
+        if edge:
+            yield table.slice(0, edge), codes[:edge]
+        held = table.slice(edge)  # its group may go on
+    if held is not None:
+        yield held, np.zeros(held.num_rows, np.int64)
+
+
+def summed(key: np.ndarray, values: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The keys there are, below ``size`` and in order, and the sum of each one's values."""
+    if size <= 1 << 22:
+        sums = np.bincount(key, values, size)
+        some = np.flatnonzero(np.bincount(key, minlength=size) > 0)
+        return some, sums[some]
+    some, at = np.unique(key, return_inverse=True)
+    return some, np.bincount(at, values)
+
+
 class Pool:
-    """The k best scores of each question so far; chunks come in order, so of equal scores the first counts."""
+    """The k best scores of each question so far. Chunks that come in order need no look at their ids, as of equal scores the first counts; if not ``in_order``, that of the smaller id does."""
 
-    def __init__(self, k: int, most: int = 1 << 20, above: float | None = 0.0):
-        self.k, self.most, self.above = k, most, -np.inf if above is None else above
+    def __init__(self, k: int, most: int = 1 << 20, above: float | None = 0.0, in_order: bool = True):
+        self.k, self.most, self.above, self.in_order = k, most, -np.inf if above is None else above, in_order
         self.numbers, self.scores, self.chunks = np.zeros(0, np.int64), np.zeros(0), None
         self.least = np.full(0, -np.inf)
 
@@ -186,20 +205,18 @@ class Pool:
         numbers, weights = flat.field(0).to_numpy().astype(np.int64), flat.field(1).to_numpy()
         row = np.repeat(np.arange(len(sizes)), sizes)
         _, first, place = np.unique(codes, return_index=True, return_inverse=True)
+        self.put(rows.column(0).take(pa.array(first)), place[row], numbers, weights * rows.column(1).to_numpy()[row])
+
+    def put(self, ids: pa.Array, place: np.ndarray, numbers: np.ndarray, own: np.ndarray) -> None:
+        """ids: chunks, all of whose shares are here; place, numbers, own: where among them the chunk of a share is, its question, and what it adds to their score."""
         width = int(numbers.max(initial=0)) + 1
-        key, own = place[row] * width + numbers, weights * rows.column(1).to_numpy()[row]
-        if len(first) * width <= 1 << 22:
-            sums = np.bincount(key, own, len(first) * width)
-            some = np.flatnonzero(np.bincount(key, minlength=len(sums)) > 0)
-            scores = sums[some]
-        else:
-            some, at = np.unique(key, return_inverse=True)
-            scores = np.bincount(at, own)
+        some, scores = summed(place * width + numbers, own, len(ids) * width)
         if width > len(self.least):
             self.least = np.r_[self.least, np.full(width - len(self.least), -np.inf)]
-        good = (scores > self.above) & (np.round(scores, DIGITS) > self.least[some % width])
+        close = np.round(scores, DIGITS), self.least[some % width]
+        good = (scores > self.above) & (np.greater(*close) if self.in_order else np.greater_equal(*close))
         some, scores = some[good], scores[good]
-        chunks = rows.column(0).take(pa.array(first[some // width]))
+        chunks = ids.take(pa.array(some // width))
         self.numbers, self.scores = np.r_[self.numbers, some % width], np.r_[self.scores, scores]
         self.chunks = chunks if self.chunks is None else pa.concat_arrays([self.chunks, chunks])
         if len(self.numbers) > self.most:
@@ -207,7 +224,8 @@ class Pool:
             self.most = max(self.most, 2 * len(self.numbers))
 
     def prune(self) -> None:
-        order = np.lexsort((np.arange(len(self.numbers)), -np.round(self.scores, DIGITS), self.numbers))
+        turn = np.arange(len(self.numbers)) if self.in_order else pc.rank(self.chunks, null_placement="at_start", tiebreaker="first").to_numpy()
+        order = np.lexsort((turn, -np.round(self.scores, DIGITS), self.numbers))
         numbers = self.numbers[order]
         starts = np.flatnonzero(np.r_[True, numbers[1:] != numbers[:-1]]) if len(numbers) else np.zeros(0, np.int64)
         place = np.arange(len(numbers)) - np.repeat(starts, np.diff(np.r_[starts, len(numbers)]))

@@ -44,3 +44,32 @@ def test_folders_and_windows_are_left_unread(spark, tmp_path):
     assert shown(index.search(asked, 5)) == shown(R.bm25(docs, asked, 5))
     plan = index.blocks(asked.select(F.lit("w1").alias("term")))._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [(bucket" in plan
+
+
+def test_a_search_shuffles_blocks_and_not_a_row_a_window_term_and_question(spark, tmp_path):
+    """Ten times the questions of the same words: what the plan keeps grows with blocks and questions, not with their product."""
+    index = KeywordIndex(spark, str(tmp_path / "index"), window=16)
+    index.add(texts(spark, 400))
+    asked = spark.range(120).selectExpr("id AS query_id", "concat('w1 w2 w3 w', id % 7) AS query")
+    plan = index.plan(R.query_terms(asked), 3)
+    kept = {name: df.count() for name, df in plan.items() if hasattr(df, "count") and hasattr(df, "schema") and name != "blocks"}
+    assert max(kept.values()) <= max(plan["heads"].count(), 120 * 4)
+    assert shown(index.search(asked, 3)) == shown(R.bm25(texts(spark, 400), asked, 3))
+
+
+def test_equal_scores_go_to_the_smaller_id_wherever_it_lies(spark, tmp_path):
+    index = KeywordIndex(spark, str(tmp_path / "index"), window=2)
+    docs = spark.range(60).selectExpr("59 - id AS chunk_idx", "concat('same words here ', repeat('x ', CAST(id % 3 AS int))) AS content")
+    index.add(docs)
+    asked = spark.createDataFrame([(1, "same words"), (2, "here x")], "query_id long, query string")
+    for k in (1, 5, 40):
+        assert shown(index.search(asked, k)) == shown(R.bm25(docs, asked, k))
+
+
+def test_questions_that_are_not_few_take_turns(spark, tmp_path, monkeypatch):
+    index, docs = KeywordIndex(spark, str(tmp_path / "index"), window=8), texts(spark, 100)
+    index.add(docs)
+    asked = spark.createDataFrame([(k, f"w1 w{k + 2}") for k in range(6)], "query_id long, query string")
+    whole = shown(R.bm25(docs, asked, 4))
+    monkeypatch.setattr(R, "FEW", 5)
+    assert shown(index.search(asked, 4)) == whole
