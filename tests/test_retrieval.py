@@ -292,6 +292,25 @@ def test_keyword_search_sorts_narrow_rows_in_parts_of_one_size(spark, monkeypatc
     assert "40, REPARTITION_BY_NUM" in plan.optimizedPlan().toString() or "hashpartitioning(chunk_idx" in plan.executedPlan().toString() and ", 40)" in plan.executedPlan().toString()
 
 
+#: Registered queries that search by keywords.
+SEARCHES = "multi_query_topk filter_comparison bm25_topk citation_text evidence_quality extractive_answer hybrid_topk parent_search rag_prompt rerank_passthrough rerank_scored retrieval_metrics".split()
+
+
+@pytest.mark.parametrize("name", SEARCHES)
+def test_queries_that_search_by_keywords_sort_before_they_widen(spark, monkeypatch, name):
+    """Below what adds up a chunk's scores, the questions' weights are joined above the sort, and the parts are as many as the files ask for."""
+    from docloom import storage
+    from docloom.plans import catalog
+
+    monkeypatch.setattr(storage, "size_of", lambda df: 40 << 23)
+    lines = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString().splitlines()
+    tops = [k for k, x in enumerate(lines) if "MapInArrow" in x and "asked#" in x]
+    assert len(tops) >= (2 if name == "filter_comparison" else 1)
+    for top in tops:
+        assert "BroadcastHashJoin [term" in next(x for x in lines[top:] if " Sort [chunk_idx" in x or "BroadcastHashJoin [term" in x)
+        assert ", 40), REPARTITION_BY_NUM" in next(x for x in lines[top:] if "Exchange hashpartitioning(chunk_idx" in x)
+
+
 def test_frequencies_of_all_terms(spark):
     """Each chunk of one row gives a word once; rows of one id and length are one chunk, as in the statistics of keyword search."""
     rows = [(1, "a a b"), (2, "b c"), (3, None), (4, "a b"), (4, "a c"), (4, "a d e"), (None, "a"), (None, "f"), (5, "")]
