@@ -18,6 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions import text as T
 from ..functions import vectors as X
@@ -52,16 +53,30 @@ WHOLE = ""
 def counted_terms(chunks: DataFrame, terms: DataFrame | None = None, by: tuple[str, ...] = ()) -> DataFrame:
     """(by..., chunk_idx, chunk_len, term, tf), with one row of term WHOLE a chunk, so that one pass over the texts gives all statistics.
 
-    Only occurrences of ``terms`` leave the scan; they are dealt by chunk, which all later grouping by chunk reuses, to more
-    parts the more there is to read, so that a task's share stays as it is. Without ``terms`` a task counts the words of its
-    chunks before anything is shuffled.
+    Only occurrences of ``terms`` leave the scan, added up batch by batch; they are dealt by chunk, which all later grouping
+    by chunk reuses, to more parts the more there is to read, so that a task's share stays as it is. Without ``terms`` a task
+    counts the words of its chunks before anything is shuffled.
     """
+    key = [*by, "chunk_idx", "chunk_len", "term"]
     words = chunks.select(*by, "chunk_idx", T.tokens(searchable(chunks)).alias("words"))
     # an outer explode: an inner one makes Spark infer a filter that tokenises every text a second time
     rows = words.select(*by, "chunk_idx", F.size("words").alias("chunk_len"), F.explode_outer(F.concat(F.array(F.lit(WHOLE)), "words")).alias("term"))
-    if terms is not None:
-        rows = rows.join(terms, "term", "left_semi").repartition(parts_for(chunks), "chunk_idx")
-    return rows.groupBy(*by, "chunk_idx", "chunk_len", "term").agg(F.count("*").alias("tf"))
+    if terms is None:
+        return rows.groupBy(*key).agg(F.count("*").alias("tf"))
+    # a term that may be null gets a filter in some plans above it, whose exchanges then differ
+    found = rows.join(terms, "term", "left_semi").select(*key[:-1], F.coalesce("term", F.lit(WHOLE)).alias("term"))
+    return counted_in_batches(found).repartition(parts_for(chunks), "chunk_idx").groupBy(*key).agg(F.sum("n").alias("tf"))
+
+
+def counted_in_batches(rows: DataFrame) -> DataFrame:
+    """Distinct ``rows`` of each Arrow batch and n, how often it holds them. Equal rows of different batches stay apart, so a task holds one batch; where equal rows are near one another, as a chunk's words are, what is dealt out afterwards, and held by its writer, is less."""
+    names = rows.columns
+
+    def run(batches):
+        for batch in batches:
+            yield from pa.Table.from_batches([batch]).group_by(names, use_threads=False).aggregate([([], "count_all")]).select([*names, "count_all"]).rename_columns([*names, "n"]).to_batches()
+
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("n", LongType())]))
 
 
 def term_frequencies(chunks: DataFrame, terms: DataFrame | None = None) -> DataFrame:

@@ -327,3 +327,16 @@ def test_okapi_deals_only_the_terms_of_questions(spark):
     df = R.okapi(docs, spark.createDataFrame([(1, "the and")], "query_id int, query string"))
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(chunk_idx" in plan and "chunk_len" not in "".join(x for x in plan.splitlines() if "hashpartitioning" in x)
+
+
+def test_a_task_deals_out_a_word_of_a_chunk_once(spark):
+    """What crosses the exchange by chunk is a row a chunk and word with their number, not one an occurrence; rows of one id are one chunk, and null ids stay."""
+    rows = [(1, "a a b a " * 500), (1, "a a b a " * 500), (2, "b c c"), (None, "c a c"), (3, ""), (4, None)]
+    docs = spark.createDataFrame(rows, "chunk_idx long, content string").coalesce(1)
+    df = R.counted_terms(docs, F.broadcast(spark.createDataFrame([("a",), ("c",), (R.WHOLE,)], "term string")))
+    got = {(r.chunk_idx, r.chunk_len, r.term): r.tf for r in df.collect()}
+    assert got == {(1, 2000, "a"): 3000, (1, 2000, ""): 2, (2, 3, "c"): 2, (2, 3, ""): 1, (None, 3, "c"): 2, (None, 3, "a"): 1, (None, 3, ""): 1, (3, 0, ""): 1, (4, 0, ""): 1}
+    plan = df._jdf.queryExecution().executedPlan()
+    while not plan.nodeName().endswith("Exchange") or "hashpartitioning(chunk_idx" not in plan.toString().splitlines()[0]:
+        plan = plan.executedPlan() if plan.nodeName() == "AdaptiveSparkPlan" else plan.plan() if "QueryStage" in plan.nodeName() else plan.children().apply(0)
+    assert plan.metrics().apply("shuffleRecordsWritten").value() == len(got)  # of 3,011 occurrences, in one batch
