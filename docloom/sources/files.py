@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import io
+import json
+import os
 import uuid
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain, islice
 from urllib.parse import quote
 
+import pyarrow as pa
 from pyarrow.fs import FileSelector, FileSystem, FileType, LocalFileSystem
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,6 +21,7 @@ from ..functions import frontmatter as M
 from ..functions import text as T
 from ..functions import values as V
 from ..operators import evaluation as E
+from ..storage import hadoop_path
 from .store import Store
 
 BENCHMARK = """id string, query string, query_vi string, gold_answer string, expected_doc string, expected_section string, expected_audience string, metadata_filter map<string,string>, query_type string,
@@ -36,6 +43,75 @@ def whole_files(spark: SparkSession, paths: str | list[str], glob: str | None =
     return rows.select("path", file_name(F.col("path")).alias("file_name"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
 
 
+def files_of(spark: SparkSession, folder: str, ending: str) -> DataFrame:
+    """``whole_files`` of one folder's names of an ending. One task lists the names and all tasks read the files, so that the driver holds none of them, however many there are.
+
+    A folder that isn't there or that pyarrow can't reach is listed by Spark, in the driver.
+    """
+    at, owner = hadoop_path(spark, folder)
+    at = owner.makeQualified(at)
+    uri, prefix = at.toUri(), f"{at.toString().rstrip('/')}/"
+    place = uri.getPath() if uri.getScheme() == "file" else uri.toString()
+    try:
+        fs, inside = reached(place)
+        there = fs.get_file_info(inside).type == FileType.Directory
+    except (pa.ArrowException, OSError, ImportError):
+        there = False
+    if not there:
+        return whole_files(spark, folder, f"*{ending}")
+
+    def listed(_):
+        names = visible(*reached(place), ending)
+        while some := list(islice(names, 10_000)):
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.string())], ["name"])
+
+    def read(batches):
+        fs, inside = reached(place)
+        paths, contents, held = [], [], 0
+        full = lambda: pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(contents, pa.binary())], ["path", "content"])
+        for name in (x for b in batches for x in b.column(0).to_pylist()):
+            try:
+                with fs.open_input_stream(f"{inside}/{name}", compression=None) as file:
+                    content = file.read()
+            except OSError:
+                continue
+            paths.append(prefix + name)
+            contents.append(content)
+            held += len(content)
+            if held >= 1 << 22 or len(paths) == 1000:
+                yield full()
+                paths, contents, held = [], [], 0
+        if paths:
+            yield full()
+
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = spark.range(0, 1, 1, 1).mapInArrow(listed, "name string").repartition(parts, "name").mapInArrow(read, "path string, content binary")
+    return rows.select("path", file_name(F.col("path")).alias("file_name"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
+
+
+def visible(fs: FileSystem, at: str, ending: str) -> Iterator[str]:
+    """Paths in a folder of the files that Spark reads there: none that it takes for hidden, and those of folders key=value too."""
+    for name, folder in entries(fs, at):
+        hidden = name.startswith(".") or name.endswith("._COPYING_") or name.startswith("_") and "=" not in name
+        if hidden or name.encode(errors="ignore").decode() != name:  # names that aren't UTF-8 can't be read
+            continue
+        if folder and "=" in name:
+            yield from (f"{name}/{x}" for x in visible(fs, f"{at}/{name}", ending))
+        elif not folder and name.endswith(ending):
+            yield name
+
+
+def entries(fs: FileSystem, at: str) -> Iterator[tuple[str, bool]]:
+    """Names in a folder, and whether each is a folder's; where files are local, one at a time."""
+    if isinstance(fs, LocalFileSystem):
+        with os.scandir(at) as found:
+            for x in found:
+                yield x.name, x.is_dir()
+    else:
+        for x in fs.get_file_info(FileSelector(at)):
+            yield x.base_name, x.type == FileType.Directory
+
+
 def existing(spark: SparkSession, paths: list[str]) -> list[str]:
     """Those of a short list of paths that exist, by the file system they belong to."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
@@ -53,7 +129,7 @@ def read_documents(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 def read_markdown(spark: SparkSession, folder: str) -> DataFrame:
     """(id, content, metadata) of a folder's Markdown files, by name: front matter by its --- alone, bodies stripped."""
-    rows = whole_files(spark, folder, "*.md").withColumn("f", M.prefixed(F.col("text"), M.parse))
+    rows = files_of(spark, folder, ".md").withColumn("f", M.prefixed(F.col("text"), M.parse))
     return rows.orderBy("file_name").select(stem(F.col("path")).alias("id"), T.strip(F.col("f.body")).alias("content"), F.col("f.metadata").alias("metadata"))
 
 
@@ -61,7 +137,7 @@ def read_corpus(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, doc_ord, file_name, body, metadata): a folder's Markdown files in order of their names regardless of case; the id is in the front matter, or the name. A missing folder is empty."""
     if not existing(spark, [folder]):
         return spark.createDataFrame([], "doc_id string, doc_ord int, file_name string, body string, metadata map<string,string>")
-    rows = whole_files(spark, folder, "*.md").withColumn("f", M.anchored(F.col("text"), M.parse))
+    rows = files_of(spark, folder, ".md").withColumn("f", M.anchored(F.col("text"), M.parse))
     name = F.coalesce(F.try_element_at(F.col("f.metadata"), F.lit("doc_id")), stem(F.col("path")))
     order = F.row_number().over(Window.orderBy(F.lower("file_name")))  # one row a file of one folder
     return rows.select(name.alias("doc_id"), order.alias("doc_ord"), "file_name", F.col("f.body").alias("body"), F.map_concat(F.map_filter("f.metadata", lambda k, _: k != "doc_id"), F.create_map(F.lit("doc_id"), name)).alias("metadata"))
@@ -105,7 +181,8 @@ class MarkdownSink(DataSource):
 
     A task gives a file its name once it is whole, so that a task that runs again replaces its files by the same; if the job
     fails, what it has added goes. Overwriting removes what was there and is not written again, once all is written.
-    Characters that a name can't hold are percent-encoded; a null name is ``unnamed``. The driver holds the files' names.
+    Characters that a name can't hold are percent-encoded; a null name is ``unnamed``. Names that were there and names that a
+    task has written lie in files of a hidden folder, which goes at the end; the driver reads them a part at a time.
     """
 
     @classmethod
@@ -118,45 +195,86 @@ class MarkdownSink(DataSource):
 
 @dataclass
 class Written(WriterCommitMessage):
-    names: list[str]
+    """The file that lists what a task has written."""
+
+    folder: str
+    listed: str
+
+    def each(self) -> Iterator[str]:
+        return noted(self.folder, self.listed)
+
+    @property
+    def names(self) -> list[str]:
+        return list(self.each())
 
 
 class MarkdownWriter(DataSourceWriter):
     def __init__(self, folder: str, overwrite: bool):
-        self.folder, self.overwrite = folder, overwrite
+        self.folder, self.overwrite, self.notes = folder, overwrite, f".{uuid.uuid4().hex}"
         fs, at = reached(folder)
-        fs.create_dir(at)
-        self.before = {x.base_name for x in fs.get_file_info(FileSelector(at)) if x.base_name.endswith(".md")}
+        fs.create_dir(f"{at}/{self.notes}")
+        with fs.open_output_stream(f"{at}/{self.notes}/before", buffer_size=1 << 16) as out:
+            for name, _ in entries(fs, at):
+                if name.endswith(".md"):
+                    out.write(note(name))
+
+    def before(self) -> Iterator[str]:
+        return noted(self.folder, f"{self.notes}/before")
 
     def write(self, rows) -> Written:
         fs, at = reached(self.folder)
-        done: list[str] = []
+        done = Written(self.folder, f"{self.notes}/{uuid.uuid4().hex}")
         try:
-            for name, text in rows:
-                file = f"{quote('unnamed' if name is None else str(name), safe=' ()[]{}=+,;@!')}.md"
-                with fs.open_output_stream(beside := f"{at}/.{uuid.uuid4().hex}") as out:
-                    out.write((text or "").encode())
-                fs.move(beside, f"{at}/{file}")
-                done.append(file)
+            with fs.open_output_stream(f"{at}/{done.listed}", buffer_size=1 << 16) as listed:
+                for name, text in rows:
+                    file = f"{quote('unnamed' if name is None else str(name), safe=' ()[]{}=+,;@!')}.md"
+                    with fs.open_output_stream(beside := f"{at}/{self.notes}/{uuid.uuid4().hex}") as out:
+                        out.write((text or "").encode())
+                    fs.move(beside, f"{at}/{file}")
+                    listed.write(note(file))
         except BaseException:
-            self.discard(done)
+            self.discard([done])
             raise
-        return Written(done)
+        return done
 
-    def discard(self, names) -> None:
+    def discard(self, messages: list) -> None:
         fs, at = reached(self.folder)
-        for name in set(names) - self.before:
+        for name in without(chain.from_iterable(m.each() for m in messages if m), self.before):
             if fs.get_file_info(f"{at}/{name}").type == FileType.File:
                 fs.delete_file(f"{at}/{name}")
 
     def commit(self, messages: list) -> None:
+        fs, at = reached(self.folder)
         if self.overwrite:
-            fs, at = reached(self.folder)
-            for name in self.before - {n for m in messages if m for n in m.names}:
+            for name in without(self.before(), lambda: chain.from_iterable(m.each() for m in messages if m)):
                 fs.delete_file(f"{at}/{name}")
+        fs.delete_dir(f"{at}/{self.notes}")
 
     def abort(self, messages: list) -> None:
-        self.discard(n for m in messages if m for n in m.names)
+        self.discard(messages)
+        fs, at = reached(self.folder)
+        fs.delete_dir(f"{at}/{self.notes}")
+
+
+def note(name: str) -> bytes:
+    """A name's line in a file of names."""
+    return f"{json.dumps(name, ensure_ascii=False)}\n".encode()
+
+
+def noted(folder: str, listed: str) -> Iterator[str]:
+    """The names in a file of names, as they are read; none if there is no such file."""
+    fs, at = reached(folder)
+    if fs.get_file_info(f"{at}/{listed}").type == FileType.File:
+        with fs.open_input_stream(f"{at}/{listed}", compression=None) as file:
+            yield from map(json.loads, io.BufferedReader(file, 1 << 16))
+
+
+def without(names: Iterable[str], others, part: int = 500_000) -> Iterator[str]:
+    """Those of ``names`` that aren't in ``others()``, which is read again for each part of the names."""
+    names = iter(names)
+    while some := set(islice(names, part)):
+        some.difference_update(others())
+        yield from some
 
 
 def reached(folder: str) -> tuple[FileSystem, str]:

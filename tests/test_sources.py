@@ -1,4 +1,5 @@
 import json
+import pickle
 
 import pytest
 from pyspark.sql import functions as F
@@ -191,6 +192,39 @@ def writer_that_stops(folder):
         writer.abort([done, None])
 
 
+def test_the_driver_holds_no_names_of_a_corpus(spark, tmp_path):
+    """Neither what a task tells of 5,000 files nor the plan that reads them grows with their number; nor do the tasks that read."""
+    folder = str(tmp_path / "corpus")
+    writer = files.MarkdownWriter(folder, True)
+    done = writer.write((f"d{k}", f"text {k}") for k in range(5000))
+    assert len(pickle.dumps(done)) < 500 and len(done.names) == 5000
+    writer.commit([done, None])
+    for rows in (files.read_corpus(spark, folder), files.read_markdown(spark, folder)):
+        assert rows.inputFiles() == [] and rows.count() == 5000
+    assert len(pickle.dumps(files.MarkdownWriter(folder, True))) < 500
+    files.write_documents(spark.createDataFrame([("d7", "new"), ("e", "e")], "doc_id string, markdown string"), folder)
+    assert sorted((r.id, r.content) for r in files.read_markdown(spark, folder).collect()) == [("d7", "new"), ("e", "e")]
+
+
+def test_a_folder_is_read_as_by_spark(spark, tmp_path):
+    """Odd names, hidden ones, folders, links to nothing, and a path that has to be escaped."""
+    folder = tmp_path / "a é +%20"
+    (folder / "dir.md").mkdir(parents=True)
+    for name in ("a.md", "b c.md", "%41.md", "ä+b.md", "_x.md", "_metadata.md", "_k=v.md", ".z.md", "x.MD", "n.txt", "dir.md/in.md"):
+        (folder / name).write_bytes(name.encode() + b"\xff")
+    (folder / "broken.md").symlink_to("/nowhere")
+    for at in (str(folder), f"{folder}/", f"file://{folder}"):
+        got = sorted(files.files_of(spark, at, ".md").collect())
+        assert got == sorted(files.whole_files(spark, at, "*.md").collect()) and len(got) == 5
+    (tmp_path / "p" / "k=1").mkdir(parents=True)
+    (tmp_path / "p" / "k=1" / "in.md").write_text("in")
+    assert [r.text for r in files.files_of(spark, str(tmp_path / "p"), ".md").collect()] == ["in"]
+
+
+def test_names_are_compared_in_parts():
+    assert sorted(files.without(map(str, range(10)), lambda: iter(["3", "9", "x"]), part=4)) == list("01245678")
+
+
 def test_the_cache_reads_its_folders_alone(spark, tmp_path):
     cache = files.EmbeddingCache(spark, str(tmp_path / "cache"))
     texts = spark.createDataFrame([(f"text {k}",) for k in range(300)] + [(None,)], "text string")
